@@ -40,7 +40,7 @@ _CARD_START = any_of([
 CREDIT_CARD = flagged(rf"\b(?!1[0-9]{{12}}(?![0-9])){_CARD_START}(?:[- ]?[0-9]{{3,4}}){{2}}[- ]?[0-9]{{3,5}}\b")
 
 IBAN = flagged(
-    r"(?<!\w)"
+    r"(?<!\w)(?=[A-Z]{2}[ -]?[0-9]{2})"
     + any_of(
         f"{any_of(countries)}[ -]?[0-9]{{2}}(?:[ -]?[A-Z0-9]){{{length - 4}}}"
         for length, countries in sorted(IBAN_COUNTRIES.items(), reverse=True)

@@ -98,7 +98,7 @@ def first_context_word(before: Column, value: Column, listed: list[str]) -> Colu
     if not listed:
         return F.lit(None).cast("string")
     near = F.concat(
-        last_words(F.lower(before), fixed.CONTEXT_WORDS_BEFORE), F.slice(last_or_first(F.lower(value)), 1, 1)
+        last_words(F.lower(before), fixed.CONTEXT_WORDS_BEFORE), F.slice(value_words(F.lower(value)), 1, 1)
     )
     return let(
         near,
@@ -108,42 +108,40 @@ def first_context_word(before: Column, value: Column, listed: list[str]) -> Colu
     )
 
 
-def last_or_first(value: Column) -> Column:
+def value_words(value: Column) -> Column:
     return F.regexp_extract_all(value, F.lit(r"(?U)(\w+)"), F.lit(1))
 
 
 def spans_of(text: Column, lang: Column, r: Recognizer) -> Column:
     """array of span structs of one recognizer, checks and context applied."""
 
+    # Matches that fail the check are dropped below, so a checked span has passed.
+    passed = bool(r.check) and r.promotes
+    score = F.lit(1.0 if passed else r.score)
+    listed = [lang_ for lang_ in r.languages if r.context.get(lang_)]
+    same = len({tuple(r.context.get(lang_, ())) for lang_ in r.languages}) == 1
+
     def span(m: Column) -> Column:
-        checksum = r.check(m["value"]) if r.check else F.lit(None).cast("boolean")
-
-        def scored(c: Column) -> Column:
-            score = F.when(c, F.lit(1.0)).otherwise(F.lit(r.score)) if r.promotes else F.lit(r.score)
-            words_by_language = [l for l in r.languages if r.context.get(l)]
-            same = len({tuple(r.context.get(l, ())) for l in r.languages}) == 1
-            if same and words_by_language:
-                word = first_context_word(m["before"], m["value"], r.context[words_by_language[0]])
-            else:
-                word = F.lit(None).cast("string")
-                for l in words_by_language:
-                    word = F.when(lang == l, first_context_word(m["before"], m["value"], r.context[l])).otherwise(word)
-            return let(
-                word,
-                lambda w: F.struct(
-                    m["start"].alias("start"),
-                    m["end"].alias("end"),
-                    m["value"].alias("value"),
-                    F.lit(r.entity_type).alias("entity_type"),
-                    boosted(score, w).alias("score"),
-                    F.lit(r.name).alias("recognizer"),
-                    F.lit(r.score).alias("original_score"),
-                    w.alias("context_word"),
-                    (c if r.promotes else F.lit(None).cast("boolean")).alias("checksum"),
-                ),
-            )
-
-        return let(checksum, scored)
+        if same and listed:
+            word = first_context_word(m["before"], m["value"], r.context[listed[0]])
+        else:
+            word = F.lit(None).cast("string")
+            for lang_ in listed:
+                word = F.when(lang == lang_, first_context_word(m["before"], m["value"], r.context[lang_])).otherwise(word)
+        return let(
+            word,
+            lambda w: F.struct(
+                m["start"].alias("start"),
+                m["end"].alias("end"),
+                m["value"].alias("value"),
+                F.lit(r.entity_type).alias("entity_type"),
+                boosted(score, w).alias("score"),
+                F.lit(r.name).alias("recognizer"),
+                F.lit(r.score).alias("original_score"),
+                w.alias("context_word"),
+                F.lit(True if passed else None).cast("boolean").alias("checksum"),
+            ),
+        )
 
     found = matches_with_context(text, r.pattern)
     if r.not_after:
@@ -285,19 +283,19 @@ def _names_from(runs: DataFrame, first: Column, titled: Column) -> DataFrame:
         # Words before the name: those before the run, then those of the run before the name.
         F.slice(
             F.concat(
-                "words_before", last_or_first(F.lower(F.substring(F.col("run_value"), F.lit(1), word["start"])))
+                "words_before", value_words(F.lower(F.substring(F.col("run_value"), F.lit(1), word["start"])))
             ),
             -fixed.CONTEXT_WORDS_BEFORE,
             fixed.CONTEXT_WORDS_BEFORE,
         ).alias("sliced"),
         F.concat(
-            "words_before", last_or_first(F.lower(F.substring(F.col("run_value"), F.lit(1), word["start"])))
+            "words_before", value_words(F.lower(F.substring(F.col("run_value"), F.lit(1), word["start"])))
         ).alias("all_before"),
     )
     n = fixed.CONTEXT_WORDS_BEFORE
     near = F.concat(
         F.when(F.size("all_before") > n, F.col("sliced")).otherwise(F.col("all_before")),
-        F.slice(last_or_first(F.lower("value")), 1, 1),
+        F.slice(value_words(F.lower("value")), 1, 1),
     )
     rule = (
         F.when(F.col("titled"), "titled")
