@@ -27,88 +27,66 @@ def neutral(text: Column) -> Column:
     return F.when(dirty, F.translate(text, OPEN + CLOSE, NEUTRAL + NEUTRAL)).otherwise(text)
 
 
-def tagged_pieces(text: Column, pattern: str) -> Column:
-    """array<string>: the text before the first match, then for each match its value, CLOSE, and the gap after it."""
-    return F.split(F.regexp_replace(neutral(text), F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
-
-
-def piece_starts(pieces: Column) -> Column:
-    """array<int>: start of each match (one per piece after the first)."""
-    empty = F.array().cast("array<int>")
-    first = F.struct(F.length(pieces[0]).alias("pos"), empty.alias("starts"))
-    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.aggregate(
-        rest,
-        first,
-        lambda acc, p: F.struct(
-            (acc["pos"] + F.length(p) - 1).alias("pos"), F.array_append(acc["starts"], acc["pos"]).alias("starts")
-        ),
-        lambda acc: acc["starts"],
-    )
-
-
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start:int, end:int, value:string>> of all non-overlapping matches, half-open offsets."""
-
-    def located(pieces: Column) -> Column:
-        values = F.transform(
-            F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.substring_index(p, CLOSE, 1)
-        )
-        return F.zip_with(
-            piece_starts(pieces),
-            values,
-            lambda s, v: F.struct(s.alias("start"), (s + F.length(v)).alias("end"), v.alias("value")),
-        )
-
-    return let(tagged_pieces(text, pattern), located)
-
-
-def matches_with_context(text: Column, pattern: str, pieces_before: int = 6) -> Column:
-    """Same as matches(), plus `before` (text just before) and `after` (text up to the next match).
-
-    `before` joins the pieces of the last `pieces_before` matches: enough for that many words, since every match
-    holds at least one, or the text from its start. Linear in the text, unlike a prefix per match.
+def quote(value: str) -> str:
+    """value as a SQL string literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+# The expressions below are SQL text: one parse in the JVM instead of thousands of calls from Python. `p` is the array
+# of pieces: the text before the first match, then for each match its value, CLOSE, and the gap after it.
+
+
+def _pieces(text: str, pattern: str) -> str:
+    return f"split(regexp_replace({text}, {quote(pattern)}, '\\u0001$0\\u0002'), '\\u0001')"
+
+
+_STARTS = """aggregate(slice(p, 2, size(p) - 1), struct(length(p[0]) AS pos, cast(array() AS array<int>) AS starts),
+  (acc, x) -> struct(acc.pos + length(x) - 1 AS pos, array_append(acc.starts, acc.pos) AS starts), acc -> acc.starts)"""
+
+
+def matches_sql(text: str, pattern: str) -> str:
+    """array<struct<start:int, end:int, value:string>> of all non-overlapping matches, half-open offsets.
+
+    `text` must be free of the two control characters: see neutral().
     """
+    return f"""transform(array({_pieces(text, pattern)}), p -> IF(size(p) = 1, array(), transform({_STARTS}, (s, i) ->
+      transform(array(substring_index(get(p, i + 1), '\\u0002', 1)), v ->
+        struct(s AS start, s + length(v) AS `end`, v AS value))[0])))[0]"""
 
-    def located(pieces: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            # i counts matches from 0; match i is in pieces[i + 1].
-            first = F.greatest(i - pieces_before + 2, F.lit(1))
-            before = F.translate(F.array_join(F.slice(pieces, first, i + 2 - first), ""), CLOSE, "")
-            piece = F.get(pieces, i + 1)
-            value = F.substring_index(piece, CLOSE, 1)
-            return F.struct(
-                s.alias("start"),
-                (s + F.length(value)).alias("end"),
-                value.alias("value"),
-                before.alias("before"),
-                F.substring_index(piece, CLOSE, -1).alias("after"),
-                # Gap directly before the match, and whether the text starts or ends there.
-                F.substring_index(F.get(pieces, i), CLOSE, -1).alias("gap"),
-                (i == 0).alias("is_first"),
-                (i + 2 == F.size(pieces)).alias("is_last"),
-            )
-
-        return F.transform(piece_starts(pieces), one)
-
-    return let(tagged_pieces(text, pattern), located)
+
+def matches_near_sql(text: str, pattern: str, id_: int, n_words: int, tail: int = 0) -> str:
+    """Same, plus an id, and what is around each match.
+
+    near: the last n_words lower-cased words before; prev: the last `tail` characters before; gap and after: the text
+    up to the previous and the next match; first and last: whether those reach the ends of the text.
+    A match holds at least one word, so the pieces of the last n_words + 1 matches hold enough of them, or reach the
+    start of the text: linear in the text, unlike a prefix per match.
+    """
+    back = n_words + 1
+    some, every = "regexp_extract_all(right(b, {}), '(?U)(\\\\w+)', 1)".format(40 * n_words), "regexp_extract_all(b, '(?U)(\\\\w+)', 1)"
+    last = f"IF(size(w) > {n_words}, slice(w, -{n_words}, {n_words}), w)"
+    # More than n_words words in the tail: the last ones are whole. Otherwise the whole piece is split.
+    near = f"""transform(array({some}), w -> IF(size(w) > {n_words}, slice(w, -{n_words}, {n_words}),
+        transform(array({every}), w -> {last})[0]))[0]"""
+    return f"""transform(array({_pieces(text, pattern)}), p -> IF(size(p) = 1, array(), transform({_STARTS}, (s, i) ->
+      transform(array(struct(substring_index(get(p, i + 1), '\\u0002', 1) AS v,
+          lower(translate(array_join(slice(p, greatest(i - {back - 2}, 1), i + 2 - greatest(i - {back - 2}, 1)), ''), '\\u0002', '')) AS b)), m ->
+        struct({id_} AS id, s AS start, s + length(m.v) AS `end`, m.v AS value,
+          transform(array(m.b), b -> {near})[0] AS near, right(m.b, {max(tail, 1)}) AS prev,
+          {"substring_index(get(p, i), '\\u0002', -1)" if tail else "''"} AS gap,
+          {"substring_index(get(p, i + 1), '\\u0002', -1)" if tail else "''"} AS after,
+          i = 0 AS first, i + 2 = size(p) AS last))[0])))[0]"""
 
 
 def words(text: Column) -> Column:
-    """All `\\w+` words, Unicode."""
+    """All words (runs of Unicode word characters)."""
     return F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1))
 
 
 def last_words(before: Column, n: int) -> Column:
-    """The last n words of a text. Only its tail is split when the tail is known to hold them."""
-    tail = F.right(before, F.lit(40 * n))
-    return let(
-        words(tail),
-        # More than n words in the tail: the last n are whole. Otherwise split everything.
-        lambda found: F.when(F.size(found) > n, F.slice(found, -n, n)).otherwise(
-            let(words(before), lambda full: F.when(F.size(full) > n, F.slice(full, -n, n)).otherwise(full))
-        ),
-    )
+    """The last n words of a text."""
+    return let(words(before), lambda found: F.when(F.size(found) > n, F.slice(found, -n, n)).otherwise(found))
 
 
 def replace_spans(text: Column, spans: Column, field: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
 from maskline.functions import checks, patterns
-from maskline.functions.text import last_words, let, matches, matches_with_context
+from maskline.functions.text import last_words, let, matches_near_sql, matches_sql, neutral, quote, words
 from maskline.session import small
 
 SPAN_COLUMNS = [
@@ -93,84 +93,82 @@ def boosted(score: Column, context_word: Column) -> Column:
     return F.when(context_word.isNull(), score).otherwise(F.round(raised, 6))
 
 
-def first_context_word(before: Column, value: Column, listed: list[str]) -> Column:
-    """First listed word held by one of the last words before the match, or by the first word of the match."""
-    if not listed:
-        return F.lit(None).cast("string")
-    near = F.concat(
-        last_words(F.lower(before), fixed.CONTEXT_WORDS_BEFORE), F.slice(value_words(F.lower(value)), 1, 1)
-    )
-    return let(
-        near,
-        lambda seen: F.get(
-            F.filter(F.array(*map(F.lit, listed)), lambda w: F.exists(seen, lambda s: F.contains(s, w))), F.lit(0)
-        ),
-    )
+def context_word_in(near: Column, listed: Column) -> Column:
+    """First listed word that is a substring of one of the words near the match."""
+    return F.get(F.filter(listed, lambda w: F.exists(near, lambda s: F.contains(s, w))), F.lit(0))
 
 
-def value_words(value: Column) -> Column:
-    return F.regexp_extract_all(value, F.lit(r"(?U)(\w+)"), F.lit(1))
-
-
-def spans_of(text: Column, lang: Column, r: Recognizer) -> Column:
-    """array of span structs of one recognizer, checks and context applied."""
-
-    # Matches that fail the check are dropped below, so a checked span has passed.
-    passed = bool(r.check) and r.promotes
-    score = F.lit(1.0 if passed else r.score)
-    listed = [lang_ for lang_ in r.languages if r.context.get(lang_)]
-    same = len({tuple(r.context.get(lang_, ())) for lang_ in r.languages}) == 1
-
-    def span(m: Column) -> Column:
-        if same and listed:
-            word = first_context_word(m["before"], m["value"], r.context[listed[0]])
-        else:
-            word = F.lit(None).cast("string")
-            for lang_ in listed:
-                word = F.when(lang == lang_, first_context_word(m["before"], m["value"], r.context[lang_])).otherwise(word)
-        return let(
-            word,
-            lambda w: F.struct(
-                m["start"].alias("start"),
-                m["end"].alias("end"),
-                m["value"].alias("value"),
-                F.lit(r.entity_type).alias("entity_type"),
-                boosted(score, w).alias("score"),
-                F.lit(r.name).alias("recognizer"),
-                F.lit(r.score).alias("original_score"),
-                w.alias("context_word"),
-                F.lit(True if passed else None).cast("boolean").alias("checksum"),
-            ),
-        )
-
-    found = matches_with_context(text, r.pattern)
-    if r.not_after:
-        found = F.filter(found, lambda m: ~F.endswith(m["before"], F.lit(r.not_after)))
-    if r.check:
-        found = F.filter(found, lambda m: F.coalesce(r.check(m["value"]), F.lit(False)))
-    spans = F.transform(found, span)
-    applies = lang.isin(*r.languages)
-    if r.needs:
-        applies = applies & text.contains(r.needs)
-    return F.when(applies, spans).otherwise(F.array().cast(SPAN_ARRAY))
-
-
-SPAN_ARRAY = (
-    "array<struct<start:int,end:int,value:string,entity_type:string,score:double,recognizer:string,"
-    "original_score:double,context_word:string,checksum:boolean>>"
-)
+def near_words(before: Column, value: Column) -> Column:
+    """The last words before a match, and its own first word, lower-cased."""
+    return F.concat(last_words(F.lower(before), fixed.CONTEXT_WORDS_BEFORE), F.slice(words(F.lower(value)), 1, 1))
+
+
+def sql_array(listed: list[str]) -> str:
+    return f"array({', '.join(map(quote, listed))})" if listed else "cast(array() as array<string>)"
+
+
+def _matches_of(recognizers: list[Recognizer]) -> str:
+    """One array with the raw matches of every recognizer that applies to the text's language."""
+    arrays = []
+    for i, r in enumerate(recognizers):
+        applies = f"lang IN ({', '.join(map(quote, r.languages))})"
+        if r.needs:
+            applies += f" AND contains(text, {quote(r.needs)})"
+        arrays.append(f"IF({applies}, {matches_near_sql('text', r.pattern, i, fixed.CONTEXT_WORDS_BEFORE)}, array())")
+    return f"concat({', '.join(arrays)})"
+
+
+def _listed_words(recognizers: list[Recognizer]) -> Column:
+    """Context words of a match, by recognizer and language of the text."""
+    cases = [
+        f"WHEN id = {i} AND lang = {quote(lang)} THEN {sql_array(listed)}"
+        for i, r in enumerate(recognizers)
+        for lang, listed in r.context.items()
+    ]
+    return F.expr(f"CASE {' '.join(cases)} ELSE {sql_array([])} END") if cases else F.expr(sql_array([]))
+
+
+def _by_recognizer(recognizers: list[Recognizer], value: Callable[[Recognizer], Column]) -> Column:
+    chosen = F.when(F.col("id") == 0, value(recognizers[0]))
+    for i, r in enumerate(recognizers[1:], 1):
+        chosen = chosen.when(F.col("id") == i, value(r))
+    return chosen
 
 
 def detect(docs: DataFrame, recognizers: list[Recognizer]) -> DataFrame:
-    """Span rows of the given pattern recognizers; keeps `value`, the text of the span."""
-    arrays = [spans_of(F.col("text"), F.col("lang"), r) for r in recognizers]
-    spans = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    return docs.select("doc_id", F.inline(spans))
+    """Span rows of the given pattern recognizers; keeps `value`, the text of the span.
+
+    Per text: one regex pass per recognizer, in one projection. Per match, after `inline`: checks, then context words.
+    """
+    texts = docs.select("doc_id", "lang", neutral(F.col("text")).alias("text"))
+    raw = texts.select("doc_id", "lang", F.inline(F.expr(_matches_of(recognizers))))
+    # Matches that fail the check of their recognizer are dropped, so a checked span has passed.
+    checked = [(i, r) for i, r in enumerate(recognizers) if r.check or r.not_after]
+    if checked:
+        kept = F.lit(None).cast("boolean")
+        for i, r in checked:
+            rule = r.check(F.col("value")) if r.check else ~F.endswith("prev", F.lit(r.not_after))
+            kept = F.when(F.col("id") == i, rule).otherwise(kept)
+        raw = raw.where(F.coalesce(kept, ~F.col("id").isin(*[i for i, _ in checked])))
+    near = F.concat("near", F.slice(words(F.lower("value")), 1, 1))
+    found = raw.withColumn("context_word", context_word_in(near, _listed_words(recognizers)))
+    passed = _by_recognizer(recognizers, lambda r: F.lit(True if r.check and r.promotes else None).cast("boolean"))
+    original = _by_recognizer(recognizers, lambda r: F.lit(r.score))
+    return found.select(
+        "doc_id", "start", "end", "value",
+        _by_recognizer(recognizers, lambda r: F.lit(r.entity_type)).alias("entity_type"),
+        boosted(F.when(passed, F.lit(1.0)).otherwise(original), F.col("context_word")).alias("score"),
+        _by_recognizer(recognizers, lambda r: F.lit(r.name)).alias("recognizer"),
+        original.alias("original_score"),
+        "context_word",
+        passed.alias("checksum"),
+    )
 
 
 def find_spans(docs: DataFrame, pattern: str, entity_type: str, score: float, name: str = "custom") -> DataFrame:
     """All matches of one pattern, without check or context: the building block as an operator."""
-    found = docs.select("doc_id", F.inline(matches(F.col("text"), pattern)))
+    texts = docs.select("doc_id", neutral(F.col("text")).alias("text"))
+    found = texts.select("doc_id", F.inline(F.expr(matches_sql("text", pattern))))
     return found.select(
         "doc_id", "start", "end", F.lit(entity_type).alias("entity_type"), F.lit(score).alias("score"),
         F.lit(name).alias("recognizer"), "value",
@@ -237,80 +235,70 @@ _EDGE = " ,.;!"
 
 
 def name_runs(docs: DataFrame) -> DataFrame:
-    """Runs of capitalized words of the French texts, with their words and what surrounds them."""
-    runs = docs.where(F.col("lang") == "fr").select(
-        "doc_id", F.explode(matches_with_context(F.col("text"), patterns.NAME_RUN)).alias("run")
+    """Runs of capitalized words of the French texts, with what surrounds them."""
+    texts = docs.where(F.col("lang") == "fr").select("doc_id", neutral(F.col("text")).alias("text"))
+    runs = texts.select(
+        "doc_id", F.inline(F.expr(matches_near_sql("text", patterns.NAME_RUN, 0, fixed.CONTEXT_WORDS_BEFORE, 40)))
     )
     fields = "|".join(sorted(fixed.PERSON_FIELDS, key=len, reverse=True))
-    before = F.col("run.before")
-    tail = F.right(before, F.lit(40))
-    titled_before = tail.rlike(patterns.TITLE_BEFORE) | tail.rlike(rf"(?Ui)\b(?:{fields}) ?: ?$")
+    # prev is lower-cased; the capital of "M." is the last but two character of the gap.
+    titled_before = (F.col("prev").rlike(r"(?U)(?<![\w.])m\. $") & F.endswith("gap", F.lit("M. "))) | F.col("prev").rlike(
+        rf"(?U)\b(?:{fields}) ?: ?$"
+    )
     # The line holds nothing but the run: its gaps, up to the line ends, hold only characters that are trimmed.
-    gap, after = F.col("run.gap"), F.col("run.after")
-    alone_before = (F.col("run.is_first") | gap.contains("\n")) & (
+    gap, after = F.col("gap"), F.col("after")
+    alone_before = (F.col("first") | gap.contains("\n")) & (
         F.trim(F.substring_index(gap, "\n", -1), F.lit(_EDGE)) == ""
     )
-    alone_after = (F.col("run.is_last") | after.contains("\n")) & (
+    alone_after = (F.col("last") | after.contains("\n")) & (
         F.trim(F.substring_index(after, "\n", 1), F.lit(_EDGE)) == ""
     )
-    with_words = runs.select(
+    return runs.select(
         "doc_id",
-        F.col("run.start").alias("run_start"),
-        F.col("run.end").alias("end"),
-        F.col("run.value").alias("run_value"),
-        matches(F.col("run.value"), patterns.NAME_WORD).alias("words"),
+        F.col("start").alias("run_start"),
+        "end",
+        F.col("value").alias("run_value"),
+        "near",
         titled_before.alias("titled_before"),
         (alone_before & alone_after).alias("alone"),
-        last_words(F.lower(before), fixed.CONTEXT_WORDS_BEFORE).alias("words_before"),
     )
+
+
+def with_words(runs: DataFrame) -> DataFrame:
+    """Adds the words of each run and the index (from 0) of its last title, -1 without one."""
+    split = runs.withColumn("words", F.expr(matches_sql("run_value", patterns.NAME_WORD)))
     is_title = F.transform("words", lambda w: w["value"].isin(fixed.PERSON_TITLES))
-    # Index (from 0) of the last title of the run, -1 when it has none.
-    last_title = F.coalesce(F.size("words") - F.nullif(F.array_position(F.reverse(is_title), True), F.lit(0)), F.lit(-1))
-    return with_words.withColumn("last_title", last_title.cast("int"))
+    last_title = F.size("words") - F.nullif(F.array_position(F.reverse(is_title), True), F.lit(0))
+    return split.withColumn("last_title", F.coalesce(last_title, F.lit(-1)).cast("int"))
 
 
-def _names_from(runs: DataFrame, first: Column, titled: Column) -> DataFrame:
+def _names_from(runs: DataFrame, first: Column, titled: bool) -> DataFrame:
     """Span rows of the names that start at word `first` of their run."""
-    word = F.get(F.col("words"), first)
+    word_start = F.get(F.col("words"), first)["start"]
     named = runs.where(first < F.size("words")).select(
         "doc_id",
-        (F.col("run_start") + word["start"]).alias("start"),
+        (F.col("run_start") + word_start).alias("start"),
         "end",
-        F.substring(F.col("run_value"), word["start"] + 1, F.length("run_value")).alias("value"),
+        F.substring(F.col("run_value"), word_start + 1, F.length("run_value")).alias("value"),
         (F.size("words") - first).alias("n_words"),
-        titled.alias("titled"),
         (F.col("alone") & (first == 0)).alias("alone"),
         # Words before the name: those before the run, then those of the run before the name.
-        F.slice(
-            F.concat(
-                "words_before", value_words(F.lower(F.substring(F.col("run_value"), F.lit(1), word["start"])))
-            ),
-            -fixed.CONTEXT_WORDS_BEFORE,
-            fixed.CONTEXT_WORDS_BEFORE,
-        ).alias("sliced"),
-        F.concat(
-            "words_before", value_words(F.lower(F.substring(F.col("run_value"), F.lit(1), word["start"])))
-        ).alias("all_before"),
+        F.concat("near", words(F.lower(F.substring(F.col("run_value"), F.lit(1), word_start)))).alias("before"),
     )
     n = fixed.CONTEXT_WORDS_BEFORE
     near = F.concat(
-        F.when(F.size("all_before") > n, F.col("sliced")).otherwise(F.col("all_before")),
-        F.slice(value_words(F.lower("value")), 1, 1),
-    )
-    rule = (
-        F.when(F.col("titled"), "titled")
-        .when(F.col("alone"), "on_line")
-        .when(F.col("n_words") > 1, "named")
-        .otherwise("first_name")
+        F.when(F.size("before") > n, F.slice("before", -n, n)).otherwise(F.col("before")),
+        F.slice(words(F.lower("value")), 1, 1),
     )
-    score = F.when(rule.isin("titled", "on_line"), STRONG).when(rule == "named", FULL_NAME).otherwise(FIRST_NAME_ALONE)
-    listed = F.array(*map(F.lit, fixed.CONTEXT_PERSON))
-    word_found = let(
-        near, lambda seen: F.get(F.filter(listed, lambda w: F.exists(seen, lambda s: F.contains(s, w))), F.lit(0))
+    rule = F.lit("titled") if titled else (
+        F.when(F.col("alone"), "on_line").when(F.col("n_words") > 1, "named").otherwise("first_name")
     )
-    scored = named.select(
-        "doc_id", "start", "end", "value", rule.alias("rule"), score.alias("original_score"),
-        word_found.alias("context_word"),
+    ruled = named.select("doc_id", "start", "end", "value", rule.alias("rule"), near.alias("near"))
+    scored = ruled.select(
+        "doc_id", "start", "end", "value", "rule",
+        F.when(F.col("rule").isin("titled", "on_line"), STRONG).when(F.col("rule") == "named", FULL_NAME)
+        .otherwise(FIRST_NAME_ALONE).alias("original_score"),
+        context_word_in(F.col("near"), F.expr(sql_array(fixed.CONTEXT_PERSON))).alias("context_word"),
     )
     return scored.select(
         "doc_id", "start", "end", "value",
@@ -325,23 +313,27 @@ def _names_from(runs: DataFrame, first: Column, titled: Column) -> DataFrame:
 
 def titled_names(runs: DataFrame) -> DataFrame:
     """Names after a title (the last one of the run) or a form field: no dictionary needed."""
-    titled = runs.where(F.col("titled_before") | (F.col("last_title") >= 0))
-    return _names_from(titled, F.col("last_title") + 1, F.lit(True))
+    titles = "|".join(fixed.PERSON_TITLES)
+    # Cheap test first: most runs hold no title and are not split into words.
+    maybe = runs.where(F.col("titled_before") | F.col("run_value").rlike(rf"(?:{titles})"))
+    titled = with_words(maybe).where(F.col("titled_before") | (F.col("last_title") >= 0))
+    return _names_from(titled, F.col("last_title") + 1, True)
 
 
 def dictionary_names(runs: DataFrame, first_names: DataFrame) -> DataFrame:
     """Names that start at the first known first name of a run without title."""
-    untitled = runs.where(~F.col("titled_before") & (F.col("last_title") < 0))
-    exploded = untitled.select("*", F.posexplode("words").alias("pos", "word"))
+    untitled = runs.where(~F.col("titled_before"))
+    # One short row per word; the whole run rides along only as its strings.
+    exploded = untitled.select("*", F.posexplode(F.expr(matches_sql("run_value", patterns.NAME_WORD))).alias("pos", "word"))
     known = exploded.join(
         small(first_names.select(F.col("name").alias("_name")).distinct()), F.col("word.value") == F.col("_name")
     )
-    # Only runs with a known first name are left: few and short rows. One row per run, its first known name.
+    # Only runs with a known first name are left. One row per run, its first known name.
     carried = [c for c in runs.columns if c not in ("doc_id", "run_start")]
     first = known.groupBy("doc_id", "run_start").agg(
         F.min(F.struct("pos", *carried)).alias("first")
     ).select("doc_id", "run_start", "first.*")
-    return _names_from(first, F.col("pos"), F.lit(False))
+    return _names_from(with_words(first).where(F.col("last_title") < 0), F.col("pos"), False)
 
 
 def detect_person(docs: DataFrame, first_names: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
-from maskline.operators.detect import boosted, first_context_word
+from maskline.operators.detect import boosted, context_word_in, near_words, sql_array
 
 
 def apply_check_digits(spans: DataFrame) -> DataFrame:
@@ -23,9 +23,10 @@ def boost_by_context(docs: DataFrame, spans: DataFrame, words: dict[str, list[st
     joined = spans.drop("context_word").join(texts, "doc_id")
     before = F.substring("text", F.lit(1), F.col("start"))
     value = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
-    word = F.lit(None).cast("string")
-    for recognizer, listed in words.items():
-        word = F.when(F.col("recognizer") == recognizer, first_context_word(before, value, listed)).otherwise(word)
+    listed = F.expr(sql_array([]))
+    for recognizer, its_words in words.items():
+        listed = F.when(F.col("recognizer") == recognizer, F.expr(sql_array(its_words))).otherwise(listed)
+    word = context_word_in(near_words(before, value), listed)
     return joined.withColumn("context_word", word).withColumn(
         "score", boosted(F.col("score"), F.col("context_word"))
     ).drop("text")

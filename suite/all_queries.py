@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 from suite import detection  # noqa: F401
+from suite import masking  # noqa: F401

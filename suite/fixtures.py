@@ -200,4 +200,38 @@ from (select *, cast(substr(props, 7, length(props) - 7) as bigint) as k from ev
 select c.*, a.provider, a.model, cast(c.tokens_in * cast(coalesce(a.price_in, 0) as decimal(18,10)) + c.tokens_out * cast(coalesce(a.price_out, 0) as decimal(18,10))
   + cast(coalesce(a.price_query, 0) as decimal(18,10)) as decimal(30,10)) as cost
 from fx_calls c join fx_aliases a on a.alias = c.alias""",
+    # Detections that overlap in every way: inside another type or the same one, equal, partly, touching.
+    "fx_spans": """
+select doc_id, entity_type, start, "end", case entity_type when 'FR_ADDRESS' then 0.6e0 when 'PHONE_NUMBER' then 0.4e0 when 'IP_ADDRESS' then 0.3e0 else 0.85e0 end as score,
+  'a' as recognizer, case when entity_type in ('FR_NIR', 'IBAN_CODE') then doc_id % 5 <> 0 end as checksum from fx_gold
+union all select doc_id, 'LOCATION', cast(start + 3 as int), cast("end" - 2 as int), 0.85e0, 'b', null from fx_gold where entity_type = 'FR_ADDRESS'
+union all select doc_id, 'FR_ADDRESS', cast(start + 3 as int), cast("end" - 2 as int), 0.95e0, 'b', null from fx_gold where entity_type = 'FR_ADDRESS' and doc_id % 2 = 0
+union all select doc_id, 'CREDIT_CARD', start, "end", 0.85e0, 'b', null from fx_gold where entity_type = 'FR_FISCAL_NUMBER'
+union all select doc_id, 'LOCATION', cast(start + 2 as int), cast("end" + 4 as int), 0.45e0, 'b', null from fx_gold where entity_type = 'PERSON'
+union all select doc_id, 'PERSON', "end", cast("end" + 3 as int), 0.5e0, 'b', null from fx_gold where entity_type = 'EMAIL_ADDRESS'
+union all select doc_id, 'PHONE_NUMBER', cast(start + 1 as int), cast("end" - 1 as int), 0.4e0, 'b', null from fx_gold where entity_type = 'PHONE_NUMBER'
+union all select doc_id, 'LOCATION', start, cast(start + 4 as int), 0.85e0, 'b', null from fx_gold where entity_type = 'IBAN_CODE'""",
+    # Values that a model quotes: as they are, in capitals, or invented.
+    "fx_quoted": """
+select doc_id, entity_type, case when doc_id % 3 = 1 then upper(value) when doc_id % 3 = 2 and entity_type = 'PERSON' then 'Nobody Here' else value end as value
+from fx_gold where entity_type in ('PERSON', 'EMAIL_ADDRESS', 'IP_ADDRESS')
+union all select doc_id, 'DIGITS', '00' from fx_gold where entity_type = 'CREDIT_CARD'""",
+    "fx_policy": """
+select * from (values ('PERSON', 0.4), ('LOCATION', 0.4), ('FR_ADDRESS', 0.4), ('EMAIL_ADDRESS', 0.4), ('PHONE_NUMBER', 0.4),
+  ('IBAN_CODE', 0.4), ('CREDIT_CARD', 0.4), ('CRYPTO', 0.4), ('IP_ADDRESS', 0.4), ('FR_NIR', 0.4), ('FR_FISCAL_NUMBER', 0.4)) as p(entity_type, threshold)""",
+    "fx_merged": """
+select doc_id, min(start) as start, max("end") as "end" from (
+  select *, sum(fresh) over (partition by doc_id order by start, "end" rows between unbounded preceding and current row) as island from (
+    select doc_id, start, "end", case when start < max("end") over (partition by doc_id order by start, "end" rows between unbounded preceding and 1 preceding)
+      then 0 else 1 end as fresh from fx_spans) f) i group by doc_id, island""",
+    # Markers of the conversations: first occurrence of each value numbers it.
+    "fx_markers": """
+select conv_id, value, '<' || entity_type || '_' || cast(n as string) || '>' as marker, cast(n as bigint) as n from (
+  select *, row_number() over (partition by conv_id order by turn, start) as n from (
+    select *, row_number() over (partition by conv_id, value order by turn, start) as seen from fx_conv_spans) s where seen = 1) f""",
+    # Answers that name markers of their conversation, one that does not exist, and one that runs into another.
+    "fx_answers": """
+select conv_id * 1000 + turn as answer_id, conv_id, 'Re <PERSON_1>: ' || text || ' <EMAIL_ADDRESS_2> <PERSON_10> <PERSON_3> <NOT_A_MARKER> <PERSON_1>' as text
+from conversations where role = 'assistant'""",
+    "fx_requests": "select call_id, team, asks_masking from fx_calls",
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from maskline.session import materialize
 from suite.fixtures import FIXTURES
 
 BASE = (
@@ -29,6 +30,10 @@ def chain(sql: str) -> str:
                     ordered.append(name)
 
     visit(sql)
+    return with_clauses(ordered, sql)
+
+
+def with_clauses(ordered: list[str], sql: str) -> str:
     if not ordered:
         return sql
     ctes = ",\n".join(f"{name} AS ({FIXTURES[name].strip()})" for name in ordered)
@@ -53,19 +58,43 @@ from (
 ) where i > 1"""
 
 
+# Derived tables that many queries share: written once per session and folder of tables, then read like the given ones.
+SHARED = {"fx_parts", "fx_letters", "fx_gold", "fx_pred", "fx_spans", "fx_calls", "fx_priced", "fx_markers", "fx_conv_spans"}
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
     """t('customer') is a given table, t('fx_nir') a derived one; t.sql() runs SQL over both."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _shared(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _written:
+            _written[key] = materialize(self.sql(FIXTURES[name]))
+        return _written[key]
+
+    def _register(self, sql: str) -> str:
+        """Temp views for the tables that sql names; its text with the derived tables that are not shared as WITH."""
+        ordered: list[str] = []
+
+        def visit(text: str) -> None:
+            for name in dict.fromkeys(re.findall(r"\b\w+\b", text)):
+                if name in BASE:
+                    self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+                elif name in SHARED:
+                    self._shared(name).createOrReplaceTempView(name)
+                elif name in FIXTURES and name not in ordered:
+                    visit(FIXTURES[name])
+                    ordered.append(name)
+
+        visit(sql)
+        return with_clauses(ordered, sql)
+
     def sql(self, sql: str) -> DataFrame:
         # "end" is a reserved word in DuckDB; Spark quotes with backticks.
-        text = chain(sql).replace('"end"', '`end`')
-        for name in BASE:
-            if re.search(rf"\b{name}\b", text):
-                self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        return self.spark.sql(text)
+        return self.spark.sql(self._register(sql).replace('"end"', "`end`"))
 
     def __call__(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")
