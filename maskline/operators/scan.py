@@ -24,26 +24,19 @@ def ordered_blocks(df: DataFrame, order: list[str], blocks: int | None = None) -
 
 
 def running_before(blocked: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Adds, for each name, the sum of its column over the rows of the same keys that come strictly before."""
-    values = blocked.select("*", *[c.alias(f"_v_{n}") for n, c in sums.items()])
-    totals = values.groupBy(*keys, BLOCK).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    """Adds, for each name, the sum of its column over the rows of the same keys that come strictly before (0 if none).
+
+    What comes before a block enters it as one extra row that sorts first, so one window inside the block gives the
+    whole total: no join, one shuffle on (keys, block).
+    """
+    values = blocked.select("*", F.lit(1).alias("_row"), *[c.alias(f"_v_{n}") for n, c in sums.items()])
+    totals = values.groupBy(*keys, BLOCK).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums])
     earlier = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, BLOCK, *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums]
-    )
-    inside = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    local = values.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in sums])
-    renamed = carried.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, BLOCK]], *[f"_c_{n}" for n in sums])
-    same = F.lit(True)
-    for k in [*keys, BLOCK]:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = local.join(renamed, same)
-
-    def before(n: str) -> Column:
-        total = F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.coalesce(F.col(f"_l_{n}"), F.lit(0))
-        return total.alias(n)
-
-    return joined.select(*blocked.columns, *[before(n) for n in sums])
+    carried = totals.select(*keys, BLOCK, F.lit(0).alias("_row"), *[F.sum(f"_v_{n}").over(earlier).alias(f"_v_{n}") for n in sums])
+    inside = W.partitionBy(*keys, BLOCK).orderBy("_row", *order).rowsBetween(W.unboundedPreceding, -1)
+    united = values.unionByName(carried, allowMissingColumns=True)
+    summed = united.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(n) for n in sums])
+    return summed.where("_row = 1").select(*blocked.columns, *sums)
 
 
 def positions(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:

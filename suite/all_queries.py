@@ -4,3 +4,5 @@ from suite import detection  # noqa: F401
 from suite import masking  # noqa: F401
 from suite import evaluation  # noqa: F401
 from suite import corpus  # noqa: F401
+from suite import usage  # noqa: F401
+from suite import jobs  # noqa: F401

@@ -234,4 +234,56 @@ select conv_id, value, '<' || entity_type || '_' || cast(n as string) || '>' as
 select conv_id * 1000 + turn as answer_id, conv_id, 'Re <PERSON_1>: ' || text || ' <EMAIL_ADDRESS_2> <PERSON_10> <PERSON_3> <NOT_A_MARKER> <PERSON_1>' as text
 from conversations where role = 'assistant'""",
     "fx_requests": "select call_id, team, asks_masking from fx_calls",
+    "fx_caps": "select * from (values ('hosted', 0.3), ('hub', 1.2)) as c(provider, cap)",
+    "fx_routes": "select * from (values ('f', 'forecast'), ('m', 'manuals'), ('b', 'billing')) as r(team, project)",
+    "fx_members": """
+select * from (values ('lead-f', 'f'), ('lead-m', 'm'), ('lead-bs', 'b'), ('lead-bs', 's'), ('admin', '*')) as m(account, team)""",
+    "fx_history": """
+select * from (values
+  ('view', timestamp '2024-01-03 00:00:00', 0.0000001, 0.0000004), ('view', timestamp '2024-01-15 12:00:00', 0.0000002, 0.0000005),
+  ('click', timestamp '2024-01-01 00:00:00', 0.0000005, 0.0000020), ('click', timestamp '2024-01-20 00:00:00', 0.0000007, 0.0000030),
+  ('error', timestamp '2023-12-01 00:00:00', 0.0000015, 0.0000035)) as h(alias, valid_from, price_in, price_out)""",
+    # The name a trace carries: alias, model, or provider/model, in any case.
+    "fx_traced": """
+select c.call_id, c.team, case c.call_id % 5 when 0 then c.alias when 1 then upper(c.alias) when 2 then a.model
+  when 3 then upper(a.model) else 'unknown:1b' end as traced_model
+from fx_calls c join fx_aliases a on a.alias = c.alias""",
+    "fx_served": """
+select call_id, alias, latency, case when alias = 'click' and call_id % 11 = 0 then 'view' else alias end as served_alias from fx_calls""",
+    "fx_json": """
+select event_id as answer_id, case event_id % 8
+  when 0 then '{"query": "late ' || event_type || '", "season": 2024, "variants": ["a", "b"]}'
+  when 1 then '{"query": "q", "season": null, "variants": ["a", "b"]}'
+  when 2 then '{"query": "q", "season": "2024", "variants": ["a", "b"]}'
+  when 3 then '{"query": "q", "season": 2024, "variants": ["a"]}'
+  when 4 then '{"query": "q", "season": 2024'
+  when 5 then '{"season": 2024, "variants": ["a", "b"]}'
+  when 6 then '["query"]'
+  else 'Here is your JSON: {"query": "q"}' end as content from events""",
+    "fx_tool_calls": """
+select event_id as answer_id, case when event_id % 9 = 0 then 'get_weather' else 'get_race' end as tool, case event_id % 5
+  when 0 then '{"season": ' || cast(2000 + user_id as string) || ', "name": "Monza"}' when 1 then '{"season": "soon", "name": "Spa"}' when 2 then '{"name": "Spa"}'
+  when 3 then '{"season": 2024, "name": ' else '{"season": 2024, "name": "Spa", "extra": true}' end as arguments from events""",
+    "fx_attempts": """
+select cast((event_id - event_id % 5) / 5 as bigint) as job_id, event_id as attempt_id, ts, case when user_id % 4 = 0 then 'f' else 'm' end as team, event_type as alias, value as seconds,
+  cast(case event_id % 11 when 0 then 200 when 1 then 200 when 2 then 500 when 3 then 429 when 4 then 408 when 5 then 403 when 6 then 400 when 7 then 503 when 8 then null when 9 then 429 else 429 end as int) as status,
+  case event_id % 4 when 0 then '2024-01-15 00:00:30 UTC' when 1 then 'soon' end as reset_at,
+  case event_id % 3 when 0 then '12' when 1 then 'later' end as retry_after
+from events""",
+    "fx_job_messages": """
+select event_id as message_id, 'reply-' || event_type as reply_to, case event_id % 12
+  when 0 then '{"id": "j' || cast(event_id as string) || '", "team": "f", "alias": "' || event_type || '", "messages": [{"role": "user", "content": "Hi"}]}'
+  when 1 then '{"id": 7, "team": "m", "alias": "a", "messages": [{"role": "user", "content": "Hi"}], "max_tokens": 64}'
+  when 2 then 'not json' when 3 then '[]' when 4 then '{"alias": "a", "messages": [{"role": "user"}]}' when 5 then '{"team": "f", "messages": [{"role": "user"}]}'
+  when 6 then '{"team": "f", "alias": "a", "messages": []}' when 7 then '{"team": "f", "alias": "a", "messages": [{"role": "user"}], "max_tokens": 4097}'
+  when 8 then '{"team": "f", "alias": "a", "messages": [{"role": "user"}], "max_tokens": "512"}' when 9 then '{"team": "", "alias": "a", "messages": [1]}'
+  when 10 then '{"team": "x", "alias": "a", "messages": [{"role": "user", "content": "Hi"}], "max_tokens": 4096}'
+  else '{"team": "f", "alias": "a", "messages": "Hi"}' end as body from events""",
+    # Declared suppliers, and an actual state: every ninth missing, one field changed in every fourth, extra rows.
+    "fx_declared": "select s_suppkey as id, s_name as name, s_nationkey as nation, case when s_suppkey % 6 = 0 then null else s_acctbal end as balance from supplier",
+    "fx_actual": """
+select s_suppkey as id, s_name as name, case when s_suppkey % 4 = 0 then s_nationkey + 1 else s_nationkey end as nation,
+  case when s_suppkey % 6 in (0, 1) then null else s_acctbal end as balance from supplier where s_suppkey % 9 <> 0
+union all select s_suppkey + 1000000, 'extra', 0, 0.0 from supplier where s_suppkey % 7 = 0""",
+    "fx_keys": "select 'team' || cast(s_suppkey as string) as team_id, case when s_suppkey % 10 = 0 then 'pk-' else 'sk-' end || s_name || '-' || cast(s_suppkey * 7919 as string) as value from supplier",
 }
