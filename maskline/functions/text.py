@@ -41,8 +41,15 @@ def _pieces(text: str, pattern: str) -> str:
     return f"split(regexp_replace({text}, {quote(pattern)}, '\\u0001$0\\u0002'), '\\u0001')"
 
 
-_STARTS = """aggregate(slice(p, 2, size(p) - 1), struct(length(p[0]) AS pos, cast(array() AS array<int>) AS starts),
-  (acc, x) -> struct(acc.pos + length(x) - 1 AS pos, array_append(acc.starts, acc.pos) AS starts), acc -> acc.starts)"""
+# Starts of the matches: running sums of the piece lengths. Appending to one array would copy it for every match, so
+# the sums run over about sqrt(n) blocks first, then inside each block: n * sqrt(n) small copies, not n * n.
+_RUNNING = """aggregate({items}, struct({first} AS pos, cast(array() AS array<int>) AS starts),
+  (acc, x) -> struct(acc.pos + {step} AS pos, array_append(acc.starts, acc.pos) AS starts), acc -> acc.starts)"""
+_STARTS = f"""transform(array(transform(slice(p, 2, size(p) - 1), x -> length(x) - 1)), q ->
+  transform(array(cast(ceil(sqrt(size(q))) AS int)), b ->
+    transform(array(transform(sequence(0, cast(ceil(size(q) / b) AS int) - 1), k -> slice(q, k * b + 1, b))), blocks ->
+      transform(array({_RUNNING.format(items='blocks', first='length(p[0])', step='aggregate(x, 0, (t, n) -> t + n)')}), firsts ->
+        flatten(transform(blocks, (block, k) -> {_RUNNING.format(items='block', first='get(firsts, k)', step='x')})))[0])[0])[0])[0]"""
 
 
 def matches_sql(text: str, pattern: str) -> str:

@@ -323,17 +323,20 @@ def titled_names(runs: DataFrame) -> DataFrame:
 def dictionary_names(runs: DataFrame, first_names: DataFrame) -> DataFrame:
     """Names that start at the first known first name of a run without title."""
     untitled = runs.where(~F.col("titled_before"))
-    # One short row per word; the whole run rides along only as its strings.
-    exploded = untitled.select("*", F.posexplode(F.expr(matches_sql("run_value", patterns.NAME_WORD))).alias("pos", "word"))
+    # One short row per distinct word, in order of first occurrence; the run rides along as its strings.
+    distinct = F.array_distinct(F.regexp_extract_all("run_value", F.lit(f"({patterns.NAME_WORD})"), F.lit(0)))
+    exploded = untitled.select("*", F.posexplode(distinct).alias("nth", "word"))
     known = exploded.join(
-        small(first_names.select(F.col("name").alias("_name")).distinct()), F.col("word.value") == F.col("_name")
+        small(first_names.select(F.col("name").alias("_name")).distinct()), F.col("word") == F.col("_name")
     )
     # Only runs with a known first name are left. One row per run, its first known name.
     carried = [c for c in runs.columns if c not in ("doc_id", "run_start")]
     first = known.groupBy("doc_id", "run_start").agg(
-        F.min(F.struct("pos", *carried)).alias("first")
+        F.min(F.struct("nth", "word", *carried)).alias("first")
     ).select("doc_id", "run_start", "first.*")
-    return _names_from(with_words(first).where(F.col("last_title") < 0), F.col("pos"), False)
+    untitled_first = with_words(first).where(F.col("last_title") < 0)
+    placed = untitled_first.withColumn("first_word", (F.array_position(F.col("words.value"), F.col("word")) - 1).cast("int"))
+    return _names_from(placed, F.col("first_word"), False)
 
 
 def detect_person(docs: DataFrame, first_names: DataFrame) -> DataFrame:
