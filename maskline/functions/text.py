@@ -62,27 +62,36 @@ def matches_sql(text: str, pattern: str) -> str:
         struct(s AS start, s + length(v) AS `end`, v AS value))[0])))[0]"""
 
 
-def matches_near_sql(text: str, pattern: str, id_: int, n_words: int, tail: int = 0) -> str:
-    """Same, plus an id, and what is around each match.
+def _before(back: int) -> str:
+    """The text before match i, from the pieces of the last `back` matches, lower-cased."""
+    first = f"greatest(i - {back - 2}, 1)"
+    return f"lower(translate(array_join(slice(p, {first}, i + 2 - {first}), ''), '\\u0002', ''))"
+
+
+def matches_near_sql(text: str, pattern: str, id_: int, n_words: int) -> str:
+    """Same, plus an id, the last n_words lower-cased words before each match (near), and the last character (prev).
 
-    near: the last n_words lower-cased words before; prev: the last `tail` characters before; gap and after: the text
-    up to the previous and the next match; first and last: whether those reach the ends of the text.
     A match holds at least one word, so the pieces of the last n_words + 1 matches hold enough of them, or reach the
     start of the text: linear in the text, unlike a prefix per match.
     """
-    back = n_words + 1
-    some, every = "regexp_extract_all(right(b, {}), '(?U)(\\\\w+)', 1)".format(40 * n_words), "regexp_extract_all(b, '(?U)(\\\\w+)', 1)"
+    found = "regexp_extract_all({}, '(?U)(\\\\w+)', 1)"
     last = f"IF(size(w) > {n_words}, slice(w, -{n_words}, {n_words}), w)"
     # More than n_words words in the tail: the last ones are whole. Otherwise the whole piece is split.
-    near = f"""transform(array({some}), w -> IF(size(w) > {n_words}, slice(w, -{n_words}, {n_words}),
-        transform(array({every}), w -> {last})[0]))[0]"""
+    near = f"""transform(array({found.format(f'right(b, {40 * n_words})')}), w -> IF(size(w) > {n_words}, slice(w, -{n_words}, {n_words}),
+        transform(array({found.format('b')}), w -> {last})[0]))[0]"""
     return f"""transform(array({_pieces(text, pattern)}), p -> IF(size(p) = 1, array(), transform({_STARTS}, (s, i) ->
-      transform(array(struct(substring_index(get(p, i + 1), '\\u0002', 1) AS v,
-          lower(translate(array_join(slice(p, greatest(i - {back - 2}, 1), i + 2 - greatest(i - {back - 2}, 1)), ''), '\\u0002', '')) AS b)), m ->
+      transform(array(struct(substring_index(get(p, i + 1), '\\u0002', 1) AS v, {_before(n_words + 1)} AS b)), m ->
         struct({id_} AS id, s AS start, s + length(m.v) AS `end`, m.v AS value,
-          transform(array(m.b), b -> {near})[0] AS near, right(m.b, {max(tail, 1)}) AS prev,
-          {"substring_index(get(p, i), '\\u0002', -1)" if tail else "''"} AS gap,
-          {"substring_index(get(p, i + 1), '\\u0002', -1)" if tail else "''"} AS after,
+          transform(array(m.b), b -> {near})[0] AS near, right(m.b, 1) AS prev))[0])))[0]"""
+
+
+def matches_around_sql(text: str, pattern: str, n_words: int) -> str:
+    """Same, with the texts themselves for a later look: before (lower-cased, enough for n_words words), gap and after
+    (the text up to the previous and the next match), first and last (whether those reach the ends of the text)."""
+    return f"""transform(array({_pieces(text, pattern)}), p -> IF(size(p) = 1, array(), transform({_STARTS}, (s, i) ->
+      transform(array(substring_index(get(p, i + 1), '\\u0002', 1)), v ->
+        struct(s AS start, s + length(v) AS `end`, v AS value, {_before(n_words + 1)} AS before,
+          substring_index(get(p, i), '\\u0002', -1) AS gap, substring_index(get(p, i + 1), '\\u0002', -1) AS after,
           i = 0 AS first, i + 2 = size(p) AS last))[0])))[0]"""
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
 from maskline.functions import checks, patterns
-from maskline.functions.text import last_words, let, matches_near_sql, matches_sql, neutral, quote, words
+from maskline.functions.text import last_words, matches_around_sql, matches_near_sql, matches_sql, neutral, quote, words
 from maskline.session import small
 
 SPAN_COLUMNS = [
@@ -38,35 +38,37 @@ class Recognizer:
     context: dict[str, list[str]] = field(default_factory=dict)
     # Substring that every match holds: a cheap test before the regex.
     needs: str | None = None
-    # Text just before the match that rules it out.
+    # Character just before the match that rules it out.
     not_after: str | None = None
+    # Every match holds a digit: texts without any are skipped.
+    digits: bool = False
 
 
 def both(words: list[str]) -> dict[str, list[str]]:
     return {lang: words for lang in LANGUAGES}
 
 
-NIR = Recognizer("FrNir", "FR_NIR", patterns.NIR, 0.3, checks.valid_nir, context=both(fixed.CONTEXT_NIR))
+NIR = Recognizer("FrNir", "FR_NIR", patterns.NIR, 0.3, checks.valid_nir, context=both(fixed.CONTEXT_NIR), digits=True)
 FISCAL = Recognizer(
     "FrFiscalNumber", "FR_FISCAL_NUMBER", patterns.FISCAL_NUMBER, 0.3, checks.valid_fiscal_number,
-    context=both(fixed.CONTEXT_FISCAL),
+    context=both(fixed.CONTEXT_FISCAL), digits=True,
 )
-STREET = Recognizer("FrAddress", "FR_ADDRESS", patterns.STREET_ADDRESS, 0.6, context=both(fixed.CONTEXT_ADDRESS))
-POSTCODE = Recognizer("FrAddress", "FR_ADDRESS", patterns.POSTCODE_CITY, 0.3, context=both(fixed.CONTEXT_ADDRESS))
+STREET = Recognizer("FrAddress", "FR_ADDRESS", patterns.STREET_ADDRESS, 0.6, context=both(fixed.CONTEXT_ADDRESS), digits=True)
+POSTCODE = Recognizer("FrAddress", "FR_ADDRESS", patterns.POSTCODE_CITY, 0.3, context=both(fixed.CONTEXT_ADDRESS), digits=True)
 CARD = Recognizer(
-    "Card", "CREDIT_CARD", patterns.CREDIT_CARD, 0.3, checks.valid_luhn, context=both(fixed.CONTEXT_CARD)
+    "Card", "CREDIT_CARD", patterns.CREDIT_CARD, 0.3, checks.valid_luhn, context=both(fixed.CONTEXT_CARD), digits=True,
 )
 FR_PHONE = Recognizer(
     "FrPhone", "PHONE_NUMBER", patterns.FR_PHONE, 0.4, checks.valid_fr_phone, promotes=False,
-    context=both(fixed.CONTEXT_PHONE_FR),
+    context=both(fixed.CONTEXT_PHONE_FR), digits=True,
 )
 INTL_PHONE = Recognizer(
     "Phone", "PHONE_NUMBER", patterns.INTERNATIONAL_PHONE, 0.4, languages=("en",), needs="+",
-    context={"en": fixed.CONTEXT_PHONE_EN},
+    context={"en": fixed.CONTEXT_PHONE_EN}, digits=True,
 )
 IBAN = Recognizer(
     "Iban", "IBAN_CODE", patterns.IBAN, 0.5, checks.valid_iban,
-    context={"fr": fixed.CONTEXT_IBAN_FR, "en": fixed.CONTEXT_IBAN_EN},
+    context={"fr": fixed.CONTEXT_IBAN_FR, "en": fixed.CONTEXT_IBAN_EN}, digits=True,
 )
 EMAIL = Recognizer(
     "Email", "EMAIL_ADDRESS", patterns.EMAIL, 0.5, checks.valid_domain, context=both(fixed.CONTEXT_EMAIL), needs="@"
@@ -81,7 +83,7 @@ URL_BARE = Recognizer(
 CRYPTO = Recognizer(
     "Crypto", "CRYPTO", patterns.WALLET, 0.5, checks.valid_wallet, context=both(fixed.CONTEXT_CRYPTO)
 )
-DATE = Recognizer("Date", "DATE_TIME", patterns.DATE, 0.6, context=both(fixed.CONTEXT_DATE))
+DATE = Recognizer("Date", "DATE_TIME", patterns.DATE, 0.6, context=both(fixed.CONTEXT_DATE), digits=True)
 
 PATTERN_RECOGNIZERS = [
     NIR, FISCAL, STREET, POSTCODE, CARD, FR_PHONE, INTL_PHONE, IBAN, EMAIL, IP, URL_SCHEME, URL_BARE, CRYPTO, DATE,
@@ -112,6 +114,8 @@ def _matches_of(recognizers: list[Recognizer]) -> str:
     arrays = []
     for i, r in enumerate(recognizers):
         applies = f"lang IN ({', '.join(map(quote, r.languages))})"
+        if r.digits:
+            applies += " AND digits"
         if r.needs:
             applies += f" AND contains(text, {quote(r.needs)})"
         arrays.append(f"IF({applies}, {matches_near_sql('text', r.pattern, i, fixed.CONTEXT_WORDS_BEFORE)}, array())")
@@ -140,7 +144,9 @@ def detect(docs: DataFrame, recognizers: list[Recognizer]) -> DataFrame:
 
     Per text: one regex pass per recognizer, in one projection. Per match, after `inline`: checks, then context words.
     """
-    texts = docs.select("doc_id", "lang", neutral(F.col("text")).alias("text"))
+    texts = docs.select(
+        "doc_id", "lang", neutral(F.col("text")).alias("text"), F.col("text").rlike("[0-9]").alias("digits")
+    )
     raw = texts.select("doc_id", "lang", F.inline(F.expr(_matches_of(recognizers))))
     # Matches that fail the check of their recognizer are dropped, so a checked span has passed.
     checked = [(i, r) for i, r in enumerate(recognizers) if r.check or r.not_after]
@@ -231,39 +237,40 @@ def detect_date_time(docs: DataFrame) -> DataFrame:
 # --- Person names --------------------------------------------------------------------------------------------------
 
 STRONG, FULL_NAME, FIRST_NAME_ALONE = 0.85, 0.6, 0.3
-_EDGE = " ,.;!"
 
 
 def name_runs(docs: DataFrame) -> DataFrame:
     """Runs of capitalized words of the French texts, with what surrounds them."""
     texts = docs.where(F.col("lang") == "fr").select("doc_id", neutral(F.col("text")).alias("text"))
     runs = texts.select(
-        "doc_id", F.inline(F.expr(matches_near_sql("text", patterns.NAME_RUN, 0, fixed.CONTEXT_WORDS_BEFORE, 40)))
+        "doc_id", F.inline(F.expr(matches_around_sql("text", patterns.NAME_RUN, fixed.CONTEXT_WORDS_BEFORE)))
     )
     fields = "|".join(sorted(fixed.PERSON_FIELDS, key=len, reverse=True))
-    # prev is lower-cased; the capital of "M." is the last but two character of the gap.
-    titled_before = (F.col("prev").rlike(r"(?U)(?<![\w.])m\. $") & F.endswith("gap", F.lit("M. "))) | F.col("prev").rlike(
-        rf"(?U)\b(?:{fields}) ?: ?$"
-    )
-    # The line holds nothing but the run: its gaps, up to the line ends, hold only characters that are trimmed.
-    gap, after = F.col("gap"), F.col("after")
-    alone_before = (F.col("first") | gap.contains("\n")) & (
-        F.trim(F.substring_index(gap, "\n", -1), F.lit(_EDGE)) == ""
-    )
-    alone_after = (F.col("last") | after.contains("\n")) & (
-        F.trim(F.substring_index(after, "\n", 1), F.lit(_EDGE)) == ""
+    titles = "|".join(fixed.PERSON_TITLES)
+    prev = F.right("before", F.lit(40))
+    # `before` is lower-cased; the capital of "M." shows in the gap.
+    titled_before = (F.endswith("gap", F.lit("M. ")) & prev.rlike(r"(?U)(?<![\w.])m\. $")) | (
+        F.rtrim("gap").endswith(":") & prev.rlike(rf"(?U)\b(?:{fields}) ?: ?$")
     )
+    titled_inside = F.col("value").rlike(rf"(?:^| |de la|de|du|des|d['’])(?:{titles})(?: |$)")
     return runs.select(
         "doc_id",
         F.col("start").alias("run_start"),
         "end",
         F.col("value").alias("run_value"),
-        "near",
-        titled_before.alias("titled_before"),
-        (alone_before & alone_after).alias("alone"),
+        "before", "gap", "after", "first", "last",
+        (titled_before | titled_inside).alias("titled"),
     )
 
 
+def _alone() -> Column:
+    """The line holds nothing but the run: its gaps, up to the line ends, hold only characters that are trimmed."""
+    edge = F.lit(" ,.;!")
+    before = (F.col("first") | F.contains("gap", F.lit("\n"))) & (F.trim(F.substring_index("gap", "\n", -1), edge) == "")
+    after = (F.col("last") | F.contains("after", F.lit("\n"))) & (F.trim(F.substring_index("after", "\n", 1), edge) == "")
+    return before & after
+
+
 def with_words(runs: DataFrame) -> DataFrame:
     """Adds the words of each run and the index (from 0) of its last title, -1 without one."""
     split = runs.withColumn("words", F.expr(matches_sql("run_value", patterns.NAME_WORD)))
@@ -272,8 +279,9 @@ def with_words(runs: DataFrame) -> DataFrame:
     return split.withColumn("last_title", F.coalesce(last_title, F.lit(-1)).cast("int"))
 
 
-def _names_from(runs: DataFrame, first: Column, titled: bool) -> DataFrame:
-    """Span rows of the names that start at word `first` of their run."""
+def _names_from(runs: DataFrame) -> DataFrame:
+    """Span rows of the names that start at word `name_at` of their run."""
+    first = F.col("name_at")
     word_start = F.get(F.col("words"), first)["start"]
     named = runs.where(first < F.size("words")).select(
         "doc_id",
@@ -281,17 +289,22 @@ def _names_from(runs: DataFrame, first: Column, titled: bool) -> DataFrame:
         "end",
         F.substring(F.col("run_value"), word_start + 1, F.length("run_value")).alias("value"),
         (F.size("words") - first).alias("n_words"),
-        (F.col("alone") & (first == 0)).alias("alone"),
+        "titled",
+        (_alone() & (first == 0)).alias("alone"),
         # Words before the name: those before the run, then those of the run before the name.
-        F.concat("near", words(F.lower(F.substring(F.col("run_value"), F.lit(1), word_start)))).alias("before"),
+        F.concat(
+            last_words(F.col("before"), fixed.CONTEXT_WORDS_BEFORE),
+            words(F.lower(F.substring(F.col("run_value"), F.lit(1), word_start))),
+        ).alias("before"),
     )
     n = fixed.CONTEXT_WORDS_BEFORE
     near = F.concat(
         F.when(F.size("before") > n, F.slice("before", -n, n)).otherwise(F.col("before")),
         F.slice(words(F.lower("value")), 1, 1),
     )
-    rule = F.lit("titled") if titled else (
-        F.when(F.col("alone"), "on_line").when(F.col("n_words") > 1, "named").otherwise("first_name")
+    rule = (
+        F.when(F.col("titled"), "titled").when(F.col("alone"), "on_line").when(F.col("n_words") > 1, "named")
+        .otherwise("first_name")
     )
     ruled = named.select("doc_id", "start", "end", "value", rule.alias("rule"), near.alias("near"))
     scored = ruled.select(
@@ -313,35 +326,33 @@ def _names_from(runs: DataFrame, first: Column, titled: bool) -> DataFrame:
 
 def titled_names(runs: DataFrame) -> DataFrame:
     """Names after a title (the last one of the run) or a form field: no dictionary needed."""
-    titles = "|".join(fixed.PERSON_TITLES)
-    # Cheap test first: most runs hold no title and are not split into words.
-    maybe = runs.where(F.col("titled_before") | F.col("run_value").rlike(rf"(?:{titles})"))
-    titled = with_words(maybe).where(F.col("titled_before") | (F.col("last_title") >= 0))
-    return _names_from(titled, F.col("last_title") + 1, True)
+    titled = with_words(runs.where("titled"))
+    return _names_from(titled.withColumn("name_at", F.col("last_title") + 1))
 
 
-def dictionary_names(runs: DataFrame, first_names: DataFrame) -> DataFrame:
-    """Names that start at the first known first name of a run without title."""
-    untitled = runs.where(~F.col("titled_before"))
-    # One short row per distinct word, in order of first occurrence; the run rides along as its strings.
+def known_names(runs: DataFrame, first_names: DataFrame) -> DataFrame:
+    """Titled names, and names that start at the first known first name of a run without title."""
+    # One short row per distinct word, in order of first occurrence; titled runs need none.
     distinct = F.array_distinct(F.regexp_extract_all("run_value", F.lit(f"({patterns.NAME_WORD})"), F.lit(0)))
-    exploded = untitled.select("*", F.posexplode(distinct).alias("nth", "word"))
-    known = exploded.join(
-        small(first_names.select(F.col("name").alias("_name")).distinct()), F.col("word") == F.col("_name")
+    looked_up = F.when(F.col("titled"), F.array(F.lit(None).cast("string"))).otherwise(distinct)
+    dictionary = small(first_names.select(F.col("name").alias("known")).distinct())
+    hits = (
+        runs.select("*", F.posexplode(looked_up).alias("nth", "word"))
+        .join(dictionary, F.col("word") == F.col("known"), "left")
+        .where(F.col("titled") | F.col("known").isNotNull())
     )
-    # Only runs with a known first name are left. One row per run, its first known name.
+    # Few and short rows are left. One row per run, with its first known name.
     carried = [c for c in runs.columns if c not in ("doc_id", "run_start")]
-    first = known.groupBy("doc_id", "run_start").agg(
+    first = hits.groupBy("doc_id", "run_start").agg(
         F.min(F.struct("nth", "word", *carried)).alias("first")
     ).select("doc_id", "run_start", "first.*")
-    untitled_first = with_words(first).where(F.col("last_title") < 0)
-    placed = untitled_first.withColumn("first_word", (F.array_position(F.col("words.value"), F.col("word")) - 1).cast("int"))
-    return _names_from(placed, F.col("first_word"), False)
+    split = with_words(first)
+    at = F.when(F.col("titled"), F.col("last_title") + 1).otherwise(F.array_position(F.col("words.value"), F.col("word")) - 1)
+    return _names_from(split.withColumn("name_at", at.cast("int")))
 
 
 def detect_person(docs: DataFrame, first_names: DataFrame) -> DataFrame:
-    runs = name_runs(docs)
-    return titled_names(runs).unionByName(dictionary_names(runs, first_names))
+    return known_names(name_runs(docs), first_names)
 
 
 def detect_person_titled(docs: DataFrame) -> DataFrame:
@@ -349,12 +360,12 @@ def detect_person_titled(docs: DataFrame) -> DataFrame:
 
 
 def detect_person_on_line(docs: DataFrame, first_names: DataFrame) -> DataFrame:
-    return dictionary_names(name_runs(docs), first_names).where("rule = 'on_line'").drop("rule")
+    return detect_person(docs, first_names).where("rule = 'on_line'").drop("rule")
 
 
 def detect_person_named(docs: DataFrame, first_names: DataFrame) -> DataFrame:
     """Known first name with other words (0.6) or alone (0.3), not alone on its line."""
-    return dictionary_names(name_runs(docs), first_names).where("rule in ('named', 'first_name')").drop("rule")
+    return detect_person(docs, first_names).where("rule in ('named', 'first_name')").drop("rule")
 
 
 # --- All together ----------------------------------------------------------------------------------------------------
