@@ -6,15 +6,15 @@ where they are. Segments are arrays of (type, value), plain text having no type.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
 from maskline.functions import checks
-from maskline.functions.text import title_case
-
-SEGMENTS = "array<struct<type:string,value:string>>"
+from maskline.functions.text import let, quote, title_case
 
 # Public place names and postcodes, invented people and companies.
 PLACES = [
@@ -63,41 +63,44 @@ def nir(p: Pick, slot: str) -> Column:
         F.lpad(p.number(slot + "month", 1, 12).cast("string"), 2, "0"), p.one(slot + "dept", departments),
         F.lpad(p.number(slot + "town", 1, 990).cast("string"), 3, "0"), p.digits(slot + "order", 3, 1),
     )
-    whole = F.concat(body, F.lpad(checks.nir_key(body).cast("string"), 2, "0"))
-    return p.if_(slot + "layout", 50, whole, spaced(whole, 1, 2, 2, 2, 3, 3, 2))
+    whole = let(body, lambda b: F.concat(b, F.lpad(checks.nir_key(b).cast("string"), 2, "0")))
+    return let(whole, lambda w: p.if_(slot + "layout", 50, w, spaced(w, 1, 2, 2, 2, 3, 3, 2)))
 
 
 def fiscal_number(p: Pick, slot: str) -> Column:
     body = F.concat(p.number(slot + "first", 0, 3).cast("string"), p.digits(slot + "rest", 9))
-    whole = F.concat(body, F.lpad(checks.fiscal_key(body).cast("string"), 3, "0"))
-    return p.if_(slot + "layout", 40, whole, spaced(whole, 2, 2, 3, 3, 3))
+    whole = let(body, lambda b: F.concat(b, F.lpad(checks.fiscal_key(b).cast("string"), 3, "0")))
+    return let(whole, lambda w: p.if_(slot + "layout", 40, w, spaced(w, 2, 2, 3, 3, 3)))
 
 
 def iban(p: Pick, slot: str) -> Column:
     bban = F.concat(p.digits(slot + "a", 12), p.digits(slot + "b", 11))
-    whole = F.concat(F.lit("FR"), checks.iban_key(F.lit("FR"), bban), bban)
-    return p.if_(slot + "layout", 30, whole, spaced(whole, 4, 4, 4, 4, 4, 4, 3))
+    whole = let(bban, lambda b: F.concat(F.lit("FR"), checks.iban_key(F.lit("FR"), b), b))
+    return let(whole, lambda w: p.if_(slot + "layout", 30, w, spaced(w, 4, 4, 4, 4, 4, 4, 3)))
 
 
 def card(p: Pick, slot: str) -> Column:
     body = F.concat(p.one(slot + "brand", ["4", "5"]), p.number(slot + "bin", 1, 5).cast("string"), p.digits(slot + "rest", 13))
-    digit = F.pmod(F.lit(10) - checks.luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10))
-    whole = F.concat(body, digit.cast("string"))
-    return p.if_(slot + "layout", 30, whole, spaced(whole, 4, 4, 4, 4))
+    digit = lambda b: F.pmod(F.lit(10) - checks.luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10))
+    whole = let(body, lambda b: F.concat(b, digit(b).cast("string")))
+    return let(whole, lambda w: p.if_(slot + "layout", 30, w, spaced(w, 4, 4, 4, 4)))
 
 
 def phone(p: Pick, slot: str) -> Column:
     national = F.concat(p.one(slot + "zone", ["13", "30", "42", "51", "61", "62", "76"]), p.digits(slot + "rest", 7))
-    pairs = [F.substring(national, i, 2) for i in (2, 4, 6, 8)]
-    layout = p.number(slot + "layout", 0, 4)
-    first = F.substring(national, 1, 1)
-    return (
-        F.when(layout == 0, F.concat_ws(" ", F.concat(F.lit("0"), first), *pairs))
-        .when(layout == 1, F.concat_ws(".", F.concat(F.lit("0"), first), *pairs))
-        .when(layout == 2, F.concat(F.lit("0"), national))
-        .when(layout == 3, F.concat_ws(" ", F.lit("+33"), first, *pairs))
-        .otherwise(F.concat_ws(" ", F.concat(F.lit("+33 (0)"), first), *pairs))
-    )
+
+    def laid_out(n: Column) -> Column:
+        pairs = [F.substring(n, i, 2) for i in (2, 4, 6, 8)]
+        layout, first = p.number(slot + "layout", 0, 4), F.substring(n, 1, 1)
+        return (
+            F.when(layout == 0, F.concat_ws(" ", F.concat(F.lit("0"), first), *pairs))
+            .when(layout == 1, F.concat_ws(".", F.concat(F.lit("0"), first), *pairs))
+            .when(layout == 2, F.concat(F.lit("0"), n))
+            .when(layout == 3, F.concat_ws(" ", F.lit("+33"), first, *pairs))
+            .otherwise(F.concat_ws(" ", F.concat(F.lit("+33 (0)"), first), *pairs))
+        )
+
+    return let(national, laid_out)
 
 
 def email(first: Column, last: Column, domain: Column) -> Column:
@@ -116,100 +119,80 @@ def valid_identifiers(ids: DataFrame, seed: int = 1) -> DataFrame:
     )
 
 
-def _segment(type_: str | None, value: Column) -> Column:
-    return F.struct(F.lit(type_).cast("string").alias("type"), value.alias("value"))
-
-
-def _templates(p: Pick) -> dict[str, list[Column]]:
-    """Ten kinds of texts as segments."""
-
-    def say(text: str) -> Column:
-        return _segment(None, F.lit(text))
-
-    def plain(value: Column) -> Column:
-        return _segment(None, value)
-
-    def first(slot: str) -> Column:
-        return p.one(slot + "first", FIRST_NAMES)
-
-    def last(slot: str) -> Column:
-        return p.one(slot + "last", LAST_NAMES)
-
-    def name(slot: str) -> Column:
-        return _segment("PERSON", F.concat_ws(" ", first(slot), last(slot)))
-
-    def surname(slot: str) -> Column:
-        return _segment("PERSON", last(slot))
-
-    def street(slot: str) -> Column:
-        number = F.concat(p.number(slot + "number", 1, 180).cast("string"), p.one(slot + "bis", ["", "", "", " bis"]))
-        return F.concat_ws(" ", number, p.one(slot + "street", STREETS))
-
-    def town(slot: str) -> Column:
-        return p.one(slot + "town", [f"{code} {city}" for city, code in PLACES])
-
-    def address(slot: str, between: str = ", ") -> Column:
-        return _segment("FR_ADDRESS", F.concat(street(slot), F.lit(between), town(slot)))
-
-    def city(slot: str) -> Column:
-        return _segment("LOCATION", p.one(slot + "city", [c for c, _ in PLACES]))
-
-    def mail(slot: str) -> Column:
-        return _segment("EMAIL_ADDRESS", email(first(slot), last(slot), p.one(slot + "domain", MAIL_DOMAINS)))
-
-    def day(slot: str) -> Column:
-        return plain(F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), p.number(slot, 0, 1200).cast("int")), "dd/MM/yyyy"))
-
-    def amount(slot: str) -> Column:
-        return plain(F.concat(p.number(slot, 40, 4000).cast("string"), F.lit(","), p.one(slot + "c", ["00", "25", "80"]), F.lit(" €")))
-
-    def file_number(slot: str) -> Column:
-        return plain(F.concat(F.lit("réf. "), p.number(slot + "y", 2019, 2026).cast("string"), F.lit("-"), p.digits(slot, 4)))
-
-    def company(slot: str) -> Column:
-        siret = spaced(p.digits(slot + "siret", 14, 10**13), 3, 3, 3, 5)
-        return plain(F.concat(p.one(slot, COMPANIES), F.lit(", SIRET "), siret))
-
-    tel = lambda slot: _segment("PHONE_NUMBER", phone(p, slot))
-    account = lambda slot: _segment("IBAN_CODE", iban(p, slot))
-    social = lambda slot: _segment("FR_NIR", nir(p, slot))
-    tax = lambda slot: _segment("FR_FISCAL_NUMBER", fiscal_number(p, slot))
-    paid = lambda slot: _segment("CREDIT_CARD", card(p, slot))
-    ip = _segment("IP_ADDRESS", F.concat_ws(".", F.lit("81"), *[p.number(f"ip{i}", 1, 254).cast("string") for i in range(3)]))
+def _values(p: Pick) -> dict[str, Column]:
+    """The values that the templates of a row draw from, each worked out once."""
+    first, last, other_first, other_last = (p.one(s, xs) for s, xs in (
+        ("first", FIRST_NAMES), ("last", LAST_NAMES), ("other_first", FIRST_NAMES), ("other_last", LAST_NAMES)))
+    number = F.concat(p.number("number", 1, 180).cast("string"), p.one("bis", ["", "", "", " bis"]))
+    day = F.date_add(F.lit("2023-01-01").cast("date"), p.number("day", 0, 1200).cast("int"))
     return {
-        "notice": [name("a"), say("\n"), address("a", "\n"), say("\n\nPréavis de départ au "), day("d"), say(".\nCaution à verser sur "),
-                   account("i"), say(".\nTéléphone : "), tel("t"), say("\n")],
-        "dispute": [say("Bonjour, un débit de "), amount("m"), say(" du "), day("d"), say(" sur ma carte "), paid("c"),
-                    say(" m'est inconnu. Connexion vue depuis "), ip, say(". Réponse à "), mail("a"), say(".")],
-        "text_message": [say("Salut "), _segment("PERSON", first("a")), say(", je suis à "), city("v"), say(", appelle-moi au "), tel("t"), say(" !")],
-        "enrolment": [say("Nom : "), surname("a"), say("\nPrénom : "), _segment("PERSON", first("a")), say("\nVille : "), city("v"),
-                      say("\nN° de sécurité sociale : "), social("n"), say("\nCourriel : "), mail("a"), say("\nTarif : "), amount("m")],
-        "tax_query": [say("Mme "), name("a"), say("\n"), address("a"), say("\nNuméro fiscal : "), tax("f"), say("\nMontant réclamé : "),
-                      amount("m"), say(", échéance le "), day("d"), say(".")],
-        "hosting": [say("Je soussigné "), name("a"), say(", demeurant au "), address("a"), say(", héberge M. "), name("b"), say(" depuis le "), day("d"), say(".")],
-        "absence": [say("Salarié : "), name("a"), say(", NIR "), social("n"), say(". Arrêt du "), day("d"), say(", "), file_number("r"), say(".")],
-        "claim": [say("Assuré : "), name("a"), say(" ("), mail("a"), say("). Remboursement de "), amount("m"), say(" sur le compte "), account("i"), say(".")],
-        "visit": [say("Bonjour Docteur "), surname("b"), say(",\nrendez-vous le "), day("d"), say(" pour mon fils "), _segment("PERSON", first("a")),
-                  say(". Tél. "), tel("t"), say(".")],
-        "reminder": [company("o"), say("\nM. "), name("a"), say("\n"), address("a"), say("\nLoyer impayé : "), amount("m"), say(", "), file_number("r"),
-                     say(". Compte : "), account("i"), say(".")],
+        "first": first,
+        "last": last,
+        "name": F.concat_ws(" ", first, last),
+        "other_last": other_last,
+        "other_name": F.concat_ws(" ", other_first, other_last),
+        "street": F.concat_ws(" ", number, p.one("street", STREETS)),
+        "town": p.one("town", [f"{code} {city}" for city, code in PLACES]),
+        "city": p.one("city", [c for c, _ in PLACES]),
+        "mail": email(first, last, p.one("domain", MAIL_DOMAINS)),
+        "phone": phone(p, "phone"),
+        "iban": iban(p, "iban"),
+        "nir": nir(p, "nir"),
+        "fiscal": fiscal_number(p, "fiscal"),
+        "card": card(p, "card"),
+        "ip": F.concat_ws(".", F.lit("81"), *[p.number(f"ip{i}", 1, 254).cast("string") for i in range(3)]),
+        "day": F.date_format(day, "dd/MM/yyyy"),
+        "amount": F.concat(p.number("amount", 40, 4000).cast("string"), F.lit(","), p.one("cents", ["00", "25", "80"]), F.lit(" €")),
+        "ref": F.concat(F.lit("réf. "), p.number("year", 2019, 2026).cast("string"), F.lit("-"), p.digits("file", 4)),
+        "company": F.concat(p.one("company", COMPANIES), F.lit(", SIRET "), spaced(p.digits("siret", 14, 10**13), 3, 3, 3, 5)),
     }
 
 
-KINDS = [
-    "notice", "dispute", "text_message", "enrolment", "tax_query", "hosting", "absence", "claim", "visit", "reminder",
-]
+# Ten kinds of texts. A template names values in braces; `type:value` makes an annotated item of it, and
+# `FR_ADDRESS:address` or `FR_ADDRESS:block` joins street and town on one line or two.
+TEMPLATES = {
+    "notice": "{PERSON:name}\n{FR_ADDRESS:block}\n\nPréavis de départ au {day}.\nCaution à verser sur {IBAN_CODE:iban}.\n"
+    "Téléphone : {PHONE_NUMBER:phone}\n",
+    "dispute": "Bonjour, un débit de {amount} du {day} sur ma carte {CREDIT_CARD:card} m'est inconnu. Connexion vue depuis "
+    "{IP_ADDRESS:ip}. Réponse à {EMAIL_ADDRESS:mail}.",
+    "text_message": "Salut {PERSON:first}, je suis à {LOCATION:city}, appelle-moi au {PHONE_NUMBER:phone} !",
+    "enrolment": "Nom : {PERSON:last}\nPrénom : {PERSON:first}\nVille : {LOCATION:city}\nN° de sécurité sociale : {FR_NIR:nir}\n"
+    "Courriel : {EMAIL_ADDRESS:mail}\nTarif : {amount}",
+    "tax_query": "Mme {PERSON:name}\n{FR_ADDRESS:address}\nNuméro fiscal : {FR_FISCAL_NUMBER:fiscal}\nMontant réclamé : {amount}, "
+    "échéance le {day}.",
+    "hosting": "Je soussigné {PERSON:name}, demeurant au {FR_ADDRESS:address}, héberge M. {PERSON:other_name} depuis le {day}.",
+    "absence": "Salarié : {PERSON:name}, NIR {FR_NIR:nir}. Arrêt du {day}, {ref}.",
+    "claim": "Assuré : {PERSON:name} ({EMAIL_ADDRESS:mail}). Remboursement de {amount} sur le compte {IBAN_CODE:iban}.",
+    "visit": "Bonjour Docteur {PERSON:other_last},\nrendez-vous le {day} pour mon fils {PERSON:first}. Tél. {PHONE_NUMBER:phone}.",
+    "reminder": "{company}\nM. {PERSON:name}\n{FR_ADDRESS:address}\nLoyer impayé : {amount}, {ref}. Compte : {IBAN_CODE:iban}.",
+}
+KINDS = list(TEMPLATES)
+
+
+def _segments(template: str) -> str:
+    """A template as a SQL array of (type, value) segments over the value columns."""
+    parts = []
+    for i, part in enumerate(re.split(r"\{([^}]+)\}", template)):
+        kind, _, name = part.rpartition(":") if i % 2 else ("", "", "")
+        if i % 2:
+            value = {"address": "concat(street, ', ', town)", "block": "concat(street, '\\n', town)"}.get(name, f"`{name}`")
+        elif part:
+            value = quote(part)
+        else:
+            continue
+        parts.append(f"struct({quote(kind) if kind else 'cast(NULL AS string)'} AS type, {value} AS value)")
+    return f"array({', '.join(parts)})"
 
 
 def corpus_segments(ids: DataFrame, seed: int = 1) -> DataFrame:
     """ids (id) -> (id, kind, segments); the kind goes round the ten kinds by id."""
-    p = Pick(seed, F.col("id"))
-    templates = _templates(p)
-    kind = F.get(F.array(*map(F.lit, KINDS)), F.pmod("id", F.lit(len(KINDS))).cast("int"))
-    segments = F.when(F.lit(False), F.array().cast(SEGMENTS))
-    for k in KINDS:
-        segments = segments.when(F.col("kind") == k, F.array(*templates[k]))
-    return ids.select("id", kind.alias("kind")).withColumn("segments", segments)
+    values = ids.select("id", *[v.alias(n) for n, v in _values(Pick(seed, F.col("id"))).items()])
+    place = f"pmod(id, {len(KINDS)})"
+    kinds = " ".join(f"WHEN {i} THEN {quote(kind)}" for i, kind in enumerate(KINDS))
+    segments = " ".join(f"WHEN {i} THEN {_segments(TEMPLATES[kind])}" for i, kind in enumerate(KINDS))
+    return values.select(
+        "id", F.expr(f"CASE {place} {kinds} END").alias("kind"), F.expr(f"CASE {place} {segments} END").alias("segments")
+    )
 
 
 def render_segments(segments: DataFrame) -> DataFrame:
