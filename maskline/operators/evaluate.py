@@ -183,7 +183,7 @@ def latency_percentiles(durations: DataFrame, key: str = "variant", value: str =
     counted = durations.groupBy(key, value).agg(F.count("*").alias("_n"))
     blocked = ordered_blocks(counted, [key, value])
     ranked = running_before(blocked, [key], [value], {"_before": F.col("_n")})
-    sizes = counted.groupBy(key).agg(F.sum("_n").alias("_size"))
+    sizes = blocked.groupBy(key).agg(F.sum("_n").alias("_size"))
     joined = ranked.join(sizes, key)
     columns = []
     for share in shares:

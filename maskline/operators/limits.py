@@ -43,7 +43,8 @@ def _rated(blocked: DataFrame, keys: DataFrame) -> DataFrame:
 
 def rate_decisions(calls: DataFrame, keys: DataFrame) -> DataFrame:
     """429 with the time of the reset for calls beyond the requests or tokens a key may use in its minute."""
-    rated = _rated(ordered_blocks(calls.where("team IS NOT NULL"), ORDER), keys)
+    narrow = calls.where("team IS NOT NULL").select(*ORDER, "team", "tokens_in", "tokens_out")
+    rated = _rated(ordered_blocks(narrow, ORDER), keys)
     return rated.select(
         "call_id", "team", F.when(F.col("within_rate"), 200).otherwise(429).alias("decision"),
         F.when(~F.col("within_rate"), F.col("minute") + F.expr("INTERVAL 1 MINUTE")).alias("reset_at"),
@@ -52,7 +53,8 @@ def rate_decisions(calls: DataFrame, keys: DataFrame) -> DataFrame:
 
 def budget_decisions(priced: DataFrame, teams: DataFrame, days: int = 30) -> DataFrame:
     """422 for the calls after the one that reached the team's budget, until the period ends. Other teams go on."""
-    blocked = ordered_blocks(period_start(priced.where("team IS NOT NULL"), "team", days), ORDER)
+    narrow = priced.where("team IS NOT NULL").select(*ORDER, "team", "cost")
+    blocked = ordered_blocks(period_start(narrow, "team", days), ORDER)
     spent = running_before(blocked, ["team", "period"], ORDER, {"spent": F.col("cost")})
     budgets = teams.select(F.col("team_id").alias("team"), "max_budget")
     over = F.col("spent") >= F.col("max_budget")
@@ -60,7 +62,7 @@ def budget_decisions(priced: DataFrame, teams: DataFrame, days: int = 30) -> Dat
 
 
 def _provider_spend(priced: DataFrame, caps: DataFrame, days: int) -> DataFrame:
-    capped = priced.join(caps.select("provider", "cap"), "provider")
+    capped = priced.select(*ORDER, "provider", "cost").join(caps.select("provider", "cap"), "provider")
     blocked = ordered_blocks(period_start(capped, "provider", days), ORDER)
     return running_before(blocked, ["provider", "period"], ORDER, {"spent": F.col("cost")})
 
@@ -106,7 +108,8 @@ def admission(calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataF
     """
     open_ = access_decisions(calls.where("team IS NOT NULL"), access)
     refused = open_.where("NOT allowed").select("call_id", F.lit(403).alias("decision"), F.lit("access").alias("reason"))
-    rated = _rated(ordered_blocks(open_.where("allowed"), ORDER), teams)
+    narrow = open_.where("allowed").select(*ORDER, "team", "provider", "tokens_in", "tokens_out", "cost")
+    rated = materialize(_rated(ordered_blocks(narrow, ORDER), teams))
     limited = rated.where("NOT within_rate").select("call_id", F.lit(429).alias("decision"), F.lit("rate").alias("reason"))
 
     budgets = teams.select(F.col("team_id").alias("team"), "max_budget")

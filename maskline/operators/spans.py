@@ -62,17 +62,35 @@ def merge_overlaps(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> Dat
     """One span per group of transitively overlapping spans: union of the positions, type and score of the main one.
 
     Main: longest, then highest score, then last type in alphabetical order. Spans that only touch stay apart.
-    One shuffle on the keys; the grouping that follows keeps its partitioning.
+    One shuffle on the keys; the grouping that follows keeps its partitioning. When the spans carry their `value`, the
+    value of the union is put together from them, so that the text is not needed again.
     """
     ordered = W.partitionBy(*keys).orderBy("start", "end", "entity_type", "score")
     reach = F.max("end").over(ordered.rowsBetween(W.unboundedPreceding, -1))
     flagged = spans.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1))
     grouped = flagged.withColumn("_group", F.sum("_new").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
     rank = F.struct((F.col("end") - F.col("start")).alias("length"), F.col("score"), F.col("entity_type"))
-    merged = grouped.groupBy(*keys, "_group").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.max(rank).alias("main")
-    )
-    return merged.select(*keys, "start", "end", F.col("main.entity_type").alias("entity_type"), F.col("main.score").alias("score"))
+    wanted = [F.min("start").alias("start"), F.max("end").alias("end"), F.max(rank).alias("main")]
+    if "value" in spans.columns:
+        wanted.append(F.array_sort(F.collect_set(F.struct("start", "end", "value"))).alias("_parts"))
+    merged = grouped.groupBy(*keys, "_group").agg(*wanted)
+    out = [*keys, "start", "end", F.col("main.entity_type").alias("entity_type"), F.col("main.score").alias("score")]
+    if "value" in spans.columns:
+        out.append(_union_value(F.col("_parts"), F.col("start")).alias("value"))
+    return merged.select(*out)
+
+
+def _union_value(parts: Column, start: Column) -> Column:
+    """Text of overlapping parts (sorted by start): of each part, what lies beyond the ones before."""
+
+    def extend(acc: Column, part: Column) -> Column:
+        beyond = F.substring(part["value"], acc["end"] - part["start"] + 1, F.length(part["value"]))
+        return F.when(
+            part["end"] > acc["end"],
+            F.struct(F.concat(acc["text"], beyond).alias("text"), part["end"].alias("end")),
+        ).otherwise(acc)
+
+    return F.aggregate(parts, F.struct(F.lit("").alias("text"), start.alias("end")), extend, lambda acc: acc["text"])
 
 
 def _positions_of(text: Column, value: Column) -> Column:

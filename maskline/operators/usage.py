@@ -127,7 +127,8 @@ def lead_visibility(calls: DataFrame, memberships: DataFrame) -> DataFrame:
     own = calls.join(lead, "team").select("account", "call_id")
     # The admins are few and named in the configuration: their accounts ride along as one small array.
     everyone = admin.agg(F.array_sort(F.collect_set("account")).alias("_accounts"))
-    all_ = calls.select("call_id", F.lit(1).alias("_one")).join(everyone.withColumn("_one", F.lit(1)), "_one")
+    # One row, broadcast: every call meets it where it is.
+    all_ = calls.select("call_id", F.lit(1).alias("_one")).join(F.broadcast(everyone.withColumn("_one", F.lit(1))), "_one")
     return own.unionByName(all_.select(F.explode("_accounts").alias("account"), "call_id"))
 
 

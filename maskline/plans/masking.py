@@ -34,14 +34,13 @@ def message_spans(
 def mask_conversations(
     messages: DataFrame, first_names: DataFrame | None = None, **options
 ) -> tuple[DataFrame, DataFrame]:
-    """(masked messages, marker table). Detection runs once: its merged spans are written to the shared folder."""
-    merged = message_spans(messages, first_names, **options).select("doc_id.*", "start", "end", "entity_type", "score")
-    # Only messages with a span are read again for the covered text.
-    with_value = merged.join(messages.select(*KEYS, "text"), KEYS).select(
-        *KEYS, "start", "end", "entity_type", "score",
-        F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("value"),
-    )
-    spans = materialize(with_value)
+    """(masked messages, marker table).
+
+    Detection runs once: its merged spans, with the text they cover, are written to the shared folder. The messages
+    themselves are shuffled once, to meet their markers.
+    """
+    merged = message_spans(messages, first_names, **options)
+    spans = materialize(merged.select("doc_id.*", "start", "end", "entity_type", "score", "value"))
     markers = assign_markers(spans)
     marked = spans.join(markers, ["conv_id", "value"]).select(*KEYS, "start", "end", "marker")
     return apply_markers(messages, marked, KEYS), markers
