@@ -35,9 +35,17 @@ def corpus(t):
     return c.build_corpus(t.sql(_IDS))
 
 
-@query("build_corpus")
+_SIZES = ", ".join(f"({i}, '{kind}', {sum(_ITEMS[kind].values())})" for i, kind in enumerate(c.KINDS))
+
+
+@query("build_corpus", f"""select c_custkey as id, kind, items, true as exact, true as typed from customer join (values {_SIZES}) as k(i, kind, items) on k.i = c_custkey % 10""")
 def build_corpus(t):
-    return corpus(t).select("id", "kind", "text", F.size("entities").alias("items"))
+    """Every text: its kind, its items, whether each item lies where it says, and whether all types are known."""
+    there = lambda e: F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"]) == e["value"]
+    return corpus(t).select(
+        "id", "kind", F.size("entities").alias("items"), F.forall("entities", there).alias("exact"),
+        F.forall("entities", lambda e: e["type"].isin(fixed.MASKED_ENTITIES)).alias("typed"),
+    )
 
 
 @query("corpus_profile", f"""select kind, entity_type, cast(sum(n) as bigint) as n from customer
@@ -76,7 +84,7 @@ def valid_identifiers(t):
     )
 
 
-@query("render_segments", """select k as id, 'letter' as kind, text, n_items, first_end from (select k, (p0 || v0 || p1 || v1 || p2 || v2) as text, 3 as n_items,
+@query("render_segments", """select k as id, 'letter' as kind, text, n_items, cast(first_end as int) as first_end from (select k, (p0 || v0 || p1 || v1 || p2 || v2) as text, 3 as n_items,
 length(p0 || v0) as first_end from fx_parts) p""")
 def render_segments(t):
     segment = lambda kind, value: F.struct(F.lit(kind).cast("string").alias("type"), F.col(value).alias("value"))
@@ -175,7 +183,7 @@ def read_masking_policy(t):
     return t("fx_spans").join(policy, "entity_type").where("score >= threshold").select("doc_id", "start", "action")
 
 
-@query("read_teams", """select c.call_id, t.team_id, t.max_budget, 30.0 as budget_days, t.rpm_limit, x.alias is not null as allowed from fx_calls c
+@query("read_teams", """select c.call_id, t.team_id, cast(t.max_budget as decimal(18,6)) as max_budget, cast(30 as double) as budget_days, t.rpm_limit, x.alias is not null as allowed from fx_calls c
 join fx_teams t on t.team_id = c.team left join fx_access x on x.team_id = c.team and x.alias = c.alias""")
 def read_teams(t):
     path = scratch(t)

@@ -9,6 +9,7 @@ from maskline.operators import detect as d
 from suite.registry import query, tagged
 
 OUT = ["doc_id", "start", "end", "entity_type", "score", "context_word", "checksum", "value"]
+TYPES = {"score": "DOUBLE", "context_word": "VARCHAR", "checksum": "BOOLEAN"}
 SPOKEN = "(select * from documents where lang in ('fr', 'en')) docs"
 
 
@@ -29,7 +30,7 @@ def found_emails(docs: str) -> str:
     return tagged(docs, EMAIL_RE)
 
 
-@query("find_spans", f"""select doc_id, 'HASH' as entity_type, 0.2 as score, start, "end", value from ({tagged('documents docs', '[0-9]{2,}')}) found""")
+@query("find_spans", f"""select doc_id, 'HASH' as entity_type, 0.2 as score, start, "end", value from ({tagged('documents docs', '[0-9]{2,}')}) found""", score="DOUBLE")
 def find_spans(t):
     """Every number of two digits or more, all languages."""
     return d.find_spans(t("documents"), "[0-9]{2,}", "HASH", 0.2).drop("recognizer")
@@ -39,7 +40,7 @@ NIR_RE = r"\b[1-478] ?[0-9]{2} ?(?:0[1-9]|1[0-2]|[23][0-9]|4[0-2]|[5-9][0-9]) ?(
 _NIR_OK = "97 - cast(substr(replace(value, ' ', ''), 1, 13) as bigint) % 97 = cast(substr(replace(value, ' ', ''), 14, 2) as bigint)"
 
 
-@query("detect_fr_nir", expected(tagged("fx_nir", NIR_RE), "FR_NIR", "1.0", "'sécurité'", "true", _NIR_OK))
+@query("detect_fr_nir", expected(tagged("fx_nir", NIR_RE), "FR_NIR", "1.0", "'sécurité'", "true", _NIR_OK), **TYPES)
 def detect_fr_nir(t):
     return out(d.detect_fr_nir(t("fx_nir")))
 
@@ -48,13 +49,13 @@ FISCAL_RE = r"\b[0-3][0-9] ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}\b"
 _FISCAL_OK = "cast(substr(replace(value, ' ', ''), 1, 10) as bigint) % 511 = cast(substr(replace(value, ' ', ''), 11, 3) as bigint)"
 
 
-@query("detect_fr_fiscal_number", expected(tagged("fx_fiscal", FISCAL_RE), "FR_FISCAL_NUMBER", "1.0", "'fiscal'", "true", _FISCAL_OK))
+@query("detect_fr_fiscal_number", expected(tagged("fx_fiscal", FISCAL_RE), "FR_FISCAL_NUMBER", "1.0", "'fiscal'", "true", _FISCAL_OK), **TYPES)
 def detect_fr_fiscal_number(t):
     return out(d.detect_fr_fiscal_number(t("fx_fiscal")))
 
 
 @query("detect_fr_address", """select doc_id, start, "end", entity_type, 0.95 as score, 'domicil' as context_word,
-cast(null as boolean) as checksum, value from fx_gold where entity_type = 'FR_ADDRESS'""")
+cast(null as boolean) as checksum, value from fx_gold where entity_type = 'FR_ADDRESS'""", **TYPES)
 def detect_fr_address(t):
     return out(d.detect_fr_address(t("fx_letters")))
 
@@ -64,7 +65,7 @@ cast(null as string) as context_word, cast(null as boolean) as checksum, p.town
 from fx_gold g join fx_parts p on p.k = g.doc_id where g.entity_type = 'FR_ADDRESS'"""
 
 
-@query("detect_fr_postcode_city", TOWNS)
+@query("detect_fr_postcode_city", TOWNS, **TYPES)
 def detect_fr_postcode_city(t):
     return out(d.detect_fr_postcode_city(t("fx_letters")))
 
@@ -79,7 +80,7 @@ _CARDS = f"(select doc_id, lang, text from fx_card union all select doc_id + 100
 
 @query("detect_credit_card", expected(
     tagged(_CARDS, CARD_RE), "CREDIT_CARD", "1.0", "case when doc_id < 1000000000 then 'carte' end", "true",
-    f"{_LUHN} and not (value like '1%' and length(value) = 13)"))
+    f"{_LUHN} and not (value like '1%' and length(value) = 13)"), **TYPES)
 def detect_credit_card(t):
     cards = t.sql(f"select doc_id, lang, text from fx_card union all select doc_id + 1000000000, lang, text from {SPOKEN}")
     return out(d.detect_credit_card(cards))
@@ -90,32 +91,32 @@ PLAN = "|".join(fixed.FR_NUMBER_PREFIXES)
 
 @query("detect_fr_phone", f"""select doc_id, cast(strpos(text, value) - 1 as int) as start, cast(strpos(text, value) - 1 + length(value) as int) as "end",
 'PHONE_NUMBER' as entity_type, 0.75 as score, 'appel' as context_word, cast(null as boolean) as checksum, value
-from fx_phone where regexp_matches(national, '^(?:{PLAN})')""")
+from fx_phone where regexp_matches(national, '^(?:{PLAN})')""", **TYPES)
 def detect_fr_phone(t):
     return out(d.detect_fr_phone(t("fx_phone")))
 
 
 @query("detect_intl_phone", expected(
     tagged("(select * from documents where lang = 'en') docs", r"\+1 \([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}\b"),
-    "PHONE_NUMBER", "0.4"))
+    "PHONE_NUMBER", "0.4"), **TYPES)
 def detect_intl_phone(t):
     return out(d.detect_intl_phone(t("documents")))
 
 
 @query("detect_iban", """select doc_id, cast(strpos(text, value) - 1 as int) as start, cast(strpos(text, value) - 1 + length(value) as int) as "end",
-'IBAN_CODE' as entity_type, 1.0 as score, 'virement' as context_word, true as checksum, value from fx_iban where valid""")
+'IBAN_CODE' as entity_type, 1.0 as score, 'virement' as context_word, true as checksum, value from fx_iban where valid""", **TYPES)
 def detect_iban(t):
     return out(d.detect_iban(t("fx_iban")))
 
 
-@query("detect_email", expected(found_emails(SPOKEN), "EMAIL_ADDRESS", "1.0", checksum="true"))
+@query("detect_email", expected(found_emails(SPOKEN), "EMAIL_ADDRESS", "1.0", checksum="true"), **TYPES)
 def detect_email(t):
     return out(d.detect_email(t("documents")))
 
 
 @query("detect_ip", expected(
     tagged(SPOKEN, IP_RE), "IP_ADDRESS", "0.6",
-    where="list_max(list_transform(string_split(value, '.'), lambda o: cast(o as int))) <= 255"))
+    where="list_max(list_transform(string_split(value, '.'), lambda o: cast(o as int))) <= 255"), **TYPES)
 def detect_ip(t):
     return out(d.detect_ip(t("documents")))
 
@@ -124,7 +125,7 @@ _LINKS = "(select page_id as doc_id, 'en' as lang, 'Read ' || url || ' or write
 
 
 @query("detect_url_outside_email", f"""select doc_id, 5 as start, cast(5 + length(url) as int) as "end", 'URL' as entity_type, 0.6 as score,
-cast(null as string) as context_word, cast(null as boolean) as checksum, url as value from (select page_id as doc_id, url from pages) p""")
+cast(null as string) as context_word, cast(null as boolean) as checksum, url as value from (select page_id as doc_id, url from pages) p""", **TYPES)
 def detect_url_outside_email(t):
     return out(d.detect_url_outside_email(t.sql(f"select * from {_LINKS}")))
 
@@ -137,7 +138,7 @@ case when c_custkey % 2 = 0 then {_WALLET} else substr({_WALLET}, 1, length({_WA
 
 
 @query("detect_crypto", f"""select c_custkey as doc_id, cast(length(c_name) + 24 as int) as start, cast(length(c_name) + 24 + length({_WALLET}) as int) as "end",
-'CRYPTO' as entity_type, 1.0 as score, 'bitcoin' as context_word, true as checksum, {_WALLET} as value from customer where c_custkey % 2 = 0""")
+'CRYPTO' as entity_type, 1.0 as score, 'bitcoin' as context_word, true as checksum, {_WALLET} as value from customer where c_custkey % 2 = 0""", **TYPES)
 def detect_crypto(t):
     return out(d.detect_crypto(t.sql(_WALLETS)))
 
@@ -148,7 +149,7 @@ else substr({_DAY}, 9, 2) || '/' || substr({_DAY}, 6, 2) || '/' || substr({_DAY}
 
 
 @query("detect_date_time", f"""select doc_id, cast(length(text) - 11 as int) as start, cast(length(text) - 1 as int) as "end", 'DATE_TIME' as entity_type,
-0.6 as score, cast(null as string) as context_word, cast(null as boolean) as checksum, substr(text, length(text) - 10, 10) as value from ({_ORDERS}) o""")
+0.6 as score, cast(null as string) as context_word, cast(null as boolean) as checksum, substr(text, length(text) - 10, 10) as value from ({_ORDERS}) o""", **TYPES)
 def detect_date_time(t):
     return out(d.detect_date_time(t.sql(_ORDERS)))
 
@@ -158,18 +159,18 @@ _NAMED = """select doc_id, cast(length(pre) as int) as start, cast(length(pre) +
 
 
 @query("detect_person_titled", """select doc_id, start, "end", entity_type, 0.85 as score, cast(null as string) as context_word,
-cast(null as boolean) as checksum, value from fx_gold where entity_type = 'PERSON'""")
+cast(null as boolean) as checksum, value from fx_gold where entity_type = 'PERSON'""", **TYPES)
 def detect_person_titled(t):
     docs = t.sql("select doc_id, lang, text from fx_letters union all select doc_id, lang, text from fx_names where kind = 2")
     return out(d.detect_person_titled(docs))
 
 
-@query("detect_person_on_line", _NAMED.format(score="0.85", where="kind in (0, 1)"))
+@query("detect_person_on_line", _NAMED.format(score="0.85", where="kind in (0, 1)"), **TYPES)
 def detect_person_on_line(t):
     return out(d.detect_person_on_line(t("fx_names"), t("fx_first_names")))
 
 
-@query("detect_person_named", _NAMED.format(score="case kind when 2 then 0.6 else 0.3 end", where="kind in (2, 3)"))
+@query("detect_person_named", _NAMED.format(score="case kind when 2 then 0.6 else 0.3 end", where="kind in (2, 3)"), **TYPES)
 def detect_person_named(t):
     return out(d.detect_person_named(t("fx_names"), t("fx_first_names")))
 
@@ -199,17 +200,26 @@ from fx_gold
 union all select doc_id, start, "end", entity_type, value, score, context_word, checksum, 'FrAddress', 0.3 from ({TOWNS}) towns"""
 
 
-@query("detect_all", f"""select doc_id, start, "end", entity_type, score, context_word, checksum, value from ({_ALL}) a""")
+@query("detect_all", f"""select doc_id, start, "end", entity_type, score, context_word, checksum, value from ({_ALL}) a""", **TYPES)
 def detect_all(t):
     return out(d.detect_all(t("fx_letters"), t("fx_first_names")))
 
 
-@query("explain_spans", f"""select doc_id, entity_type as type, start, "end", value as text, score, recognizer, original_score, context_word, checksum from ({_ALL}) a""")
+@query("explain_spans", f"""select doc_id, entity_type as type, start, "end", value as text, score, recognizer, original_score, context_word, checksum from ({_ALL}) a""", score="DOUBLE", original_score="DOUBLE")
 def explain_spans(t):
     return d.explain_spans(d.detect_all(t("fx_letters"), t("fx_first_names")))
 
 
-@query("detect_all_documents")
+def _counted(docs: str, pattern: str, entity_type: str, recognizer: str, where: str = "true") -> str:
+    return f"select '{entity_type}' as entity_type, '{recognizer}' as recognizer, count(*) as spans from ({tagged(docs, pattern)}) found where {where}"
+
+
+@query("detect_all_documents", "select * from (" + " union all ".join([
+    _counted(SPOKEN, EMAIL_RE, "EMAIL_ADDRESS", "Email"),
+    _counted(SPOKEN, IP_RE, "IP_ADDRESS", "Ip", "list_max(list_transform(string_split(value, '.'), lambda o: cast(o as int))) <= 255"),
+    _counted(SPOKEN, CARD_RE, "CREDIT_CARD", "Card", f"{_LUHN} and not (value like '1%' and length(value) = 13)"),
+    _counted("(select * from documents where lang = 'en') docs", r"\+1 \([2-9][0-9]{2}\) [2-9][0-9]{2}-[0-9]{4}\b", "PHONE_NUMBER", "Phone"),
+]) + ") c where spans > 0")
 def detect_all_documents(t):
     """Every recognizer over the whole texts of the documents table: found spans per language, type and recognizer."""
     found = d.detect_all(t("documents"), t("fx_first_names"))

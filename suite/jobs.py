@@ -126,7 +126,7 @@ def job_lifecycle(t):
     return j.job_lifecycle(t("fx_attempts"))
 
 
-@query("redelivery_time", f"""select job_id, attempt_id, cast(least(5 * failures, 30) as int) as delay, epoch_us(ts) + 1000000 * least(5 * failures, 30) as next_us
+@query("redelivery_time", f"""select job_id, attempt_id, cast(least(5 * failures, 30) as int) as delay, cast(epoch_us(ts) + 1000000 * least(5 * failures, 30) as bigint) as next_us
 from {MARKED} where outcome = 'retry' and not ends""")
 def redelivery_time(t):
     timed = j.redelivery_time(t("fx_attempts"))
@@ -188,7 +188,7 @@ def rerank(t):
     return r.rerank(candidates(t).drop("right_one"))
 
 
-@query("rerank_top", f"select * from ({_RANKED}) r where rank <= 5")
+@query("rerank_top", f"select query_id, passage_id, score, cast(rank as int) as rank from ({_RANKED}) r where rank <= 5")
 def rerank_top(t):
     """The first five, as a caller keeps them."""
     return r.rerank(candidates(t).drop("right_one"), 5)

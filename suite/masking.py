@@ -107,11 +107,14 @@ _CHUNKS = " union all ".join(
 )
 
 
-@query("unmask_stream", """
+UNMASKED = """
 select c.conv_id * 1000 + turn as answer_id, c.conv_id, 'Dear <PERSON_1>, ' || text || ' <EMAIL_ADDRESS_2>' as text,
   'Dear ' || coalesce(m1.value, '<PERSON_1>') || ', ' || text || ' ' || coalesce(m2.value, '<EMAIL_ADDRESS_2>') as unmasked_text
 from conversations c left join fx_markers m1 on m1.conv_id = c.conv_id and m1.marker = '<PERSON_1>'
-left join fx_markers m2 on m2.conv_id = c.conv_id and m2.marker = '<EMAIL_ADDRESS_2>' where role = 'user'""")
+left join fx_markers m2 on m2.conv_id = c.conv_id and m2.marker = '<EMAIL_ADDRESS_2>' where role = 'user'"""
+
+
+@query("unmask_chunks", UNMASKED)
 def unmask_chunks(t):
     """Batch twin of the streamed operator: the same chunks, joined in order, then unmasked."""
     return m.unmask_chunks(t.sql(_CHUNKS), t("fx_markers"))

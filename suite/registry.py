@@ -100,11 +100,16 @@ class Tables:
         return self.sql(f"SELECT * FROM {name}")
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, **casts: str):
+    """Registers a query; casts gives SQL types to columns of the SQL twin whose literals DuckDB types otherwise."""
+
     def register(build: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
         if oracle is not None:
             ORACLES[name] = chain(oracle)
+            if casts:
+                typed = ", ".join(f"CAST({column} AS {kind}) AS {column}" for column, kind in casts.items())
+                ORACLES[name] = f"SELECT * REPLACE ({typed}) FROM (\n{ORACLES[name]}\n) typed"
         return build
 
     return register
