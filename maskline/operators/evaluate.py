@@ -165,6 +165,17 @@ def compare_layers(gold: DataFrame, spans: DataFrame, layers: list[str]) -> Data
     return named_recall.join(named_left, "entity_type", "left").na.fill(0, [f"left_{x}" for x in layers])
 
 
+def layer_scores(gold: DataFrame, spans: DataFrame, layers: list[str]) -> DataFrame:
+    """Per layer: precision, recall, share of items fully masked, items left in clear."""
+    repeated = gold.withColumn("layer", F.explode(F.array(*map(F.lit, layers))))
+    scored = scores_overall(repeated, spans, ["layer"]).select("layer", "precision", "recall")
+    keyed = [df.withColumn("doc_id", F.struct("layer", "doc_id")) for df in (repeated, spans)]
+    masked = gold_with_clear(*keyed).groupBy("layer").agg(
+        F.avg(F.col("masked").cast("double")).alias("fully_masked"), F.count_if(~F.col("masked")).alias("left_in_clear")
+    )
+    return scored.join(masked, "layer")
+
+
 def compare_corpora(gold: DataFrame, spans: DataFrame) -> DataFrame:
     """Scores of the tuned and the held-out corpus (column `corpus`) and their difference per type."""
     scored = scores_per_type(gold, spans, ["corpus"])

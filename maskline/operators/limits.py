@@ -8,6 +8,7 @@ call, so totals over all calls equal totals over accepted calls up to it, and a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskline.operators.scan import BLOCK, ordered_blocks, running_before
@@ -51,51 +52,75 @@ def rate_decisions(calls: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
+def _stops(blocked: DataFrame, key: str, period: str, limit: str, spent: Column) -> DataFrame:
+    """(key, period, at): the first call of each key and period that finds its limit spent.
+
+    Rows are not sorted for this. Sums per block (combined before the shuffle) tell in which block the limit is
+    crossed; only the calls of that one block are put in order, and the first call of the next block follows if the
+    crossing call was the last.
+    """
+    money = "decimal(36,10)"
+    narrow = blocked.select(
+        BLOCK, F.col(key).alias("key"), F.col(period).alias("period"), F.struct(*ORDER).alias("at"),
+        F.col(limit).alias("most"), spent.alias("spent"),
+    )
+    totals = narrow.groupBy("key", "period", "most", BLOCK).agg(
+        F.sum("spent").cast(money).alias("total"), F.min("at").alias("first_at")
+    )
+    earlier = W.partitionBy("key", "period").orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    carried = materialize(totals.withColumn("carry", F.coalesce(F.sum("total").over(earlier), F.lit(0)).cast(money)))
+    after = carried.where("carry >= most").groupBy("key", "period").agg(F.min("first_at").alias("at"))
+    crossing = carried.where("carry < most AND carry + total >= most").select("key", "period", BLOCK, "carry")
+    inside = W.partitionBy("key", "period").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    ordered = narrow.join(crossing, ["key", "period", BLOCK]).withColumn("before", F.sum("spent").over(inside).cast(money))
+    within = ordered.where(F.col("carry") + F.coalesce("before", F.lit(0)) >= F.col("most")).select("key", "period", "at")
+    return within.unionByName(after).groupBy("key", "period").agg(F.min("at").alias("at"))
+
+
+def _with_stop(calls: DataFrame, stops: DataFrame, key: str, period: str, name: str) -> DataFrame:
+    """calls with a boolean: is this call at or after the stop of its key and period? Stops are few, and written, so
+    Spark knows their size and broadcasts them."""
+    s = stops.select(F.col("key").alias(key), F.col("period").alias(period), F.col("at").alias("_at"))
+    over = F.coalesce(F.struct(*ORDER) >= F.col("_at"), F.lit(False))
+    return calls.join(s, [key, period], "left").withColumn(name, over).drop("_at")
+
+
 def budget_decisions(priced: DataFrame, teams: DataFrame, days: int = 30) -> DataFrame:
     """422 for the calls after the one that reached the team's budget, until the period ends. Other teams go on."""
     narrow = priced.where("team IS NOT NULL").select(*ORDER, "team", "cost")
-    blocked = ordered_blocks(period_start(narrow, "team", days), ORDER)
-    spent = running_before(blocked, ["team", "period"], ORDER, {"spent": F.col("cost")})
     budgets = teams.select(F.col("team_id").alias("team"), "max_budget")
-    over = F.col("spent") >= F.col("max_budget")
-    return spent.join(budgets, "team").select("call_id", "team", "period", F.when(over, 422).otherwise(200).alias("decision"))
+    blocked = ordered_blocks(period_start(narrow, "team", days).join(budgets, "team"), ORDER)
+    stops = materialize(_stops(blocked, "team", "period", "max_budget", F.col("cost")))
+    decided = _with_stop(blocked, stops, "team", "period", "over")
+    return decided.select("call_id", "team", "period", F.when(F.col("over"), 422).otherwise(200).alias("decision"))
 
 
-def _provider_spend(priced: DataFrame, caps: DataFrame, days: int) -> DataFrame:
+def _capped(priced: DataFrame, caps: DataFrame, days: int) -> DataFrame:
     capped = priced.select(*ORDER, "provider", "cost").join(caps.select("provider", "cap"), "provider")
-    blocked = ordered_blocks(period_start(capped, "provider", days), ORDER)
-    return running_before(blocked, ["provider", "period"], ORDER, {"spent": F.col("cost")})
+    return ordered_blocks(period_start(capped, "provider", days), ORDER)
 
 
 def provider_cap(priced: DataFrame, caps: DataFrame, days: int = 30) -> DataFrame:
     """Calls of capped providers, over all teams: refused once the cap of the period is spent."""
-    spent = _provider_spend(priced, caps, days)
-    return spent.select("call_id", "provider", F.when(F.col("spent") >= F.col("cap"), "refused").otherwise("accepted").alias("decision"))
+    blocked = _capped(priced, caps, days)
+    stops = materialize(_stops(blocked, "provider", "period", "cap", F.col("cost")))
+    decided = _with_stop(blocked, stops, "provider", "period", "over")
+    return decided.select("call_id", "provider", F.when(F.col("over"), "refused").otherwise("accepted").alias("decision"))
 
 
 def provider_remaining(priced: DataFrame, caps: DataFrame, days: int = 30) -> DataFrame:
     """What is left of the cap after each call."""
-    spent = _provider_spend(priced, caps, days)
+    spent = running_before(_capped(priced, caps, days), ["provider", "period"], ORDER, {"spent": F.col("cost")})
     left = F.greatest(F.col("cap") - F.col("spent") - F.col("cost"), F.lit(0))
     return spent.select("call_id", "provider", left.cast("decimal(30,10)").alias("remaining"))
 
 
-def _stops(calls: DataFrame, key: str, limit: str, closed_key: str, closed: DataFrame | None) -> DataFrame:
-    """Per key and period: the first call that finds the limit spent, given the stops of the other dimension."""
-    period, other_period = f"{key}_period", f"{closed_key}_period"
-    counts = F.lit(True)
-    if closed is not None:
-        stop = closed.select(
-            F.col("key").alias("_key"), F.col("period").alias("_period"), F.col("at").alias("_at")
-        )
-        calls = calls.join(stop, (F.col(closed_key) == F.col("_key")) & (F.col(other_period) == F.col("_period")), "left")
-        counts = F.col("_at").isNull() | (F.struct(*ORDER) < F.col("_at"))
-    spent = F.when(counts, F.col("cost")).otherwise(F.lit(0).cast("decimal(30,10)"))
-    narrow = calls.select(BLOCK, key, period, *ORDER, limit, spent.alias("_spent"))
-    totals = running_before(narrow, [key, period], ORDER, {"_before": F.col("_spent")})
-    return totals.where(F.col("_before") >= F.col(limit)).groupBy(F.col(key).alias("key"), F.col(period).alias("period")).agg(
-        F.min(F.struct(*ORDER)).alias("at")
-    )
+def _open_cost(calls: DataFrame, key: str, closed: DataFrame | None) -> DataFrame:
+    """calls with `open_cost`: their cost, or 0 where the stops of the other side refuse them."""
+    if closed is None:
+        return calls.withColumn("open_cost", F.col("cost"))
+    judged = _with_stop(calls, closed, key, f"{key}_period", "_refused")
+    return judged.withColumn("open_cost", F.when(F.col("_refused"), F.lit(0)).otherwise(F.col("cost")).cast("decimal(30,10)"))
 
 
 def admission(calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataFrame, days: int = 30) -> DataFrame:
@@ -126,30 +151,32 @@ def admission(calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataF
     )
     candidates = materialize(candidates.select(BLOCK, *ORDER, "team", "provider", "cost", "max_budget", "cap", since("team"), since("provider")))
 
+    capped = candidates.where("cap IS NOT NULL")
     team_stops = provider_stops = None
     while True:
-        teams_next = materialize(_stops(candidates, "team", "max_budget", "provider", provider_stops))
-        providers_next = materialize(_stops(candidates.where("cap IS NOT NULL"), "provider", "cap", "team", teams_next))
-        settled = provider_stops is not None and _same(providers_next, provider_stops) and _same(teams_next, team_stops)
-        team_stops, provider_stops = teams_next, providers_next
-        if settled:
+        teams_next = materialize(
+            _stops(_open_cost(candidates, "provider", provider_stops), "team", "team_period", "max_budget", F.col("open_cost"))
+        )
+        if team_stops is not None and _same(teams_next, team_stops):
+            break  # the provider stops at hand come from these very team stops
+        team_stops = teams_next
+        providers_next = materialize(
+            _stops(_open_cost(capped, "team", team_stops), "provider", "provider_period", "cap", F.col("open_cost"))
+        )
+        if provider_stops is not None and _same(providers_next, provider_stops):
             break
+        provider_stops = providers_next
 
-    def stopped(key: str, stops: DataFrame, name: str):
-        s = stops.select(F.col("key").alias(key), F.col("period").alias(f"{key}_period"), F.col("at").alias(name))
-        return s, [key, f"{key}_period"]
-
-    judged = candidates.select(*ORDER, "team", "team_period", "provider", "provider_period")
-    for key, stops, name in (("team", team_stops, "_budget"), ("provider", provider_stops, "_cap")):
-        s, on = stopped(key, stops, name)
-        judged = judged.join(s, on, "left")
-    over = lambda name: F.coalesce(F.struct(*ORDER) >= F.col(name), F.lit(False))
-    decision = F.when(over("_budget"), 422).when(over("_cap"), 429).otherwise(200)
-    reason = F.when(over("_budget"), "budget").when(over("_cap"), "provider cap").otherwise("accepted")
+    judged = _with_stop(candidates, team_stops, "team", "team_period", "over_budget")
+    judged = _with_stop(judged, provider_stops, "provider", "provider_period", "over_cap")
+    decision = F.when(F.col("over_budget"), 422).when(F.col("over_cap"), 429).otherwise(200)
+    reason = F.when(F.col("over_budget"), "budget").when(F.col("over_cap"), "provider cap").otherwise("accepted")
     final = judged.select("call_id", decision.alias("decision"), reason.alias("reason"))
     return refused.unionByName(limited).unionByName(final)
 
 
 def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Stops are one row per key and period: compared where they are."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    """Are these the same stops, one row per key and period? Compared where they are, not on the driver."""
+    other = b.select("key", "period", F.col("at").alias("_at"))
+    changed = a.join(other, ["key", "period"], "full_outer").where(~F.col("at").eqNullSafe(F.col("_at")))
+    return changed.isEmpty()

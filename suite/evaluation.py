@@ -77,6 +77,18 @@ def compare_layers(t):
     return e.compare_layers(t("fx_gold"), layered, ["base", "full"])
 
 
+def _layer(name: str, pred: str) -> str:
+    return f"""select '{name}' as layer, sum(correct) / sum(predicted) as precision, sum(found) / sum(gold) as recall,
+1 - (select count(*) from ({clear(pred)}) x) / (select count(*) from fx_gold) as fully_masked, (select count(*) from ({clear(pred)}) x) as left_in_clear from ({counts(pred)}) c"""
+
+
+@query("layer_scores", f"""with base as (select * from fx_pred where doc_id % 2 = 0), full_ as (select * from fx_pred) {_layer('base', 'base')} union all {_layer('full', 'full_')}""")
+def layer_scores(t):
+    pred = t("fx_pred")
+    layered = pred.withColumn("layer", F.lit("full")).unionByName(pred.where("doc_id % 2 = 0").withColumn("layer", F.lit("base")))
+    return e.layer_scores(t("fx_gold"), layered, ["base", "full"])
+
+
 _CORPUS = "case when doc_id % 4 = 0 then 'held_out' else 'tuned' end as corpus"
 
 

@@ -234,7 +234,7 @@ select conv_id, value, '<' || entity_type || '_' || cast(n as string) || '>' as
 select conv_id * 1000 + turn as answer_id, conv_id, 'Re <PERSON_1>: ' || text || ' <EMAIL_ADDRESS_2> <PERSON_10> <PERSON_3> <NOT_A_MARKER> <PERSON_1>' as text
 from conversations where role = 'assistant'""",
     "fx_requests": "select call_id, team, asks_masking from fx_calls",
-    "fx_caps": "select * from (values ('hosted', 0.3), ('hub', 1.2)) as c(provider, cap)",
+    "fx_caps": "select * from (values ('hosted', 0.02), ('hub', 1.2)) as c(provider, cap)",
     "fx_routes": "select * from (values ('f', 'forecast'), ('m', 'manuals'), ('b', 'billing')) as r(team, project)",
     "fx_members": """
 select * from (values ('lead-f', 'f'), ('lead-m', 'm'), ('lead-bs', 'b'), ('lead-bs', 's'), ('admin', '*')) as m(account, team)""",
