@@ -1,4 +1,6 @@
-"""Regular expressions of the recognizers, built from the fixed word lists and registries.
+"""The regular expressions of the recognizers, which results depend on, as plain text.
+
+Built from the fixed word lists and registries.
 
 Java syntax. Loops over whole words are possessive: nothing after them can need a shorter run, and Java then loops
 instead of recursing, so a text made of one endless run cannot overflow the stack.
