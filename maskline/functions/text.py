@@ -105,17 +105,19 @@ def last_words(before: Column, n: int) -> Column:
     return let(words(before), lambda found: F.when(F.size(found) > n, F.slice(found, -n, n)).otherwise(found))
 
 
-def replace_spans(text: Column, spans: Column, field: str) -> Column:
-    """The text with each span (sorted, not overlapping) replaced by its `field`."""
+def replace_spans_sql(text: str, spans: str, field: str, block: int = 128) -> str:
+    """The text with each span (sorted, not overlapping) replaced by its `field`.
 
-    def piece(s: Column, i: Column) -> Column:
-        previous = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
-        return F.concat(F.substring(text, previous + 1, s["start"] - previous), s[field])
-
-    tail = F.substring(text, F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0)) + 1, F.length(text))
-    return F.when(
-        F.coalesce(F.size(spans), F.lit(0)) > 0, F.concat(F.array_join(F.transform(spans, piece), ""), tail)
-    ).otherwise(text)
+    substring() walks from the start of its text, so spans are taken in blocks: one walk over the whole text per block,
+    and short ones inside the block's own part.
+    """
+    before = "IF(i = 0, m.o, get(m.b, i - 1).`end`)"
+    return f"""IF(coalesce(size({spans}), 0) = 0, {text}, concat(
+      array_join(transform(sequence(0, cast(ceil(size({spans}) / {block}) AS int) - 1), k ->
+        transform(array(struct(slice({spans}, k * {block} + 1, {block}) AS b, IF(k = 0, 0, get({spans}, k * {block} - 1).`end`) AS o)), m ->
+          transform(array(substring({text}, m.o + 1, get(m.b, size(m.b) - 1).`end` - m.o)), t ->
+            array_join(transform(m.b, (s, i) -> concat(substring(t, {before} - m.o + 1, s.start - {before}), s.{field})), ''))[0])[0]), ''),
+      substring({text}, get({spans}, size({spans}) - 1).`end` + 1, length({text}))))"""
 
 
 def title_case(name: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
 from maskline.functions.patterns import ANSWER_MARKER
-from maskline.functions.text import CLOSE, OPEN, let, neutral, replace_spans
+from maskline.functions.text import CLOSE, OPEN, let, neutral, replace_spans_sql
 from maskline.operators.scan import positions
 
 
@@ -36,7 +36,7 @@ def apply_markers(messages: DataFrame, marked: DataFrame, keys: list[str]) -> Da
     """Messages with each span of `marked` (keys, start, end, marker) replaced; messages without span unchanged."""
     per_message = marked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "marker"))).alias("_spans"))
     joined = messages.join(per_message, keys, "left")
-    return joined.withColumn("masked_text", replace_spans(F.col("text"), F.col("_spans"), "marker")).drop("_spans")
+    return joined.withColumn("masked_text", F.expr(replace_spans_sql("text", "_spans", "marker"))).drop("_spans")
 
 
 def anonymize_plain(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -51,13 +51,12 @@ def masked_entity_count(spans: DataFrame, key: str = "conv_id") -> DataFrame:
 
 
 def with_values(answer: Column, values: Column) -> Column:
-    """The answer with every marker that `values` (map marker -> value) knows replaced; others are left as they are."""
+    """The answer with its markers, in order, replaced by `values` (array of struct with field `v`)."""
     pieces = F.split(F.regexp_replace(neutral(answer), F.lit(f"({ANSWER_MARKER})"), F.lit(f"{OPEN}$1{CLOSE}")), OPEN)
 
     def back(piece: Column, i: Column) -> Column:
-        marker = F.substring_index(piece, CLOSE, 1)
         rest = F.substring_index(piece, CLOSE, -1)
-        return F.when(i == 0, piece).otherwise(F.concat(F.coalesce(values[marker], marker), rest))
+        return F.when(i == 0, piece).otherwise(F.concat(F.get(values, i - 1)["v"], rest))
 
     restored = let(pieces, lambda p: F.array_join(F.transform(p, back), ""))
     return F.when(values.isNull(), answer).otherwise(restored)
@@ -66,16 +65,18 @@ def with_values(answer: Column, values: Column) -> Column:
 def unmask_answers(answers: DataFrame, markers: DataFrame) -> DataFrame:
     """Answers (answer_id, conv_id, text) with the values of their conversation put back.
 
-    Only the markers an answer names are joined, on (conversation, marker): a conversation with many answers is
-    spread over its markers.
+    Only the markers an answer names, with their place, are joined on (conversation, marker): a conversation with many
+    answers is spread over its markers. A marker that the conversation does not know stays as it is.
     """
     named = answers.select(
         "answer_id", "conv_id",
-        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ANSWER_MARKER})"), F.lit(1)))).alias("marker"),
+        F.posexplode(F.regexp_extract_all("text", F.lit(f"({ANSWER_MARKER})"), F.lit(1))).alias("nth", "marker"),
     )
-    known = named.join(markers.select("conv_id", "marker", "value"), ["conv_id", "marker"])
-    maps = known.groupBy("answer_id").agg(F.map_from_entries(F.collect_list(F.struct("marker", "value"))).alias("_values"))
-    return answers.join(maps, "answer_id", "left").withColumn(
+    known = named.join(markers.select("conv_id", "marker", "value"), ["conv_id", "marker"], "left")
+    values = known.groupBy("answer_id").agg(
+        F.array_sort(F.collect_list(F.struct("nth", F.coalesce("value", "marker").alias("v")))).alias("_values")
+    )
+    return answers.join(values, "answer_id", "left").withColumn(
         "unmasked_text", with_values(F.col("text"), F.col("_values"))
     ).drop("_values")
 
