@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskline.session import materialize
+from maskline.session import materialize, shared_folder
 from suite.fixtures import FIXTURES
 
 BASE = (
@@ -60,7 +60,7 @@ from (
 
 # Derived tables that many queries share: written once per session and folder of tables, then read like the given ones.
 SHARED = {"fx_parts", "fx_letters", "fx_gold", "fx_pred", "fx_spans", "fx_calls", "fx_priced", "fx_markers", "fx_conv_spans"}
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple[str, ...], DataFrame] = {}
 
 
 class Tables:
@@ -70,7 +70,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def _shared(self, name: str) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, shared_folder(self.spark), self.sf_dir, name)
         if key not in _written:
             _written[key] = materialize(self.sql(FIXTURES[name]))
         return _written[key]
