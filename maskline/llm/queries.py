@@ -28,6 +28,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_rank_queue_bpe")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from maskline.llm.bpe import round_trip
+
+    return round_trip(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 @query("op4_proportional_interleaving")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskline.llm.interleave import interleaved_shards
