@@ -53,6 +53,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query("op8_metric_range_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskline.llm.metric import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query(
     "op9_extendible_hash_dedup",
     r"""
