@@ -62,10 +62,13 @@ def exact_groups(docs: DataFrame, capacity: int = 200_000, hash_of: Callable[[Co
     index = materialize(index.repartitionByRange(partitions(spark), "bucket", "h").sortWithinPartitions("bucket", "h"))
 
     chains = index.where("group_size > 1").select("h")
-    members = materialize(rows.join(chains, "h").select("h", "doc_id", "norm"))
+    # One plan at every size: chains grow with the input, so they are merged and not sent to every task.
+    members = materialize(rows.join(chains.hint("merge"), "h").select("h", "doc_id", "norm"))
     by_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "norm")
     heads = members.groupBy("h").agg(F.min(by_id).alias("head")).select("h", F.col("head.norm").alias("head"))
-    collided = members.join(heads, "h").where("norm <> head").select("h").distinct()
+    # Written, so that the join below is between two shuffles and Spark can split a chain that is long.
+    heads = materialize(heads)
+    collided = members.join(heads.hint("merge"), "h").where("norm <> head").select("h").distinct()
     same = leaves.join(index.drop("bucket", "local_depth"), "h")
     columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
     if collided.isEmpty():
