@@ -28,6 +28,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_kneser_ney_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskline.llm.quality import quality
+
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return quality(table(spark, sf_dir, "documents"), trusted)
+
+
 @query("op3_rank_queue_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
