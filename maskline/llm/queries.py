@@ -61,6 +61,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query("op6_phrase_automata")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskline.llm.phrases import without_repeated_phrases
+
+    return without_repeated_phrases(table(spark, sf_dir, "documents"))
+
+
 @query("op8_metric_range_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskline.llm.metric import near_vectors
@@ -79,3 +86,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskline.llm.exact import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_radix_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskline.llm.suffixes import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
