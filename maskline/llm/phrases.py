@@ -20,39 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from maskline.llm.anchors import BYTES, anchors, hashes, mix
+from maskline.llm.anchors import anchors, hashes
 from maskline.llm.blocks import (
     SPANS, SPANS_DDL, Block, by_block, by_shard, covered, each_block, pack, span_row, spread, total_bytes, unstep, write_blocks,
 )
-from maskline.llm.common import BLANK_BYTES
+from maskline.llm.words import Words
 from maskline.session import materialize
 
 #: Words of a phrase; bytes of text per block (its automaton is in memory) and per shard of an exchange.
 PHRASE, BLOCK, SHARD = 5, 4 << 20, 16 << 20
-_BLANK = np.zeros(256, bool)
-_BLANK[list(BLANK_BYTES)] = True
-_POWER = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_POWER), -1, 2**64))
-
-
-class Words:
-    """Words of a block: byte starts and ends, a hash of each, and where the words of each document start."""
-
-    def __init__(self, block: Block):
-        word = ~_BLANK[block.data]
-        edge = np.diff(word.astype(np.int8), prepend=0, append=0)
-        # A document's end ends a word.
-        joint = block.starts[1:-1][(block.starts[1:-1] > 0) & (block.starts[1:-1] < len(word))]
-        joint = np.unique(joint[word[joint - 1] & word[joint]]) if len(joint) else joint
-        self.start = np.sort(np.concatenate([np.flatnonzero(edge == 1), joint]))
-        self.end = np.sort(np.concatenate([np.flatnonzero(edge == -1), joint]))
-        self.of_doc = np.searchsorted(self.start, block.starts)
-        # Sum of a number per byte times a power of its place, moved to the start of the word: arithmetic of 64 bits.
-        n = len(word)
-        powers = np.cumprod(np.full(n, _POWER)) if n else np.zeros(0, np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[block.data] * powers)])
-        back = np.cumprod(np.full(n, _INVERSE)) if n else powers
-        self.hash = mix((sums[self.end] - sums[self.start]) * back[self.start]) if n else np.zeros(0, np.uint64)
 
 
 def phrase_automaton(phrases: list[str]) -> ahocorasick.Automaton:
@@ -78,7 +54,7 @@ def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> D
     """SPANS rows, in words: the windows whose words also start earlier."""
 
     def recurring(block: Block) -> Iterator[dict]:
-        words = Words(block)
+        words = Words(block.data, block.starts)
         grams = [a.gram for a in anchors(words.hash, words.of_doc, window, phrase)]
         found, counts = np.unique(np.concatenate(grams or [np.zeros(0, np.uint64)]), return_counts=True)
         yield from pack(block.number, found, shards, {"often": counts > 1})
@@ -111,7 +87,7 @@ def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> D
         if not rows:
             return
         grams = np.sort(np.concatenate([np.frombuffer(r["grams"], np.uint64) for r in rows]))
-        words = Words(block)
+        words = Words(block.data, block.starts)
         found = list(anchors(words.hash, words.of_doc, window, phrase))
         text = lambda at: block.data[words.start[at] : words.end[at]].tobytes().decode()
         named: dict[int, str] = {}
@@ -183,7 +159,7 @@ def without_repeated_phrases(docs: DataFrame, window: int = 20) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def cut(block: Block, rows: list[dict]) -> Iterator[dict]:
-        words = Words(block)
+        words = Words(block.data, block.starts)
         gone = covered(len(words.start), words.of_doc, rows)
         for k, doc_id in enumerate(block.doc_ids):
             a, b = int(words.of_doc[k]), int(words.of_doc[k + 1])
