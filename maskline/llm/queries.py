@@ -36,6 +36,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), trusted)
 
 
+@query("op2_token_group_jaccard")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskline.llm.jaccard import near_documents
+
+    near = near_documents(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return near.select("doc_id", "n_shingles", "component_id")
+
+
 @query("op3_rank_queue_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
