@@ -76,6 +76,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_phrases(table(spark, sf_dir, "documents"))
 
 
+@query("op7_license_alignment")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskline.llm.licenses import license_spans
+
+    return license_spans(table(spark, sf_dir, "documents"))
+
+
 @query("op8_metric_range_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskline.llm.metric import near_vectors
