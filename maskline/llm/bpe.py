@@ -108,7 +108,7 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
 class Codec(dict):
     """Encodes and decodes by a rank file; as a dict, the memo of pre-tokens, emptied when it holds `most`."""
 
-    def __init__(self, rank_file: str, pattern: str, most: int = 400_000):
+    def __init__(self, rank_file: str, pattern: str, most: int = 1_200_000):
         with open(rank_file, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         if max(self.ranks.values()) >= MOST_RANKS:
@@ -118,8 +118,8 @@ class Codec(dict):
         self.split = regex.compile(pattern).findall
         self.queue, self.most = RankQueue(), most
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = merge(piece.encode(), self.ranks, self.queue)
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = tuple(merge(piece.encode(), self.ranks, self.queue))
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.clear()
