@@ -268,8 +268,8 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin:
     """(doc_id, lang, n_words, perplexity, threshold, kept), one row per row of docs (doc_id, text, lang).
 
     trusted (doc_id) names the documents whose text is trusted; ids that docs lacks do nothing. threshold is `margin`
-    times the `quantile` of the perplexities of trusted documents of the same language and class of length; where there
-    is none (a language without trusted text; a null language is one of its own) nothing is rejected. A document without
+    times the `quantile` of the perplexities of trusted documents of the same language and class of length, or the widest
+    of the language where a class has none; in a language without trusted text (null is one of its own) nothing is rejected. A document without
     words has the perplexity of an end at once, and is kept. A repeated id is scored row by row; rows without an id are
     scored and never trusted. Other columns are ignored.
     """
@@ -287,7 +287,12 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin:
         .agg((F.exp((F.min("step") + 1) * STEP) * margin).alias("threshold"))
         .select(F.col("lang").alias("of_lang"), F.col("size").alias("of_size"), "threshold")
     )
+    limits = materialize(limits)
+    # One row per language.
+    widest = limits.groupBy(F.col("of_lang").alias("any_lang")).agg(F.max("threshold").alias("widest"))
     met = scores.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("size") == F.col("of_size")), "left")
+    met = met.join(widest, F.col("lang").eqNullSafe(F.col("any_lang")), "left")
+    met = met.withColumn("threshold", F.coalesce("threshold", "widest"))
     perplexity = F.exp("log_perplexity")
     return met.select(
         "doc_id", "lang", "n_words", perplexity.alias("perplexity"), "threshold",
