@@ -15,6 +15,11 @@ CONTEXT_BOOST = 0.35
 CONTEXT_MIN_SCORE = 0.4
 CONTEXT_WORDS_BEFORE = 5
 
+# Scores of French names: after a title or alone on a line, first name with others, first name alone.
+NAME_SCORE_STRONG = 0.85
+NAME_SCORE_FULL = 0.6
+NAME_SCORE_FIRST_ALONE = 0.3
+
 # --- French vocabulary ----------------------------------------------------------------------------------------
 
 STREET_TYPES = [

@@ -94,7 +94,7 @@ def valid_ip(value: Column) -> Column:
     return F.when(value.contains(":"), v6).otherwise(v4)
 
 
-def valid_domain(value: Column) -> Column:
+def known_domain(value: Column) -> Column:
     """The last label of the name is a known top-level domain."""
     return F.lower(F.substring_index(value, ".", -1)).isin(TOP_LEVEL_DOMAINS)
 

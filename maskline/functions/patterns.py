@@ -29,17 +29,14 @@ def flagged(pattern: str) -> str:
     return FLAGS + pattern
 
 
-_MONTH = any_of(["0[1-9]", "1[0-2]", "[23][0-9]", "4[0-2]", "[5-9][0-9]"])
-NIR = flagged(r"\b" + " ?".join(["[1-478]", "[0-9]{2}", _MONTH, "(?:[0-9]{2}|2[AB])", "[0-9]{3}", "[0-9]{3}", "[0-9]{2}"]) + r"\b")
+NIR = flagged(r"\b[1-478] ?[0-9]{2} ?(?:0[1-9]|1[0-2]|[23][0-9]|4[0-2]|[5-9][0-9]) ?(?:[0-9]{2}|2[AB]) ?[0-9]{3} ?[0-9]{3} ?[0-9]{2}\b")
 
-FISCAL_NUMBER = flagged(r"\b" + " ?".join(["[0-3][0-9]", "[0-9]{2}", "[0-9]{3}", "[0-9]{3}", "[0-9]{3}"]) + r"\b")
+FISCAL_NUMBER = flagged(r"\b[0-3][0-9] ?[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}\b")
 
-_CARD_START = any_of([
-    "[1346][0-9]{3}", "5[0-5][0-9]{2}",
-    # 2221 to 2720
-    "222[1-9]", "22[3-9][0-9]", "2[3-6][0-9]{2}", "27[01][0-9]", "2720",
-])
-CREDIT_CARD = flagged(rf"\b(?!1[0-9]{{12}}(?![0-9])){_CARD_START}(?:[- ]?[0-9]{{3,4}}){{2}}[- ]?[0-9]{{3,5}}\b")
+# First four digits 1, 3, 4 and 6, 50 to 55, 2221 to 2720.
+CREDIT_CARD = flagged(
+    r"\b(?!1[0-9]{12}(?![0-9]))(?:[1346][0-9]{3}|5[0-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)(?:[- ]?[0-9]{3,4}){2}[- ]?[0-9]{3,5}\b"
+)
 
 IBAN = flagged(
     r"(?<!\w)(?=[A-Z]{2}[ -]?[0-9]{2})"
@@ -50,11 +47,16 @@ IBAN = flagged(
     + r"(?!\w)"
 )
 
-EMAIL = flagged(r"(?<![\w.%+-])[A-Z0-9_][A-Z0-9._%+-]*+@(?:[A-Z0-9](?:[A-Z0-9-]*[A-Z0-9])?\.)+[A-Z]{2,24}(?![\w-])")
+_LABEL = "[A-Z0-9](?:[A-Z0-9-]*[A-Z0-9])?"
+# Labels that more of the name follows: another label and its dot, or the last label. Java loops over a possessive group
+# and recurses over others, so that the loop must know by itself where to stop.
+_LABELS = rf"(?:{_LABEL}\.(?=[A-Z0-9][A-Z0-9-]*\.[A-Z0-9]|[A-Z]{{2,24}}(?![\w-])))++"
+EMAIL = flagged(rf"(?<![\w.%+-])[A-Z0-9_][A-Z0-9._%+-]*+@{_LABELS}[A-Z]{{2,24}}(?![\w-])")
 
-IP = flagged(r"(?<![\w.:])(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])|(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?![\w:]))")
+IP = flagged(r"(?<![\w.:])(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])|(?=:*[0-9a-f])(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}(?![\w:]))")
 
-_HOST = rf"(?:[A-Z0-9](?:[A-Z0-9-]{{0,61}}[A-Z0-9])?\.)+{any_of(TOP_LEVEL_DOMAINS)}"
+_TOP = any_of(TOP_LEVEL_DOMAINS)
+_HOST = rf"(?:[A-Z0-9](?:[A-Z0-9-]{{0,61}}[A-Z0-9])?\.(?=[A-Z0-9][A-Z0-9-]*\.[A-Z0-9]|{_TOP}(?![\w-])))++{_TOP}"
 _PATH = r"(?::[0-9]{1,5})?(?:[/?#](?:[^\s<>\"'()\[\]{}]*[\w/=&#-])?)?"
 URL_WITH_SCHEME = flagged(rf"\bhttps?://{_HOST}\b{_PATH}")
 URL_BARE = flagged(rf"(?<![\w./:@-]){_HOST}(?![\w@-]|\.\w){_PATH}")
@@ -97,7 +99,7 @@ _STREET_NAME = (
 )
 _STREET = rf"[0-9]{{1,4}}(?: ?(?:bis|ter|quater|[a-d])\b)?,? ?{any_of(map(literal, STREET_TYPES))}(?![\w-]) {_STREET_NAME}"
 _POSTCODE = any_of(["0[1-9]", "[1-8][0-9]", "9[0-5]", "97", "98"]) + "[0-9]{3}"
-_CITY = rf"{_WORD}(?:[ -](?:{any_of(CITY_LINKS)}[ -])?{_WORD})*(?: cedex(?: [0-9]{{1,2}})?)?"
+_CITY = rf"{_WORD}(?:[ -](?:{any_of(CITY_LINKS)}[ -])?{_WORD})*+(?: cedex(?: [0-9]{{1,2}})?)?"
 
 POSTCODE_CITY = flagged(rf"\b{_POSTCODE} {_CITY}")
 STREET_ADDRESS = flagged(rf"\b{_STREET}(?:,? ?\n?{_POSTCODE} {_CITY})?")

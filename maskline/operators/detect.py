@@ -32,8 +32,9 @@ class Recognizer:
     pattern: str
     score: float
     check: Callable[[Column], Column] | None = None
-    # A failed check drops the span; a passed one gives 1.0 only when `promotes`.
+    # A failed check drops the span when `required`; a passed one gives 1.0 when `promotes`.
     promotes: bool = True
+    required: bool = True
     languages: tuple[str, ...] = LANGUAGES
     context: dict[str, list[str]] = field(default_factory=dict)
     # Substring that every match holds: a cheap test before the regex.
@@ -71,7 +72,7 @@ IBAN = Recognizer(
     context={"fr": fixed.CONTEXT_IBAN_FR, "en": fixed.CONTEXT_IBAN_EN}, digits=True,
 )
 EMAIL = Recognizer(
-    "Email", "EMAIL_ADDRESS", patterns.EMAIL, 0.5, checks.valid_domain, context=both(fixed.CONTEXT_EMAIL), needs="@"
+    "Email", "EMAIL_ADDRESS", patterns.EMAIL, 0.5, checks.known_domain, required=False, context=both(fixed.CONTEXT_EMAIL), needs="@"
 )
 IP = Recognizer("Ip", "IP_ADDRESS", patterns.IP, 0.6, checks.valid_ip, promotes=False, context=both(fixed.CONTEXT_IP))
 URL_SCHEME = Recognizer(
@@ -144,21 +145,22 @@ def detect(docs: DataFrame, recognizers: list[Recognizer]) -> DataFrame:
 
     Per text: one regex pass per recognizer, in one projection. Per match, after `inline`: checks, then context words.
     """
-    texts = docs.select(
+    languages = sorted({lang for r in recognizers for lang in r.languages})
+    texts = docs.where(F.col("lang").isin(languages)).select(
         "doc_id", "lang", neutral(F.col("text")).alias("text"), F.col("text").rlike("[0-9]").alias("digits")
     )
     raw = texts.select("doc_id", "lang", F.inline(F.expr(_matches_of(recognizers))))
-    # Matches that fail the check of their recognizer are dropped, so a checked span has passed.
-    checked = [(i, r) for i, r in enumerate(recognizers) if r.check or r.not_after]
+    # Matches that fail a required check are dropped.
+    checked = [(i, r) for i, r in enumerate(recognizers) if (r.check and r.required) or r.not_after]
     if checked:
         kept = F.lit(None).cast("boolean")
         for i, r in checked:
-            rule = r.check(F.col("value")) if r.check else ~F.endswith("prev", F.lit(r.not_after))
+            rule = r.check(F.col("value")) if r.check and r.required else ~F.endswith("prev", F.lit(r.not_after))
             kept = F.when(F.col("id") == i, rule).otherwise(kept)
         raw = raw.where(F.coalesce(kept, ~F.col("id").isin(*[i for i, _ in checked])))
     near = F.concat("near", F.slice(words(F.lower("value")), 1, 1))
     found = raw.withColumn("context_word", context_word_in(near, _listed_words(recognizers)))
-    passed = _by_recognizer(recognizers, lambda r: F.lit(True if r.check and r.promotes else None).cast("boolean"))
+    passed = _by_recognizer(recognizers, _passed)
     original = _by_recognizer(recognizers, lambda r: F.lit(r.score))
     return found.select(
         "doc_id", "start", "end", "value",
@@ -171,6 +173,13 @@ def detect(docs: DataFrame, recognizers: list[Recognizer]) -> DataFrame:
     )
 
 
+def _passed(r: Recognizer) -> Column:
+    """True where a check raises the score; what fails a required one is no longer there. Null where none does."""
+    if r.check and r.promotes and not r.required:
+        return F.when(r.check(F.col("value")), F.lit(True))
+    return F.lit(True if r.check and r.promotes else None).cast("boolean")
+
+
 def find_spans(docs: DataFrame, pattern: str, entity_type: str, score: float, name: str = "custom") -> DataFrame:
     """All matches of one pattern, without check or context: the building block as an operator."""
     texts = docs.select("doc_id", neutral(F.col("text")).alias("text"))
@@ -236,8 +245,6 @@ def detect_date_time(docs: DataFrame) -> DataFrame:
 
 # --- Person names --------------------------------------------------------------------------------------------------
 
-STRONG, FULL_NAME, FIRST_NAME_ALONE = 0.85, 0.6, 0.3
-
 
 def name_runs(docs: DataFrame) -> DataFrame:
     """Runs of capitalized words of the French texts, with what surrounds them."""
@@ -309,8 +316,9 @@ def _names_from(runs: DataFrame) -> DataFrame:
     ruled = named.select("doc_id", "start", "end", "value", rule.alias("rule"), near.alias("near"))
     scored = ruled.select(
         "doc_id", "start", "end", "value", "rule",
-        F.when(F.col("rule").isin("titled", "on_line"), STRONG).when(F.col("rule") == "named", FULL_NAME)
-        .otherwise(FIRST_NAME_ALONE).alias("original_score"),
+        F.when(F.col("rule").isin("titled", "on_line"), fixed.NAME_SCORE_STRONG)
+        .when(F.col("rule") == "named", fixed.NAME_SCORE_FULL)
+        .otherwise(fixed.NAME_SCORE_FIRST_ALONE).alias("original_score"),
         context_word_in(F.col("near"), F.expr(sql_array(fixed.CONTEXT_PERSON))).alias("context_word"),
     )
     return scored.select(

@@ -177,3 +177,42 @@ def test_detection_is_one_narrow_stage(spark):
     docs = spark.createDataFrame([(1, "fr", "x")], "doc_id long, lang string, text string")
     plan = d.detect(docs, d.PATTERN_RECOGNIZERS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+ENDLESS = 100_000
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "44000 " + "Paris " * ENDLESS, "12 rue " + "Saint " * ENDLESS + "44000 " + "Nantes-" * ENDLESS, "x@" + "a." * ENDLESS + "com",
+        "x@" + "a." * ENDLESS, "https://" + "a." * ENDLESS + "com", "a." * ENDLESS + "com", "x" * ENDLESS + "@" + "a" * ENDLESS + ".fr",
+        "1 " * ENDLESS, "1." * ENDLESS, "12:" * ENDLESS, ":" * ENDLESS, "0612345678 " * ENDLESS, "+33 6 " * ENDLESS, "FR76 " * ENDLESS,
+        "4111-1111-" * ENDLESS, "bc1" + "q" * ENDLESS, "Jean " * ENDLESS, "Jean-" * ENDLESS, "Jean de la " * ENDLESS,
+    ],
+    ids=lambda t: t[:12],
+)
+def test_no_text_ends_the_job(spark, text):
+    docs = spark.createDataFrame([(0, "fr", text), (1, "en", text)], "doc_id bigint, lang string, text string")
+    names = spark.createDataFrame([("Jean",)], "name string")
+    assert d.detect_all(docs, names).agg({"end": "max"}).first() is not None
+
+
+def test_emails_at_any_domain(spark):
+    text = "jo@site.ai, jo@x.museum. a@b.c.fr a@b.com.123 a@7seas.com a@b.com.X jo@localhost"
+    docs = spark.createDataFrame([(0, "fr", text)], "doc_id bigint, lang string, text string")
+    got = {(r["value"], r["score"], r["checksum"]) for r in d.detect_email(docs).collect()}
+    assert got == {
+        ("jo@site.ai", 0.5, None), ("jo@x.museum", 0.5, None), ("a@b.c.fr", 1.0, True), ("a@b.com", 1.0, True), ("a@7seas.com", 1.0, True),
+    }
+
+
+def test_ipv6_needs_a_group(spark):
+    docs = spark.createDataFrame([(0, "en", "main :: IO Int, ::1, fe80::1 and :: or :::")], "doc_id bigint, lang string, text string")
+    assert {r["value"] for r in d.detect_ip(docs).collect()} == {"::1", "fe80::1"}
+
+
+def test_languages_without_recognizer_are_not_read(spark, tmp_path):
+    spark.createDataFrame([(0, "en", "+1 415 555 2671")], "doc_id bigint, lang string, text string").write.parquet(str(tmp_path / "t"))
+    plan = d.detect_intl_phone(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().toString()
+    assert "EqualTo(lang,en)" in plan
