@@ -32,19 +32,24 @@ def _minute(ts: Column) -> Column:
 
 
 def _rated(blocked: DataFrame, keys: DataFrame) -> DataFrame:
-    """Blocked calls with `within_rate`: requests and tokens of the team's minute so far, both under the limits."""
+    """Blocked calls with `within_rate`: requests and tokens of the team's minute so far, both under the limits. A limit
+    that is null, or of a team without a row, limits nothing."""
     minute = blocked.withColumn("minute", _minute(F.col("ts")))
     counted = running_before(
         minute, ["team", "minute"], ORDER, {"_requests": F.lit(1), "_tokens": F.col("tokens_in") + F.col("tokens_out")}
     )
     limits = keys.select(F.col("team_id").alias("team"), "rpm_limit", "tpm_limit")
-    within = (F.col("_requests") < F.col("rpm_limit")) & (F.col("_tokens") < F.col("tpm_limit"))
-    return counted.join(limits, "team").withColumn("within_rate", within).drop("_requests", "_tokens", "rpm_limit", "tpm_limit")
+    under = lambda used, limit: F.coalesce(F.col(used) < F.col(limit), F.lit(True))
+    within = under("_requests", "rpm_limit") & under("_tokens", "tpm_limit")
+    return counted.join(limits, "team", "left").withColumn("within_rate", within).drop("_requests", "_tokens", "rpm_limit", "tpm_limit")
 
 
 def rate_decisions(calls: DataFrame, keys: DataFrame) -> DataFrame:
-    """429 with the time of the reset for calls beyond the requests or tokens a key may use in its minute."""
-    narrow = calls.where("team IS NOT NULL").select(*ORDER, "team", "tokens_in", "tokens_out")
+    """One decision per call: 429 with the time of the reset beyond the requests or tokens a key may use in its minute.
+
+    Calls without a team, and of teams without limits, are let through.
+    """
+    narrow = calls.select(*ORDER, "team", "tokens_in", "tokens_out")
     rated = _rated(ordered_blocks(narrow, ORDER), keys)
     return rated.select(
         "call_id", "team", F.when(F.col("within_rate"), 200).otherwise(429).alias("decision"),
@@ -86,11 +91,16 @@ def _with_stop(calls: DataFrame, stops: DataFrame, key: str, period: str, name:
 
 
 def budget_decisions(priced: DataFrame, teams: DataFrame, days: int = 30) -> DataFrame:
-    """422 for the calls after the one that reached the team's budget, until the period ends. Other teams go on."""
-    narrow = priced.where("team IS NOT NULL").select(*ORDER, "team", "cost")
+    """One decision per call: 422 after the call that reached the team's budget, until the period ends. Other teams go on.
+
+    Calls without a team (whose period is null), and of teams without a budget, are let through.
+    """
+    narrow = priced.select(*ORDER, "team", "cost")
     budgets = teams.select(F.col("team_id").alias("team"), "max_budget")
-    blocked = ordered_blocks(period_start(narrow, "team", days).join(budgets, "team"), ORDER)
-    stops = materialize(_stops(blocked, "team", "period", "max_budget", F.col("cost")))
+    dated = period_start(narrow.where("team IS NOT NULL"), "team", days).join(budgets, "team", "left")
+    dated = dated.unionByName(narrow.where("team IS NULL"), allowMissingColumns=True)
+    blocked = ordered_blocks(dated, ORDER)
+    stops = materialize(_stops(blocked.where("max_budget IS NOT NULL"), "team", "period", "max_budget", F.col("cost")))
     decided = _with_stop(blocked, stops, "team", "period", "over")
     return decided.select("call_id", "team", "period", F.when(F.col("over"), 422).otherwise(200).alias("decision"))
 
@@ -126,12 +136,14 @@ def _open_cost(calls: DataFrame, key: str, closed: DataFrame | None) -> DataFram
 def admission(calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataFrame, days: int = 30) -> DataFrame:
     """One decision per call, with its reason: access, then rate, then team budget, then provider cap.
 
-    A refused call spends nothing. Budget and cap are coupled: calls that one refuses do not count for the other. Each
+    A call without a team has no access. Limits, budgets and caps that are null, or have no row, refuse nothing; a call
+    without a provider meets no cap. A refused call spends nothing. Budget and cap are coupled: calls that one refuses do not count for the other. Each
     is described by its stops (the first call that finds it spent: one row per team or provider and period). Stops are
     worked out in turn from the stops of the other side until they no longer change. A stop depends on earlier stops
-    only, so each round settles at least the next one in time, and the fixed point is the sequential answer.
+    only, so each round settles at least the next one in time: the fixed point is the sequential answer, and there are
+    at most as many rounds as stops, of which a team or provider has one per period.
     """
-    open_ = access_decisions(calls.where("team IS NOT NULL"), access)
+    open_ = access_decisions(calls, access)
     refused = open_.where("NOT allowed").select("call_id", F.lit(403).alias("decision"), F.lit("access").alias("reason"))
     narrow = open_.where("allowed").select(*ORDER, "team", "provider", "tokens_in", "tokens_out", "cost")
     rated = materialize(_rated(ordered_blocks(narrow, ORDER), teams))
@@ -145,17 +157,17 @@ def admission(calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataF
     candidates = rated.where("within_rate").select(BLOCK, *ORDER, "team", "provider", "cost")
     candidates = (
         candidates.join(materialize(calls.groupBy("team").agg(first("team"))), "team")
-        .join(materialize(calls.groupBy("provider").agg(first("provider"))), "provider")
-        .join(budgets, "team")
+        .join(materialize(calls.groupBy("provider").agg(first("provider"))), "provider", "left")
+        .join(budgets, "team", "left")
         .join(caps.select("provider", "cap"), "provider", "left")
     )
     candidates = materialize(candidates.select(BLOCK, *ORDER, "team", "provider", "cost", "max_budget", "cap", since("team"), since("provider")))
 
-    capped = candidates.where("cap IS NOT NULL")
+    budgeted, capped = candidates.where("max_budget IS NOT NULL"), candidates.where("cap IS NOT NULL")
     team_stops = provider_stops = None
     while True:
         teams_next = materialize(
-            _stops(_open_cost(candidates, "provider", provider_stops), "team", "team_period", "max_budget", F.col("open_cost"))
+            _stops(_open_cost(budgeted, "provider", provider_stops), "team", "team_period", "max_budget", F.col("open_cost"))
         )
         if team_stops is not None and _same(teams_next, team_stops):
             break  # the provider stops at hand come from these very team stops

@@ -63,9 +63,15 @@ def spent(key: str, days: int, where: str = "true") -> str:
 from ({periods(key, days)}) p where {where}"""
 
 
-@query("budget_decisions", f"select s.call_id, s.team, s.period, case when s.spent >= t.max_budget then 422 else 200 end as decision from ({spent('team', 7)}) s join fx_teams t on t.team_id = s.team")
+# Support has no budget and Manuals no limit of requests; Billing has no row at all.
+_PARTIAL = """(select team_id, case when team_id = 's' then null else max_budget end as max_budget, case when team_id = 'm' then null else rpm_limit end as rpm_limit,
+tpm_limit from fx_teams where team_id <> 'b')"""
+
+
+@query("budget_decisions", f"""select s.call_id, s.team, s.period, case when s.spent >= t.max_budget then 422 else 200 end as decision from ({spent('team', 7)}) s left join {_PARTIAL} t on t.team_id = s.team
+union all select call_id, team, null, 200 from fx_priced where team is null""")
 def budget_decisions(t):
-    return lim.budget_decisions(t("fx_priced"), t("fx_teams"), 7)
+    return lim.budget_decisions(t("fx_priced"), t.sql(f"select * from {_PARTIAL} p"), 7)
 
 
 @query("provider_cap", f"select s.call_id, s.provider, case when s.spent >= c.cap then 'refused' else 'accepted' end as decision from ({spent('provider', 30)}) s join fx_caps c on c.provider = s.provider")
@@ -79,13 +85,13 @@ def provider_remaining(t):
 
 
 _RATE = """select c.call_id, c.team, c.minute, row_number() over w - 1 as requests, coalesce(sum(c.tokens_in + c.tokens_out) over (w rows between unbounded preceding and 1 preceding), 0) as tokens, t.rpm_limit, t.tpm_limit
-from (select *, date_trunc('minute', ts) as minute from fx_calls) c join fx_teams t on t.team_id = c.team window w as (partition by c.team, c.minute order by c.ts, c.call_id)"""
+from (select *, date_trunc('minute', ts) as minute from fx_calls) c left join """ + _PARTIAL + """ t on t.team_id = c.team window w as (partition by c.team, c.minute order by c.ts, c.call_id)"""
 
 
-@query("rate_decisions", f"""select call_id, team, case when requests < rpm_limit and tokens < tpm_limit then 200 else 429 end as decision,
-case when not (requests < rpm_limit and tokens < tpm_limit) then cast(epoch_us(minute) / 1000000 as bigint) + 60 end as reset_at from ({_RATE}) r""")
+@query("rate_decisions", f"""select call_id, team, case when requests >= rpm_limit or tokens >= tpm_limit then 429 else 200 end as decision,
+case when requests >= rpm_limit or tokens >= tpm_limit then cast(epoch_us(minute) / 1000000 as bigint) + 60 end as reset_at from ({_RATE}) r""")
 def rate_decisions(t):
-    decided = lim.rate_decisions(t("fx_calls"), t("fx_teams"))
+    decided = lim.rate_decisions(t("fx_calls"), t.sql(f"select * from {_PARTIAL} p"))
     return decided.withColumn("reset_at", F.unix_seconds(F.col("reset_at").cast("timestamp")))
 
 
@@ -95,7 +101,7 @@ def access_decisions(t):
 
 
 _ALLOWED = """select c.*, row_number() over (order by c.ts, c.call_id) as r, x.alias is not null as allowed, date_trunc('minute', c.ts) as minute
-from fx_priced c left join fx_access x on x.team_id = c.team and x.alias = c.alias where c.team is not null"""
+from fx_priced c left join fx_access x on x.team_id = c.team and x.alias = c.alias"""
 _WITHIN = """select a.*, t.max_budget,
   row_number() over w - 1 < t.rpm_limit and coalesce(sum(a.tokens_in + a.tokens_out) over (w rows between unbounded preceding and 1 preceding), 0) < t.tpm_limit as within
 from allowed a join fx_teams t on t.team_id = a.team where a.allowed window w as (partition by a.team, a.minute order by a.r)"""

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from maskline.operators import evaluate, limits, scan
@@ -36,6 +37,13 @@ def frames(spark, calls):
     return spark.createDataFrame(calls, schema).repartition(6), teams, access, caps
 
 
+NO_LIMITS = Row(max_budget=None, rpm_limit=None, tpm_limit=None)
+
+
+def reached(used, limit):
+    return limit is not None and used >= limit
+
+
 def sequential(calls, teams, access, caps):
     """One call after the other."""
     limits_of = {t.team_id: t for t in teams.collect()}
@@ -47,18 +55,18 @@ def sequential(calls, teams, access, caps):
         provider_first.setdefault(provider, ts)
     minute, team_spend, provider_spend, out = defaultdict(lambda: [0, 0]), defaultdict(Decimal), defaultdict(Decimal), {}
     for call_id, ts, team, alias, provider, tin, tout, cost in sorted(calls, key=lambda c: (c[1], c[0])):
-        limit = limits_of[team]
+        limit = limits_of.get(team, NO_LIMITS)
         key = (team, ts.replace(second=0, microsecond=0))
         tp = (team, (ts - team_first[team]) // timedelta(days=DAYS))
         pp = (provider, (ts - provider_first[provider]) // timedelta(days=DAYS))
         if (team, alias) not in allowed:
             out[call_id] = (403, "access")
-        elif minute[key][0] >= limit.rpm_limit or minute[key][1] >= limit.tpm_limit:
+        elif reached(minute[key][0], limit.rpm_limit) or reached(minute[key][1], limit.tpm_limit):
             out[call_id] = (429, "rate")
         else:
             minute[key][0] += 1
             minute[key][1] += tin + tout
-            if team_spend[tp] >= limit.max_budget:
+            if reached(team_spend[tp], limit.max_budget):
                 out[call_id] = (422, "budget")
             elif provider in cap and provider_spend[pp] >= cap[provider]:
                 out[call_id] = (429, "provider cap")
@@ -77,6 +85,29 @@ def test_admission_equals_the_fold(spark, calls):
     assert {reason for _, reason in expected.values()} == {"access", "rate", "budget", "provider cap", "accepted"}
 
 
+def partial_limits(spark, calls):
+    """Calls without a team, of an unknown one, without a provider; limits that are null or missing."""
+    df, teams, access, caps = frames(spark, calls)
+    odd = [(i, ts, None if i % 17 == 0 else "zz" if i % 17 == 1 else team, alias, None if i % 13 == 0 else provider, *rest) for i, ts, team, alias, provider, *rest in calls]
+    rows = [("a", None, 6, None), ("b", Decimal("0.05"), None, 300), ("c", Decimal("0.02"), None, None)]
+    teams = spark.createDataFrame(rows, teams.schema)
+    access = access.unionByName(spark.createDataFrame([("zz", "small")], access.schema))
+    return odd, spark.createDataFrame(odd, df.schema).repartition(5), teams, access, caps
+
+
+def test_every_call_gets_one_decision(spark, calls):
+    odd, df, teams, access, caps = partial_limits(spark, calls)
+    expected = sequential(odd, teams, access, caps)
+    found = limits.admission(df, teams, access, caps, DAYS).collect()
+    assert len(found) == len(odd) and {r.call_id: (r.decision, r.reason) for r in found} == expected
+    rates = limits.rate_decisions(df, teams).collect()
+    assert len(rates) == len(odd) and all(r.decision == 200 for r in rates if r.team not in ("a", "b"))
+    assert {r.decision for r in rates if r.team == "a"} == {200, 429} and all(r.reset_at for r in rates if r.decision == 429)
+    budgets = limits.budget_decisions(df, teams, DAYS).collect()
+    assert len(budgets) == len(odd) and all(r.decision == 200 for r in budgets if r.team not in ("b", "c"))
+    assert {r.decision for r in budgets if r.team == "c"} == {200, 422}
+
+
 def test_running_totals_in_blocks(spark):
     rng = random.Random(5)
     rows = [(i, "hot" if i % 3 else str(i % 7), rng.randrange(100), Decimal(rng.randrange(1000)) / 1000) for i in range(3000)]
