@@ -143,8 +143,13 @@ SPANS_DDL = "block bigint, doc binary, start binary, end binary"
 
 
 def span_row(block: int, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict:
+    """One row of SPANS, spans that touch made one."""
     order = np.lexsort((start, doc))
-    return {"block": block, "doc": steps(doc[order]), "start": steps(start[order]), "end": steps(end[order])}
+    doc, start, end = doc[order], start[order], end[order]
+    until = np.maximum.accumulate(doc << 40 | end)
+    new = np.concatenate([[True], (doc << 40 | start)[1:] > until[:-1]])
+    ends = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
+    return {"block": block, "doc": steps(doc[new]), "start": steps(start[new]), "end": steps(until[ends] & (1 << 40) - 1)}
 
 
 def covered(n: int, at: np.ndarray, rows: list[dict]) -> np.ndarray:
@@ -154,4 +159,4 @@ def covered(n: int, at: np.ndarray, rows: list[dict]) -> np.ndarray:
         doc, start, end = unstep(row["doc"]), unstep(row["start"]), unstep(row["end"])
         np.add.at(change, at[doc] + start, 1)
         np.add.at(change, at[doc] + end, -1)
-    return np.cumsum(change[:n]) > 0
+    return np.cumsum(change[:n], dtype=np.int32) > 0

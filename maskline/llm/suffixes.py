@@ -5,9 +5,10 @@ larger groups get their next digit. Equal windows have the same anchor at the sa
 anchor's gram the first digit: one suffix stands for a run of windows. Its passes:
 
 1. The gram. Groups of one are unique; that ends nearly all suffixes.
-2. The whole run of windows around the anchor. Members of an equal group repeat as a whole. A group of the first digit
-   that falls apart here is contested: its members may still share some of their windows.
-3. The windows of one member of each contested group, through all `window` bytes. Equal groups are the repeated windows.
+2. The whole run of windows around the anchor: members of an equal group repeat as a whole. And, where a group of the
+   first digit falls apart here, half of a window's other bytes, after the gram and before it. A window holds one of the
+   two halves, so that its group must be one of several for the window to go on.
+3. The windows that are left, of one member of each group, through all `window` bytes. Equal groups are the repeated ones.
 
 Digits are 64-bit hashes of the bytes; a group's key is the digits of all its passes, so that members of a last group
 agree in 128 bits at least. Blocks send each distinct digit once, however often it occurs in them.
@@ -17,30 +18,66 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from maskline.llm.anchors import Anchors, anchors, hashes, mix
+from maskline.llm.anchors import BYTES, anchors, hashes, ladder, mix
 from maskline.llm.blocks import (
     SPANS, SPANS_DDL, Block, by_block, by_shard, covered, each_block, pack, span_row, spread, squeeze, steps, total_bytes, unstep,
     write_blocks,
 )
-from maskline.session import materialize
 
 #: Bytes of an anchor's gram; bytes of text per block and per shard of an exchange.
-GRAM, BLOCK, SHARD = 32, 16 << 20, 16 << 20
-REPEATED, CONTESTED = 1, 2
+GRAM, BLOCK, SHARD = 32, 8 << 20, 16 << 20
+REPEATED, AFTER, BEFORE = 1, 2, 4
 
 
-def runs(block: Block, window: int, gram: int) -> Iterator[tuple[Anchors, np.ndarray]]:
-    """Anchors of a block with a hash of all bytes of each one's run of windows."""
-    for found in anchors(block.data, block.starts, window, gram):
+class Runs(NamedTuple):
+    """Of a block's anchors: document, first and last window start, place of the anchor, hashes of the gram, of all bytes
+    of the run, and of the bytes after and before the gram that make up half of the rest of a window."""
+
+    doc: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    place: np.ndarray
+    gram: np.ndarray
+    whole: np.ndarray
+    after: np.ndarray
+    before: np.ndarray
+
+
+def runs(block: Block, window: int, gram: int) -> Runs:
+    half = (window - gram) // 2
+    parts = [Runs(*[np.zeros(0, np.int64)] * 4, *[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.uint32)] * 2)]
+    for a in anchors(block.data, block.starts, window, gram):
+        at = a.place + a.base
         # The first and the last window cover the run: they are less than a window apart.
-        whole = hashes(found.rungs, window, found.first + found.base)
-        whole = mix(whole ^ mix(hashes(found.rungs, window, found.last + found.base)))
-        yield found, mix(whole ^ ((found.last - found.first) << 32 | (found.place - found.first)).astype(np.uint64))
+        whole = hashes(a.rungs, window, a.first + a.base)
+        whole = mix(whole ^ mix(hashes(a.rungs, window, a.last + a.base)))
+        whole = mix(whole ^ ((a.last - a.first) << 32 | (a.place - a.first)).astype(np.uint64))
+        # Where the text ends before, there are no windows that need this digit.
+        after, before = hashes(a.rungs, half, at + gram), hashes(a.rungs, half, np.maximum(at - half, 0))
+        parts.append(Runs(a.doc, a.first, a.last, a.place, a.gram, whole, after.astype(np.uint32), before.astype(np.uint32)))
+    return Runs(*map(np.concatenate, zip(*parts, strict=True)))
+
+
+def windows(block: Block, begin: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place in the block) of n windows on from each begin; only their bytes are hashed."""
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    # About a megabyte of bytes at once.
+    for at in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n + window) >> 20)) + 1):
+        size = n[at] + window - 1
+        ends = np.cumsum(size)
+        if not len(at):
+            continue
+        inside = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        place = np.repeat(begin[at], size) + inside
+        whole = np.flatnonzero(inside <= np.repeat(size - window, size))
+        parts.append((hashes(ladder(BYTES[block.data[place]], window), window, whole), place[whole]))
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
 def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,19 +93,15 @@ def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
 def repeated_spans(blocks: DataFrame, shards: int, window: int, gram: int) -> DataFrame:
     """SPANS rows: every byte of a window that also starts elsewhere lies in one of them."""
     entry = pa.schema(
-        [("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("run", pa.binary()), ("often", pa.binary()), ("number", pa.binary())]
+        [("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("run", pa.binary()), ("after", pa.binary()), ("before", pa.binary()), ("often", pa.binary()), ("number", pa.binary())]
     )
 
-    def all_runs(block: Block) -> tuple[list[Anchors], np.ndarray, np.ndarray]:
-        found = list(runs(block, window, gram))
-        empty = [np.zeros(0, np.uint64)]
-        return [a for a, _ in found], np.concatenate([a.gram for a, _ in found] or empty), np.concatenate([w for _, w in found] or empty)
-
     def first_digits(block: Block) -> Iterator[dict]:
-        _, grams, whole = all_runs(block)
-        chosen, _, counts = distinct(grams, whole)
-        columns = {"run": whole[chosen], "often": counts > 1, "number": np.arange(len(chosen))}
-        yield from pack(block.number, grams[chosen], shards, columns, ("number",))
+        found = runs(block, window, gram)
+        chosen, _, counts = distinct(found.gram, found.whole)
+        columns = {"run": found.whole[chosen], "after": found.after[chosen], "before": found.before[chosen]}
+        columns |= {"often": counts > 1, "number": np.arange(len(chosen))}
+        yield from pack(block.number, found.gram[chosen], shards, columns, ("number",))
 
     def settle(rows: list[dict]) -> Iterator[dict]:
         rows.sort(key=lambda r: r["block"])
@@ -77,11 +110,12 @@ def repeated_spans(blocks: DataFrame, shards: int, window: int, gram: int) -> Da
         often = np.concatenate([spread(r["often"], bool) for r in rows])
         chosen, pair, counts = distinct(keys, run)
         again = (counts > 1) | (np.bincount(pair, weights=often) > 0)
-        _, gram_of_pair = np.unique(keys[chosen], return_inverse=True)
-        contested = np.bincount(gram_of_pair)[gram_of_pair] > 1
         told = np.where(again[pair], REPEATED, 0)
         # Of equal entries one, the first, goes on to the next pass.
-        told[chosen] |= np.where(contested, CONTESTED, 0)
+        for name, bit in (("after", AFTER), ("before", BEFORE)):
+            half = np.concatenate([spread(r[name], np.uint32) for r in rows])[chosen]
+            _, group, members = distinct(keys[chosen], half)
+            told[chosen] |= np.where(members[group] > 1, bit, 0)
         at = 0
         for r in rows:
             number = unstep(r["number"])
@@ -91,56 +125,55 @@ def repeated_spans(blocks: DataFrame, shards: int, window: int, gram: int) -> Da
                 yield {"block": r["block"], "number": steps(number[status > 0]), "status": squeeze(status[status > 0])}
 
     answer = pa.schema([("block", pa.int64()), ("number", pa.binary()), ("status", pa.binary())])
-    entries = each_block(blocks, first_digits, entry, "shard int, block bigint, keys binary, run binary, often binary, number binary")
+    entries = each_block(blocks, first_digits, entry, "shard int, block bigint, keys binary, run binary, after binary, before binary, often binary, number binary")
     statuses = by_shard(entries, settle, answer, "block bigint, number binary, status binary")
 
-    # Spans found whole have shard null; entries of the last digit have one.
+    # Spans known within the block pass the exchange as a shard of their own.
     last = pa.schema(
-        [("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("asks", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("end", pa.binary())]
+        [("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("asks", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("end", pa.binary())]
     )
-    last_ddl = "shard int, block bigint, keys binary, asks binary, doc binary, start binary, end binary"
+    last_ddl = "shard bigint, block bigint, keys binary, asks binary, doc binary, start binary, end binary"
 
     def last_digits(block: Block, rows: list[dict]) -> Iterator[dict]:
         if not rows:
             return
-        found, grams, whole = all_runs(block)
-        chosen, number, _ = distinct(grams, whole)
+        found = runs(block, window, gram)
+        chosen, number, _ = distinct(found.gram, found.whole)
         status = np.zeros(len(chosen), np.uint8)
         for row in rows:
             status[unstep(row["number"])] |= spread(row["status"])
-        own = status[number]
-        one = np.zeros(len(number), bool)
-        one[chosen] = True
-        doc = np.concatenate([a.doc for a in found])
-        first = np.concatenate([a.first for a in found])
-        end = np.concatenate([a.last for a in found]) + window
-        whole_span = (own & REPEATED) > 0
-        if whole_span.any():
-            yield span_row(block.number, doc[whole_span], first[whole_span], end[whole_span])
-        going = one & ((own & CONTESTED) > 0)
-        at, parts = 0, []
-        for a in found:
-            some = np.flatnonzero(going[at : at + len(a.doc)])
-            at += len(a.doc)
-            n = a.last[some] - a.first[some] + 1
-            anchor = np.repeat(some, n)
-            start = np.repeat(a.first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            digit = mix(hashes(a.rungs, window, start + a.base[anchor]) ^ mix(a.gram[anchor]))
-            parts.append((digit, a.doc[anchor], start, whole_span[at - len(a.doc) : at][anchor]))
-        digit, doc, start, settled = (np.concatenate(x) for x in zip(*parts, strict=True))
+        settled = (status[number] & REPEATED) > 0
+        if settled.any():
+            known = span_row(block.number, found.doc[settled], found.first[settled], found.last[settled] + window)
+            yield {"shard": -1 - block.number, **known}
+        some = chosen[(status & (AFTER | BEFORE)) > 0]
+        bits = status[(status & (AFTER | BEFORE)) > 0]
+        # Up to here windows end with half of their other bytes or more after the gram.
+        middle = found.place[some] - (window - gram - (window - gram) // 2)
+        first = np.where(bits & BEFORE, found.first[some], np.maximum(found.first[some], middle))
+        last = np.where(bits & AFTER, found.last[some], np.minimum(found.last[some], middle - 1))
+        some, first, last = some[first <= last], first[first <= last], last[first <= last]
+        n = last - first + 1
+        doc = np.repeat(found.doc[some], n)
+        digit, place = windows(block, block.starts[found.doc[some]] + first, n, window)
+        digit, start = mix(digit ^ mix(np.repeat(found.gram[some], n))), place - block.starts[doc]
+        settled = np.repeat(settled[some], n)
         if not len(digit):
             return
         chosen, pair, counts = distinct(digit, digit)
         # Within the block: those that repeat here are spans at once, and stay as witnesses.
         here = (counts > 1)[pair] & ~settled
         if here.any():
-            yield span_row(block.number, doc[here], start[here], start[here] + window)
+            yield {"shard": -1 - block.number, **span_row(block.number, doc[here], start[here], start[here] + window)}
         asks = np.bincount(pair, weights=~settled).astype(bool) & (counts == 1)
         order = chosen[np.lexsort((start[chosen], doc[chosen]))]
         columns = {"asks": asks[pair[order]], "doc": doc[order], "start": start[order]}
         yield from pack(block.number, digit[order], shards, columns, ("doc", "start"))
 
     def compare(rows: list[dict]) -> Iterator[dict]:
+        if rows[0]["shard"] < 0:
+            yield from ({c: r[c] for c in SPANS.names} for r in rows)
+            return
         keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
         asks = np.concatenate([spread(r["asks"], bool) for r in rows])
         _, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
@@ -154,9 +187,8 @@ def repeated_spans(blocks: DataFrame, shards: int, window: int, gram: int) -> Da
                 doc, start = unstep(r["doc"])[own], unstep(r["start"])[own]
                 yield span_row(r["block"], doc, start, start + window)
 
-    passed = materialize(by_block(blocks, statuses, last_digits, last, last_ddl))
-    found = by_shard(passed.where("shard is not null").drop("end"), compare, SPANS, SPANS_DDL)
-    return passed.where("shard is null").select("block", "doc", "start", "end").unionByName(found)
+    passed = by_block(blocks, statuses, last_digits, last, last_ddl)
+    return by_shard(passed, compare, SPANS, SPANS_DDL)
 
 
 def without_repeats(docs: DataFrame, window: int = 400, texts: bool = False) -> DataFrame:
