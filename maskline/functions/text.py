@@ -37,8 +37,12 @@ def quote(value: str) -> str:
 # of pieces: the text before the first match, then for each match its value, CLOSE, and the gap after it.
 
 
+def _pieces_by(text: str, pattern: str) -> str:
+    return f"split(regexp_replace({text}, {pattern}, '\\u0001$0\\u0002'), '\\u0001')"
+
+
 def _pieces(text: str, pattern: str) -> str:
-    return f"split(regexp_replace({text}, {quote(pattern)}, '\\u0001$0\\u0002'), '\\u0001')"
+    return _pieces_by(text, quote(pattern))
 
 
 # Starts of the matches: running sums of the piece lengths. Appending to one array would copy it for every match, so
@@ -57,7 +61,12 @@ def matches_sql(text: str, pattern: str) -> str:
 
     `text` must be free of the two control characters: see neutral().
     """
-    return f"""transform(array({_pieces(text, pattern)}), p -> IF(size(p) = 1, array(), transform({_STARTS}, (s, i) ->
+    return matches_by_sql(text, quote(pattern))
+
+
+def matches_by_sql(text: str, pattern: str) -> str:
+    """Same, the pattern being an expression."""
+    return f"""transform(array({_pieces_by(text, pattern)}), p -> IF(size(p) = 1, array(), transform({_STARTS}, (s, i) ->
       transform(array(substring_index(get(p, i + 1), '\\u0002', 1)), v ->
         struct(s AS start, s + length(v) AS `end`, v AS value))[0])))[0]"""
 

@@ -25,6 +25,7 @@ FIRST_NAMES = ["Alix", "Bruno", "Claire", "Didier", "Édith", "Fabien", "Gaëlle
 LAST_NAMES = ["Aubry", "Besson", "Chevalier", "Delmas", "Fabre", "Gaillard", "Humbert", "Lacroix", "Marchal", "Noël", "Perrin", "Roche"]
 STREETS = ["rue des Peupliers", "avenue du Stade", "place de la Mairie", "chemin des Vignes", "quai du Canal", "impasse du Lavoir"]
 COMPANIES = ["Société Nordique", "Atelier Beaulieu", "Groupe Verdon", "Comptoir Armor"]
+MAILBOXES = ["atelier", "contact.", "famille-", "bureau_", "client", "notes."]
 MAIL_DOMAINS = ["example.fr", "example.org", "example.net"]
 
 
@@ -44,127 +45,104 @@ class Pick:
     def digits(self, slot: str, n: int, low: int = 0) -> Column:
         return F.lpad(self.number(slot, low, 10**n - 1).cast("string"), n, "0")
 
-    def if_(self, slot: str, percent: int, then: Column, otherwise: Column) -> Column:
-        return F.when(self.number(slot, 1, 100) <= percent, then).otherwise(otherwise)
 
+def laid_out(p: Pick, slot: str, value: Column, masks: list[str]) -> Column:
+    """value in one of the layouts, each as likely as the others: a mask has a # for each of its characters in turn."""
 
-def spaced(value: Column, *sizes: int) -> Column:
-    parts, at = [], 1
-    for size in sizes:
-        parts.append(F.substring(value, at, size))
-        at += size
-    return F.concat_ws(" ", *parts)
+    def fill(v: Column, mask: str) -> Column:
+        parts, at = [], 1
+        for run in re.findall(r"#+|[^#]+", mask):
+            parts.append(F.substring(v, at, len(run)) if run[0] == "#" else F.lit(run))
+            at += len(run) if run[0] == "#" else 0
+        return F.concat(*parts)
+
+    return let(value, lambda v: F.get(F.array(*[fill(v, m) for m in masks]), p.number(f"{slot}.mask", 0, len(masks) - 1).cast("int")))
 
 
 def nir(p: Pick, slot: str) -> Column:
-    departments = [f"{n:02d}" for n in range(1, 96) if n != 20] + ["2A", "2B"]
+    two = lambda part, low, high: F.lpad(p.number(f"{slot}.{part}", low, high).cast("string"), 2, "0")
     body = F.concat(
-        p.number(slot + "sex", 1, 2).cast("string"), F.lpad(p.number(slot + "year", 50, 99).cast("string"), 2, "0"),
-        F.lpad(p.number(slot + "month", 1, 12).cast("string"), 2, "0"), p.one(slot + "dept", departments),
-        F.lpad(p.number(slot + "town", 1, 990).cast("string"), 3, "0"), p.digits(slot + "order", 3, 1),
+        p.one(f"{slot}.sex", ["1", "2"]), two("year", 0, 99), two("month", 1, 12), two("department", 21, 89),
+        p.digits(f"{slot}.town", 3, 100), p.digits(f"{slot}.order", 3, 100),
     )
     whole = let(body, lambda b: F.concat(b, F.lpad(checks.nir_key(b).cast("string"), 2, "0")))
-    return let(whole, lambda w: p.if_(slot + "layout", 50, w, spaced(w, 1, 2, 2, 2, 3, 3, 2)))
+    return laid_out(p, slot, whole, ["###############", "# ## ## ## ### ### ##", "############# ##"])
 
 
 def fiscal_number(p: Pick, slot: str) -> Column:
-    body = F.concat(p.number(slot + "first", 0, 3).cast("string"), p.digits(slot + "rest", 9))
+    body = F.concat(p.one(f"{slot}.first", ["0", "1", "2", "3"]), p.digits(f"{slot}.rest", 9))
     whole = let(body, lambda b: F.concat(b, F.lpad(checks.fiscal_key(b).cast("string"), 3, "0")))
-    return let(whole, lambda w: p.if_(slot + "layout", 40, w, spaced(w, 2, 2, 3, 3, 3)))
+    return laid_out(p, slot, whole, ["## ## ### ### ###", "#############", "#### ### ### ###"])
 
 
 def iban(p: Pick, slot: str) -> Column:
-    bban = F.concat(p.digits(slot + "a", 12), p.digits(slot + "b", 11))
+    bban = F.concat(p.digits(f"{slot}.bank", 10), p.digits(f"{slot}.account", 13))
     whole = let(bban, lambda b: F.concat(F.lit("FR"), checks.iban_key(F.lit("FR"), b), b))
-    return let(whole, lambda w: p.if_(slot + "layout", 30, w, spaced(w, 4, 4, 4, 4, 4, 4, 3)))
+    return laid_out(p, slot, whole, ["#### #### #### #### #### #### ###", "#" * 27, "#### ##### ##### ########### ##"])
 
 
 def card(p: Pick, slot: str) -> Column:
-    body = F.concat(p.one(slot + "brand", ["4", "5"]), p.number(slot + "bin", 1, 5).cast("string"), p.digits(slot + "rest", 13))
+    body = F.concat(p.one(f"{slot}.brand", ["40", "43", "51", "54", "60"]), p.digits(f"{slot}.rest", 13))
     digit = lambda b: F.pmod(F.lit(10) - checks.luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10))
     whole = let(body, lambda b: F.concat(b, digit(b).cast("string")))
-    return let(whole, lambda w: p.if_(slot + "layout", 30, w, spaced(w, 4, 4, 4, 4)))
+    return laid_out(p, slot, whole, ["#### #### #### ####", "####-####-####-####", "#" * 16])
 
 
 def phone(p: Pick, slot: str) -> Column:
-    national = F.concat(p.one(slot + "zone", ["13", "30", "42", "51", "61", "62", "76"]), p.digits(slot + "rest", 7))
-
-    def laid_out(n: Column) -> Column:
-        pairs = [F.substring(n, i, 2) for i in (2, 4, 6, 8)]
-        layout, first = p.number(slot + "layout", 0, 4), F.substring(n, 1, 1)
-        return (
-            F.when(layout == 0, F.concat_ws(" ", F.concat(F.lit("0"), first), *pairs))
-            .when(layout == 1, F.concat_ws(".", F.concat(F.lit("0"), first), *pairs))
-            .when(layout == 2, F.concat(F.lit("0"), n))
-            .when(layout == 3, F.concat_ws(" ", F.lit("+33"), first, *pairs))
-            .otherwise(F.concat_ws(" ", F.concat(F.lit("+33 (0)"), first), *pairs))
-        )
-
-    return let(national, laid_out)
+    national = F.concat(p.one(f"{slot}.zone", ["14", "22", "33", "45", "56", "64", "77", "97"]), p.digits(f"{slot}.rest", 7))
+    return laid_out(p, slot, national, ["0# ## ## ## ##", "0#-##-##-##-##", "+33#########", "0033 # ## ## ## ##"])
 
 
-def email(first: Column, last: Column, domain: Column) -> Column:
-    folded = lambda c: F.regexp_replace(F.translate(F.lower(c), "àâäçéèêëîïôöùûüÿ", "aaaceeeeiioouuuy"), "[ '’]", "")
-    return F.concat(folded(first), F.lit("."), folded(last), F.lit("@"), domain)
+def email(p: Pick, slot: str) -> Column:
+    return F.concat(p.one(f"{slot}.box", MAILBOXES), p.number(f"{slot}.n", 2, 8000).cast("string"), F.lit("@"), p.one(f"{slot}.domain", MAIL_DOMAINS))
 
 
 def valid_identifiers(ids: DataFrame, seed: int = 1) -> DataFrame:
     """ids (id) -> one value of every identifier type per row, check digits right, in several layouts."""
     p = Pick(seed, F.col("id"))
-    first, last = p.one("first", FIRST_NAMES), p.one("last", LAST_NAMES)
-    return ids.select(
-        "id", nir(p, "nir").alias("FR_NIR"), fiscal_number(p, "spi").alias("FR_FISCAL_NUMBER"), iban(p, "iban").alias("IBAN_CODE"),
-        card(p, "card").alias("CREDIT_CARD"), phone(p, "phone").alias("PHONE_NUMBER"),
-        email(first, last, p.one("domain", MAIL_DOMAINS)).alias("EMAIL_ADDRESS"),
-    )
+    makers = {
+        "FR_NIR": nir, "FR_FISCAL_NUMBER": fiscal_number, "IBAN_CODE": iban, "CREDIT_CARD": card, "PHONE_NUMBER": phone, "EMAIL_ADDRESS": email,
+    }
+    return ids.select("id", *[make(p, kind).alias(kind) for kind, make in makers.items()])
 
 
 def _values(p: Pick) -> dict[str, Column]:
     """The values that the templates of a row draw from, each worked out once."""
-    first, last, other_first, other_last = (p.one(s, xs) for s, xs in (
-        ("first", FIRST_NAMES), ("last", LAST_NAMES), ("other_first", FIRST_NAMES), ("other_last", LAST_NAMES)))
-    number = F.concat(p.number("number", 1, 180).cast("string"), p.one("bis", ["", "", "", " bis"]))
-    day = F.date_add(F.lit("2023-01-01").cast("date"), p.number("day", 0, 1200).cast("int"))
+    day = F.date_add(F.lit("2021-03-01").cast("date"), p.number("day", 0, 900).cast("int"))
+    amount = p.number("amount", 900, 700000)
     return {
-        "first": first,
-        "last": last,
-        "name": F.concat_ws(" ", first, last),
-        "other_last": other_last,
-        "other_name": F.concat_ws(" ", other_first, other_last),
-        "street": F.concat_ws(" ", number, p.one("street", STREETS)),
+        "name": F.concat_ws(" ", p.one("first", FIRST_NAMES), p.one("last", LAST_NAMES)),
+        "doctor": p.one("doctor", LAST_NAMES),
+        "street": F.concat_ws(" ", p.number("house", 2, 98).cast("string"), p.one("street", STREETS)),
         "town": p.one("town", [f"{code} {city}" for city, code in PLACES]),
         "city": p.one("city", [c for c, _ in PLACES]),
-        "mail": email(first, last, p.one("domain", MAIL_DOMAINS)),
+        "mail": email(p, "mail"),
         "phone": phone(p, "phone"),
         "iban": iban(p, "iban"),
         "nir": nir(p, "nir"),
         "fiscal": fiscal_number(p, "fiscal"),
         "card": card(p, "card"),
-        "ip": F.concat_ws(".", F.lit("81"), *[p.number(f"ip{i}", 1, 254).cast("string") for i in range(3)]),
-        "day": F.date_format(day, "dd/MM/yyyy"),
-        "amount": F.concat(p.number("amount", 40, 4000).cast("string"), F.lit(","), p.one("cents", ["00", "25", "80"]), F.lit(" €")),
-        "ref": F.concat(F.lit("réf. "), p.number("year", 2019, 2026).cast("string"), F.lit("-"), p.digits("file", 4)),
-        "company": F.concat(p.one("company", COMPANIES), F.lit(", SIRET "), spaced(p.digits("siret", 14, 10**13), 3, 3, 3, 5)),
+        "ip": F.concat_ws(".", *[p.number(f"ip.{i}", 11, 223).cast("string") for i in range(4)]),
+        "day": F.date_format(day, "d.M.yyyy"),
+        "amount": F.concat(F.floor(amount / 100).cast("string"), F.lit(","), F.lpad((amount % 100).cast("string"), 2, "0"), F.lit(" EUR")),
+        "ref": F.concat(F.lit("dossier "), p.number("file", 100, 99999).cast("string")),
+        "company": p.one("company", COMPANIES),
     }
 
 
-# Ten kinds of texts. A template names values in braces; `type:value` makes an annotated item of it, and
+# Kinds of texts. A template names values in braces; `type:value` makes an annotated item of it, and
 # `FR_ADDRESS:address` or `FR_ADDRESS:block` joins street and town on one line or two.
 TEMPLATES = {
-    "notice": "{PERSON:name}\n{FR_ADDRESS:block}\n\nPréavis de départ au {day}.\nCaution à verser sur {IBAN_CODE:iban}.\n"
-    "Téléphone : {PHONE_NUMBER:phone}\n",
-    "dispute": "Bonjour, un débit de {amount} du {day} sur ma carte {CREDIT_CARD:card} m'est inconnu. Connexion vue depuis "
-    "{IP_ADDRESS:ip}. Réponse à {EMAIL_ADDRESS:mail}.",
-    "text_message": "Salut {PERSON:first}, je suis à {LOCATION:city}, appelle-moi au {PHONE_NUMBER:phone} !",
-    "enrolment": "Nom : {PERSON:last}\nPrénom : {PERSON:first}\nVille : {LOCATION:city}\nN° de sécurité sociale : {FR_NIR:nir}\n"
-    "Courriel : {EMAIL_ADDRESS:mail}\nTarif : {amount}",
-    "tax_query": "Mme {PERSON:name}\n{FR_ADDRESS:address}\nNuméro fiscal : {FR_FISCAL_NUMBER:fiscal}\nMontant réclamé : {amount}, "
-    "échéance le {day}.",
-    "hosting": "Je soussigné {PERSON:name}, demeurant au {FR_ADDRESS:address}, héberge M. {PERSON:other_name} depuis le {day}.",
-    "absence": "Salarié : {PERSON:name}, NIR {FR_NIR:nir}. Arrêt du {day}, {ref}.",
-    "claim": "Assuré : {PERSON:name} ({EMAIL_ADDRESS:mail}). Remboursement de {amount} sur le compte {IBAN_CODE:iban}.",
-    "visit": "Bonjour Docteur {PERSON:other_last},\nrendez-vous le {day} pour mon fils {PERSON:first}. Tél. {PHONE_NUMBER:phone}.",
-    "reminder": "{company}\nM. {PERSON:name}\n{FR_ADDRESS:address}\nLoyer impayé : {amount}, {ref}. Compte : {IBAN_CODE:iban}.",
+    "parking_permit": "Carte de stationnement demandée par Mme {PERSON:name}. Domicile : {FR_ADDRESS:address}. "
+    "Justificatif attendu à {EMAIL_ADDRESS:mail} avant le {day}.",
+    "library": "Bibliothèque de {LOCATION:city} : {PERSON:name} a trois livres en retard depuis le {day}. "
+    "Amende de {amount}, renseignements au {PHONE_NUMBER:phone}.",
+    "payroll": "Bulletin de paie\n{PERSON:name}\n{FR_ADDRESS:block}\nN° de sécurité sociale {FR_NIR:nir}\n"
+    "Net versé : {amount}, virement sur {IBAN_CODE:iban}\n",
+    "tax_notice": "Avis du {day} : {PERSON:name}, numéro fiscal {FR_FISCAL_NUMBER:fiscal}, doit encore {amount}.",
+    "login_alert": "Connexion depuis {IP_ADDRESS:ip} au compte {EMAIL_ADDRESS:mail}. La carte {CREDIT_CARD:card} est bloquée, {ref}.",
+    "house_call": "Bonjour Dr {PERSON:doctor}, je serai à {LOCATION:city} le {day}. On peut m'appeler au {PHONE_NUMBER:phone}.",
+    "supplier": "{company}\nContact : M. {PERSON:name}\n{FR_ADDRESS:address}\nPaiement sur {IBAN_CODE:iban}, {ref}",
 }
 KINDS = list(TEMPLATES)
 
@@ -185,7 +163,7 @@ def _segments(template: str) -> str:
 
 
 def corpus_segments(ids: DataFrame, seed: int = 1) -> DataFrame:
-    """ids (id) -> (id, kind, segments); the kind goes round the ten kinds by id."""
+    """ids (id) -> (id, kind, segments); the kind goes round the kinds by id."""
     values = ids.select("id", *[v.alias(n) for n, v in _values(Pick(seed, F.col("id"))).items()])
     place = f"pmod(id, {len(KINDS)})"
     kinds = " ".join(f"WHEN {i} THEN {quote(kind)}" for i, kind in enumerate(KINDS))

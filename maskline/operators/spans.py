@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
+from maskline.functions.text import matches_by_sql, neutral
+from maskline.functions.text import words as words_of
 from maskline.operators.detect import boosted, context_word_in, near_words, sql_array
 
 
@@ -21,7 +23,10 @@ def boost_by_context(docs: DataFrame, spans: DataFrame, words: dict[str, list[st
     """Score raised when a context word of the recognizer is near; `words` maps recognizer to its ordered words."""
     texts = docs.select("doc_id", "text")
     joined = spans.drop("context_word").join(texts, "doc_id")
-    before = F.substring("text", F.lit(1), F.col("start"))
+    n = fixed.CONTEXT_WORDS_BEFORE
+    # The last words are nearly always in the end of what comes before; only if not is all of it cut into words.
+    end = F.substring("text", F.greatest(F.col("start") - 40 * n + 1, F.lit(1)), F.least(F.col("start"), F.lit(40 * n)))
+    before = F.when(F.size(words_of(end)) > n, end).otherwise(F.substring("text", F.lit(1), F.col("start")))
     value = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
     listed = F.expr(sql_array([]))
     for recognizer, its_words in words.items():
@@ -40,22 +45,33 @@ def filter_spans(spans: DataFrame, policy: DataFrame) -> DataFrame:
 def drop_contained(spans: DataFrame) -> DataFrame:
     """Drops a span contained in another of its type that has a higher score, or the same score and is longer.
 
-    One window per text, type and distinct score instead of all pairs: a span of the k-th best score is compared, at
-    level k, with the furthest end among spans of the k best scores that start no later.
+    Of equal spans one stays. All ranks before a rank are at most one block of ranks on each level of a binary tree:
+    where bit b of a span's rank is set, it is compared with the spans of the block before its own on level b, by the
+    furthest end among those that start no later. So a span is one row per level, not one per better score.
     """
     group = [F.col("doc_id"), F.col("entity_type")]
-    by_score = W.partitionBy(*group).orderBy(F.desc("score"))
-    ranked = spans.withColumn("_rank", F.dense_rank().over(by_score))
-    ranked = ranked.withColumn("_ranks", F.max("_rank").over(W.partitionBy(*group)))
-    leveled = ranked.withColumn("_level", F.explode(F.sequence("_rank", "_ranks")))
     tie = [c for c in ("recognizer", "value") if c in spans.columns]
-    before = (
-        W.partitionBy(*group, F.col("_level"))
-        .orderBy("start", F.desc("end"), "_rank", *tie)
-        .rowsBetween(W.unboundedPreceding, -1)
+    by_score = W.partitionBy(*group).orderBy(F.desc("score"))
+    ranked = spans.withColumn("_rank", (F.dense_rank().over(by_score) - 1).cast("bigint"))
+    ranked = ranked.withColumn("_id", F.row_number().over(W.partitionBy(*group).orderBy("_rank", "start", F.desc("end"), *tie)))
+    ranked = ranked.withColumn("_most", F.max("_rank").over(W.partitionBy(*group)))
+    # Level -1 is the span's own rank.
+    levels = F.sequence(F.lit(-1), F.length(F.bin("_most")) - 1)
+    leveled = ranked.withColumn("_level", F.explode(levels))
+    own = F.col("_level") < 0
+    asks = F.when(own, True).otherwise(F.expr("shiftright(_rank, greatest(_level, 0)) % 2 = 1"))
+    block = F.when(own, F.col("_rank")).otherwise(F.expr("shiftright(_rank, greatest(_level, 0) + 1)"))
+    leveled = leveled.withColumn("_asks", asks).withColumn("_block", block)
+    # On level -1 everything before in this order is a container; elsewhere what doesn't ask is.
+    told = F.when(own | ~F.col("_asks"), F.col("end"))
+    before = W.partitionBy(*group, "_level", "_block").orderBy("start", "_asks", F.desc("end"), "_id").rowsBetween(W.unboundedPreceding, -1)
+    reached = leveled.withColumn("_reach", F.when(F.col("_asks"), F.max(told).over(before)))
+    kept = reached.groupBy(*group, "_id").agg(
+        F.max(F.coalesce(F.col("_reach") >= F.col("end"), F.lit(False))).alias("_inside"), F.first(F.struct(*spans.columns)).alias("_span")
     )
-    reached = leveled.withColumn("_reach", F.max("end").over(before))
-    return reached.where("_level = _rank AND (_reach IS NULL OR _reach < end)").select(*spans.columns)
+    # The keys themselves, so that Spark knows that the rows are still where the keys put them.
+    keys = ("doc_id", "entity_type")
+    return kept.where("NOT _inside").select(*[c if c in keys else F.col("_span")[c].alias(c) for c in spans.columns])
 
 
 def merge_overlaps(spans: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -93,21 +109,7 @@ def _union_value(parts: Column, start: Column) -> Column:
     return F.aggregate(parts, F.struct(F.lit("").alias("text"), start.alias("end")), extend, lambda acc: acc["text"])
 
 
-def _positions_of(text: Column, value: Column) -> Column:
-    """All starts (from 0) of value in text, overlapping ones included: one locate() per occurrence."""
-    # A look-ahead matches at every occurrence, even overlapping ones; only their number is used.
-    found = F.regexp_extract_all(text, F.concat(F.lit("(?s)(?="), quoted(value), F.lit(")()")), F.lit(1))
-    return F.aggregate(
-        found,
-        F.array().cast("array<int>"),
-        lambda acc, _: F.array_append(
-            acc, _locate(value, text, F.coalesce(F.get(acc, F.size(acc) - 1) + 2, F.lit(1))) - 1
-        ),
-    )
-
-
-def _locate(value: Column, text: Column, start: Column) -> Column:
-    return F.call_function("locate", value, text, start)
+PATTERNS = {"exact": "concat('(?s)(?=', _literal, ')')", "folded": "concat('(?isu)(?=', _literal, ')')"}
 
 
 def quoted(value: Column) -> Column:
@@ -121,11 +123,13 @@ def locate_values(docs: DataFrame, values: DataFrame) -> DataFrame:
     A value that is not in its text gives one row at (-1, -1): a prediction that masks nothing.
     """
     joined = values.join(docs.select("doc_id", "text"), "doc_id")
-    exact = _positions_of(F.col("text"), F.col("value"))
-    folded = _positions_of(F.lower("text"), F.lower("value"))
+    # Zero-length look-aheads match at every occurrence, overlapping ones too; ignoring case, still in the text itself.
+    clean = joined.select("doc_id", "entity_type", "value", neutral(F.col("text")).alias("text"), quoted(F.col("value")).alias("_literal"))
+    found = {flags: F.expr(f"transform({matches_by_sql('text', pattern)}, m -> m.start)") for flags, pattern in PATTERNS.items()}
     starts = F.when(F.length("value") == 0, F.array().cast("array<int>")).otherwise(
-        F.when(F.contains(F.col("text"), F.col("value")), exact).otherwise(folded)
+        F.when(F.contains(F.col("text"), F.col("value")), found["exact"]).otherwise(found["folded"])
     )
+    joined = clean
     placed = joined.select("doc_id", "entity_type", "value", F.explode_outer(starts).alias("start"))
     return placed.select(
         "doc_id", "entity_type", "value",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from maskline import fixed_values as fixed
 from maskline.operators.detect import detect_all
 from maskline.operators.mask import apply_markers, assign_markers
-from maskline.operators.spans import drop_contained, merge_overlaps
+from maskline.operators.spans import drop_contained, filter_spans, merge_overlaps
 from maskline.session import materialize
 
 KEYS = ["conv_id", "turn"]
@@ -21,14 +21,25 @@ def message_spans(
     entities: list[str] = fixed.MASKED_ENTITIES,
     threshold: float = fixed.SCORE_THRESHOLD,
     language: str = "fr",
+    policy: DataFrame | None = None,
 ) -> DataFrame:
-    """Merged spans of every message with the text they cover, one narrow pass over the texts plus one on span rows."""
+    """Merged spans of every message with the text they cover, one narrow pass over the texts plus one on span rows.
+
+    policy (entity_type, action, threshold), a table of a row per type, takes the place of entities and threshold. Weak
+    spans go first: a span never drops one that scores higher. What is left is shuffled once, by message.
+    """
+    if policy is not None:
+        policy = policy.where("action = 'MASK'")
+        entities = [r["entity_type"] for r in policy.select("entity_type").distinct().collect()]
     docs = messages.select(F.struct(*KEYS).alias("doc_id"), F.lit(language).alias("lang"), "text")
     found = detect_all(docs, first_names, entities)
     if model_spans is not None:
         found = found.unionByName(model_spans, allowMissingColumns=True)
-    strong = drop_contained(found).where(F.col("entity_type").isin(entities) & (F.col("score") >= threshold))
-    return merge_overlaps(strong)
+    if policy is None:
+        strong = found.where(F.col("entity_type").isin(entities) & (F.col("score") >= threshold))
+    else:
+        strong = filter_spans(found, policy)
+    return merge_overlaps(drop_contained(strong.repartition("doc_id")))
 
 
 def mask_conversations(

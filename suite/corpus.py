@@ -4,27 +4,26 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
 from maskline.operators import corpus as c
 from maskline.session import shared_folder
 from maskline.sources import files
+from suite.fixtures import LETTER_TYPES
 from suite.registry import query
 
 _IDS = "select c_custkey as id from customer"
 # Items of each kind of text, as the templates declare them.
 _ITEMS = {
-    "notice": {"PERSON": 1, "FR_ADDRESS": 1, "IBAN_CODE": 1, "PHONE_NUMBER": 1},
-    "dispute": {"CREDIT_CARD": 1, "IP_ADDRESS": 1, "EMAIL_ADDRESS": 1},
-    "text_message": {"PERSON": 1, "LOCATION": 1, "PHONE_NUMBER": 1},
-    "enrolment": {"PERSON": 2, "LOCATION": 1, "FR_NIR": 1, "EMAIL_ADDRESS": 1},
-    "tax_query": {"PERSON": 1, "FR_ADDRESS": 1, "FR_FISCAL_NUMBER": 1},
-    "hosting": {"PERSON": 2, "FR_ADDRESS": 1},
-    "absence": {"PERSON": 1, "FR_NIR": 1},
-    "claim": {"PERSON": 1, "EMAIL_ADDRESS": 1, "IBAN_CODE": 1},
-    "visit": {"PERSON": 2, "PHONE_NUMBER": 1},
-    "reminder": {"PERSON": 1, "FR_ADDRESS": 1, "IBAN_CODE": 1},
+    "parking_permit": {"PERSON": 1, "FR_ADDRESS": 1, "EMAIL_ADDRESS": 1},
+    "library": {"LOCATION": 1, "PERSON": 1, "PHONE_NUMBER": 1},
+    "payroll": {"PERSON": 1, "FR_ADDRESS": 1, "FR_NIR": 1, "IBAN_CODE": 1},
+    "tax_notice": {"PERSON": 1, "FR_FISCAL_NUMBER": 1},
+    "login_alert": {"IP_ADDRESS": 1, "EMAIL_ADDRESS": 1, "CREDIT_CARD": 1},
+    "house_call": {"PERSON": 1, "LOCATION": 1, "PHONE_NUMBER": 1},
+    "supplier": {"PERSON": 1, "FR_ADDRESS": 1, "IBAN_CODE": 1},
 }
 _PROFILE = ", ".join(
     f"({i}, '{kind}', '{t}', {n})" for i, kind in enumerate(c.KINDS) for t, n in {**_ITEMS[kind], "TEXTS": 1}.items()
@@ -38,7 +37,7 @@ def corpus(t):
 _SIZES = ", ".join(f"({i}, '{kind}', {sum(_ITEMS[kind].values())})" for i, kind in enumerate(c.KINDS))
 
 
-@query("build_corpus", f"""select c_custkey as id, kind, items, true as exact, true as typed from customer join (values {_SIZES}) as k(i, kind, items) on k.i = c_custkey % 10""")
+@query("build_corpus", f"""select c_custkey as id, kind, items, true as exact, true as typed from customer join (values {_SIZES}) as k(i, kind, items) on k.i = c_custkey % {len(c.KINDS)}""")
 def build_corpus(t):
     """Every text: its kind, its items, whether each item lies where it says, and whether all types are known."""
     there = lambda e: F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"]) == e["value"]
@@ -49,7 +48,7 @@ def build_corpus(t):
 
 
 @query("corpus_profile", f"""select kind, entity_type, cast(sum(n) as bigint) as n from customer
-join (values {_PROFILE}) as p(i, kind, entity_type, n) on p.i = c_custkey % 10 group by kind, entity_type""")
+join (values {_PROFILE}) as p(i, kind, entity_type, n) on p.i = c_custkey % {len(c.KINDS)} group by kind, entity_type""")
 def corpus_profile(t):
     return c.corpus_profile(corpus(t))
 
@@ -79,23 +78,20 @@ def valid_identifiers(t):
         (F.left(spi, F.lit(10)).cast("bigint") % 511 == F.right(spi, F.lit(3)).cast("int")).alias("fiscal"),
         (half % 97 == 1).alias("iban"),
         (luhn % 10 == 0).alias("card"),
-        F.col("PHONE_NUMBER").rlike(r"^(?:0|\+33 ?(?:\(0\))?)[1-7](?:[ .]?[0-9]{2}){4}$").alias("phone"),
-        F.col("EMAIL_ADDRESS").rlike(r"^[a-z-]+\.[a-z-]+@example\.(?:fr|org|net)$").alias("mail"),
+        F.col("PHONE_NUMBER").rlike(r"^(?:0|\+33|0033 )[1-9](?:[ -]?[0-9]{2}){4}$").alias("phone"),
+        F.col("EMAIL_ADDRESS").rlike(r"^[a-z._-]+[0-9]+@example\.(?:fr|org|net)$").alias("mail"),
     )
 
 
-@query("render_segments", """select k as id, 'letter' as kind, text, n_items, cast(first_end as int) as first_end from (select k, (p0 || v0 || p1 || v1 || p2 || v2) as text, 3 as n_items,
-length(p0 || v0) as first_end from fx_parts) p""")
+@query("render_segments", """select g.doc_id as id, 'letter' as kind, l.text, g.entity_type as type, g.start, g."end", g.value from fx_gold g join fx_letters l on l.doc_id = g.doc_id""")
 def render_segments(t):
-    segment = lambda kind, value: F.struct(F.lit(kind).cast("string").alias("type"), F.col(value).alias("value"))
+    """Letters from all their parts: the text and every item with its place."""
+    segment = lambda kind, value: F.struct(F.lit(kind).cast("string").alias("type"), value.alias("value"))
+    pairs = [x for i, kind in enumerate(LETTER_TYPES) for x in (segment(None, F.col(f"p{i}")), segment(kind, F.col(f"v{i}")))]
     parts = t("fx_parts").select(
-        F.col("k").alias("id"), F.lit("letter").alias("kind"),
-        F.array(segment(None, "p0"), segment("PERSON", "v0"), segment(None, "p1"), segment("FR_ADDRESS", "v1"), segment(None, "p2"),
-                segment("PHONE_NUMBER", "v2")).alias("segments"),
-    )
-    return c.render_segments(parts).select(
-        "id", "kind", "text", F.size("entities").alias("n_items"), F.get("entities", F.lit(0))["end"].alias("first_end")
+        F.col("k").alias("id"), F.lit("letter").alias("kind"), F.array(*pairs, segment(None, F.lit("."))).alias("segments")
     )
+    return c.render_segments(parts).select("id", "kind", "text", F.inline("entities"))
 
 
 # Gold with mistakes: shifted in every ninth text, overlapping in every eighth.
@@ -179,7 +175,11 @@ _MASKED = ", ".join(f"'{e}'" for e in fixed.MASKED_ENTITIES)
 
 @query("read_masking_policy", f"select doc_id, start, 'MASK' as action from fx_spans where score >= 0.4 and entity_type in ({_MASKED})")
 def read_masking_policy(t):
-    policy = files.read_masking_policy(t.spark)
+    """The policy as a file, with a type that it doesn't mask."""
+    path = scratch(t)
+    rows = [(e, "MASK", fixed.SCORE_THRESHOLD) for e in fixed.MASKED_ENTITIES] + [("DATE_TIME", "KEEP", 0.0)]
+    t.spark.createDataFrame(rows, "entity_type string, action string, threshold double").write.json(path)
+    policy = files.read_masking_policy(t.spark, path).where("action = 'MASK'")
     return t("fx_spans").join(policy, "entity_type").where("score >= threshold").select("doc_id", "start", "action")
 
 
@@ -211,7 +211,14 @@ _LOG = """select call_id as seq, case when call_id % 4 = 0 then 'INFO call ' ||
 
 @query("read_request_log", """select call_id as seq, alias as model, 'It''s ' || cast(tokens_in as string) || ' é' as content, 2 as n_messages, false as unreadable from fx_calls where call_id % 4 <> 0""")
 def read_request_log(t):
-    bodies = files.request_bodies(t.sql(_LOG))
+    """The log as files: the sequence is their order, and the call is named in the line before the body."""
+    path = scratch(t)
+    t.sql(_LOG).repartition(3).sortWithinPartitions("seq").select(F.concat_ws("\n", F.concat(F.lit("call "), F.col("seq").cast("string")), "value")).write.text(path)
+    lines = files.log_lines(t.spark, path)
+    before = W.partitionBy("seq.file").orderBy("seq.line")
+    named = lines.withColumn("call", F.regexp_extract(F.lag("value").over(before), "^call ([0-9]+)$", 1))
+    calls = named.select(F.col("call").try_cast("bigint").alias("call"), "seq")
+    bodies = files.read_request_log(t.spark, path).join(calls, "seq").withColumn("seq", F.col("call"))
     return bodies.select("seq", "model", F.get("messages", F.lit(0))["content"].alias("content"), F.size("messages").alias("n_messages"), "unreadable")
 
 
@@ -227,10 +234,20 @@ def read_observations(t):
     return files.read_observations(t.spark, path, ["trace_id", "alias", "tokens_in"], project="f", alias="click")
 
 
-@query("metrics_tables", "select entity_type, count(*) as items from fx_gold group by entity_type")
+@query("metrics_tables", """select 'gold_counts' as section, entity_type, cast(count(*) as double) as n from fx_gold group by entity_type
+union all select 'left_in_clear', g.entity_type, cast(count(*) as double) from fx_gold g where not exists (
+  select 1 from fx_pred p where p.doc_id = g.doc_id and p.start <= g.start and p."end" >= g."end") group by g.entity_type
+union all select 'latency', alias, cast(quantile_cont(latency, 0.5) as double) from fx_calls group by alias""")
 def metrics_tables(t):
+    """Sections of a report, each written as a table and read back."""
     from maskline.operators import evaluate as e
 
     folder = scratch(t)
-    files.write_metrics({"gold_counts": e.gold_counts(t("fx_gold")), "scores": e.scores_per_type(t("fx_gold"), t("fx_pred"))}, folder)
-    return t.spark.read.parquet(f"{folder}/gold_counts")
+    # What one span covers as a whole isn't in clear; here no item needs two.
+    single = t.sql("""select g.* from fx_gold g left anti join fx_pred p on p.doc_id = g.doc_id and p.start <= g.start and p.`end` >= g.`end`""")
+    latency = e.latency_percentiles(t("fx_calls").select(F.col("alias").alias("variant"), F.col("latency").alias("ms")))
+    sections = {"gold_counts": e.gold_counts(t("fx_gold")), "left_in_clear": e.gold_counts(single), "latency": latency}
+    files.write_metrics(sections, folder)
+    read = {name: t.spark.read.parquet(f"{folder}/{name}") for name in sections}
+    row = lambda name, kind, n: read[name].select(F.lit(name).alias("section"), F.col(kind).alias("entity_type"), F.col(n).cast("double").alias("n"))
+    return row("gold_counts", "entity_type", "items").unionByName(row("left_in_clear", "entity_type", "items")).unionByName(row("latency", "variant", "p50"))

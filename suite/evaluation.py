@@ -179,7 +179,7 @@ def leaked_words(t):
     return l.leaked_words(annotated(t), t.sql(_SENT))
 
 
-_RECORDS = """select 'traces' as place, doc_id as record_id, text from fx_letters where doc_id % 40 = 0
+_RECORDS = """select 'traces' as place, doc_id as record_id, text from fx_letters
 union all select 'logs', conv_id * 1000 + turn, text || ' 06 10 04 86 11 luc.robin@example.org 87000 Limo' from conversations"""
 
 

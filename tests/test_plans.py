@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from maskline import schemas
 from maskline.operators import detect, evaluate, jobs, mask, retrieve, spans, usage
+from maskline.plans import masking
 from maskline.sources import files
 
 SPANS = "doc_id long, entity_type string, start int, end int, score double, value string"
@@ -65,3 +66,15 @@ def test_answers_meet_their_markers_on_both_keys(spark, tmp_path):
     answers = written(spark, tmp_path, "answers", [], "answer_id long, conv_id long, text string")
     markers = written(spark, tmp_path, "markers", [], "conv_id long, marker string, value string")
     assert "Cartesian" not in plan(mask.unmask_answers(answers, markers).select(F.col("unmasked_text")))
+
+
+def test_message_spans_are_shuffled_once(spark, tmp_path):
+    messages = written(spark, tmp_path, "messages", [(1, 1, "x")], "conv_id long, turn long, text string")
+    p = plan(masking.message_spans(messages))
+    assert p.count("Exchange hashpartitioning") == 1
+    names = spark.sql("SELECT * FROM VALUES ('Jean') AS n(name)")
+    policy = spark.sql("SELECT * FROM VALUES ('EMAIL_ADDRESS', 'MASK', 0.4D), ('IP_ADDRESS', 'KEEP', 0.4D) AS p(entity_type, action, threshold)")
+    masked, markers = masking.mask_conversations(
+        spark.createDataFrame([(1, 1, "jo@site.ai, 10.1.2.3, Jean")], "conv_id long, turn long, text string"), names, policy=policy
+    )
+    assert [r.masked_text for r in masked.collect()] == ["<EMAIL_ADDRESS_1>, 10.1.2.3, Jean"] and markers.count() == 1
