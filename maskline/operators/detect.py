@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from maskline import fixed_values as fixed
 from maskline.functions import checks, patterns
 from maskline.functions.text import last_words, matches_around_sql, matches_near_sql, matches_sql, neutral, quote, words
-from maskline.session import small
 
 SPAN_COLUMNS = [
     "doc_id", "start", "end", "entity_type", "score", "recognizer", "original_score", "context_word", "checksum",
@@ -343,7 +342,7 @@ def known_names(runs: DataFrame, first_names: DataFrame) -> DataFrame:
     # One short row per distinct word, in order of first occurrence; titled runs need none.
     distinct = F.array_distinct(F.regexp_extract_all("run_value", F.lit(f"({patterns.NAME_WORD})"), F.lit(0)))
     looked_up = F.when(F.col("titled"), F.array(F.lit(None).cast("string"))).otherwise(distinct)
-    dictionary = small(first_names.select(F.col("name").alias("known")).distinct())
+    dictionary = first_names.select(F.col("name").alias("known")).distinct()
     hits = (
         runs.select("*", F.posexplode(looked_up).alias("nth", "word"))
         .join(dictionary, F.col("word") == F.col("known"), "left")

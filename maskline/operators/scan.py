@@ -44,3 +44,19 @@ def positions(df: DataFrame, keys: list[str], order: list[str], name: str) -> Da
     blocked = ordered_blocks(df, [*keys, *order])
     numbered = running_before(blocked, keys, order, {name: F.lit(1)})
     return numbered.withColumn(name, (F.col(name) + 1).cast("bigint")).drop(BLOCK)
+
+
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """(keys, p<share in %>): the smallest value that at least the share of the group's values do not exceed; nulls left out.
+
+    Equal values are counted first, and ranks come from blocks: exact, for groups of any size.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    ranked = running_before(ordered_blocks(counted, [*keys, value]), keys, [value], {"_before": F.col("_n")})
+    sizes = counted.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("_n").alias("_size"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rank = lambda share: F.ceil(F.lit(share) * F.col("_size"))
+    found = lambda share: F.max(F.when((F.col("_before") < rank(share)) & (rank(share) <= F.col("_before") + F.col("_n")), F.col(value)))
+    return ranked.join(sizes, same).groupBy(*keys).agg(*[found(s).alias(f"p{round(s * 100)}") for s in shares])

@@ -6,9 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+WRITTEN: list[str] = []
 
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
@@ -47,12 +46,12 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/maskline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a dimension whose size was counted and is within the bound; unchanged beyond it.
-
-    The count stops at the bound, and the join falls back to Spark's own choice (sort-merge with skew handling).
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def forget(spark: SparkSession) -> None:
+    """Deletes the tables that materialize() has written so far; frames that read them can no longer be used."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

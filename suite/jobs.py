@@ -98,7 +98,7 @@ def jobs_without_key(t):
     return j.jobs_without_key(j.parse_jobs(t("fx_job_messages")), keys).select("message_id", "team", "reason")
 
 
-OUTCOME = "case when status between 200 and 299 then 'done' when status = 429 then 'backoff' when status between 400 and 499 and status <> 408 then 'dead' else 'retry' end"
+OUTCOME = "case when status between 200 and 299 then 'done' when status = 429 then 'backoff' when status < 500 and status <> 408 then 'dead' else 'retry' end"
 
 
 @query("classify_outcome", f"select attempt_id, status, {OUTCOME} as outcome from fx_attempts")
@@ -161,10 +161,9 @@ def job_metrics(t):
 
 # --- Retrieval -------------------------------------------------------------------------------------------------------
 
-# Five queries in a hundred vectors; a passage is a candidate of the queries that share its remainder.
+# Every twentieth vector is a query; all others are its passages.
 _CANDIDATES = """select q.vec_id as query_id, p.vec_id as passage_id, q.label = p.label as right_one, q.embedding as a, p.embedding as b
-from (select * from embeddings where vec_id % 20 = 0) q join embeddings p on p.vec_id % 10 = (q.vec_id / 20) % 10 and p.vec_id <> q.vec_id"""
-_CANDIDATES = _CANDIDATES.replace("(q.vec_id / 20) % 10", "cast(q.vec_id / 20 as bigint) % 10")
+from (select * from embeddings where vec_id % 20 = 0) q join embeddings p on p.vec_id <> q.vec_id"""
 _SCORED = f"select query_id, passage_id, right_one, round(list_cosine_similarity(a, b), 4) as score from ({_CANDIDATES}) c"
 
 
@@ -200,9 +199,13 @@ def rerank_cosine(t):
     return ranked.groupBy("query_id").agg(F.count("*").alias("candidates"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best"))
 
 
-@query("truncate_pairs", "select doc_id, array_to_string(string_split(text, ' ')[1:512], ' ') as text from documents")
+_QUESTION = "select doc_id, 'texts from ' || source as query, text from documents"
+
+
+@query("truncate_pairs", f"select doc_id, query, array_to_string(string_split(text, ' ')[1:509], ' ') as text from ({_QUESTION}) q")
 def truncate_pairs(t):
-    return r.truncate_pairs(t("documents").select("doc_id", "text"))
+    """A reader of 512 words, of which the question takes three."""
+    return r.truncate_pairs(t.sql(_QUESTION), 512)
 
 
 @query("recall_at_k", f"""select count(*) as queries, count(*) filter (where hit) as hits, count(*) filter (where hit) / count(*) as recall from (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
@@ -156,7 +158,10 @@ def project_isolation(t):
 
 @query("lead_visibility", """select m.account, c.call_id from fx_calls c join fx_members m on m.team = c.team or m.team = '*'""")
 def lead_visibility(t):
-    return u.lead_visibility(t("fx_calls"), t("fx_members"))
+    """What each account sees: a filter per account."""
+    accounts = [r["account"] for r in t("fx_members").select("account").distinct().orderBy("account").collect()]
+    seen = [u.lead_visibility(t("fx_calls"), t("fx_members"), a).select(F.lit(a).alias("account"), "call_id") for a in accounts]
+    return reduce(lambda x, y: x.unionByName(y), seen)
 
 
 _CHARGED = "select team, cast(cost + case when call_id % 1000 = 5 and team = 'm' then 0.0000000001 else 0 end as decimal(30,10)) as cost from fx_priced"
