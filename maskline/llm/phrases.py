@@ -25,7 +25,6 @@ from maskline.llm.blocks import (
     SPANS, SPANS_DDL, Block, by_block, by_shard, covered, each_block, pack, span_row, spread, total_bytes, unstep, write_blocks,
 )
 from maskline.llm.words import Words
-from maskline.session import materialize
 
 #: Words of a phrase; bytes of text per block (its automaton is in memory) and per shard of an exchange.
 PHRASE, BLOCK, SHARD = 5, 4 << 20, 16 << 20
@@ -39,15 +38,24 @@ def phrase_automaton(phrases: list[str]) -> ahocorasick.Automaton:
     return found
 
 
-def occurrences(words: list[str], automaton: ahocorasick.Automaton) -> list[int]:
-    """Numbers of the words at which a phrase of the automaton (a space before and after) starts."""
-    text = f" {' '.join(words)} "
-    begins = [end - length + 1 for end, length in automaton.iter(text)]
-    if not begins:
-        return []
-    # Place of the space before each word.
-    places = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-    return np.searchsorted(places, np.unique(begins)).tolist()
+def spaced(data: np.ndarray, words: Words, chosen: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(the chosen words with one space before each and one at the end, the byte places of the spaces before)."""
+    size = words.end[chosen] - words.start[chosen] + 1
+    begins = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(begins - words.start[chosen] + 1, size)
+    out = data[np.maximum(place, 0)]
+    out[begins] = 0x20
+    return out.tobytes() + b" ", begins
+
+
+def occurrences(text: bytes, places: np.ndarray, automaton: ahocorasick.Automaton) -> np.ndarray:
+    """Numbers of the words (each after the space at its place) at which a phrase of the automaton starts."""
+    begins = np.unique([end - length + 1 for end, length in automaton.iter(text.decode())])
+    if not text.isascii():
+        # The automaton counts letters: bytes that don't continue one.
+        letters = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+        places = (np.cumsum(letters) - 1)[places]
+    return np.searchsorted(places, begins)
 
 
 def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
@@ -77,11 +85,11 @@ def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> D
     answer = pa.schema([("block", pa.int64()), ("grams", pa.binary())])
     phrases = by_shard(entries, settle, answer, "block bigint, grams binary")
 
-    # Windows that start earlier in the same block have shard null; the first of each kind goes on.
+    # Spans known within the block pass the exchange as a shard of their own; the first window of each kind is compared.
     last = pa.schema(
-        [("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("doc_id", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("end", pa.binary())]
+        [("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("doc_id", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("end", pa.binary())]
     )
-    last_ddl = "shard int, block bigint, keys binary, doc_id binary, doc binary, start binary, end binary"
+    last_ddl = "shard bigint, block bigint, keys binary, doc_id binary, doc binary, start binary, end binary"
 
     def locate(block: Block, rows: list[dict]) -> Iterator[dict]:
         if not rows:
@@ -102,7 +110,7 @@ def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> D
         for doc in range(len(block.doc_ids)):
             a, b = int(words.of_doc[doc]), int(words.of_doc[doc + 1])
             if b - a >= window:
-                met[[a + i for i in occurrences([text(i) for i in range(a, b)], automaton)]] = True
+                met[a + occurrences(*spaced(block.data, words, np.arange(a, b)), automaton)] = True
         parts = []
         for a in found:
             some = np.flatnonzero(met[words.of_doc[a.doc] + a.place])
@@ -119,13 +127,16 @@ def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> D
         later = np.concatenate([[False], key[order][1:] == key[order][:-1]])
         if later.any():
             gone = order[later]
-            yield span_row(block.number, doc[gone], start[gone], start[gone] + window)
+            yield {"shard": -1 - block.number, **span_row(block.number, doc[gone], start[gone], start[gone] + window)}
         kept = order[~later]
         kept = kept[np.lexsort((start[kept], doc[kept]))]
         columns = {"doc_id": ids[doc[kept]], "doc": doc[kept], "start": start[kept]}
         yield from pack(block.number, key[kept], shards, columns, ("doc_id", "doc", "start"))
 
     def compare(rows: list[dict]) -> Iterator[dict]:
+        if rows[0]["shard"] < 0:
+            yield from ({c: r[c] for c in SPANS.names} for r in rows)
+            return
         sizes = [len(r["keys"]) // 8 for r in rows]
         key = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
         block = np.repeat(np.array([r["block"] for r in rows]), sizes)
@@ -140,9 +151,8 @@ def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> D
             if len(own):
                 yield span_row(r["block"], doc[own], start[own], start[own] + window)
 
-    passed = materialize(by_block(blocks, phrases, locate, last, last_ddl))
-    across = by_shard(passed.where("shard is not null").drop("end"), compare, SPANS, SPANS_DDL)
-    return passed.where("shard is null").select("block", "doc", "start", "end").unionByName(across)
+    located = by_block(blocks, phrases, locate, last, last_ddl)
+    return by_shard(located, compare, SPANS, SPANS_DDL)
 
 
 def without_repeated_phrases(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -164,19 +174,8 @@ def without_repeated_phrases(docs: DataFrame, window: int = 20) -> DataFrame:
         for k, doc_id in enumerate(block.doc_ids):
             a, b = int(words.of_doc[k]), int(words.of_doc[k + 1])
             own = np.flatnonzero(~gone[a:b]) + a
-            text = joined(block.data, words, own)
+            text = spaced(block.data, words, own)[0][1:-1]
             yield {"doc_id": doc_id, "n_words": b - a, "n_removed": b - a - len(own), "kept_sha256": hashlib.sha256(text).hexdigest()}
 
     return by_block(blocks, spans, cut, schema, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
-
-def joined(data: np.ndarray, words: Words, chosen: np.ndarray) -> bytes:
-    """The chosen words with one space between them."""
-    if not len(chosen):
-        return b""
-    size = words.end[chosen] - words.start[chosen] + 1
-    ends = np.cumsum(size)
-    place = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(words.start[chosen], size)
-    out = data[np.minimum(place, len(data) - 1)]
-    out[ends - 1] = 0x20
-    return out[:-1].tobytes()
