@@ -47,6 +47,8 @@ TEMPLATES = {
     "All rights reserved": "All rights reserved.",
 }
 
+#: Documents handled at once.
+ROWS = 512
 #: Bytes of a word: letters, digits and whatever isn't ASCII.
 WORD = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])
 FIELDS = [
@@ -169,7 +171,8 @@ def license_spans(
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(FIELDS)
-        for part in parts:
+        # Some rows at a time: arrays take several times the room of the texts.
+        for part in (batch.slice(at, ROWS) for batch in parts for at in range(0, len(batch), ROWS)):
             data, starts = utf8(part["text"])
             words = words_of(data, starts)
             place, template, inside = index.hits(grams_of(words, gram))

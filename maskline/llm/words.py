@@ -37,15 +37,18 @@ class Words:
         self.end = np.sort(np.concatenate([np.flatnonzero(edge == -1), joint]))
         self.of_doc = np.searchsorted(self.start, starts)
         # A sum of a number per byte times a power of its place, less the sum before the word, moved to the word's start:
-        # all modulo 2 ** 64, where the powers have inverses.
-        n = len(data)
-        at = np.arange(n) % _STRETCH
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTES[data] * _POWERS[at], out=sums[1:])
-        cut = self.start // _STRETCH != (self.end - 1) // _STRETCH
-        self.hash = (sums[self.end] - sums[self.start]) * _BACK[self.start % _STRETCH]
-        for k in np.flatnonzero(cut).tolist():  # words over the edge of a stretch: one in thousands
-            own = BYTES[data[self.start[k] : self.end[k]]]
-            powers = np.cumprod(np.full(len(own), _POWER)) if len(own) > _STRETCH else _POWERS[: len(own)]
-            self.hash[k] = ((own * powers).sum(keepdims=True) * _BACK[:1])[0]
+        # all modulo 2 ** 64, where the powers have inverses. Stretch by stretch, so that little is in memory.
+        self.hash = np.zeros(len(self.start), np.uint64)
+        for base in range(0, len(data), _STRETCH):
+            own = BYTES[data[base : base + _STRETCH]]
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(own * _POWERS[: len(own)], out=sums[1:])
+            first, until = np.searchsorted(self.start, [base, base + _STRETCH])
+            whole = until - 1 if until > first and self.end[until - 1] > base + _STRETCH else until
+            begin, end = self.start[first:whole] - base, self.end[first:whole] - base
+            self.hash[first:whole] = (sums[end] - sums[begin]) * _BACK[begin]
+            if whole < until:  # a word over the edge
+                own = BYTES[data[self.start[whole] : self.end[whole]]]
+                powers = np.cumprod(np.full(len(own), _POWER)) if len(own) > _STRETCH else _POWERS[: len(own)]
+                self.hash[whole] = ((own * powers).sum(keepdims=True) * _BACK[:1])[0]
         self.hash = mix(self.hash ^ (self.end - self.start).astype(np.uint64) * BYTES[7])
