@@ -7,6 +7,8 @@ call, so totals over all calls equal totals over accepted calls up to it, and a
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,13 +33,18 @@ def _minute(ts: Column) -> Column:
     return F.date_trunc("minute", ts)
 
 
-def _rated(blocked: DataFrame, keys: DataFrame) -> DataFrame:
+def _rated(blocked: DataFrame, keys: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """Blocked calls with `within_rate`: requests and tokens of the team's minute so far, both under the limits. A limit
-    that is null, or of a team without a row, limits nothing."""
+    that is null, or of a team without a row, limits nothing. carried (team, minute, requests, tokens) came before."""
     minute = blocked.withColumn("minute", _minute(F.col("ts")))
     counted = running_before(
         minute, ["team", "minute"], ORDER, {"_requests": F.lit(1), "_tokens": F.col("tokens_in") + F.col("tokens_out")}
     )
+    if carried is not None:
+        counted = counted.join(carried, ["team", "minute"], "left")
+        for name in ("requests", "tokens"):
+            counted = counted.withColumn(f"_{name}", F.col(f"_{name}") + F.coalesce(name, F.lit(0)))
+        counted = counted.drop("requests", "tokens")
     limits = keys.select(F.col("team_id").alias("team"), "rpm_limit", "tpm_limit")
     under = lambda used, limit: F.coalesce(F.col(used) < F.col(limit), F.lit(True))
     within = under("_requests", "rpm_limit") & under("_tokens", "tpm_limit")
@@ -130,7 +137,8 @@ def _open_cost(calls: DataFrame, key: str, closed: DataFrame | None) -> DataFram
     if closed is None:
         return calls.withColumn("open_cost", F.col("cost"))
     judged = _with_stop(calls, closed, key, f"{key}_period", "_refused")
-    return judged.withColumn("open_cost", F.when(F.col("_refused"), F.lit(0)).otherwise(F.col("cost")).cast("decimal(30,10)"))
+    refused = F.col("_refused") & ~F.col("settled")
+    return judged.withColumn("open_cost", F.when(refused, F.lit(0)).otherwise(F.col("cost")).cast("decimal(30,10)"))
 
 
 def admission(calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataFrame, days: int = 30) -> DataFrame:
@@ -143,25 +151,58 @@ def admission(calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataF
     only, so each round settles at least the next one in time: the fixed point is the sequential answer, and there are
     at most as many rounds as stops, of which a team or provider has one per period.
     """
-    open_ = access_decisions(calls, access)
-    refused = open_.where("NOT allowed").select("call_id", F.lit(403).alias("decision"), F.lit("access").alias("reason"))
-    narrow = open_.where("allowed").select(*ORDER, "team", "provider", "tokens_in", "tokens_out", "cost")
-    rated = materialize(_rated(ordered_blocks(narrow, ORDER), teams))
-    limited = rated.where("NOT within_rate").select("call_id", F.lit(429).alias("decision"), F.lit("rate").alias("reason"))
-
+    return admitted(calls, teams, access, caps, days).select("call_id", "decision", "reason")
+
+
+class Carried(NamedTuple):
+    """What earlier calls leave to later ones, a few rows per team and provider."""
+
+    #: (kind, key, first): first call of each team and provider.
+    firsts: DataFrame
+    #: (team, provider, team_period, provider_period, spent) of accepted calls.
+    spent: DataFrame
+    #: (team, minute, requests, tokens) of calls with access.
+    minutes: DataFrame
+
+
+def first_calls(calls: DataFrame, earlier: Carried | None = None) -> DataFrame:
+    """(kind, key, first) of teams and providers."""
+    found = [calls.select(F.lit(kind).alias("kind"), F.col(kind).alias("key"), "ts") for kind in ("team", "provider")]
+    rows = found[0].unionByName(found[1]).where("key IS NOT NULL")
+    if earlier is not None:
+        rows = rows.unionByName(earlier.firsts.withColumnRenamed("first", "ts"))
+    return rows.groupBy("kind", "key").agg(F.min("ts").alias("first"))
+
+
+def admitted(
+    calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataFrame, days: int = 30, earlier: Carried | None = None
+) -> DataFrame:
+    """calls, all later than what `earlier` sums up, with `decision`, `reason`, `team_period` and `provider_period`."""
+    open_ = access_decisions(calls.select("call_id", "ts", "team", "alias", "provider", "tokens_in", "tokens_out", "cost"), access)
+    told = ["call_id", "ts", "team", "provider", "tokens_in", "tokens_out", "cost"]
+    verdict = lambda df, code, why: df.select(*told, F.lit(code).alias("decision"), F.lit(why).alias("reason"))
+    refused = verdict(open_.where("NOT allowed"), 403, "access")
+    narrow = open_.where("allowed").select(*told)
+    rated = materialize(_rated(ordered_blocks(narrow, ORDER), teams, earlier.minutes if earlier else None))
+    limited = verdict(rated.where("NOT within_rate"), 429, "rate")
+
+    firsts = materialize(first_calls(calls, earlier))
     budgets = teams.select(F.col("team_id").alias("team"), "max_budget")
-    first = lambda key: F.min("ts").alias(f"{key}_first")
+    first = lambda kind: firsts.where(F.col("kind") == kind).select(F.col("key").alias(kind), F.col("first").alias(f"{kind}_first"))
     since = lambda key: F.floor(
         (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col(f"{key}_first").cast("timestamp"))) / (days * 86400 * 1000000)
     ).cast("int").alias(f"{key}_period")
-    candidates = rated.where("within_rate").select(BLOCK, *ORDER, "team", "provider", "cost")
-    candidates = (
-        candidates.join(materialize(calls.groupBy("team").agg(first("team"))), "team")
-        .join(materialize(calls.groupBy("provider").agg(first("provider"))), "provider", "left")
-        .join(budgets, "team", "left")
-        .join(caps.select("provider", "cap"), "provider", "left")
-    )
-    candidates = materialize(candidates.select(BLOCK, *ORDER, "team", "provider", "cost", "max_budget", "cap", since("team"), since("provider")))
+    candidates = rated.where("within_rate").join(first("team"), "team").join(first("provider"), "provider", "left")
+    candidates = candidates.select(BLOCK, *told, F.lit(False).alias("settled"), since("team"), since("provider"))
+    if earlier is not None:
+        # What has been spent is a call before all others, which nothing refuses any more.
+        before = earlier.spent.withColumnRenamed("spent", "cost").select(
+            "*", F.lit(-1).alias(BLOCK), F.lit(-1).cast("bigint").alias("call_id"), F.lit(True).alias("settled"),
+            F.timestamp_seconds(F.lit(0)).cast(dict(calls.dtypes)["ts"]).alias("ts"),
+        )
+        candidates = candidates.unionByName(before, allowMissingColumns=True)
+    candidates = candidates.join(budgets, "team", "left").join(caps.select("provider", "cap"), "provider", "left")
+    candidates = materialize(candidates)
 
     budgeted, capped = candidates.where("max_budget IS NOT NULL"), candidates.where("cap IS NOT NULL")
     team_stops = provider_stops = None
@@ -183,8 +224,8 @@ def admission(calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataF
     judged = _with_stop(judged, provider_stops, "provider", "provider_period", "over_cap")
     decision = F.when(F.col("over_budget"), 422).when(F.col("over_cap"), 429).otherwise(200)
     reason = F.when(F.col("over_budget"), "budget").when(F.col("over_cap"), "provider cap").otherwise("accepted")
-    final = judged.select("call_id", decision.alias("decision"), reason.alias("reason"))
-    return refused.unionByName(limited).unionByName(final)
+    final = judged.where("NOT settled").select(*told, decision.alias("decision"), reason.alias("reason"), "team_period", "provider_period")
+    return final.unionByName(refused.unionByName(limited), allowMissingColumns=True)
 
 
 def _same(a: DataFrame, b: DataFrame) -> bool:

@@ -45,8 +45,8 @@ ATTEMPT = T.StructType([
 ])
 CALL = T.StructType([
     T.StructField("call_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("team", T.StringType()),
-    T.StructField("alias", T.StringType()), T.StructField("tokens", T.LongType()),
-    T.StructField("cost", T.DecimalType(30, 10)),
+    T.StructField("alias", T.StringType()), T.StructField("provider", T.StringType()), T.StructField("tokens_in", T.LongType()),
+    T.StructField("tokens_out", T.LongType()), T.StructField("cost", T.DecimalType(30, 10)),
 ])
 CHUNK = T.StructType([
     T.StructField("answer_id", T.LongType()), T.StructField("conv_id", T.LongType()),

@@ -1,76 +1,84 @@
-"""Live limits: access, rate and budget of each team on a stream of calls, in order of arrival."""
+"""Live limits: access, rate, budget and provider cap on a stream of calls.
 
-from __future__ import annotations
+Each micro-batch is decided as a whole by the batch operator, which works in blocks: no team is one task or one Python
+loop. What earlier calls leave behind (first calls, spend per period, the last minute's requests and tokens) is a few rows
+per team and provider, written with the batch. Calls that are earlier than what is decided already cannot be decided any
+more; they go to a table of their own.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-SCALE = 10**10
-DECISION = "call_id long, team string, decision int, reason string"
-# Spend is kept in whole units of 1e-10, so that sums are exact.
-STATE = "first_us long, period long, spent long, minute long, requests long, tokens long"
+from pyspark.sql.streaming import StreamingQuery
 
+from maskline.operators.limits import Carried, admitted, first_calls
+from maskline.session import materialize
 
-def _decide(days: int):
-    length = days * 86400 * 1_000_000
+HORIZON = "ts timestamp, call_id bigint"
+SCHEMAS = {
+    "firsts": "kind string, key string, first timestamp",
+    "spent": "team string, provider string, team_period int, provider_period int, spent decimal(30,10)",
+    "minutes": "team string, minute timestamp, requests bigint, tokens bigint",
+}
 
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            # No call for a whole period after the watermark: the spend of that period no longer matters.
-            state.remove()
-            return
-        first, period, spent, minute, requests, tokens = state.get if state.exists else (-1, 0, 0, -1, 0, 0)
-        newest = 0
-        for chunk in chunks:
-            rows = []
-            for r in chunk.sort_values(["us", "call_id"]).itertuples(index=False):
-                us = int(r.us)
-                newest = max(newest, us)
-                first = us if first < 0 else first
-                if (us - first) // length > period:
-                    period, spent = (us - first) // length, 0
-                if us // 60_000_000 > minute:
-                    minute, requests, tokens = us // 60_000_000, 0, 0
-                if not r.allowed:
-                    decision = (403, "access")
-                elif requests >= r.rpm_limit or tokens >= r.tpm_limit:
-                    decision = (429, "rate")
-                else:
-                    # Calls that the budget refuses still count in their minute.
-                    requests, tokens = requests + 1, tokens + int(r.tokens)
-                    if spent >= r.budget_units:
-                        decision = (422, "budget")
-                    else:
-                        decision, spent = (200, "accepted"), spent + int(r.cost_units)
-                rows.append((int(r.call_id), key[0], *decision))
-            yield pd.DataFrame(rows, columns=["call_id", "team", "decision", "reason"])
-        state.update((first, period, spent, minute, requests, tokens))
-        state.setTimeoutTimestamp(max(newest // 1000 + 2 * length // 1000, state.getCurrentWatermarkMs() + 1))
 
-    return step
+def _state(decided: DataFrame, firsts: DataFrame, earlier: Carried, horizon, days: int) -> dict[str, DataFrame]:
+    """What this batch and the earlier ones leave to later calls."""
+    accepted = decided.where("decision = 200").groupBy("team", "provider", "team_period", "provider_period").agg(F.sum("cost").alias("spent"))
+    keys = ["team", "provider", "team_period", "provider_period"]
+    spent = earlier.spent.unionByName(accepted.withColumn("spent", F.col("spent").cast("decimal(30,10)"))).groupBy(*keys)
+    spent = spent.agg(F.sum("spent").cast("decimal(30,10)").alias("spent"))
+    # Only periods that go on at the horizon matter to later calls.
+    age = F.floor((F.unix_micros(F.lit(horizon.ts)) - F.unix_micros("first")) / (days * 86400 * 1000000)).cast("int")
+    now = lambda kind: firsts.where(F.col("kind") == kind).select(F.col("key").alias(kind), age.alias(f"{kind}_now"))
+    going = spent.join(now("team"), "team").join(now("provider"), "provider", "left")
+    going = going.where("team_period = team_now OR provider_period = provider_now")
+    minute = F.date_trunc("minute", F.lit(horizon.ts))
+    asked = decided.where("reason <> 'access'").where(F.date_trunc("minute", "ts") == minute).groupBy("team", minute.alias("minute")).agg(
+        F.count("*").alias("requests"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens")
+    )
+    minutes = earlier.minutes.where(F.col("minute") == minute).unionByName(asked).groupBy("team", "minute").agg(
+        F.sum("requests").alias("requests"), F.sum("tokens").alias("tokens")
+    )
+    return {"firsts": firsts, "spent": going.select(*keys, "spent"), "minutes": minutes}
 
 
-def limits_stream(calls: DataFrame, teams: DataFrame, access: DataFrame, days: int = 30, late: str = "10 minutes") -> DataFrame:
-    """calls (call_id, ts, team, alias, tokens, cost) -> one decision per call.
+def limits_stream(
+    calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataFrame, folder: str, checkpoint: str, days: int = 30, **trigger
+) -> StreamingQuery:
+    """calls (call_id, ts, team, alias, provider, tokens_in, tokens_out, cost) -> one decision per call, or a late row.
 
-    Teams and access are joined as static dimensions. State per team: six numbers. Calls of a micro-batch reach their
-    team's state in chunks, never as one frame; decisions follow arrival, and event time within a chunk.
+    Writes folder/decisions (call_id, team, decision, reason) and folder/late (calls not later than the last decided one),
+    per batch, and folder/state. As long as batches follow each other in time, decisions are those of `admission` over
+    all calls, in whatever order and files the calls of a batch come. A batch that runs again reads the state before it
+    and replaces what it wrote.
     """
-    listed = access.select(F.col("team_id").alias("team"), "alias", F.lit(True).alias("_listed"))
-    limits = teams.select(
-        F.col("team_id").alias("team"), "rpm_limit", "tpm_limit", (F.col("max_budget") * F.lit(SCALE)).cast("bigint").alias("budget_units")
-    )
-    prepared = (
-        calls.withWatermark("ts", late)
-        .join(limits, "team")
-        .join(listed, ["team", "alias"], "left")
-        .select(
-            "call_id", "ts", "team", F.unix_micros("ts").alias("us"), "tokens", (F.col("cost") * F.lit(SCALE)).cast("bigint").alias("cost_units"),
-            "rpm_limit", "tpm_limit", "budget_units", F.coalesce("_listed", F.lit(False)).alias("allowed"),
-        )
-    )
-    return prepared.groupBy("team").applyInPandasWithState(_decide(days), DECISION, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+    def decide(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        at = lambda name, n: f"{folder}/{name}/batch={n}"
+        put = lambda df, name: df.write.mode("overwrite").parquet(at(name, batch_id))
+        start = batch_id == 0
+        read = lambda name, schema: spark.createDataFrame([], schema) if start else spark.read.schema(schema).parquet(at(f"state/{name}", batch_id - 1))
+        horizon = read("horizon", HORIZON).first()
+        earlier = Carried(*[read(name, SCHEMAS[name]) for name in Carried._fields])
+        batch = materialize(batch)
+        mark = F.struct("ts", "call_id")
+        done = F.lit(False) if horizon is None else mark <= F.struct(F.lit(horizon.ts).alias("ts"), F.lit(horizon.call_id).alias("call_id"))
+        put(batch.where(done), "late")
+        new = batch.where(~done)
+        last = new.agg(F.max(mark).alias("last")).first().last
+        if last is None:
+            put(spark.createDataFrame([], "call_id bigint, team string, decision int, reason string"), "decisions")
+            for name in Carried._fields:
+                put(getattr(earlier, name), f"state/{name}")
+            put(read("horizon", HORIZON), "state/horizon")
+            return
+        decided = materialize(admitted(new, teams, access, caps, days, earlier))
+        put(decided.select("call_id", "team", "decision", "reason"), "decisions")
+        for name, table in _state(decided, first_calls(new, earlier), earlier, last, days).items():
+            put(table, f"state/{name}")
+        put(new.where(mark == F.struct(F.lit(last.ts).alias("ts"), F.lit(last.call_id).alias("call_id"))).select("ts", "call_id"), "state/horizon")
+
+    return calls.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -127,7 +127,7 @@ _ROUNDS = ",\n".join(
 )
 
 
-@query("admission", f"""with allowed as ({_ALLOWED}), within_ as ({_WITHIN}),
+ADMISSION = f"""with allowed as ({_ALLOWED}), within_ as ({_WITHIN}),
 cand as (select w.call_id, w.r, w.team, w.provider, w.cost, w.max_budget, c.cap, {_AGE.format(f='tf')} as tp, {_AGE.format(f='pf')} as pp from within_ w
   join (select team, min(ts) as first from fx_priced group by team) tf on tf.team = w.team join (select provider, min(ts) as first from fx_priced group by provider) pf on pf.provider = w.provider
   left join fx_caps c on c.provider = w.provider where w.within),
@@ -136,7 +136,10 @@ select call_id, 403 as decision, 'access' as reason from allowed where not allow
 union all select call_id, 429, 'rate' from within_ where not within
 union all select c.call_id, case when c.r >= t.at then 422 when c.r >= p.at then 429 else 200 end,
   case when c.r >= t.at then 'budget' when c.r >= p.at then 'provider cap' else 'accepted' end
-from cand c left join t7 t on t.key = c.team and t.period = c.tp left join p7 p on p.key = c.provider and p.period = c.pp""")
+from cand c left join t7 t on t.key = c.team and t.period = c.tp left join p7 p on p.key = c.provider and p.period = c.pp"""
+
+
+@query("admission", ADMISSION)
 def admission(t):
     return lim.admission(t("fx_priced"), t("fx_teams"), t("fx_access"), t("fx_caps"))
 

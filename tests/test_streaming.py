@@ -1,13 +1,16 @@
 """Streams over several micro-batches: state, timers, late and repeated rows."""
 
 import os
+import random
 import time
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 
 from maskline import schemas
 from maskline.operators import jobs as j
+from maskline.operators import limits
 from maskline.streaming import jobs as sj
 from maskline.streaming import limits as sl
 from maskline.streaming import masking as sm
@@ -60,24 +63,46 @@ def test_answers_are_joined_in_order_and_sent_once(spark, tmp_path):
 
 
 def test_limits_keep_their_state_between_batches(spark, tmp_path):
-    from decimal import Decimal
-
     one = Decimal("1.0000000000")
-    first = [(1, at(0), "a", "x", 10, one), (2, at(1), "a", "x", 10, one), (3, at(2), "a", "y", 10, one)]
-    second = [(4, at(61), "a", "x", 10, one), (5, at(62), "b", "x", 10, one), (6, at(63), "a", "x", 10, one)]
-    third = [(7, at(3 * 86400), "a", "x", 10, one)]
-    teams = spark.createDataFrame([("a", Decimal("2"), 2, 1000), ("b", Decimal("2"), 2, 1000)], "team_id string, max_budget decimal(18,6), rpm_limit int, tpm_limit int")
-    access = spark.createDataFrame([("a", "x"), ("b", "x")], "team_id string, alias string")
+    call = lambda i, seconds, team, alias="x", provider="p": (i, at(seconds), team, alias, provider, 9, 1, one)
+    first = [call(3, 2, "a", "y"), call(1, 0, "a"), call(2, 1, "a"), call(10, 3, None)]
+    second = [call(6, 63, "a"), call(4, 61, "a"), call(5, 62, "b"), call(11, 1, "b"), call(12, 64, "zz", "x", None)]
+    third = [call(7, 3 * 86400, "a"), call(8, 3 * 86400 + 1, "b"), call(9, 3 * 86400 + 2, "b")]
+    teams = spark.createDataFrame([("a", Decimal("2"), 2, 1000), ("b", None, 9, 1000)], "team_id string, max_budget decimal(18,6), rpm_limit int, tpm_limit int")
+    access = spark.createDataFrame([("a", "x"), ("b", "x"), ("zz", "x")], "team_id string, alias string")
+    caps = spark.createDataFrame([("p", Decimal("2.5"))], "provider string, cap decimal(18,6)")
     calls = batches(spark, tmp_path / "in", schemas.CALL, first, second, third)
-    rows = drain(spark, sl.limits_stream(calls, teams, access, days=2), tmp_path, "out")
-    assert {r.call_id: r.reason for r in rows} == {
-        1: "accepted", 2: "accepted", 3: "access", 4: "budget", 5: "accepted", 6: "budget", 7: "accepted"
+    out = str(tmp_path / "out")
+    sl.limits_stream(calls, teams, access, caps, out, str(tmp_path / "check"), days=2, availableNow=True).awaitTermination()
+    assert {r.call_id: r.reason for r in spark.read.parquet(f"{out}/decisions").collect()} == {
+        1: "accepted", 2: "accepted", 3: "access", 10: "access", 4: "budget", 5: "accepted", 6: "budget", 12: "accepted",
+        7: "accepted", 8: "accepted", 9: "accepted",
     }
+    assert [r.call_id for r in spark.read.parquet(f"{out}/late").collect()] == [11]
+
+
+def test_limits_over_batches_equal_the_batch_answer(spark, tmp_path):
+    rng = random.Random(8)
+    seconds, rows = 0, []
+    for i in range(900):
+        seconds += rng.choice([0, 1, 5, 40, 900])
+        rows.append((i, at(seconds), rng.choice(["a", "a", "a", "b", None]), rng.choice("xy"), rng.choice(["p", "q", None]), rng.randrange(90), 5, Decimal(rng.randrange(900)) / 10**6))
+    teams = spark.createDataFrame([("a", Decimal("0.02"), 4, 250), ("b", Decimal("0.03"), None, 90)], "team_id string, max_budget decimal(18,6), rpm_limit int, tpm_limit int")
+    access = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "team_id string, alias string")
+    caps = spark.createDataFrame([("p", Decimal("0.015"))], "provider string, cap decimal(18,6)")
+    parts = [rows[a:b] for a, b in ((0, 200), (200, 210), (210, 600), (600, 900))]
+    calls = batches(spark, tmp_path / "in", schemas.CALL, *[rng.sample(p, len(p)) for p in parts])
+    out = str(tmp_path / "out")
+    sl.limits_stream(calls, teams, access, caps, out, str(tmp_path / "check"), days=1, availableNow=True).awaitTermination()
+    found = {r.call_id: (r.decision, r.reason) for r in spark.read.parquet(f"{out}/decisions").collect()}
+    whole = limits.admission(spark.createDataFrame(rows, schemas.CALL), teams, access, caps, 1).collect()
+    assert found == {r.call_id: (r.decision, r.reason) for r in whole} and len(found) == 900
+    assert {why for _, why in found.values()} == {"access", "rate", "budget", "provider cap", "accepted"}
 
 
 @pytest.mark.parametrize(
     ("status", "expected"),
-    [(200, "done"), (400, "dead"), (401, "dead"), (403, "dead"), (408, "retry"), (429, "backoff"), (500, "retry"), (503, "retry"), (None, "retry")],
+    [(200, "done"), (400, "dead"), (401, "dead"), (403, "dead"), (408, "retry"), (429, "backoff"), (500, "retry"), (304, "dead"), (100, "dead"), (503, "retry"), (None, "retry")],
 )
 def test_outcome(spark, status, expected):
     df = spark.createDataFrame([(status,)], "status int")
@@ -85,10 +110,10 @@ def test_outcome(spark, status, expected):
 
 
 def test_backoff(spark):
-    now = datetime(2026, 10, 13, 20, 40, 23)
+    now = datetime(2031, 2, 3, 4, 5, 6)
     rows = [
-        (1, 1, now, "2026-10-13 20:40:53 UTC", "60", 30.0), (1, 2, now, "2026-10-13 20:40:00 UTC", None, 1.0), (1, 3, now, None, "12", 12.0),
-        (1, 4, now, None, "3600", 60.0), (1, 5, now, None, None, 10.0), (1, 6, now, "soon", "later", 10.0),
+        (1, 1, now, "2031-02-03 04:05:51 UTC", "7", 45.0), (1, 2, now, "2031-02-03 04:05:01 UTC", None, 1.0), (1, 3, now, None, "23.5", 23.5),
+        (1, 4, now, None, "900", 60.0), (1, 5, now, None, None, 10.0), (1, 6, now, "tomorrow", "a while", 10.0), (1, 7, now, None, "0.2", 1.0),
     ]
     df = spark.createDataFrame(rows, "job_id long, attempt_id long, ts timestamp, reset_at string, retry_after string, expected double")
     assert all(r.wait == pytest.approx(r.expected) for r in j.backoff_seconds(df, jitter=0).collect())
