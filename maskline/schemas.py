@@ -37,11 +37,12 @@ OBSERVATION = T.StructType([
 JOB_MESSAGE = T.StructType([
     T.StructField("message_id", T.LongType()), T.StructField("body", T.StringType()),
     T.StructField("reply_to", T.StringType()), T.StructField("delivery_count", T.IntegerType()),
-    T.StructField("ts", T.TimestampType()),
+    T.StructField("ts", T.TimestampType()), T.StructField("correlation_id", T.StringType()),
 ])
 ATTEMPT = T.StructType([
     T.StructField("job_id", T.LongType()), T.StructField("attempt_id", T.LongType()),
     T.StructField("ts", T.TimestampType()), T.StructField("status", T.IntegerType()),
+    T.StructField("reset_at", T.StringType()), T.StructField("retry_after", T.StringType()),
 ])
 CALL = T.StructType([
     T.StructField("call_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("team", T.StringType()),

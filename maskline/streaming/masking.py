@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from maskline.operators.mask import unmask_answers
 
-ANSWER = "answer_id long, conv_id long, text string"
+ANSWER = "answer_id long, conv_id long, text string, complete boolean"
 BUFFER = "conv_id long, seqs array<int>, parts array<string>, expected int"
 
 
@@ -29,11 +29,12 @@ def _buffer(wait_ms: int):
                 ends = chunk.loc[chunk["is_last"], "seq"]
                 expected = int(ends.max()) + 1 if len(ends) else expected
                 newest = chunk["ts"].max()
-        if state.hasTimedOut or (expected >= 0 and len(set(seqs)) >= expected):
+        complete = expected >= 0 and len(set(seqs)) >= expected
+        if state.hasTimedOut or complete:
             text = "".join(part for _, part in sorted(dict(zip(seqs, parts)).items()))
             if state.exists:
                 state.remove()
-            yield pd.DataFrame({"answer_id": [key[0]], "conv_id": [conv_id], "text": [text]})
+            yield pd.DataFrame({"answer_id": [key[0]], "conv_id": [conv_id], "text": [text], "complete": [complete]})
         else:
             state.update((conv_id, seqs, parts, expected))
             state.setTimeoutTimestamp(max(int(newest.timestamp() * 1000) + wait_ms, state.getCurrentWatermarkMs() + 1))
@@ -45,7 +46,7 @@ def whole_answers(chunks: DataFrame, late: str = "10 minutes", wait_ms: int = 60
     """chunks (answer_id, conv_id, seq, chunk, is_last, ts) -> one row per finished answer.
 
     A chunk delivered twice counts once. An answer that never ends is sent when event time passes its last chunk by
-    wait_ms, so state is bounded.
+    wait_ms, so state is bounded; it is not `complete`: chunks are missing in it or at its end.
     """
     return chunks.withWatermark("ts", late).groupBy("answer_id").applyInPandasWithState(
         _buffer(wait_ms), ANSWER, BUFFER, "append", GroupStateTimeout.EventTimeTimeout

@@ -38,16 +38,23 @@ def drain(spark, stream, tmp_path, name):
 
 
 def test_job_lifecycle_over_batches(spark, tmp_path):
-    first = [(1, 1, at(0), 500), (2, 2, at(1), 429), (3, 3, at(2), 403), (4, 4, at(2), None)]
-    second = [(1, 5, at(10), 503), (2, 6, at(11), 200), (3, 7, at(12), 200)]
-    third = [(1, 8, at(20), 408), (1, 9, at(21), 200)]
-    later = [(9, 10, at(90000), 200)]
-    stream = sj.job_lifecycle_stream(batches(spark, tmp_path / "in", schemas.ATTEMPT, first, second, third, later), late="1 minute")
+    row = lambda *r: (*r, None, None)
+    first = [row(1, 1, at(0), 500), row(2, 2, at(1), 429), row(3, 3, at(2), 403), row(4, 4, at(2), None), (5, 11, at(2), 429, None, "50"), (6, 12, at(2), 429, "2024-01-01 00:00:32 UTC", "1")]
+    second = [row(1, 5, at(10), 503), row(2, 6, at(11), 200), row(3, 7, at(12), 200)]
+    third = [row(1, 8, at(20), 408), row(1, 9, at(21), 200)]
+    # The watermark is a minute behind: at 41 s after this, when job 6 is due and job 5 is not.
+    fourth = [row(8, 13, at(101), 200)]
+    later = [row(9, 10, at(90000), 200)]
+    between = [row(9, 16, at(150000), 200)]
+    last = [row(4, 14, at(180000), 503), row(10, 15, at(200000), 200)]
+    stream = sj.job_lifecycle_stream(batches(spark, tmp_path / "in", schemas.ATTEMPT, first, second, third, fourth, later, between, last), late="1 minute")
     rows = drain(spark, stream, tmp_path, "out")
     ended = {r.job_id: (r.state, r.attempts, r.failures, r.backoffs) for r in rows if r.state != "due"}
-    assert ended == {1: ("dead", 3, 3, 0), 2: ("done", 2, 0, 1), 3: ("dead", 1, 0, 0), 9: ("done", 1, 0, 0)}
-    # Job 4 has failed once and its next attempt is due when event time has passed.
-    assert [(r.job_id, r.failures) for r in rows if r.state == "due"] == [(4, 1)]
+    assert ended == {1: ("dead", 3, 3, 0), 2: ("done", 2, 0, 1), 3: ("dead", 1, 0, 0), 8: ("done", 1, 0, 0), 9: ("done", 1, 0, 0), 10: ("done", 1, 0, 0)}
+    # Jobs whose next attempt is due when event time has passed; job 4 is forgotten after that, and starts anew.
+    due = [(r.job_id, r.failures, r.at.timestamp() - T0.timestamp()) for r in rows if r.state == "due"]
+    assert sorted((j, f) for j, f, _ in due) == [(4, 1), (4, 1), (5, 0), (6, 0)]
+    assert {j: seconds <= 41 for j, _, seconds in due if j in (5, 6)} == {5: False, 6: True}
 
 
 def test_answers_are_joined_in_order_and_sent_once(spark, tmp_path):
@@ -58,8 +65,8 @@ def test_answers_are_joined_in_order_and_sent_once(spark, tmp_path):
     markers = spark.createDataFrame([(5, "<PERSON_1>", "Luc")], "conv_id long, marker string, value string")
     out = str(tmp_path / "answers")
     sm.unmask_stream(chunks, markers, out, str(tmp_path / "check"), availableNow=True).awaitTermination()
-    found = {r.answer_id: r.unmasked_text for r in spark.read.parquet(out).collect()}
-    assert found == {1: "Bonjour Luc !", 2: "never ends Luc", 3: "x"}
+    found = {r.answer_id: (r.unmasked_text, r.complete) for r in spark.read.parquet(out).collect()}
+    assert found == {1: ("Bonjour Luc !", True), 2: ("never ends Luc", False), 3: ("x", True)}
 
 
 def test_limits_keep_their_state_between_batches(spark, tmp_path):
@@ -122,7 +129,7 @@ def test_backoff(spark):
 
 def test_one_job_with_most_attempts(spark):
     """Twenty thousand back-offs of one job are counted, and its third failure still ends it."""
-    rows = [(1, i, at(i), 429) for i in range(20000)] + [(1, 20000 + i, at(20000 + i), 500) for i in range(5)] + [(2, 1, at(0), 200)]
+    rows = [(1, i, at(i), 429, None, None) for i in range(20000)] + [(1, 20000 + i, at(20000 + i), 500, None, None) for i in range(5)] + [(2, 1, at(0), 200, None, None)]
     df = spark.createDataFrame(rows, schemas.ATTEMPT).repartition(8)
     found = {r.job_id: (r.attempts, r.failures, r.backoffs, r.state) for r in j.job_lifecycle(df).collect()}
     assert found == {1: (20003, 3, 20000, "dead"), 2: (1, 0, 0, "done")}
