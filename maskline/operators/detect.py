@@ -246,7 +246,7 @@ def detect_date_time(docs: DataFrame) -> DataFrame:
 
 
 def name_runs(docs: DataFrame) -> DataFrame:
-    """Runs of capitalized words of the French texts, with what surrounds them."""
+    """Runs of capitalized words of the French texts, and what their surroundings say of them."""
     texts = docs.where(F.col("lang") == "fr").select("doc_id", neutral(F.col("text")).alias("text"))
     runs = texts.select(
         "doc_id", F.inline(F.expr(matches_around_sql("text", patterns.NAME_RUN, fixed.CONTEXT_WORDS_BEFORE)))
@@ -264,7 +264,9 @@ def name_runs(docs: DataFrame) -> DataFrame:
         F.col("start").alias("run_start"),
         "end",
         F.col("value").alias("run_value"),
-        "before", "gap", "after", "first", "last",
+        # What the text around a run decides is decided here: later steps carry a few words, not the text.
+        last_words(F.col("before"), fixed.CONTEXT_WORDS_BEFORE).alias("words_before"),
+        _alone().alias("alone_on_line"),
         (titled_before | titled_inside).alias("titled"),
     )
 
@@ -296,10 +298,10 @@ def _names_from(runs: DataFrame) -> DataFrame:
         F.substring(F.col("run_value"), word_start + 1, F.length("run_value")).alias("value"),
         (F.size("words") - first).alias("n_words"),
         "titled",
-        (_alone() & (first == 0)).alias("alone"),
+        (F.col("alone_on_line") & (first == 0)).alias("alone"),
         # Words before the name: those before the run, then those of the run before the name.
         F.concat(
-            last_words(F.col("before"), fixed.CONTEXT_WORDS_BEFORE),
+            F.col("words_before"),
             words(F.lower(F.substring(F.col("run_value"), F.lit(1), word_start))),
         ).alias("before"),
     )

@@ -32,7 +32,7 @@ def key_hash(value: Column) -> Column:
 
 
 def salted_key_hash(value: Column, salt: str) -> Column:
-    """SHA-256 of the key followed by the hex SHA-256 of the salt."""
+    """What a stored key is compared by: the salt is digested first, its digest joined to the key, and both digested."""
     return F.sha2(F.concat(value, F.sha2(F.lit(salt), 256)), 256)
 
 
