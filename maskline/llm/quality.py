@@ -34,6 +34,8 @@ SHAPES = REPEAT + REPEATS
 #: Shapes: letters, digits, signs inside, sign at the end (a bit each) and four lengths.
 N_SHAPES = 64
 FIRST_WORD = SHAPES + N_SHAPES
+#: Words of a block that are made into trigrams at once.
+STRETCH = 400_000
 #: log perplexities are counted in steps of this size for the quantiles.
 STEP = 0.001
 #: Documents of 2 ** LENGTHS[1] words or more share a class of length, those of fewer than 2 ** LENGTHS[0] another.
@@ -155,9 +157,15 @@ def trigrams(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return earlier << 32 | before << 16 | word, doc
 
 
-def open_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint16) if any(row["lengths"]) else np.zeros(0, np.uint16)
-    return trigrams(codes, np.array(row["lengths"], np.int64))
+def open_block(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, documents) of a block, some documents at a time: arrays take many times the room of the codes."""
+    lengths = np.array(row["lengths"], np.int64)
+    codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint16) if lengths.any() else np.zeros(0, np.uint16)
+    ends = np.cumsum(lengths)
+    cuts = [0, *(np.flatnonzero(np.diff((ends + np.arange(len(ends))) // STRETCH)) + 1).tolist(), len(lengths)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        keys, doc = trigrams(codes[ends[a] - lengths[a] : ends[b - 1]], lengths[a:b])
+        yield keys, doc + a
 
 
 def block_trigrams(blocks: DataFrame) -> DataFrame:
@@ -166,9 +174,13 @@ def block_trigrams(blocks: DataFrame) -> DataFrame:
     def name(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row in part.to_pylist():
-                keys, doc = open_block(row)
+                sure, parts = np.array(row["trusted"]), []
+                for keys, doc in open_block(row):
+                    found, place = np.unique(keys, return_inverse=True)
+                    parts.append((found, np.bincount(place, weights=sure[doc], minlength=len(found))))
+                keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
                 found, place = np.unique(keys, return_inverse=True)
-                n = np.bincount(place, weights=np.array(row["trusted"])[doc], minlength=len(found)).astype(np.int64)
+                n = np.bincount(place, weights=counts).astype(np.int64)
                 n[(found & 0xFFFF) == REPEAT + REPEATS - 1] = 0
                 for at in range(0, len(found), 100_000):
                     some = slice(at, at + 100_000)
@@ -228,7 +240,7 @@ def log_probabilities(keys: DataFrame, symbols: int) -> DataFrame:
     return joined.select("key", F.log(p3).alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, words: int = 256, sample: int = 20_000, block_words: int = 8_000_000) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, words: int = 256, sample: int = 20_000, block_words: int = 3_000_000) -> DataFrame:
     """(doc_id, lang, trusted, n_words, log_perplexity) of docs (doc_id, text, lang); see `quality`."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
     chosen = inventory(docs, trusted, words, sample)
@@ -244,8 +256,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, words: int = 256, sample:
         key, logp = key[order], logp[order]
         found: list[tuple[np.ndarray, list, list, list, np.ndarray]] = []
         for row in block.to_pylist():
-            keys, doc = open_block(row)
-            sums = np.bincount(doc, weights=logp[np.searchsorted(key, keys)], minlength=len(row["lengths"]))
+            sums = np.zeros(len(row["lengths"]))
+            for keys, doc in open_block(row):
+                sums += np.bincount(doc, weights=logp[np.searchsorted(key, keys)], minlength=len(sums))
             found.append((sums, row["doc_ids"], row["langs"], row["trusted"], np.array(row["lengths"], np.int64)))
         sums, ids, langs, sure, lengths = (
             [x for part in found for x in part[k]] if k in (1, 2, 3) else np.concatenate([part[k] for part in found]) for k in range(5)
