@@ -55,7 +55,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op4_proportional_interleaving")
+# The checksum byte by byte: its table of 256 entries from the polynomial, then a fold over the bytes of the text.
+_CRC32 = """xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+lambda h: cast('0x' || h as bigint))), lambda c, b: xor(c >> 8, entries[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+
+@query(
+    "op4_proportional_interleaving",
+    f"""
+with crc as (select list(entry order by i) as entries from (
+  select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as entry
+  from (select unnest(range(256)) as i))),
+d as (select doc_id, source, cast(strlen(coalesce(text, '')) + 1 as bigint) as size, cast({_CRC32} as bigint) as text_crc32,
+  cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':7'), 1, 15) as bigint) as key from documents, crc),
+r as (select *, row_number() over (partition by source order by key, doc_id nulls first, text_crc32, size) as rank, count(*) over (partition by source) as rows_ from d),
+p as (select *, row_number() over (order by cast(2 * rank - 1 as double) / cast(2 * rows_ as double), source nulls first, key, doc_id nulls first, text_crc32, size) as place,
+  count(*) over () as total from r),
+s as (select *, ((place - 1) * 8) // total as shard_ from p)
+select doc_id, size, text_crc32, 'rows' as law, cast(shard_ as int) as shard, cast(place - 1 - (shard_ * total + 7) // 8 as bigint) as slot, cast(null as int) as grown_shard from s""",
+)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskline.llm.interleave import interleaved_shards
 
