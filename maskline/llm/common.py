@@ -46,13 +46,8 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
-def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of `size` rows from an iterator of dicts."""
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema=schema)
+def slices(parts: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of some rows: lists and arrays made from texts take several times their room."""
+    for part in parts:
+        for at in range(0, len(part), rows):
+            yield part.slice(at, rows)

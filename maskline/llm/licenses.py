@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from maskline.llm.anchors import hashes, ladder
-from maskline.llm.common import id_and_text, utf8
+from maskline.llm.common import id_and_text, slices, utf8
 from maskline.llm.words import LOWER, Words
 
 # Notices as their licenses ask for them to be given, in short and longer form.
@@ -47,8 +47,6 @@ TEMPLATES = {
     "All rights reserved": "All rights reserved.",
 }
 
-#: Documents handled at once.
-ROWS = 512
 #: Bytes of a word: letters, digits and whatever isn't ASCII.
 WORD = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])
 FIELDS = [
@@ -171,8 +169,7 @@ def license_spans(
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(FIELDS)
-        # Some rows at a time: arrays take several times the room of the texts.
-        for part in (batch.slice(at, ROWS) for batch in parts for at in range(0, len(batch), ROWS)):
+        for part in slices(parts):
             data, starts = utf8(part["text"])
             words = words_of(data, starts)
             place, template, inside = index.hits(grams_of(words, gram))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskline.llm.common import id_and_text
+from maskline.llm.common import id_and_text, slices
 from maskline.session import materialize
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -65,7 +65,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, closing: int =
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_ordinary
-        for part in parts:
+        for part in slices(parts, 2048):
             out: list[tuple] = []
             for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
                 ids = np.array([*encode(text), closing], dtype="<u4")

@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskline.llm.common import slices
 from maskline.session import materialize
 
 START, END, REPEAT = 0, 1, 2
@@ -85,8 +86,9 @@ def inventory(docs: DataFrame, trusted: DataFrame, words: int, sample: int) -> l
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             found: Counter[str] = Counter()
-            for text in part["text"].to_pylist():
-                found.update(text.lower().split())
+            for some in slices(iter([part])):
+                for text in some["text"].to_pylist():
+                    found.update(text.lower().split())
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
 
     counted = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").mapInArrow(count, "word string, n bigint")
@@ -100,7 +102,7 @@ def write_blocks(docs: DataFrame, trusted: DataFrame, words: list[str], block_wo
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, squeeze = Symbols(words), zstandard.ZstdCompressor(level=6)
-        for part in parts:
+        for part in slices(parts):
             codes = [symbols.encode(t) for t in part["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
