@@ -8,10 +8,11 @@ the sample held. A set whose partner may be in the next class of sizes is cut fo
 are equal are one before they are cut. A set that has a similar one meets it in all signatures it sent but k: those that
 meet anything less often are done.
 
-Links. Sets that share a signature are compared with the first of them; that links nearly all copies. What is linked is
-partitioned into groups of similar documents, of bounded size. The matrix of groups and tokens, stored as each group's
-token union, bounds the overlap of a set with any member of a group: a set that still shares a signature with a group it
-isn't linked to is compared with its members only if the union holds enough of its tokens.
+Links. Sets that share a signature are compared with the first of them; that links nearly all copies. Clusters of sets
+that share signatures but are not all linked by that are partitioned into groups of similar documents, of bounded size.
+The matrix of groups and tokens, stored as each group's token union, bounds the overlap of a set with any member of a
+group: every set outside the largest linked part of its cluster asks all its groups, and is compared with the members of
+those whose union holds enough of its tokens.
 
 Only links that connect are kept: groups of copies are never written out as pairs.
 """
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from maskline.llm.anchors import hashes, ladder, mix
 from maskline.llm.blocks import Block, by_block, by_shard, each_block, pack, spread, squeeze, steps, total_bytes, unstep, write_blocks
+from maskline.llm.common import slices, utf8
 from maskline.llm.graph import components
 from maskline.llm.words import LOWER, Words
 from maskline.session import materialize
@@ -85,6 +87,10 @@ def shared_tokens(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
 
 
+def union_of(sets: list[np.ndarray]) -> np.ndarray:
+    return sets[0] if len(sets) == 1 else np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+
+
 def shingle_sets(data: np.ndarray, starts: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: of k words, or of all words of a shorter one."""
     words = Words(LOWER[data], starts)
@@ -130,10 +136,8 @@ def common_tokens(docs: DataFrame, rule: Rule) -> np.ndarray:
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id").limit(SAMPLE)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = [(t or "").encode() for t in part["text"].to_pylist()]
-            starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            sets = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), starts, rule.words)
+        for part in slices(parts):
+            sets = shingle_sets(*utf8(part["text"]), rule.words)
             found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["token", "n"])
 
@@ -235,63 +239,65 @@ def token_sets(blocks: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return materialize(by_block(blocks, nodes, work, schema, "node bigint, tokens binary"))
 
 
-def compared(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that are similar."""
-
-    def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            # cast: one column of chunks of binary for both sides
-            hit = [
-                rule.similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                for x, y in zip(part["of_a"].to_pylist(), part["of_b"].to_pylist(), strict=True)
-            ]
-            yield part.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-    first = sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
-    second = sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b"))
-    both = pairs.join(first.hint("merge"), "a").join(second.hint("merge"), "b").select("a", "b", "of_a", "of_b")
-    return both.mapInArrow(check, "a bigint, b bigint")
+def compared(asks: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between each asking set (node, of, part) and the members (node, of, part) of the group it asks.
 
-
-def opened_groups(meetings: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) between sets that share a signature but no label (node, label) yet."""
-    sizes = labels.groupBy("label").agg(F.count("*").alias("members"))
-    grouped = labels.join(sizes, "label").withColumn(
-        "part", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / GROUP)).cast("bigint")
-    )
-    grouped = materialize(grouped.select("node", "label", "members", "part"))
-    met = meetings.select("sign", "node").join(grouped, "node")
-    mixed = met.groupBy("sign").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("sign")
-    met = materialize(met.join(mixed, "sign"))
-    asked = met.select("sign", F.col("label").alias("of"), F.col("members").alias("n"), "part").distinct()
-    # The smaller side asks; of equal ones the smaller label.
-    asks = met.drop("part").join(asked.hint("merge"), "sign").where("struct(members, label) < struct(n, of)")
-    asks = materialize(asks.select("node", "of", "part").distinct())
-    chunks = asks.groupBy("of", "part").agg(F.ceil(F.count("*") / QUERIES).cast("bigint").alias("chunks"))
-    queries = asks.join(chunks, ["of", "part"]).select(
-        "of", "part", F.expr("pmod(xxhash64(node), chunks)").alias("chunk"), "node", F.lit(True).alias("asks")
-    )
-    members = grouped.withColumnRenamed("label", "of").join(chunks, ["of", "part"]).select(
-        "of", "part", F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("chunk"), "node", F.lit(False).alias("asks")
+    A task compares some groups of bounded size with bounded numbers of queries; a group that more ask is dealt again.
+    """
+    asks, group = materialize(asks), ["of", "part"]  # read twice
+    counts = asks.groupBy(*group).agg(F.ceil(F.count("*") / QUERIES).cast("bigint").alias("chunks"))
+    queries = asks.join(counts, group).select(
+        *group, F.expr("pmod(xxhash64(node), chunks)").alias("chunk"), "node", F.lit(True).alias("asks")
     )
+    every = F.explode(F.expr("sequence(0L, chunks - 1L)"))
+    members = members.join(counts, group).select(*group, every.alias("chunk"), "node", F.lit(False).alias("asks"))
+    tasks = F.lit(max(1, -(-asks.count() // (2 * QUERIES))))
 
-    def open_group(rows: pa.Table) -> pa.Table:
-        node = rows["node"].to_pylist()
+    def open_groups(rows: pa.Table) -> pa.Table:
+        node, asking = rows["node"].to_pylist(), rows["asks"].to_pylist()
         tokens = [np.frombuffer(x, np.uint64) for x in rows["tokens"].to_pylist()]
-        asking = rows["asks"].to_pylist()
-        group = [k for k, a in enumerate(asking) if not a]
-        union = np.unique(np.concatenate([tokens[k] for k in group]))
-        found = [
-            (node[q], node[m])
-            for q, a in enumerate(asking)
-            if a and shared_tokens(tokens[q], union) >= rule.least_overlap(len(tokens[q]))
-            for m in group
-            if rule.similar(tokens[q], tokens[m])
-        ]
+        groups: dict[tuple, tuple[list[int], list[int]]] = {}
+        for k, key in enumerate(zip(*(rows[c].to_pylist() for c in ("of", "part", "chunk")), strict=True)):
+            groups.setdefault(key, ([], []))[asking[k]].append(k)
+        found = []
+        for group, queries in groups.values():
+            union = union_of([tokens[k] for k in group])
+            inside = {node[k] for k in group}
+            for q in queries:
+                # One that asks its own group is compared with the others.
+                others = [m for m in group if node[m] != node[q]] if node[q] in inside else group
+                bound = union if len(others) == len(group) else union_of([tokens[m] for m in others])
+                if shared_tokens(tokens[q], bound) >= rule.least_overlap(len(tokens[q])):
+                    found += [(node[q], node[m]) for m in others if rule.similar(tokens[q], tokens[m])]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     rows = queries.unionByName(members).join(sets.hint("merge"), "node")
-    return rows.groupBy("of", "part", "chunk").applyInArrow(open_group, "a bigint, b bigint")
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64("of", "part", "chunk"), tasks))
+    return dealt.groupBy("task").applyInArrow(open_groups, "a bigint, b bigint")
+
+
+def opened_groups(clusters: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) between sets of one cluster (node, cluster: joined by shared signatures) that have no label (node, label:
+    joined by links) in common yet. All but those of a cluster's largest label ask the groups that the cluster is cut into.
+    """
+    known = labels.join(clusters, "node")
+    sizes = known.groupBy("cluster", "label").agg(F.count("*").alias("members"))
+    totals = sizes.groupBy("cluster").agg(
+        F.sum("members").alias("all"), F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("largest")
+    )
+    sizes = materialize(sizes.join(totals.where("labels > 1").select("cluster", "all", F.col("largest.label").alias("largest")), "cluster"))
+    # What is linked goes together; of many members, in several groups.
+    many = F.col("members") > GROUP
+    parts = lambda n: F.ceil(F.col(n) / GROUP)
+    part = F.when(many, F.pmod(F.xxhash64("node"), parts("members"))).otherwise(F.pmod(F.xxhash64("label"), parts("all")))
+    grouped = known.join(sizes.hint("merge"), ["cluster", "label"]).select(
+        "node", "label", "cluster", "largest", F.when(many, F.col("label")).otherwise(-1 - F.col("cluster")).alias("of"), part.cast("bigint").alias("part")
+    )
+    grouped = materialize(grouped)
+    groups = materialize(grouped.select("cluster", "of", "part").distinct())
+    asking = grouped.where("label <> largest").select("node", "label", "cluster")
+    asks = asking.join(groups.hint("merge"), "cluster").where("of <> label").select("node", "of", "part")
+    return compared(asks, grouped.select("node", "of", "part"), sets, rule)
 
 
 def near_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -315,14 +321,19 @@ def near_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     met = met.join(often.select("node", "class").hint("merge"), ["node", "class"])
     met = materialize(met)
     pivots = met.groupBy("sign").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("sign", "b")
-    pairs = met.select("sign", F.col("node").alias("a")).join(pivots.hint("merge"), "sign").where("a <> b")
-    pairs = materialize(pairs.select("a", "b").distinct())
+    # The first one is a group of its own.
+    one = F.lit(0).cast("bigint").alias("part")
+    asks = met.select("sign", "node").join(pivots.hint("merge"), "sign").where("node <> b").select("node", F.col("b").alias("of"), one)
+    firsts = pivots.select(F.col("b").alias("node"), F.col("b").alias("of"), one).distinct()
     sets = token_sets(blocks, met.select("node", "block").distinct(), rule)
-    links = materialize(compared(pairs, sets, rule))
+    asks = materialize(asks.distinct())
+    links = materialize(compared(asks, firsts, sets, rule))
     labels = components(links).select(F.col("id").alias("node"), F.col("component").alias("label"))
     labels = met.select("node").distinct().join(labels, "node", "left")
     labels = materialize(labels.select("node", F.coalesce("label", "node").alias("label")))
-    more = opened_groups(met, labels, sets, rule)
+    clusters = components(asks.select(F.col("node").alias("a"), F.col("of").alias("b")))
+    clusters = clusters.select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+    more = opened_groups(clusters, labels, sets, rule)
     edges = (
         documents.select(F.col("node").alias("a"), F.col("first").alias("b"))
         .unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
@@ -331,7 +342,8 @@ def near_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     linked = components(edges)
     told = documents.join(linked.withColumnRenamed("id", "node"), "node", "left")
     told = materialize(told.select("node", "doc_id", "size", F.coalesce("component", "node").alias("component")))
-    smallest = told.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that Spark can split the join of a large component.
+    smallest = materialize(told.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return told.join(smallest.hint("merge"), "component").select(
         "doc_id", F.col("size").alias("n_shingles"), "component_id", "node"
     )

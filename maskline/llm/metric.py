@@ -188,7 +188,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     totals = found.groupBy("cid").agg((F.sum("n") - 1).alias("n_links"))
     told = classes.join(totals, "cid").join(linked.withColumnRenamed("id", "cid"), "cid", "left")
     told = materialize(told.withColumn("component", F.coalesce("component", "cid")))
-    firsts = told.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # Written, so that Spark can split the join of a large component.
+    firsts = materialize(told.groupBy("component").agg(F.min("first_id").alias("component_id")))
     told = told.join(firsts.hint("merge"), "component").select("embedding", "n_links", "component_id")
     near = rows.join(told.hint("merge"), "embedding").select(
         "vec_id", "n_links", "component_id", F.coalesce(F.expr("vec_id = component_id"), F.expr("n_links = 0")).alias("kept")
