@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that materialize() has written and nobody has deleted.
 WRITTEN: list[str] = []
 
 
@@ -50,8 +51,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Deletes the tables that materialize() has written so far; frames that read them can no longer be used."""
-    while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that materialize() has written (WRITTEN lists them); frames that read them can no longer be used."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name in WRITTEN:
+            WRITTEN.remove(name)
