@@ -8,8 +8,8 @@ Documents are encoded once, compressed, told whether they are trusted, and writt
 Each block names its distinct trigrams with their counts in trusted text; summed over blocks these are the training
 counts, which grow with the corpus. The probability of each distinct trigram comes from joins of the sharded counts, goes
 back to the blocks that hold it, and gives every document its perplexity there. The texts themselves are never shuffled.
-A document is rejected when its perplexity is above what all but a share of trusted documents of its language and length
-reach, by a margin.
+One trusted document of a few, by a hash of its id, is held out: the model doesn't learn it. A document is rejected when
+its perplexity is above what all but a share of the held-out ones of its language and length reach, by a margin.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ N_SHAPES = 64
 FIRST_WORD = SHAPES + N_SHAPES
 #: Words of a block that are made into trigrams at once.
 STRETCH = 400_000
+#: Roles of documents: not trusted, learned, held out.
+OTHER, LEARNED, HELD_OUT = 0, 1, 2
 #: log perplexities are counted in steps of this size for the quantiles.
 STEP = 0.001
 #: Documents of 2 ** LENGTHS[1] words or more share a class of length, those of fewer than 2 ** LENGTHS[0] another.
@@ -97,7 +99,7 @@ def inventory(docs: DataFrame, trusted: DataFrame, words: int, sample: int) -> l
 
 
 def write_blocks(docs: DataFrame, trusted: DataFrame, words: list[str], block_words: int) -> DataFrame:
-    """(block, doc_ids, langs, trusted, lengths, codes): documents as symbols, in blocks of about block_words."""
+    """(block, doc_ids, langs, roles, lengths, codes): documents as symbols, in blocks of about block_words."""
     pack = "doc_id bigint, lang string, n int, code binary"
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,19 +120,19 @@ def write_blocks(docs: DataFrame, trusted: DataFrame, words: list[str], block_wo
         total = 0
 
         def block() -> pa.RecordBatch:
-            ids, langs, sure, lengths, codes = zip(*held, strict=True)
+            ids, langs, roles, lengths, codes = zip(*held, strict=True)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())),
-                    pa.array([sure], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())),
+                    pa.array([roles], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int32())),
                     pa.array([squeeze.compress(b"".join(codes))], pa.binary()),
                 ],
-                names=["doc_ids", "langs", "trusted", "lengths", "codes"],
+                names=["doc_ids", "langs", "roles", "lengths", "codes"],
             )
 
         for part in parts:
-            for doc_id, lang, n, code, sure in zip(*(part[c].to_pylist() for c in ("doc_id", "lang", "n", "code", "sure")), strict=True):
-                held.append((doc_id, lang, sure, n, spread.decompress(code) if n else b""))
+            for doc_id, lang, n, code, role in zip(*(part[c].to_pylist() for c in ("doc_id", "lang", "n", "code", "role")), strict=True):
+                held.append((doc_id, lang, role, n, spread.decompress(code) if n else b""))
                 total += n + 1
                 if total >= block_words:
                     yield block()
@@ -138,11 +140,10 @@ def write_blocks(docs: DataFrame, trusted: DataFrame, words: list[str], block_wo
         if held:
             yield block()
 
-    sure = trusted.withColumn("sure", F.lit(True))
-    told = docs.mapInArrow(encode, pack).join(sure, "doc_id", "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
+    told = docs.mapInArrow(encode, pack).join(trusted, "doc_id", "left").withColumn("role", F.coalesce("role", F.lit(OTHER)))
     # Fewer, fuller partitions: a block is made from one of them.
     blocks = told.mapInArrow(
-        gather, "doc_ids array<bigint>, langs array<string>, trusted array<boolean>, lengths array<int>, codes binary"
+        gather, "doc_ids array<bigint>, langs array<string>, roles array<int>, lengths array<int>, codes binary"
     )
     return materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
 
@@ -171,15 +172,15 @@ def open_block(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def block_trigrams(blocks: DataFrame) -> DataFrame:
-    """(block, key, n): the distinct trigrams of each block and how often trusted documents of it hold them."""
+    """(block, key, n): the distinct trigrams of each block and how often its learned documents hold them."""
 
     def name(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row in part.to_pylist():
-                sure, parts = np.array(row["trusted"]), []
+                learned, parts = np.array(row["roles"]) == LEARNED, []
                 for keys, doc in open_block(row):
                     found, place = np.unique(keys, return_inverse=True)
-                    parts.append((found, np.bincount(place, weights=sure[doc], minlength=len(found))))
+                    parts.append((found, np.bincount(place, weights=learned[doc], minlength=len(found))))
                 keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
                 found, place = np.unique(keys, return_inverse=True)
                 n = np.bincount(place, weights=counts).astype(np.int64)
@@ -191,7 +192,7 @@ def block_trigrams(blocks: DataFrame) -> DataFrame:
                         names=["block", "key", "n"],
                     )
 
-    return blocks.select("block", "trusted", "lengths", "codes").mapInArrow(name, "block bigint, key bigint, n bigint")
+    return blocks.select("block", "roles", "lengths", "codes").mapInArrow(name, "block bigint, key bigint, n bigint")
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -243,9 +244,9 @@ def log_probabilities(keys: DataFrame, symbols: int) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, words: int = 256, sample: int = 20_000, block_words: int = 3_000_000) -> DataFrame:
-    """(doc_id, lang, trusted, n_words, log_perplexity) of docs (doc_id, text, lang); see `quality`."""
+    """(doc_id, lang, role, n_words, log_perplexity) of docs (doc_id, text, lang) by what trusted (doc_id, role) ones teach."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    chosen = inventory(docs, trusted, words, sample)
+    chosen = inventory(docs, trusted.select("doc_id"), words, sample)
     blocks = write_blocks(docs, trusted, chosen, block_words)
     named = materialize(block_trigrams(blocks))
     keys = named.groupBy("key").agg(F.sum("n").alias("c"))
@@ -261,39 +262,42 @@ def perplexities(docs: DataFrame, trusted: DataFrame, words: int = 256, sample:
             sums = np.zeros(len(row["lengths"]))
             for keys, doc in open_block(row):
                 sums += np.bincount(doc, weights=logp[np.searchsorted(key, keys)], minlength=len(sums))
-            found.append((sums, row["doc_ids"], row["langs"], row["trusted"], np.array(row["lengths"], np.int64)))
-        sums, ids, langs, sure, lengths = (
+            found.append((sums, row["doc_ids"], row["langs"], row["roles"], np.array(row["lengths"], np.int64)))
+        sums, ids, langs, roles, lengths = (
             [x for part in found for x in part[k]] if k in (1, 2, 3) else np.concatenate([part[k] for part in found]) for k in range(5)
         )
         return pa.table(
             {
-                "doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "trusted": pa.array(sure, pa.bool_()),
+                "doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "role": pa.array(roles, pa.int32()),
                 "n_words": pa.array(lengths, pa.int64()), "log_perplexity": pa.array(-sums / (lengths + 1)),
             }
         )
 
     return materialize(
         blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-            score, "doc_id bigint, lang string, trusted boolean, n_words bigint, log_perplexity double"
+            score, "doc_id bigint, lang string, role int, n_words bigint, log_perplexity double"
         )
     )
 
 
-def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 4.0, **model: int) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 3.0, fold: int = 5, **model: int) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept), one row per row of docs (doc_id, text, lang).
 
-    trusted (doc_id) names the documents whose text is trusted; ids that docs lacks do nothing. threshold is `margin`
-    times the `quantile` of the perplexities of trusted documents of the same language and class of length, or the widest
-    of the language where a class has none; in a language without trusted text (null is one of its own) nothing is rejected. A document without
+    trusted (doc_id) names the documents whose text is trusted; ids that docs lacks do nothing. One of `fold` is held out.
+    threshold is `margin` times the `quantile` of the perplexities of held-out documents of the same language and class of
+    length, or the widest of the language where a class has none; in a language without any (null is a language of its own)
+    nothing is rejected. A document without
     words has the perplexity of an end at once, and is kept. A repeated id is scored row by row; rows without an id are
     scored and never trusted. Other columns are ignored.
     """
     trusted = trusted.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    held = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(fold)) == 0
+    trusted = trusted.withColumn("role", F.when(held, HELD_OUT).otherwise(LEARNED))
     scores = perplexities(docs, trusted, **model)
     size = F.least(F.lit(LENGTHS[1]), F.greatest(F.lit(LENGTHS[0]), F.floor(F.log2(F.col("n_words") + 1)))).cast("int")
     scores = scores.withColumn("size", size).withColumn("step", F.floor(F.col("log_perplexity") / STEP))
     # At most 20 / STEP rows per language and class of length: counts, not documents.
-    steps = scores.where("trusted and n_words > 0").groupBy("lang", "size", "step").agg(F.count("*").alias("n"))
+    steps = scores.where(f"role = {HELD_OUT} and n_words > 0").groupBy("lang", "size", "step").agg(F.count("*").alias("n"))
     by_class = "partition by lang, size"
     reached = steps.selectExpr("lang", "size", "step", f"sum(n) over ({by_class} order by step) as up_to", f"sum(n) over ({by_class}) as total")
     limits = (

@@ -237,12 +237,13 @@ def test_perplexities_are_modified_kneser_ney(documents, spark):
     assert words == [w for w, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:30]]
     symbols = quality.Symbols(words)
     coded = {i: symbols.encode(t).tolist() for i, t in rows}
-    logp = kneser_ney([coded[i] for i in range(10, 40)], quality.FIRST_WORD + 30)
-    got = by_id(quality.perplexities(frame, trusted, words=30, sample=1000, block_words=300))
+    logp = kneser_ney([coded[i] for i in range(10, 40) if i % 4], quality.FIRST_WORD + 30)
+    roles = trusted.selectExpr("doc_id", f"if(doc_id % 4 = 0, {quality.HELD_OUT}, {quality.LEARNED}) as role")
+    got = by_id(quality.perplexities(frame, roles, words=30, sample=1000, block_words=300))
     for i, _ in rows:
         padded = [quality.START, quality.START, *coded[i], quality.END]
         sums = -sum(logp(*x) for x in zip(padded, padded[1:], padded[2:], strict=False))
-        assert got[i]["n_words"] == len(coded[i]) and got[i]["trusted"] == (10 <= i < 40)
+        assert got[i]["n_words"] == len(coded[i]) and got[i]["role"] == (0 if not 10 <= i < 40 else 1 if i % 4 else 2)
         assert math.isclose(got[i]["log_perplexity"], sums / (len(coded[i]) + 1), rel_tol=1e-9)
 
 
