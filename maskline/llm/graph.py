@@ -15,21 +15,22 @@ def _stars(edges: DataFrame, by: str) -> DataFrame:
     return edges.join(least.hint("merge"), by)
 
 
+def _done(edges: DataFrame) -> bool:
+    """Are they stars: every higher end once, and nowhere a lower end? Then each star is a component."""
+    twice = edges.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select(F.col("hi").alias("lo"))
+    return twice.unionByName(edges.select("lo").join(edges.select(F.col("hi").alias("lo")), "lo", "left_semi")).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b): the smallest id that can be reached from it, itself included.
 
     Loops and repeated edges do no harm; edges with a null end are ignored. The number of rounds grows with the logarithm
-    of the longest path; only counts and digests of a round come to the driver.
+    of the longest path; only whether a round was the last comes to the driver.
     """
     now = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     )
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        if mark == seen:
-            break
-        seen = mark
+    while not _done(now):
         both = now.select(F.col("hi").alias("id"), F.col("lo").alias("other")).unionByName(
             now.select(F.col("lo").alias("id"), F.col("hi").alias("other"))
         )
