@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from maskline.llm import sql
 from maskline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +37,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), trusted)
 
 
-@query("op2_token_group_jaccard")
+@query("op2_token_group_jaccard", sql.near_documents(3, 90, 100))
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskline.llm.jaccard import near_documents
 
@@ -87,7 +88,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-@query("op6_phrase_automata")
+@query("op6_phrase_automata", sql.repeated_phrases(20))
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskline.llm.phrases import without_repeated_phrases
 
@@ -101,7 +102,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_spans(table(spark, sf_dir, "documents"))
 
 
-@query("op8_metric_range_join")
+@query("op8_metric_range_join", sql.near_vectors(0.95))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskline.llm.metric import near_vectors
 
@@ -121,7 +122,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-@query("op10_radix_suffix_dedup")
+@query("op10_radix_suffix_dedup", sql.repeated_bytes(400))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskline.llm.suffixes import without_repeats
 
