@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from maskline.llm.common import id_and_text, utf8
 from maskline.session import materialize
 
+#: Documents of a block, however short they are.
+MOST_DOCS = 1 << 16
 BLOCK_FIELDS = "doc_ids array<bigint>, lengths array<bigint>, texts binary"
 
 
@@ -40,9 +42,8 @@ def unstep(packed: bytes) -> np.ndarray:
 
 
 def write_blocks(docs: DataFrame, size: int) -> DataFrame:
-    """(block, doc_ids, lengths, texts) of docs (doc_id, text): blocks of at least `size` bytes but for the last of a task.
-
-    Empty texts take part; a longer text than `size` is a block of its own or the last of one.
+    """(block, doc_ids, lengths, texts) of docs (doc_id, text): blocks of at least `size` bytes, or MOST_DOCS documents, but for the last
+    of a task. Empty texts take part; a longer text than `size` is a block of its own or the last of one.
     """
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +68,7 @@ def write_blocks(docs: DataFrame, size: int) -> DataFrame:
                 texts.append(data[starts[k] : starts[k + 1]].tobytes())
                 lengths.append(len(texts[-1]))
                 total += lengths[-1]
-                if total >= size:
+                if total >= size or len(ids) >= MOST_DOCS:
                     yield block()
                     ids, texts, lengths, total = [], [], [], 0
         if ids:

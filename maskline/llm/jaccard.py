@@ -166,8 +166,6 @@ def signed(blocks: DataFrame, shards: int, common: np.ndarray, rule: Rule) -> Da
     entry_ddl = "shard bigint, block bigint, keys binary, doc binary, class binary, doc_ids array<bigint>, sizes binary, firsts binary, promises binary"
 
     def sign(block: Block) -> Iterator[dict]:
-        if len(block.doc_ids) >> 24:
-            raise ValueError("too many documents in a block")
         sets = shingle_sets(block.data, block.starts, rule.words)
         firsts, seen, promises = [], {}, []
         keys, docs, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
