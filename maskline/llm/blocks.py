@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskline.llm.common import id_and_text, utf8
+from maskline.llm.common import id_and_text, release, slices, utf8
 from maskline.session import materialize
 
 #: Documents of a block, however short they are.
@@ -42,8 +42,10 @@ def unstep(packed: bytes) -> np.ndarray:
 
 
 def write_blocks(docs: DataFrame, size: int) -> DataFrame:
-    """(block, doc_ids, lengths, texts) of docs (doc_id, text): blocks of at least `size` bytes, or MOST_DOCS documents, but for the last
-    of a task. Empty texts take part; a longer text than `size` is a block of its own or the last of one.
+    """(block, doc_ids, lengths, texts) of docs (doc_id, text).
+
+    Blocks have at least `size` bytes, or MOST_DOCS documents, but for the last one of a task. Empty texts take part; a
+    text that is longer than `size` ends its block.
     """
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +63,7 @@ def write_blocks(docs: DataFrame, size: int) -> DataFrame:
                 names=["doc_ids", "lengths", "texts"],
             )
 
-        for part in parts:
+        for part in slices(parts):
             data, starts = utf8(part["text"])
             for k, doc_id in enumerate(part["doc_id"].to_pylist()):
                 ids.append(doc_id)
@@ -73,6 +75,7 @@ def write_blocks(docs: DataFrame, size: int) -> DataFrame:
                     ids, texts, lengths, total = [], [], [], 0
         if ids:
             yield block()
+        release()
 
     blocks = id_and_text(docs).mapInArrow(gather, BLOCK_FIELDS)
     return materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
@@ -117,6 +120,7 @@ def by_block(
     def run(block: pa.Table, told: pa.Table) -> pa.Table:
         rows = told.to_pylist()
         out = [x for row in block.to_pylist() for x in work(Block(row), rows)]
+        release()
         return pa.Table.from_pylist(out, schema=schema)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, ddl)
@@ -124,16 +128,18 @@ def by_block(
 
 def each_block(blocks: DataFrame, work: Callable[[Block], Iterator[dict]], schema: pa.Schema, ddl: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for row in part.to_pylist():
-                yield pa.RecordBatch.from_pylist(list(work(Block(row))), schema=schema)
+        for part in slices(parts, 1):
+            yield pa.RecordBatch.from_pylist([x for row in part.to_pylist() for x in work(Block(row))], schema=schema)
+            release()
 
     return blocks.mapInArrow(run, ddl)
 
 
 def by_shard(entries: DataFrame, decide: Callable[[list[dict]], Iterator[dict]], schema: pa.Schema, ddl: str) -> DataFrame:
     def run(entry: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(list(decide(entry.to_pylist())), schema=schema)
+        out = list(decide(entry.to_pylist()))
+        release()
+        return pa.Table.from_pylist(out, schema=schema)
 
     return entries.groupBy("shard").applyInArrow(run, ddl)
 

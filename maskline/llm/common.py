@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,3 +52,11 @@ def slices(parts: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Reco
     for part in parts:
         for at in range(0, len(part), rows):
             yield part.slice(at, rows)
+
+
+def release() -> None:
+    """Gives freed memory back to the system. Workers live on from task to task, and what they keep others can't have."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)

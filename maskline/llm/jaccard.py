@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from maskline.llm.anchors import hashes, ladder, mix
 from maskline.llm.blocks import Block, by_block, by_shard, each_block, pack, spread, squeeze, steps, total_bytes, unstep, write_blocks
-from maskline.llm.common import slices, utf8
+from maskline.llm.common import release, slices, utf8
 from maskline.llm.graph import components
 from maskline.llm.words import LOWER, Words
 from maskline.session import materialize
 
 #: Bytes of text per block, and per shard of the exchange of signatures.
-BLOCK, SHARD = 8 << 20, 8 << 20
+BLOCK, SHARD = 2 << 20, 8 << 20
 #: Documents in the sample for common tokens; a token is common in 1 / COMMON of them or more.
 SAMPLE, COMMON = 5000, 500
 #: Members of a group; queries that are compared with a group at once.
@@ -196,6 +196,7 @@ def signed(blocks: DataFrame, shards: int, common: np.ndarray, rule: Rule) -> Da
         order = np.argsort(keys, kind="stable")
         same = np.concatenate([[False], keys[order][1:] == keys[order][:-1], [False]])
         some = order[same[1:] | same[:-1]]
+        release()
         return table({"node": node[some], "class": number[some], "sign": keys[some].view(np.int64), "block": block[some]})
 
     def documents(row: dict) -> pa.Table:
@@ -267,6 +268,7 @@ def compared(asks: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -
                 bound = union if len(others) == len(group) else union_of([tokens[m] for m in others])
                 if shared_tokens(tokens[q], bound) >= rule.least_overlap(len(tokens[q])):
                     found += [(node[q], node[m]) for m in others if rule.similar(tokens[q], tokens[m])]
+        release()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     rows = queries.unionByName(members).join(sets.hint("merge"), "node")

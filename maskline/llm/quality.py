@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskline.llm.common import slices
+from maskline.llm.common import release, slices
 from maskline.session import materialize
 
 START, END, REPEAT = 0, 1, 2
@@ -36,7 +36,7 @@ SHAPES = REPEAT + REPEATS
 N_SHAPES = 64
 FIRST_WORD = SHAPES + N_SHAPES
 #: Words of a block that are made into trigrams at once.
-STRETCH = 400_000
+STRETCH = 200_000
 #: Roles of documents: not trusted, learned, held out.
 OTHER, LEARNED, HELD_OUT = 0, 1, 2
 #: log perplexities are counted in steps of this size for the quantiles.
@@ -55,7 +55,7 @@ def shape(word: str) -> int:
 class Symbols(dict):
     """Symbol of a lower-cased word; as a dict, the memo of words, emptied to the inventory when it holds `most`."""
 
-    def __init__(self, words: list[str], most: int = 300_000):
+    def __init__(self, words: list[str], most: int = 200_000):
         super().__init__()
         self.words, self.most = {w: FIRST_WORD + i for i, w in enumerate(words)}, most
         self.update(self.words)
@@ -113,6 +113,7 @@ def write_blocks(docs: DataFrame, trusted: DataFrame, words: list[str], block_wo
                 ],
                 names=["doc_id", "lang", "n", "code"],
             )
+        release()
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, spread = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
@@ -139,6 +140,7 @@ def write_blocks(docs: DataFrame, trusted: DataFrame, words: list[str], block_wo
                     held, total = [], 0
         if held:
             yield block()
+        release()
 
     told = docs.mapInArrow(encode, pack).join(trusted, "doc_id", "left").withColumn("role", F.coalesce("role", F.lit(OTHER)))
     # Fewer, fuller partitions: a block is made from one of them.
@@ -175,7 +177,7 @@ def block_trigrams(blocks: DataFrame) -> DataFrame:
     """(block, key, n): the distinct trigrams of each block and how often its learned documents hold them."""
 
     def name(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts, 1):
             for row in part.to_pylist():
                 learned, parts = np.array(row["roles"]) == LEARNED, []
                 for keys, doc in open_block(row):
@@ -191,6 +193,7 @@ def block_trigrams(blocks: DataFrame) -> DataFrame:
                         [pa.array(np.full(len(found[some]), row["block"])), pa.array(found[some]), pa.array(n[some])],
                         names=["block", "key", "n"],
                     )
+                release()
 
     return blocks.select("block", "roles", "lengths", "codes").mapInArrow(name, "block bigint, key bigint, n bigint")
 
@@ -266,6 +269,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, words: int = 256, sample:
         sums, ids, langs, roles, lengths = (
             [x for part in found for x in part[k]] if k in (1, 2, 3) else np.concatenate([part[k] for part in found]) for k in range(5)
         )
+        release()
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "role": pa.array(roles, pa.int32()),

@@ -31,7 +31,7 @@ from maskline.llm.blocks import (
 )
 
 #: Bytes of an anchor's gram; bytes of text per block and per shard of an exchange.
-GRAM, BLOCK, SHARD = 32, 8 << 20, 16 << 20
+GRAM, BLOCK, SHARD = 32, 4 << 20, 16 << 20
 REPEATED, AFTER, BEFORE = 1, 2, 4
 
 
