@@ -11,14 +11,15 @@ meet anything less often are done.
 Links. Sets that share a signature are compared with the first of them; that links nearly all copies. Clusters of sets
 that share signatures but are not all linked by that are partitioned into groups of similar documents, of bounded size.
 The matrix of groups and tokens, stored as each group's token union, bounds the overlap of a set with any member of a
-group: every set outside the largest linked part of its cluster asks all its groups, and is compared with the members of
-those whose union holds enough of its tokens.
+group: every set outside the largest linked part of its cluster asks the groups of like sizes, and is compared with the
+members of those whose union holds enough of its tokens.
 
 Only links that connect are kept: groups of copies are never written out as pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -39,7 +40,9 @@ BLOCK, SHARD = 2 << 20, 8 << 20
 #: Documents in the sample for common tokens; a token is common in 1 / COMMON of them or more.
 SAMPLE, COMMON = 5000, 500
 #: Members of a group; queries that are compared with a group at once.
-GROUP, QUERIES = 64, 256
+GROUP, QUERIES = 128, 256
+#: Ratio of set sizes from one band to the next.
+BAND = 1.1
 
 
 class Rule:
@@ -276,30 +279,45 @@ def compared(asks: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -
     return dealt.groupBy("task").applyInArrow(open_groups, "a bigint, b bigint")
 
 
-def opened_groups(clusters: DataFrame, labels: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def opened_groups(clusters: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) between sets of one cluster (node, cluster: joined by shared signatures) that have no label (node, label:
-    joined by links) in common yet. All but those of a cluster's largest label ask the groups that the cluster is cut into.
+    joined by links) in common yet; sizes has (node, size).
+
+    A cluster is cut into groups by label, where that is large, and by bands of set sizes; similar sets are at most a few
+    bands apart. All but those of the largest label ask: the groups of the largest label on both sides, others upwards.
     """
-    known = labels.join(clusters, "node")
-    sizes = known.groupBy("cluster", "label").agg(F.count("*").alias("members"))
-    totals = sizes.groupBy("cluster").agg(
-        F.sum("members").alias("all"), F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("largest")
-    )
-    sizes = materialize(sizes.join(totals.where("labels > 1").select("cluster", "all", F.col("largest.label").alias("largest")), "cluster"))
-    # What is linked goes together; of many members, in several groups.
-    many = F.col("members") > GROUP
-    parts = lambda n: F.ceil(F.col(n) / GROUP)
-    part = F.when(many, F.pmod(F.xxhash64("node"), parts("members"))).otherwise(F.pmod(F.xxhash64("label"), parts("all")))
-    grouped = known.join(sizes.hint("merge"), ["cluster", "label"]).select(
-        "node", "label", "cluster", "largest", F.when(many, F.col("label")).otherwise(-1 - F.col("cluster")).alias("of"), part.cast("bigint").alias("part")
-    )
+    known = labels.join(clusters, "node").join(sizes, "node").withColumn("band", F.floor(F.log("size") / math.log(BAND)).cast("bigint"))
+    counts = known.groupBy("cluster", "label").agg(F.count("*").alias("members"))
+    largest = counts.groupBy("cluster").agg(F.count("*").alias("labels"), F.max(F.struct("members", "label")).alias("l"))
+    counts = counts.join(largest.where("labels > 1").select("cluster", F.col("l.label").alias("largest")), "cluster")
+    alone = (F.col("members") > GROUP) | (F.col("label") == F.col("largest"))
+    counts = materialize(counts.withColumn("of", F.when(alone, F.col("label")).otherwise(-1 - F.col("cluster"))))
+    told = materialize(known.join(counts.hint("merge"), ["cluster", "label"]).select("node", "label", "cluster", "largest", "of", "band"))
+    cuts = materialize(told.groupBy("of", "band").agg(F.ceil(F.count("*") / GROUP).cast("bigint").alias("cuts")))
+    # At most 2 ** 20 groups in a band of a label: sixty million sets.
+    part = F.col("band") * (1 << 20) + F.pmod(F.xxhash64("node"), F.col("cuts"))
+    grouped = told.join(cuts.hint("merge"), ["of", "band"]).select("node", "label", "cluster", "largest", "of", "band", part.alias("part"))
     grouped = materialize(grouped)
-    groups = materialize(grouped.select("cluster", "of", "part").distinct())
-    asking = grouped.where("label <> largest").select("node", "label", "cluster")
-    asks = asking.join(groups.hint("merge"), "cluster").where("of <> label").select("node", "of", "part")
+    groups = materialize(grouped.select("cluster", "of", "part", F.col("band").alias("there"), (F.col("of") == F.col("largest")).alias("both")).distinct())
+    apart = int(math.log(rule.den / rule.num) / math.log(BAND)) + 1
+    asking = grouped.where("label <> largest").select("node", "label", "cluster", "band")
+    near = f"of <> label AND there <= band + {apart} AND there >= IF(both, band - {apart}, band)"
+    asks = asking.join(groups.hint("merge"), "cluster").where(near).select("node", "of", "part")
     return compared(asks, grouped.select("node", "of", "part"), sets, rule)
 
 
+def central_links(meetings: DataFrame, clusters: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) of the sets of a cluster with its central one: the one whose signatures the most others share. Copies
+    that are edited apart from each other are near the text that they are all edited from."""
+    met = meetings.groupBy("sign").agg(F.count("*").alias("n"))
+    weights = meetings.select("sign", "node").join(met.hint("merge"), "sign").groupBy("node").agg(F.sum("n").alias("weight"))
+    central = weights.join(clusters, "node").groupBy("cluster").agg(F.max(F.struct("weight", "node")).alias("c"))
+    one = F.lit(0).cast("bigint").alias("part")
+    central = materialize(central.select("cluster", F.col("c.node").alias("of"), one))
+    asks = clusters.join(central.hint("merge"), "cluster").where("node <> of").select("node", "of", "part")
+    return materialize(compared(asks, central.select(F.col("of").alias("node"), "of", "part"), sets, rule))
+
+
 def near_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, node), one row per row of docs (doc_id, text).
 
@@ -328,12 +346,13 @@ def near_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     sets = token_sets(blocks, met.select("node", "block").distinct(), rule)
     asks = materialize(asks.distinct())
     links = materialize(compared(asks, firsts, sets, rule))
+    clusters = components(asks.select(F.col("node").alias("a"), F.col("of").alias("b")))
+    clusters = materialize(clusters.select(F.col("id").alias("node"), F.col("component").alias("cluster")))
+    links = links.unionByName(central_links(met, clusters, sets, rule))
     labels = components(links).select(F.col("id").alias("node"), F.col("component").alias("label"))
     labels = met.select("node").distinct().join(labels, "node", "left")
     labels = materialize(labels.select("node", F.coalesce("label", "node").alias("label")))
-    clusters = components(asks.select(F.col("node").alias("a"), F.col("of").alias("b")))
-    clusters = clusters.select(F.col("id").alias("node"), F.col("component").alias("cluster"))
-    more = opened_groups(clusters, labels, sets, rule)
+    more = opened_groups(clusters, labels, documents.select("node", "size"), sets, rule)
     edges = (
         documents.select(F.col("node").alias("a"), F.col("first").alias("b"))
         .unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
