@@ -1,13 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text, and thresholds per language.
 
-Words are read as symbols of a closed inventory: the most frequent words of a bounded sample of trusted documents, a few
-symbols for words that repeat the one before, once or more often, and a symbol per shape (letters, digits, other signs,
-length) for all others. So a symbol is two bytes, and unigrams and bigrams are tables of bounded size; trigrams are not, and are sharded.
-
-Documents are encoded once, compressed, told whether they are trusted, and written as blocks of a few million words.
-Each block names its distinct trigrams with their counts in trusted text; summed over blocks these are the training
-counts, which grow with the corpus. The probability of each distinct trigram comes from joins of the sharded counts, goes
-back to the blocks that hold it, and gives every document its perplexity there. The texts themselves are never shuffled.
+Words are read as symbols: every word that learned text has is one of its own, however many there are; a few symbols
+stand for words that repeat the one before, once or more often, and a symbol per shape (letters, digits, other signs,
+length) for words that learned text lacks. Unigrams, bigrams and trigrams grow with the corpus, and all of them are sharded.
+
+Documents are told whether they are trusted, encoded, and written as blocks of about a million words: the distinct words
+of the block as 64-bit numbers (a hash and the shape), and places among them. The learned ones are numbered by a join.
+Each block names its distinct trigrams with their counts in learned text; summed over blocks these are the training
+counts. The probability of each distinct trigram comes from joins of the sharded counts, goes back to the blocks that hold
+it by its place there, and gives every document its perplexity. A closed inventory of the most frequent words of a bounded
+sample, with shapes for all others, can be asked for instead.
 One trusted document of a few, by a hash of its id, is held out: the model doesn't learn it. A document is rejected when
 its perplexity is above what all but a share of the held-out ones of its language and length reach, by a margin.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,9 @@ SHAPES = REPEAT + REPEATS
 #: Shapes: letters, digits, signs inside, sign at the end (a bit each) and four lengths.
 N_SHAPES = 64
 FIRST_WORD = SHAPES + N_SHAPES
-#: Words of a block that are made into trigrams at once.
-STRETCH = 200_000
+#: Bits of a word's number that hold its shape; the sign bit tells a word, and the others are its hash. Other symbols are
+#: not negative.
+SHAPE_BITS = N_SHAPES.bit_length() - 1
 #: Roles of documents: not trusted, learned, held out.
 OTHER, LEARNED, HELD_OUT = 0, 1, 2
 #: log perplexities are counted in steps of this size for the quantiles.
@@ -52,26 +56,35 @@ def shape(word: str) -> int:
     return SHAPES + (letters | digits << 1 | signs << 2 | ends << 3 | length << 4)
 
 
+def number(word: str) -> int:
+    """A negative 64-bit number of a word: its shape and as much of a hash as there is room for."""
+    hashed = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return ((hashed >> SHAPE_BITS + 1) << SHAPE_BITS | shape(word) - SHAPES) - (1 << 63)
+
+
 class Symbols(dict):
-    """Symbol of a lower-cased word; as a dict, the memo of words, emptied to the inventory when it holds `most`."""
+    """Symbol of a lower-cased word; as a dict, the memo of words, emptied to the inventory when it holds `most`.
+
+    Without an inventory (None) a word has its number, and who knows the learned words says what to read it as."""
 
-    def __init__(self, words: list[str], most: int = 200_000):
+    def __init__(self, words: list[str] | None, most: int = 200_000):
         super().__init__()
-        self.words, self.most = {w: FIRST_WORD + i for i, w in enumerate(words)}, most
+        self.words, self.most = {w: FIRST_WORD + i for i, w in enumerate(words or [])}, most
+        self.other = number if words is None else shape
         self.update(self.words)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
             self.update(self.words)
-        found = shape(word)
+        found = self.other(word)
         if len(word) <= 64:
             self[word] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
         words = text.lower().split()
-        out = np.fromiter(map(self.__getitem__, words), np.uint16, len(words))
+        out = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if len(words) > 1:
             again = np.fromiter(map(str.__eq__, words, words[1:]), bool, len(words) - 1)
             place = np.arange(len(again))
@@ -98,43 +111,41 @@ def inventory(docs: DataFrame, trusted: DataFrame, words: int, sample: int) -> l
     return [r["word"] for r in top.collect()]
 
 
-def write_blocks(docs: DataFrame, trusted: DataFrame, words: list[str], block_words: int) -> DataFrame:
-    """(block, doc_ids, langs, roles, lengths, codes): documents as symbols, in blocks of about block_words."""
-    pack = "doc_id bigint, lang string, n int, code binary"
+def write_blocks(docs: DataFrame, trusted: DataFrame, words: list[str] | None, block_words: int) -> DataFrame:
+    """(block, doc_ids, langs, roles, lengths, symbols, codes): documents as places (codes) among the distinct symbols of
+    their block, in blocks of about block_words."""
+    pack = "doc_id bigint, lang string, text binary"
 
-    def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, squeeze = Symbols(words), zstandard.ZstdCompressor(level=6)
+    def shrink(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=6)
         for part in slices(parts):
-            codes = [symbols.encode(t) for t in part["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part["doc_id"], part["lang"], pa.array(list(map(len, codes)), pa.int32()),
-                    pa.array([squeeze.compress(c.tobytes()) for c in codes], pa.binary()),
-                ],
-                names=["doc_id", "lang", "n", "code"],
-            )
+            texts = pa.array([squeeze.compress(t.encode()) for t in part["text"].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["lang"], texts], names=["doc_id", "lang", "text"])
         release()
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, spread = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+        symbols = Symbols(words)
         held: list[tuple] = []
         total = 0
 
         def block() -> pa.RecordBatch:
-            ids, langs, roles, lengths, codes = zip(*held, strict=True)
+            ids, langs, roles, codes = zip(*held, strict=True)
+            distinct, places = np.unique(np.concatenate(codes), return_inverse=True)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids], pa.list_(pa.int64())), pa.array([langs], pa.list_(pa.string())),
-                    pa.array([roles], pa.list_(pa.int32())), pa.array([lengths], pa.list_(pa.int32())),
-                    pa.array([squeeze.compress(b"".join(codes))], pa.binary()),
+                    pa.array([roles], pa.list_(pa.int32())), pa.array([list(map(len, codes))], pa.list_(pa.int32())),
+                    pa.array([squeeze.compress(distinct.tobytes())], pa.binary()),
+                    pa.array([squeeze.compress(places.astype(np.uint32).tobytes())], pa.binary()),
                 ],
-                names=["doc_ids", "langs", "roles", "lengths", "codes"],
+                names=["doc_ids", "langs", "roles", "lengths", "symbols", "codes"],
             )
 
-        for part in parts:
-            for doc_id, lang, n, code, role in zip(*(part[c].to_pylist() for c in ("doc_id", "lang", "n", "code", "role")), strict=True):
-                held.append((doc_id, lang, role, n, spread.decompress(code) if n else b""))
-                total += n + 1
+        for part in slices(parts):
+            for doc_id, lang, text, role in zip(*(part[c].to_pylist() for c in ("doc_id", "lang", "text", "role")), strict=True):
+                held.append((doc_id, lang, role, symbols.encode(spread.decompress(text).decode())))
+                total += len(held[-1][-1]) + 1
                 if total >= block_words:
                     yield block()
                     held, total = [], 0
@@ -142,60 +153,96 @@ def write_blocks(docs: DataFrame, trusted: DataFrame, words: list[str], block_wo
             yield block()
         release()
 
-    told = docs.mapInArrow(encode, pack).join(trusted, "doc_id", "left").withColumn("role", F.coalesce("role", F.lit(OTHER)))
-    # Fewer, fuller partitions: a block is made from one of them.
+    told = docs.mapInArrow(shrink, pack).join(trusted, "doc_id", "left").withColumn("role", F.coalesce("role", F.lit(OTHER)))
     blocks = told.mapInArrow(
-        gather, "doc_ids array<bigint>, langs array<string>, roles array<int>, lengths array<int>, codes binary"
+        gather, "doc_ids array<bigint>, langs array<string>, roles array<int>, lengths array<int>, symbols binary, codes binary"
     )
     return materialize(blocks.withColumn("block", F.monotonically_increasing_id()))
 
 
-def trigrams(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(trigram keys of all documents, one for each symbol and one for the end; document of each key)."""
-    doc = np.repeat(np.arange(len(lengths)), lengths + 1)
-    ends = np.cumsum(lengths + 1) - 1
-    word = np.full(len(doc), END, np.int64)
-    word[np.delete(np.arange(len(doc)), ends)] = codes
-    at = np.arange(len(doc)) - np.repeat(ends - lengths, lengths + 1)
-    before = np.where(at >= 1, np.roll(word, 1), START)
-    earlier = np.where(at >= 2, np.roll(word, 2), START)
-    return earlier << 32 | before << 16 | word, doc
+def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct symbols, places among them of all words, words of each document) of a block."""
+    spread = zstandard.ZstdDecompressor()
+    symbols, codes = (np.frombuffer(spread.decompress(row[c]), k) for c, k in (("symbols", np.int64), ("codes", np.uint32)))
+    return symbols, codes, np.array(row["lengths"], np.int64)
+
 
+class Trigrams:
+    """Distinct trigrams of a block: symbols u, v and w by place (START and END stand behind the symbols), the place of
+    the trigram of each word and end of a document, and the document of each."""
 
-def open_block(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, documents) of a block, some documents at a time: arrays take many times the room of the codes."""
-    lengths = np.array(row["lengths"], np.int64)
-    codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint16) if lengths.any() else np.zeros(0, np.uint16)
-    ends = np.cumsum(lengths)
-    cuts = [0, *(np.flatnonzero(np.diff((ends + np.arange(len(ends))) // STRETCH)) + 1).tolist(), len(lengths)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        keys, doc = trigrams(codes[ends[a] - lengths[a] : ends[b - 1]], lengths[a:b])
-        yield keys, doc + a
+    def __init__(self, codes: np.ndarray, lengths: np.ndarray, n_symbols: int):
+        start, end, size = n_symbols, n_symbols + 1, n_symbols + 2
+        self.doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+        ends = np.cumsum(lengths + 1) - 1
+        word = np.full(len(self.doc), end, np.int64)
+        word[np.delete(np.arange(len(self.doc)), ends)] = codes
+        at = np.arange(len(self.doc)) - np.repeat(ends - lengths, lengths + 1)
+        before = np.where(at >= 1, np.roll(word, 1), start)
+        earlier = np.where(at >= 2, np.roll(word, 2), start)
+        # Two numbers in one, twice: a pair by its place has room beside a word.
+        pairs, pair = np.unique(earlier * size + before, return_inverse=True)
+        found, self.place = np.unique(pair * size + word, return_inverse=True)
+        pair = pairs[found // size]
+        self.u, self.v, self.w = pair // size, pair % size, found % size
 
 
-def block_trigrams(blocks: DataFrame) -> DataFrame:
-    """(block, key, n): the distinct trigrams of each block and how often its learned documents hold them."""
+def block_words_of(blocks: DataFrame) -> DataFrame:
+    """(block, place, symbol, learned): the distinct words of blocks that have numbers, and if learned text has them."""
 
     def name(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts, 1):
             for row in part.to_pylist():
-                learned, parts = np.array(row["roles"]) == LEARNED, []
-                for keys, doc in open_block(row):
-                    found, place = np.unique(keys, return_inverse=True)
-                    parts.append((found, np.bincount(place, weights=learned[doc], minlength=len(found))))
-                keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-                found, place = np.unique(keys, return_inverse=True)
-                n = np.bincount(place, weights=counts).astype(np.int64)
-                n[(found & 0xFFFF) == REPEAT + REPEATS - 1] = 0
-                for at in range(0, len(found), 100_000):
-                    some = slice(at, at + 100_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(found[some]), row["block"])), pa.array(found[some]), pa.array(n[some])],
-                        names=["block", "key", "n"],
-                    )
+                symbols, codes, lengths = opened(row)
+                learned = np.zeros(len(symbols), bool)
+                learned[codes[np.repeat(np.array(row["roles"]) == LEARNED, lengths)]] = True
+                place = np.flatnonzero(symbols < 0)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(place), row["block"], np.int64)), pa.array(place.astype(np.int32)),
+                        pa.array(symbols[place]), pa.array(learned[place]),
+                    ],
+                    names=["block", "place", "symbol", "learned"],
+                )
                 release()
 
-    return blocks.select("block", "roles", "lengths", "codes").mapInArrow(name, "block bigint, key bigint, n bigint")
+    return blocks.select("block", "roles", "lengths", "symbols", "codes").mapInArrow(
+        name, "block bigint, place int, symbol bigint, learned boolean"
+    )
+
+
+def block_trigrams(blocks: DataFrame, told: DataFrame) -> DataFrame:
+    """(block, place, u, v, w, n): the distinct trigrams of each block and how often its learned documents hold them.
+
+    told (block, place, id) numbers the learned words of a block; others are read as their shape."""
+
+    def name(block: pa.Table, known: pa.Table) -> pa.Table:
+        parts = []
+        for row in block.to_pylist():
+            symbols, codes, lengths = opened(row)
+            found = Trigrams(codes, lengths, len(symbols))
+            symbols = np.where(symbols < 0, SHAPES + (symbols & N_SHAPES - 1), symbols)
+            symbols[known["place"].to_numpy()] = known["id"].to_numpy()
+            symbols = np.concatenate([symbols, [START, END]])
+            learned = np.array(row["roles"]) == LEARNED
+            n = np.bincount(found.place, weights=learned[found.doc], minlength=len(found.w)).astype(np.int64)
+            w = symbols[found.w]
+            n[w == REPEAT + REPEATS - 1] = 0
+            parts.append(
+                pa.table(
+                    {
+                        "block": pa.array(np.full(len(w), row["block"], np.int64)), "place": pa.array(np.arange(len(w), dtype=np.int32)),
+                        "u": pa.array(symbols[found.u]), "v": pa.array(symbols[found.v]), "w": pa.array(w), "n": pa.array(n),
+                    }
+                )
+            )
+        release()
+        return pa.concat_tables(parts)
+
+    coded = blocks.select("block", "roles", "lengths", "symbols", "codes")
+    return coded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
+        name, "block bigint, place int, u bigint, v bigint, w bigint, n bigint"
+    )
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -212,68 +259,72 @@ def _discount(c: str, d: tuple[float, float, float]):
     return F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
 
 
-def _contexts(counts: DataFrame, by: str, d: tuple[float, float, float], name: str) -> DataFrame:
+def _contexts(counts: DataFrame, by: list[str], d: tuple[float, float, float], name: str) -> DataFrame:
     """(by, total_<name>, rest_<name>): the counts after a context and the share of them that discounting leaves over."""
-    return counts.groupBy(by).agg(
+    return counts.groupBy(*by).agg(
         F.sum("c").alias(f"total_{name}"), (F.sum(_discount("c", d)) / F.sum("c")).alias(f"rest_{name}")
     )
 
 
 def log_probabilities(keys: DataFrame, symbols: int) -> DataFrame:
-    """(key, logp) for every distinct trigram (key, c); c is its count in trusted text, 0 if it has none."""
-    keys = keys.withColumn("uv", F.expr("shiftright(key, 16)")).withColumn("vw", F.expr("key & 4294967295"))
+    """(u, v, w, logp) for every distinct trigram (u, v, w, c); c is its count in learned text, 0 if it has none.
+
+    Counts of all orders grow with the corpus: they are joined, the lower ones once per distinct bigram asked for."""
     tri = keys.where("c > 0")
-    # At most symbols ** 2 and symbols rows of a few numbers, whatever the corpus: they can be sent to every task.
-    bi = tri.groupBy("vw").agg(F.count("*").alias("c")).withColumn("v", F.expr("shiftright(vw, 16)")).withColumn("w", F.expr("vw & 65535"))
-    bi = materialize(bi)
+    bi = materialize(tri.groupBy("v", "w").agg(F.count("*").alias("c")))
     uni = materialize(bi.groupBy("w").agg(F.count("*").alias("c")))
     d3, d2, d1 = discounts(tri), discounts(bi), discounts(uni)
     total = uni.agg(F.sum("c"), F.sum(_discount("c", d1))).first()
     if not total[0]:
-        return keys.select("key", F.lit(-math.log(symbols)).alias("logp"))
-    one = uni.select("w", ((F.col("c") - _discount("c", d1)) / total[0] + F.lit(total[1] / total[0] / symbols)).alias("p1"))
+        return keys.select("u", "v", "w", F.lit(-math.log(symbols)).alias("logp"))
     unseen = total[1] / total[0] / symbols
-    c3 = _contexts(tri, "uv", d3, "3")
-    two = bi.select("vw", (F.col("c") - _discount("c", d2)).alias("over_2"))
-    c2 = _contexts(bi, "v", d2, "2")
+    one = uni.select("w", ((F.col("c") - _discount("c", d1)) / total[0] + F.lit(unseen)).alias("p1"))
+    c3 = _contexts(tri, ["u", "v"], d3, "3")
+    two = bi.select("v", "w", (F.col("c") - _discount("c", d2)).alias("over_2"))
+    c2 = _contexts(bi, ["v"], d2, "2")
     p1 = F.coalesce("p1", F.lit(unseen))
     p2 = F.coalesce(F.coalesce("over_2", F.lit(0.0)) / F.col("total_2") + F.col("rest_2") * p1, p1)
+    asked = keys.select("v", "w").distinct().join(two, ["v", "w"], "left").join(c2, "v", "left").join(one, "w", "left")
+    lower = materialize(asked.select("v", "w", p2.alias("p2")))
     over = F.when(F.col("c") > 0, F.col("c") - _discount("c", d3)).otherwise(0.0)
-    p3 = F.coalesce(over / F.col("total_3") + F.col("rest_3") * p2, p2)
-    joined = keys.withColumn("v", F.expr("shiftright(vw, 16)")).withColumn("w", F.expr("vw & 65535")).join(c3, "uv", "left")
-    for small, on in ((two, "vw"), (c2, "v"), (one, "w")):
-        joined = joined.join(F.broadcast(small), on, "left")
-    return joined.select("key", F.log(p3).alias("logp"))
+    p3 = F.coalesce(over / F.col("total_3") + F.col("rest_3") * F.col("p2"), F.col("p2"))
+    joined = keys.join(c3, ["u", "v"], "left").join(lower, ["v", "w"])
+    return joined.select("u", "v", "w", F.log(p3).alias("logp"))
+
 
+def perplexities(docs: DataFrame, trusted: DataFrame, words: int | None = None, sample: int = 20_000, block_words: int = 1_000_000) -> DataFrame:
+    """(doc_id, lang, role, n_words, log_perplexity) of docs (doc_id, text, lang) by what trusted (doc_id, role) ones teach.
 
-def perplexities(docs: DataFrame, trusted: DataFrame, words: int = 256, sample: int = 20_000, block_words: int = 3_000_000) -> DataFrame:
-    """(doc_id, lang, role, n_words, log_perplexity) of docs (doc_id, text, lang) by what trusted (doc_id, role) ones teach."""
+    Every learned word counts; `words` asks for a closed inventory of that many, from at most `sample` trusted documents."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    chosen = inventory(docs, trusted.select("doc_id"), words, sample)
+    chosen = None if words is None else inventory(docs, trusted.select("doc_id"), words, sample)
     blocks = write_blocks(docs, trusted, chosen, block_words)
-    named = materialize(block_trigrams(blocks))
-    keys = named.groupBy("key").agg(F.sum("n").alias("c"))
-    scored = materialize(log_probabilities(materialize(keys), FIRST_WORD + words))
-    back = named.select("block", "key").join(scored.hint("merge"), "key").select("block", "key", "logp")
+    own = materialize(block_words_of(blocks))
+    # Numbers go by partition and row: written, so that they stay the same.
+    learned = own.where("learned").select("symbol").distinct()
+    known = materialize(learned.withColumn("id", F.lit(FIRST_WORD) + F.monotonically_increasing_id()))
+    told = own.join(known, "symbol").select("block", "place", "id")
+    named = materialize(block_trigrams(blocks, told))
+    keys = named.groupBy("u", "v", "w").agg(F.sum("n").alias("c"))
+    scored = materialize(log_probabilities(materialize(keys), FIRST_WORD + (known.count() if words is None else words)))
+    back = named.select("block", "place", "u", "v", "w").join(scored.hint("merge"), ["u", "v", "w"]).select("block", "place", "logp")
 
     def score(block: pa.Table, probabilities: pa.Table) -> pa.Table:
-        key, logp = probabilities["key"].to_numpy(), probabilities["logp"].to_numpy()
-        order = np.argsort(key)
-        key, logp = key[order], logp[order]
-        found: list[tuple[np.ndarray, list, list, list, np.ndarray]] = []
-        for row in block.to_pylist():
-            sums = np.zeros(len(row["lengths"]))
-            for keys, doc in open_block(row):
-                sums += np.bincount(doc, weights=logp[np.searchsorted(key, keys)], minlength=len(sums))
-            found.append((sums, row["doc_ids"], row["langs"], row["roles"], np.array(row["lengths"], np.int64)))
-        sums, ids, langs, roles, lengths = (
-            [x for part in found for x in part[k]] if k in (1, 2, 3) else np.concatenate([part[k] for part in found]) for k in range(5)
-        )
+        logp = np.zeros(len(probabilities))
+        logp[probabilities["place"].to_numpy()] = probabilities["logp"].to_numpy()
+        rows = block.to_pylist()
+        sums = []
+        for row in rows:
+            symbols, codes, lengths = opened(row)
+            found = Trigrams(codes, lengths, len(symbols))
+            sums.append(np.bincount(found.doc, weights=logp[found.place], minlength=len(lengths)))
+        ids, langs, roles, lengths = ([x for row in rows for x in row[k]] for k in ("doc_ids", "langs", "roles", "lengths"))
         release()
         return pa.table(
             {
                 "doc_id": pa.array(ids, pa.int64()), "lang": pa.array(langs, pa.string()), "role": pa.array(roles, pa.int32()),
-                "n_words": pa.array(lengths, pa.int64()), "log_perplexity": pa.array(-sums / (lengths + 1)),
+                "n_words": pa.array(lengths, pa.int64()),
+                "log_perplexity": pa.array(-np.concatenate(sums) / (np.array(lengths, np.int64) + 1)),
             }
         )
 
@@ -284,7 +335,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, words: int = 256, sample:
     )
 
 
-def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 3.0, fold: int = 5, **model: int) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 3.0, fold: int = 5, **model: int | None) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept), one row per row of docs (doc_id, text, lang).
 
     trusted (doc_id) names the documents whose text is trusted; ids that docs lacks do nothing. One of `fold` is held out.

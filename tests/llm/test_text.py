@@ -269,6 +269,39 @@ def test_quality_rejects_what_is_unlike_trusted_text(documents, spark):
     assert quality.quality(documents(rows).where("false"), trusted).collect() == []
 
 
+def test_shuffled_and_scrambled_trusted_text_is_worse(documents, spark):
+    rng = random.Random(11)
+    # Far more words than a closed inventory of the frequent ones would hold, in phrases that recur.
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(900)]
+    phrases = [[rng.choice(words) for _ in range(6)] for _ in range(150)]
+    text = lambda: [w for _ in range(15) for w in rng.choice(phrases)]
+    plain = [text() for _ in range(300)]
+    others = [text() for _ in range(20)]
+    shuffled = [rng.sample(t, len(t)) for t in others]
+    scrambled = [["".join(rng.choice("abcdefghij") for _ in w) for w in t] for t in others]
+    rows = list(enumerate(" ".join(t) for t in [*plain, *others, *shuffled, *scrambled]))
+    trusted = spark.createDataFrame([(i,) for i in range(300)], "doc_id bigint")
+    got = by_id(quality.quality(documents(rows), trusted, block_words=5000))
+    as_is, mixed, random_ = ([got[i] for i in range(a, a + 20)] for a in (300, 320, 340))
+    assert all(r["kept"] for r in as_is) and not any(r["kept"] for r in mixed + random_)
+    for a, b, c in zip(as_is, mixed, random_, strict=True):
+        assert 3 * a["perplexity"] < min(b["perplexity"], c["perplexity"])
+
+
+def test_open_vocabulary_is_modified_kneser_ney(documents, spark):
+    rows = [(i, (t or "")[:600]) for i, t in corpus(12, 50, words=60)]
+    roles = spark.createDataFrame([(i, quality.LEARNED) for i in range(10, 40)], "doc_id bigint, role int")
+    learned = {w for i, t in rows if 10 <= i < 40 for w in t.lower().split()}
+    symbols = quality.Symbols(sorted(learned))
+    coded = {i: symbols.encode(t).tolist() for i, t in rows}
+    logp = kneser_ney([coded[i] for i in range(10, 40)], quality.FIRST_WORD + len(learned))
+    got = by_id(quality.perplexities(documents(rows), roles, block_words=300))
+    for i, _ in rows:
+        padded = [quality.START, quality.START, *coded[i], quality.END]
+        sums = -sum(logp(*x) for x in zip(padded, padded[1:], padded[2:], strict=False))
+        assert math.isclose(got[i]["log_perplexity"], sums / (len(coded[i]) + 1), rel_tol=1e-9)
+
+
 # Licenses
 
 
