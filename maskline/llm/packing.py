@@ -11,8 +11,9 @@ short ones come is what they can fill.
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -51,6 +52,28 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def encode_as_file(vocabulary: str) -> Callable[[str], list[int]]:
+    """The ids that tokenizers.Tokenizer gives without special tokens added: added tokens of the file that a text quotes
+    are ids of their own (the longest of those that start at a place), and what lies between them is encoded by itself."""
+    with open(vocabulary, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that take blanks along, or only match words or normalized text, are not read")
+    ordinary, special = encoder(vocabulary).encode_ordinary, {t["content"]: t["id"] for t in added}
+    if not special:
+        return ordinary
+    cuts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> list[int]:
+        parts = cuts.split(text)
+        if len(parts) == 1:
+            return ordinary(text)
+        return [i for k, part in enumerate(parts) for i in ([special[part]] if k % 2 else ordinary(part))]
+
+    return encode
+
+
 def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of n ids."""
     at = n % capacity or min(n, capacity)
@@ -64,7 +87,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, closing: int =
     """PIECES of docs (doc_id, text)."""
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_ordinary
+        encode = encode_as_file(vocabulary)
         for part in slices(parts, 2048):
             out: list[tuple] = []
             for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):

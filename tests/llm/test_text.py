@@ -152,6 +152,18 @@ def test_packed_documents(documents):
     assert packing.packed(documents(rows).where("false"), JSON).collect() == []
 
 
+def test_quoted_added_tokens_have_the_library_s_ids(documents):
+    quoted = ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", " <|endoftext|>'s  ", "<|ENDOFTEXT|> <|endoftext|", "é<|endoftext|>中 <|<|endoftext|>|>"]
+    rng = random.Random(14)
+    quoted += ["".join(rng.choice(["<|endoftext|>", "<|", "|>", "endoftext", " ", "  ", "\n", "it's", "12", "é"]) for _ in range(30)) for _ in range(100)]
+    library, encode = Tokenizer.from_file(JSON), packing.encode_as_file(JSON)
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(quoted)}
+    assert all(encode(t) == want[i] for i, t in enumerate(quoted)) and sum(50256 in ids for ids in want.values()) > 50
+    for i, r in by_id(packing.packed(documents(list(enumerate(quoted))), JSON)).items():
+        ids = np.array([*want[i], 0], "<u4")
+        assert (r["length"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 # Embeddings
 
 
