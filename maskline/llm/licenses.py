@@ -8,6 +8,7 @@ near one diagonal are a candidate; its stretch of the document and the template
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,6 +141,37 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> t
     return best[1:]
 
 
+def reach(length: int, band: int) -> int:
+    """The band of a template: less than half of it, so that one copy's does not reach the next one's."""
+    return min(band, (length - 1) // 2)
+
+
+def places(
+    template: np.ndarray, text: np.ndarray, found: list[tuple[int, int, int]], band: int, coverage: float
+) -> Iterator[tuple[int, int, int]]:
+    """(matched words, first and last + 1 place) of the candidates found, best first, none over another. What a place leaves
+    of a candidate's band to its left and right, and what another place leaves of it, is aligned again."""
+    least, open_, taken = coverage * len(template), [], []
+
+    def look(a: int, b: int, diagonal: int) -> None:
+        if b - a >= least:
+            matched, begin, end = align(template, text[a:b], diagonal - a, band)
+            if matched and matched >= least:
+                heapq.heappush(open_, (-matched, a + begin, a + end, a, b, diagonal))
+
+    for diagonal in dict.fromkeys(d for d, _, _ in found):
+        look(max(0, diagonal - band), min(len(text), diagonal + len(template) + band), diagonal)
+    while open_:
+        matched, begin, end, a, b, diagonal = heapq.heappop(open_)
+        over = next((t for t in taken if begin < t[1] and end > t[0]), None)
+        if over is None:
+            over = begin, end
+            taken.append(over)
+            yield -matched, begin, end
+        look(a, min(b, over[0]), diagonal)
+        look(max(a, over[1]), b, diagonal)
+
+
 def license_spans(
     docs: DataFrame, templates: dict[str, str] | None = None, gram: int = 3, winnow: int = 4, band: int = 8, coverage: float = 0.75
 ) -> DataFrame:
@@ -155,17 +187,8 @@ def license_spans(
     def spans(words: np.ndarray, place: np.ndarray, template: np.ndarray, inside: np.ndarray) -> Iterator[tuple]:
         for number in np.unique(template).tolist():
             own, mine = index.words[number], template == number
-            found = []
-            for diagonal, first, last in candidates(place[mine], inside[mine], len(own), band):
-                a, b = max(0, min(first, diagonal) - len(own) - band), max(last, diagonal + len(own)) + len(own) + band
-                matched, begin, end = align(own, words[a:b], diagonal - a, band)
-                if matched >= coverage * len(own):
-                    found.append((-matched, a + begin, a + end))
-            taken: list[tuple[int, int]] = []
-            for matched, begin, end in sorted(found):
-                if all(end <= x or begin >= y for x, y in taken):
-                    taken.append((begin, end))
-                    yield number, -matched, len(own), begin, end
+            for matched, begin, end in places(own, words, candidates(place[mine], inside[mine], len(own), reach(len(own), band)), reach(len(own), band), coverage):
+                yield number, matched, len(own), begin, end
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(FIELDS)

@@ -363,6 +363,20 @@ def test_license_spans(documents):
     assert licenses.license_spans(documents(rows).where("false")).collect() == []
 
 
+def test_adjacent_copies_are_a_row_each(documents):
+    rows, want = [], {}
+    for name, text in licenses.TEMPLATES.items():
+        for n in (1, 2, 3, 7):
+            want[len(rows)] = (name, n, len(text))
+            rows.append((len(rows), "sea wind " + " ".join([text] * n) + " sea wind"))
+    found = defaultdict(list)
+    for r in licenses.license_spans(documents(rows)).collect():
+        if r["license"] == want[r["doc_id"]][0]:
+            found[r["doc_id"]].append((r["coverage"], r["start"]))
+    for doc_id, (name, n, length) in want.items():
+        assert sorted(found[doc_id]) == [(1.0, 9 + k * (length + 1)) for k in range(n)], (name, n)
+
+
 # Words
 
 
