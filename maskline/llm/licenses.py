@@ -1,14 +1,18 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment says what matches and where.
 
 Templates are few and fixed, so their index is of fixed size and travels with the function: the hashes of `gram` words,
-the smallest of every `winnow` neighbours, with the places where they stand. Each document is probed with all its grams,
-so a shared run of gram + winnow - 1 words cannot be missed, in one pass without a shuffle. Hits of a template that lie
-near one diagonal are a candidate; its stretch of the document and the template are aligned in a band around it.
+the smallest of every `winnow` neighbours, with the places where they stand; both less where the coverage asked for lets
+so many words be changed or left out that no longer run need stay. Each document is probed with all its grams, in one pass
+without a shuffle, so a notice with words changed or left out, but not put in, is a candidate if enough of it stays. One
+with words put in is if a run of a template's gram stays. Hits of a template that lie near one diagonal are a candidate;
+its stretch of the document and the template are aligned in a band around it, so shifts of more than the band (8 words, and
+less than half the template) can cost matches.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,36 +74,52 @@ def grams_of(words: Words, gram: int) -> np.ndarray:
     return np.where(left >= gram, found, 0)
 
 
+def fingerprint(length: int, gram: int, winnow: int, coverage: float) -> tuple[int, int]:
+    """(gram, winnow) of a template: as given, or less where words may be changed or left out so that no longer run stays.
+
+    With m words gone the others stand in m + 1 runs at most; each gram of the longest is wanted, and one word is the least."""
+    gone = length - math.ceil(coverage * length)
+    run = -(-(length - gone) // (gone + 1))
+    own = max(1, min(gram, run))
+    return own, max(1, min(winnow, run - own + 1))
+
+
 class Index:
-    """Inverted index of the winnowed fingerprints of templates (name: text)."""
+    """Inverted index of the winnowed fingerprints of templates (name: text), by length of gram."""
 
-    def __init__(self, templates: dict[str, str], gram: int, winnow: int):
+    def __init__(self, templates: dict[str, str], gram: int, winnow: int, coverage: float):
         self.names, self.words = list(templates), []
-        places: list[tuple[int, int, int]] = []
+        places: dict[int, set[tuple[int, int, int]]] = {}
         for number, text in enumerate(templates.values()):
             data = np.frombuffer(text.encode(), np.uint8)
             words = words_of(data, np.array([0, len(data)]))
             self.words.append(words.hash)
-            size = min(gram, len(words.hash))
-            found = grams_of(words, size)[: len(words.hash) - size + 1]
-            if size < gram or not size:
+            if len(words.hash) < gram:
                 raise ValueError(f"a template needs {gram} words: {self.names[number]}")
-            for a in range(max(1, len(found) - winnow + 1)):
-                some = found[a : a + winnow]
+            size, window = fingerprint(len(words.hash), gram, winnow, coverage)
+            found = grams_of(words, size)[: len(words.hash) - size + 1]
+            for a in range(max(1, len(found) - window + 1)):
+                some = found[a : a + window]
                 place = a + len(some) - 1 - int(np.argmin(some[::-1]))  # the last of equal ones
-                places.append((int(found[place]), number, place))
-        places = sorted(set(places))
-        self.gram = np.array([g for g, _, _ in places], np.uint64)
-        self.template = np.array([t for _, t, _ in places], np.int64)
-        self.place = np.array([p for _, _, p in places], np.int64)
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in grams, template, place in the template) of all fingerprints among grams."""
-        low, high = np.searchsorted(self.gram, grams), np.searchsorted(self.gram, grams, side="right")
-        at = np.flatnonzero(high > low)
-        n = (high - low)[at]
-        entry = np.repeat(low[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.template[entry], self.place[entry]
+                places.setdefault(size, set()).add((int(found[place]), number, place))
+        self.entries = {}
+        for size, own in places.items():
+            grams, numbers, at = zip(*sorted(own), strict=True)
+            self.entries[size] = np.array(grams, np.uint64), np.array(numbers, np.int64), np.array(at, np.int64)
+
+    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in words, template, place in the template) of all fingerprints among the grams of words, in order of place."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        for size, (own, template, inside) in self.entries.items():
+            grams = grams_of(words, size)
+            low, high = np.searchsorted(own, grams), np.searchsorted(own, grams, side="right")
+            at = np.flatnonzero(high > low)
+            n = (high - low)[at]
+            entry = np.repeat(low[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append((np.repeat(at, n), template[entry], inside[entry]))
+        place, template, inside = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(place, kind="stable")
+        return place[order], template[order], inside[order]
 
 
 def candidates(place: np.ndarray, inside: np.ndarray, length: int, band: int) -> list[tuple[int, int, int]]:
@@ -182,7 +202,7 @@ def license_spans(
     matches is told, of equal ones the first. A null or empty text has none; rows that repeat an id are scanned each;
     other columns are ignored. Templates need `gram` words at least.
     """
-    index = Index(TEMPLATES if templates is None else templates, gram, winnow)
+    index = Index(TEMPLATES if templates is None else templates, gram, winnow, coverage)
 
     def spans(words: np.ndarray, place: np.ndarray, template: np.ndarray, inside: np.ndarray) -> Iterator[tuple]:
         for number in np.unique(template).tolist():
@@ -195,7 +215,7 @@ def license_spans(
         for part in slices(parts):
             data, starts = utf8(part["text"])
             words = words_of(data, starts)
-            place, template, inside = index.hits(grams_of(words, gram))
+            place, template, inside = index.hits(words)
             doc = np.searchsorted(words.of_doc, place, side="right") - 1
             ids, rows = part["doc_id"].to_pylist(), []
             for k in np.unique(doc).tolist():

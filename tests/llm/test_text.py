@@ -377,6 +377,21 @@ def test_adjacent_copies_are_a_row_each(documents):
         assert sorted(found[doc_id]) == [(1.0, 9 + k * (length + 1)) for k in range(n)], (name, n)
 
 
+def test_one_changed_word_does_not_hide_a_short_notice(documents):
+    rows, want = [], []
+    for name, text in licenses.TEMPLATES.items():
+        data = np.frombuffer(text.encode(), np.uint8)
+        words = licenses.words_of(data, np.array([0, len(data)]))
+        n = len(words.hash)
+        for k in range(n) if 4 <= n <= 20 else ():
+            changed = text[: words.start[k]] + "changed" + text[words.end[k] :]
+            rows.append((len(rows), f"sea wind {changed} sea wind"))
+            # A place ends with words that match, so one at the end is left out.
+            want.append((len(rows) - 1, name, n - 1))
+    got = {(r["doc_id"], r["license"], r["matched_words"]) for r in licenses.license_spans(documents(rows)).collect()}
+    assert len(want) > 25 and got >= set(want)
+
+
 # Words
 
 
