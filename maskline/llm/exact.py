@@ -5,6 +5,8 @@ hash: how many rows have it and the smallest id among them; these are sums with
 of the rows share is one entry before it is shuffled. A directory maps the first bits of a hash to a bucket: a bucket
 with more than `capacity` entries is split by its next bit, and the directory doubles until the deepest bucket has a
 slot of its own. Entries are written to the shared folder in ranges of (bucket, hash); an owner task holds one range.
+The directory only lays out the entries as they are written: rows meet them by a join on the hash, not by a look into
+the directory, and a bucket of its deepest level may hold more than `capacity`.
 Rows that meet a shared entry form its chain, and their bytes are compared with those of the chain's first row. Where
 two texts collide, the chain is settled by the bytes themselves.
 """
