@@ -10,8 +10,8 @@ anchor's gram the first digit: one suffix stands for a run of windows. Its passe
    two halves, so that its group must be one of several for the window to go on.
 3. The windows that are left, of one member of each group, through all `window` bytes. Equal groups are the repeated ones.
 
-Digits are 64-bit hashes of the bytes; a group's key is the digits of all its passes, so that members of a last group
-agree in 128 bits at least. Blocks send each distinct digit once, however often it occurs in them.
+Digits are 64-bit hashes of the bytes. Members of a group of the second pass agree in two of them; the last pass folds the
+gram's and the window's into one of 64 bits, and two windows that differ and agree in it would be taken for equal. Blocks send each distinct digit once, however often it occurs in them.
 """
 
 from __future__ import annotations
