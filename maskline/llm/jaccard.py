@@ -32,7 +32,7 @@ from maskline.llm.anchors import hashes, ladder, mix
 from maskline.llm.blocks import Block, by_block, by_shard, each_block, pack, spread, squeeze, steps, total_bytes, unstep, write_blocks
 from maskline.llm.common import release, slices, utf8
 from maskline.llm.graph import components
-from maskline.llm.words import LOWER, Words
+from maskline.llm.words import FIXED, LOWER, Words, key
 from maskline.session import materialize
 
 #: Bytes of text per block, and per shard of the exchange of signatures.
@@ -50,6 +50,8 @@ class Rule:
 
     def __init__(self, words: int, num: int, den: int):
         self.words, self.num, self.den = words, num, den
+        # Words are hashed under a key of this run's own.
+        self.key = key()
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         """a and b are sorted and distinct."""
@@ -94,9 +96,9 @@ def union_of(sets: list[np.ndarray]) -> np.ndarray:
     return sets[0] if len(sets) == 1 else np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
 
 
-def shingle_sets(data: np.ndarray, starts: np.ndarray, k: int) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, starts: np.ndarray, k: int, key: tuple[int, int] = FIXED) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text: of k words, or of all words of a shorter one."""
-    words = Words(LOWER[data], starts)
+    words = Words(LOWER[data], starts, key=key)
     rungs = ladder(words.hash, k) if len(words.hash) else []
     shingles = hashes(rungs, k) if rungs else words.hash
     found = []
@@ -140,7 +142,7 @@ def common_tokens(docs: DataFrame, rule: Rule) -> np.ndarray:
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts):
-            sets = shingle_sets(*utf8(part["text"]), rule.words)
+            sets = shingle_sets(*utf8(part["text"]), rule.words, rule.key)
             found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["token", "n"])
 
@@ -169,7 +171,7 @@ def signed(blocks: DataFrame, shards: int, common: np.ndarray, rule: Rule) -> Da
     entry_ddl = "shard bigint, block bigint, keys binary, doc binary, class binary, doc_ids array<bigint>, sizes binary, firsts binary, promises binary"
 
     def sign(block: Block) -> Iterator[dict]:
-        sets = shingle_sets(block.data, block.starts, rule.words)
+        sets = shingle_sets(block.data, block.starts, rule.words, rule.key)
         firsts, seen, promises = [], {}, []
         keys, docs, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
         for doc, tokens in enumerate(sets):
@@ -234,7 +236,7 @@ def token_sets(blocks: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         wanted = np.sort(np.array([r["node"] for r in rows])) - node_of(block.number, 0)
         own = [block.data[block.starts[d] : block.starts[d + 1]] for d in wanted.tolist()]
         starts = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-        sets = shingle_sets(np.concatenate(own), starts, rule.words)
+        sets = shingle_sets(np.concatenate(own), starts, rule.words, rule.key)
         for doc, tokens in zip(wanted.tolist(), sets, strict=True):
             yield {"node": node_of(block.number, doc), "tokens": tokens.tobytes()}
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from maskline.llm.anchors import hashes, ladder
 from maskline.llm.common import id_and_text, slices, utf8
-from maskline.llm.words import LOWER, Words
+from maskline.llm.words import FIXED, LOWER, Words, key
 
 # Notices as their licenses ask for them to be given, in short and longer form.
 TEMPLATES = {
@@ -61,8 +61,8 @@ FIELDS = [
 DDL = "doc_id bigint, license string, coverage double, matched_words bigint, template_words bigint, start bigint, end bigint"
 
 
-def words_of(data: np.ndarray, starts: np.ndarray) -> Words:
-    return Words(LOWER[data], starts, WORD)
+def words_of(data: np.ndarray, starts: np.ndarray, key: tuple[int, int] = FIXED) -> Words:
+    return Words(LOWER[data], starts, WORD, key)
 
 
 def grams_of(words: Words, gram: int) -> np.ndarray:
@@ -87,12 +87,12 @@ def fingerprint(length: int, gram: int, winnow: int, coverage: float) -> tuple[i
 class Index:
     """Inverted index of the winnowed fingerprints of templates (name: text), by length of gram."""
 
-    def __init__(self, templates: dict[str, str], gram: int, winnow: int, coverage: float):
-        self.names, self.words = list(templates), []
+    def __init__(self, templates: dict[str, str], gram: int, winnow: int, coverage: float, key: tuple[int, int] = FIXED):
+        self.names, self.words, self.key = list(templates), [], key
         places: dict[int, set[tuple[int, int, int]]] = {}
         for number, text in enumerate(templates.values()):
             data = np.frombuffer(text.encode(), np.uint8)
-            words = words_of(data, np.array([0, len(data)]))
+            words = words_of(data, np.array([0, len(data)]), key)
             self.words.append(words.hash)
             if len(words.hash) < gram:
                 raise ValueError(f"a template needs {gram} words: {self.names[number]}")
@@ -202,7 +202,7 @@ def license_spans(
     matches is told, of equal ones the first. A null or empty text has none; rows that repeat an id are scanned each;
     other columns are ignored. Templates need `gram` words at least.
     """
-    index = Index(TEMPLATES if templates is None else templates, gram, winnow, coverage)
+    index = Index(TEMPLATES if templates is None else templates, gram, winnow, coverage, key())
 
     def spans(words: np.ndarray, place: np.ndarray, template: np.ndarray, inside: np.ndarray) -> Iterator[tuple]:
         for number in np.unique(template).tolist():
@@ -214,7 +214,7 @@ def license_spans(
         schema = pa.schema(FIELDS)
         for part in slices(parts):
             data, starts = utf8(part["text"])
-            words = words_of(data, starts)
+            words = words_of(data, starts, index.key)
             place, template, inside = index.hits(words)
             doc = np.searchsorted(words.of_doc, place, side="right") - 1
             ids, rows = part["doc_id"].to_pylist(), []

@@ -24,7 +24,7 @@ from maskline.llm.anchors import anchors, hashes
 from maskline.llm.blocks import (
     SPANS, SPANS_DDL, Block, by_block, by_shard, covered, each_block, pack, span_row, spread, total_bytes, unstep, write_blocks,
 )
-from maskline.llm.words import Words
+from maskline.llm.words import Words, key
 
 #: Words of a phrase; bytes of text per block (its automaton is in memory) and per shard of an exchange.
 PHRASE, BLOCK, SHARD = 5, 4 << 20, 16 << 20
@@ -60,9 +60,10 @@ def occurrences(text: bytes, places: np.ndarray, automaton: ahocorasick.Automato
 
 def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
     """SPANS rows, in words: the windows whose words also start earlier."""
+    own_key = key()
 
     def recurring(block: Block) -> Iterator[dict]:
-        words = Words(block.data, block.starts)
+        words = Words(block.data, block.starts, key=own_key)
         grams = [a.gram for a in anchors(words.hash, words.of_doc, window, phrase)]
         found, counts = np.unique(np.concatenate(grams or [np.zeros(0, np.uint64)]), return_counts=True)
         yield from pack(block.number, found, shards, {"often": counts > 1})
@@ -95,7 +96,7 @@ def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> D
         if not rows:
             return
         grams = np.sort(np.concatenate([np.frombuffer(r["grams"], np.uint64) for r in rows]))
-        words = Words(block.data, block.starts)
+        words = Words(block.data, block.starts, key=own_key)
         found = list(anchors(words.hash, words.of_doc, window, phrase))
         text = lambda at: block.data[words.start[at] : words.end[at]].tobytes().decode()
         named: dict[int, str] = {}
@@ -120,30 +121,30 @@ def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> D
             parts.append((hashes(a.rungs, window, start + a.base[anchor]), a.doc[anchor], start))
         if not parts:
             return
-        key, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        hashed, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
         # A null id is later than any other.
         ids = np.array([2**63 - 1 if i is None else i for i in block.doc_ids], np.int64)
-        order = np.lexsort((start, doc, ids[doc], key))
-        later = np.concatenate([[False], key[order][1:] == key[order][:-1]])
+        order = np.lexsort((start, doc, ids[doc], hashed))
+        later = np.concatenate([[False], hashed[order][1:] == hashed[order][:-1]])
         if later.any():
             gone = order[later]
             yield {"shard": -1 - block.number, **span_row(block.number, doc[gone], start[gone], start[gone] + window)}
         kept = order[~later]
         kept = kept[np.lexsort((start[kept], doc[kept]))]
         columns = {"doc_id": ids[doc[kept]], "doc": doc[kept], "start": start[kept]}
-        yield from pack(block.number, key[kept], shards, columns, ("doc_id", "doc", "start"))
+        yield from pack(block.number, hashed[kept], shards, columns, ("doc_id", "doc", "start"))
 
     def compare(rows: list[dict]) -> Iterator[dict]:
         if rows[0]["shard"] < 0:
             yield from ({c: r[c] for c in SPANS.names} for r in rows)
             return
         sizes = [len(r["keys"]) // 8 for r in rows]
-        key = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
         block = np.repeat(np.array([r["block"] for r in rows]), sizes)
         doc_id, doc, start = (np.concatenate([unstep(r[c]) for r in rows]) for c in ("doc_id", "doc", "start"))
-        order = np.lexsort((start, doc, block, doc_id, key))
-        later = np.zeros(len(key), bool)
-        later[order[1:]] = key[order][1:] == key[order][:-1]
+        order = np.lexsort((start, doc, block, doc_id, keys))
+        later = np.zeros(len(keys), bool)
+        later[order[1:]] = keys[order][1:] == keys[order][:-1]
         at = 0
         for r, n in zip(rows, sizes, strict=True):
             own = np.flatnonzero(later[at : at + n]) + at
