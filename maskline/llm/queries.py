@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from maskline.llm import sql
 from maskline.llm.common import table
@@ -56,18 +57,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The checksum byte by byte: its table of 256 entries from the polynomial, then a fold over the bytes of the text.
-_CRC32 = """xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
-lambda h: cast('0x' || h as bigint))), lambda c, b: xor(c >> 8, entries[1 + (xor(c, b) & 255)])), 4294967295)"""
-
-
 @query(
     "op4_proportional_interleaving",
     f"""
-with crc as (select list(entry order by i) as entries from (
-  select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as entry
-  from (select unnest(range(256)) as i))),
-d as (select doc_id, source, cast(strlen(coalesce(text, '')) + 1 as bigint) as size, cast({_CRC32} as bigint) as text_crc32,
+with {sql.CRC_TABLE},
+d as (select doc_id, source, cast(strlen(coalesce(text, '')) + 1 as bigint) as size, cast({sql.crc32("coalesce(text, '')")} as bigint) as text_crc32,
   cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':7'), 1, 15) as bigint) as key from documents, crc),
 r as (select *, row_number() over (partition by source order by key, doc_id nulls first, text_crc32, size) as rank, count(*) over (partition by source) as rows_ from d),
 p as (select *, row_number() over (order by cast(2 * rank - 1 as double) / cast(2 * rows_ as double), source nulls first, key, doc_id nulls first, text_crc32, size) as place,
@@ -127,3 +121,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskline.llm.suffixes import without_repeats
 
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_kronecker_hard_negatives", sql.hard_negatives())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskline.llm.negatives import hard_negatives
+
+    # Some labels are wrong on purpose, so that a hard negative may be a near copy.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+@query("op12_permuterm_variants", sql.spelling_variants())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskline.llm.variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), wear=97)
+
+
+@query("op13_factorization_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskline.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -63,3 +63,50 @@ n as (select a, count(*) as n from both_ group by a),
 c as (select d.vec_id, coalesce(n.n, 0) as n_links, least(d.vec_id, coalesce(m.b, d.vec_id)) as component_id
   from embeddings d left join n on n.a = d.vec_id left join m on m.a = d.vec_id)
 select vec_id, n_links, component_id, vec_id = component_id as kept from c"""
+
+
+#: entries: the checksum's table of 256 numbers, from its polynomial.
+CRC_TABLE = """crc as (select list(entry order by i) as entries from (
+  select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as entry
+  from (select unnest(range(256)) as i)))"""
+
+
+def crc32(text: str) -> str:
+    """The checksum of a text's bytes, folded over them; needs `entries`."""
+    return f"""xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(regexp_extract_all(hex(encode({text})), '..'),
+lambda h: cast('0x' || h as bigint))), lambda c, b: xor(c >> 8, entries[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+
+def hard_negatives() -> str:
+    return """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, v.vec_id as id, a.label = v.label as same, cast(list_inner_product(a.e, v.e) as bigint) as score
+  from v a join v on a.vec_id % 100 = 0 and a.vec_id <> v.vec_id and len(a.e) = len(v.e)),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+n as (select anchor_id, positive_id, positive_score, id as negative_id, score as negative_score,
+  row_number() over (partition by anchor_id, positive_id order by score desc, id) as rank
+  from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 10"""
+
+
+def spelling_variants() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+with recursive {CRC_TABLE},
+r as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[a-zÀ-ÿ]+')) as run from documents),
+g as (select doc_id, run, count(*) as times from r where length(run) >= 5 group by doc_id, run),
+h as (select run, times, {crc32("coalesce(cast(doc_id as varchar), 'null') || ':' || run")} as h from g, crc),
+w as (select case when h % 97 = 0 then run[1:h % length(run)] || run[h % length(run) + 2:] else run end as word, times from h),
+v as (select word, cast(sum(times) as bigint) as n from w where length(word) >= 5 group by word having sum(times) >= 3),
+c as (select word, n, unnest(range(1, length(word) + 1)) as i from v),
+k as (select word, n, i, word[1:i - 1] as head, word[i + 1:] as tail from c),
+replaced as (select distinct a.word as a, b.word as b, b.n from k a join k b on a.i = b.i and a.head = b.head and a.tail = b.tail and a.word <> b.word),
+dropped as (select distinct k.word as long_, k.n as long_n, v.word as short_, v.n as short_n from k join v on v.word = k.head || k.tail),
+near as (select a, b, n from replaced union all select long_, short_, short_n from dropped union all select short_, long_, long_n from dropped),
+best as (select a as word, count(*) as n_near, first(b order by n desc, b) as b, max(n) as b_n from near group by a),
+x as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when b_n >= 2 * v.n then b end as form, case when b_n >= 2 * v.n then b_n end as form_n from v left join best on best.word = v.word),
+chain as (select word, word as here, 0 as step from x union all select chain.word, x.form, step + 1 from chain join x on x.word = chain.here where x.form is not null),
+root as (select word, arg_max(here, step) as root from chain group by word)
+select x.word, n, n_near, form, form_n, root from x join root on root.word = x.word"""
