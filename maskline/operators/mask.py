@@ -32,6 +32,18 @@ def assign_markers(spans: DataFrame) -> DataFrame:
     )
 
 
+def more_markers(spans: DataFrame, known: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(conv_id, value, marker, n) of the values of spans that are not among the known ones (conv_id, value): `assign_markers`
+    for conversations that go on. numbered (conv_id, numbered) has how many a conversation has so far."""
+    first = spans.groupBy("conv_id", "value").agg(F.min(F.struct("turn", "start", "entity_type")).alias("first"))
+    new = first.join(known.select("conv_id", "value"), ["conv_id", "value"], "left_anti").select("conv_id", "value", "first.*")
+    placed = positions(new, ["conv_id"], ["turn", "start"], "place").join(numbered, "conv_id", "left")
+    n = (F.coalesce("numbered", F.lit(0)) + F.col("place")).cast("bigint").alias("n")
+    return placed.select("conv_id", "value", "entity_type", n).select(
+        "conv_id", "value", F.format_string("<%s_%d>", "entity_type", "n").alias("marker"), "n"
+    )
+
+
 def apply_markers(messages: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
     """Messages with each span of `marked` (keys, start, end, marker) replaced; messages without span unchanged."""
     per_message = marked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", "marker"))).alias("_spans"))

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of the scope that this thread is in.
+_scope: ContextVar[list[str] | None] = ContextVar("maskline_scope", default=None)
 #: Paths of the tables that materialize() has written and nobody has deleted.
 WRITTEN: list[str] = []
 
@@ -47,14 +52,57 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/maskline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    WRITTEN.append(path)
+    own = _scope.get()
+    (WRITTEN if own is None else own).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def forget(spark: SparkSession, paths: list[str]) -> None:
     """Deletes tables that materialize() has written (WRITTEN lists them); frames that read them can no longer be used."""
-    for name in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for name in list(paths):
+        system, path = _path(spark, name)
+        system.delete(path, True)
         if name in WRITTEN:
             WRITTEN.remove(name)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes inside, in this thread, are deleted at the end: for a batch of a stream, whose
+    results are written by then."""
+    own: list[str] = []
+    before = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        forget(spark, own)
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    system, path = _path(spark, name)
+    return system.exists(path)
+
+
+def publish(spark: SparkSession, df: DataFrame, staging: str, name: str) -> None:
+    """df as the folder `name`, all of its files at once: written elsewhere, then renamed. A folder that is there stays.
+
+    Needs a file system that renames folders as one step, as checkpoints do.
+    """
+    if exists(spark, name):
+        return
+    df.write.mode("overwrite").parquet(staging)
+    system, path = _path(spark, name)
+    system.mkdirs(path.getParent())
+    if not system.rename(_path(spark, staging)[1], path):
+        raise RuntimeError(f"could not rename {staging} to {name}")
+
+
+def make_folder(spark: SparkSession, name: str) -> None:
+    system, path = _path(spark, name)
+    system.mkdirs(path)

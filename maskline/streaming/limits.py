@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from maskline.operators.limits import Carried, admitted, first_calls
-from maskline.session import materialize
+from maskline.session import forget, materialize, scope
 
 HORIZON = "ts timestamp, call_id bigint"
 SCHEMAS = {
@@ -52,7 +52,7 @@ def limits_stream(
     Writes folder/decisions (call_id, team, decision, reason) and folder/late (calls not later than the last decided one),
     per batch, and folder/state. As long as batches follow each other in time, decisions are those of `admission` over
     all calls, in whatever order and files the calls of a batch come. A batch that runs again reads the state before it
-    and replaces what it wrote.
+    and replaces what it wrote; the last two states are kept, and what a batch wrote on its way is deleted at its end.
     """
 
     def decide(batch: DataFrame, batch_id: int) -> None:
@@ -61,24 +61,27 @@ def limits_stream(
         put = lambda df, name: df.write.mode("overwrite").parquet(at(name, batch_id))
         start = batch_id == 0
         read = lambda name, schema: spark.createDataFrame([], schema) if start else spark.read.schema(schema).parquet(at(f"state/{name}", batch_id - 1))
-        horizon = read("horizon", HORIZON).first()
-        earlier = Carried(*[read(name, SCHEMAS[name]) for name in Carried._fields])
-        batch = materialize(batch)
-        mark = F.struct("ts", "call_id")
-        done = F.lit(False) if horizon is None else mark <= F.struct(F.lit(horizon.ts).alias("ts"), F.lit(horizon.call_id).alias("call_id"))
-        put(batch.where(done), "late")
-        new = batch.where(~done)
-        last = new.agg(F.max(mark).alias("last")).first().last
-        if last is None:
-            put(spark.createDataFrame([], "call_id bigint, team string, decision int, reason string"), "decisions")
-            for name in Carried._fields:
-                put(getattr(earlier, name), f"state/{name}")
-            put(read("horizon", HORIZON), "state/horizon")
-            return
-        decided = materialize(admitted(new, teams, access, caps, days, earlier))
-        put(decided.select("call_id", "team", "decision", "reason"), "decisions")
-        for name, table in _state(decided, first_calls(new, earlier), earlier, last, days).items():
-            put(table, f"state/{name}")
-        put(new.where(mark == F.struct(F.lit(last.ts).alias("ts"), F.lit(last.call_id).alias("call_id"))).select("ts", "call_id"), "state/horizon")
+        with scope(spark):
+            horizon = read("horizon", HORIZON).first()
+            earlier = Carried(*[read(name, SCHEMAS[name]) for name in Carried._fields])
+            batch = materialize(batch)
+            mark = F.struct("ts", "call_id")
+            done = F.lit(False) if horizon is None else mark <= F.struct(F.lit(horizon.ts).alias("ts"), F.lit(horizon.call_id).alias("call_id"))
+            put(batch.where(done), "late")
+            new = batch.where(~done)
+            last = new.agg(F.max(mark).alias("last")).first().last
+            if last is None:
+                put(spark.createDataFrame([], "call_id bigint, team string, decision int, reason string"), "decisions")
+                for name in Carried._fields:
+                    put(getattr(earlier, name), f"state/{name}")
+                put(read("horizon", HORIZON), "state/horizon")
+                return
+            decided = materialize(admitted(new, teams, access, caps, days, earlier))
+            put(decided.select("call_id", "team", "decision", "reason"), "decisions")
+            for name, table in _state(decided, first_calls(new, earlier), earlier, last, days).items():
+                put(table, f"state/{name}")
+            put(new.where(mark == F.struct(F.lit(last.ts).alias("ts"), F.lit(last.call_id).alias("call_id"))).select("ts", "call_id"), "state/horizon")
+            # A batch that runs again needs the state before it; no other is read any more.
+            forget(spark, [at(f"state/{name}", batch_id - 2) for name in (*Carried._fields, "horizon") if batch_id > 1])
 
     return calls.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -10,8 +10,11 @@ import pytest
 
 from maskline import schemas
 from maskline.operators import jobs as j
+from maskline import session
 from maskline.operators import limits
+from maskline.plans.masking import mask_conversations
 from maskline.streaming import jobs as sj
+from maskline.streaming import late as sd
 from maskline.streaming import limits as sl
 from maskline.streaming import masking as sm
 
@@ -24,7 +27,7 @@ def at(seconds):
 
 def batches(spark, folder, schema, *rows):
     """One file per micro-batch, in order."""
-    os.makedirs(folder)
+    os.makedirs(folder)  # with its parents
     for i, some in enumerate(rows):
         spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(folder))
         time.sleep(1.1)  # the file source orders by modification time
@@ -133,3 +136,153 @@ def test_one_job_with_most_attempts(spark):
     df = spark.createDataFrame(rows, schemas.ATTEMPT).repartition(8)
     found = {r.job_id: (r.attempts, r.failures, r.backoffs, r.state) for r in j.job_lifecycle(df).collect()}
     assert found == {1: (20003, 3, 20000, "dead"), 2: (1, 0, 0, "done")}
+
+
+# Masking a live stream of messages
+
+MESSAGE = "conv_id long, turn int, text string, ts timestamp, channel string"
+
+
+def names(spark):
+    return spark.createDataFrame([(n,) for n in ("Paul", "Luc", "Anne")], "name string")
+
+
+def masked_stream(spark, tmp_path, *parts, **options):
+    out = str(tmp_path / "masked")
+    stream = batches(spark, tmp_path / "in", MESSAGE, *parts)
+    sm.mask_stream(stream, names(spark), out, str(tmp_path / "check"), availableNow=True, **options).awaitTermination()
+    rows = lambda name: spark.read.parquet(f"{out}/{name}").drop("batch").collect()
+    return out, rows
+
+
+def test_masked_stream_equals_the_batch_answer(spark, tmp_path):
+    rng = random.Random(11)
+    people = [f"M. {a} {b}" for a in ("Paul", "Luc", "Anne") for b in ("Martin", "Durand", "Petit")]
+    talks = []
+    for conv_id in (*range(12), None):
+        for turn in range(rng.randint(1, 30 if conv_id == 3 else 7)):
+            parts = [rng.choice([*people, "m@example.com", "x.y@example.org", "06 12 34 56 78", "rien"]) for _ in range(rng.randint(0, 4))]
+            talks.append((conv_id, turn, None if rng.random() < 0.05 else " puis ".join(parts), at(turn * 60), "web"))
+    ends = [0, 1, 2, 5, 9, 40]
+    steps = [rng.sample(p, len(p)) for p in ([r for r in talks if a <= r[1] < b] for a, b in zip(ends[:-1], ends[1:], strict=True))]
+    left = lambda: [f for f in os.listdir(session.shared_folder(spark).removeprefix("file:")) if f.startswith("maskline-")]
+    before = left()
+    out, rows = masked_stream(spark, tmp_path, *steps, compact=2)
+    assert left() == before
+    known = spark.createDataFrame([r for r in talks if r[0] is not None], MESSAGE)
+    want, markers = mask_conversations(known, names(spark))
+    assert {(r.conv_id, r.turn): (r.text, r.ts, r.channel, r.masked_text) for r in rows("masked")} == {
+        (r.conv_id, r.turn): (r.text, r.ts, r.channel, r.masked_text) for r in want.collect()
+    }
+    assert sorted((r.conv_id, r.value, r.marker, r.n) for r in rows("markers")) == sorted((r.conv_id, r.value, r.marker, r.n) for r in markers.collect())
+    assert len(rows("masked")) + len(rows("bad")) + len(rows("late")) == len(talks) and len(rows("bad")) >= 1
+    # State: what was before the last two bases is gone.
+    assert sorted(os.listdir(f"{out}/state/talks")) == ["batch=2", "batch=3", "batch=4"]
+
+
+def test_masked_conversations_are_forgotten(spark, tmp_path):
+    say = lambda conv_id, turn, text, hours: (conv_id, turn, text, at(3600 * hours), "web")
+    out, rows = masked_stream(
+        spark, tmp_path,
+        [say(1, 0, "M. Paul Martin", 0), say(2, 0, "M. Luc Petit et M. Paul Martin", 0)],
+        [say(2, 1, "M. Paul Martin", 20)],
+        [say(1, 1, "M. Luc Petit", 30), say(2, 2, "M. Anne Durand", 41)],
+        [say(1, 2, "M. Paul Martin", 2), say(1, 3, "M. Paul Martin", 42), say(2, 2, "M. Anne Durand", 42)],
+        [say(3, 0, "x", 200)],
+        [say(2, 9, "M. Luc Petit", 201)],
+        keep="24 hours", compact=2,
+    )
+    found = sorted((r.conv_id, r.turn, r.masked_text) for r in rows("masked"))
+    # Conversation 1 was silent for longer than the first horizon allows only once it came back at hour 30: then the
+    # horizon was hour 20, so it went on.
+    assert found == [
+        (1, 0, "M. <PERSON_1>"), (1, 1, "M. <PERSON_2>"), (1, 3, "M. <PERSON_1>"),
+        (2, 0, "M. <PERSON_1> et M. <PERSON_2>"), (2, 1, "M. <PERSON_2>"), (2, 2, "M. <PERSON_3>"), (2, 2, "M. <PERSON_3>"), (2, 9, "M. <PERSON_1>"),
+        (3, 0, "x"),
+    ]
+    assert [(r.conv_id, r.turn) for r in rows("late")] == [(1, 2)]
+    alive = spark.read.parquet(f"{out}/state/base_talks/batch=6").collect()
+    assert sorted((r.conv_id, r.life, r.numbered) for r in alive) == [(2, 5, 1), (3, 4, 0)]
+    assert [r.value for r in spark.read.parquet(f"{out}/state/base_markers/batch=6").collect()] == ["Luc Petit"]
+
+
+# Late and bad rows
+
+
+def dealt(spark, tmp_path, schema, late, *parts, ts="ts", required=()):
+    """What the ledger gives of some micro-batches, and the rows of its tables."""
+    out = str(tmp_path / "ledger")
+    sd.sort_out(batches(spark, tmp_path / "raw", schema, *parts), ts, late, out, str(tmp_path / "ledger-check"), required, availableNow=True).awaitTermination()
+    rows = {name: spark.read.parquet(f"{out}/{name}").drop("batch").collect() for name in ("on_time", "late", "bad")}
+    assert sum(map(len, rows.values())) == sum(map(len, parts))
+    return sd.on_time(spark, out, schema), rows
+
+
+def test_ledger_follows_the_watermark(spark, tmp_path):
+    """What the ledger calls late is what Spark drops."""
+    rng = random.Random(4)
+    schema = "id long, ts timestamp, k string"
+    parts = [[(100 * b + i, None if rng.random() < 0.1 else at(rng.uniform(-200, 100) + 60 * b), "k") for i in range(100)] for b in range(5)]
+    stream, rows = dealt(spark, tmp_path, schema, "1 minute", *parts, required=("k",))
+    assert rows["late"] and {r.reason for r in rows["bad"]} == {"ts"}
+    # The same files straight into Spark: one file a batch, rows behind the watermark dropped by a stateful operator.
+    plain = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "raw"))
+    kept = drain(spark, plain.where("ts IS NOT NULL").withWatermark("ts", "1 minute").dropDuplicatesWithinWatermark(["id"]), tmp_path, "plain")
+    assert sorted(r.id for r in kept) == sorted(r.id for r in rows["on_time"])
+    again = drain(spark, stream.withWatermark("ts", "1 minute").dropDuplicatesWithinWatermark(["id"]), tmp_path, "again")
+    assert sorted(r.id for r in again) == sorted(r.id for r in rows["on_time"])
+
+
+def test_a_batch_that_runs_again_publishes_once(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "a int")
+    for _ in range(2):
+        session.publish(spark, df, str(tmp_path / "staging"), str(tmp_path / "out/batch=0"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_attempts_decided_or_late_or_bad(spark, tmp_path):
+    row = lambda *r: (*r, None, None)
+    first = [row(1, 1, at(0), 200), row(2, 2, None, 200), row(None, 3, at(0), 200), row(4, 4, at(100), 403)]
+    second = [row(5, 5, at(30), 200), row(6, 6, at(95), 200), row(7, None, at(99), 200)]
+    stream, rows = dealt(spark, tmp_path, schemas.ATTEMPT, "10 seconds", first, second, required=("job_id",))
+    assert {r.reason for r in rows["bad"]} == {"ts", "job_id"} and [r.job_id for r in rows["late"]] == [5]
+    ended = drain(spark, sj.job_lifecycle_stream(stream, late="10 seconds"), tmp_path, "out")
+    assert sorted((r.job_id, r.attempts) for r in ended if r.state != "due") == [(1, 1), (4, 1), (6, 1), (7, 1)]
+    # Without the ledger such rows do no harm either.
+    plain = sj.job_lifecycle_stream(spark.readStream.schema(schemas.ATTEMPT).parquet(str(tmp_path / "raw")), late="10 seconds")
+    assert {r.job_id for r in drain(spark, plain, tmp_path, "plain") if r.state != "due"} == {1, 4, 5, 6, 7}
+
+
+def test_chunks_without_parts(spark, tmp_path):
+    first = [(1, None, 0, "a", None, at(0)), (1, 5, 1, None, False, at(1)), (2, None, 0, "b <PERSON_1>", True, at(1)), (None, 5, 0, "x", True, at(1)), (3, 5, None, "x", True, at(1)), (4, 5, 0, "x", True, None)]
+    second = [(1, 5, 2, " <PERSON_1>", True, at(2)), (9, 5, 0, "late", True, at(-4000))]
+    stream, rows = dealt(spark, tmp_path, schemas.CHUNK, "10 minutes", first, second, required=sm.CHUNK_NEEDS)
+    assert sorted(r.reason for r in rows["bad"]) == ["answer_id", "seq", "ts"] and [r.answer_id for r in rows["late"]] == [9]
+    markers = spark.createDataFrame([(5, "<PERSON_1>", "Luc")], "conv_id long, marker string, value string")
+    out = str(tmp_path / "answers")
+    sm.unmask_stream(stream, markers, out, str(tmp_path / "check"), availableNow=True).awaitTermination()
+    found = {r.answer_id: (r.conv_id, r.unmasked_text, r.complete) for r in spark.read.parquet(out).collect()}
+    assert found == {1: (5, "a Luc", True), 2: (None, "b <PERSON_1>", True)}
+
+
+def test_replies_results_and_metrics_lose_nothing(spark, tmp_path):
+    schema = "job_id long, team string, alias string, ts timestamp, status int, seconds double"
+    first = [(1, "a", "x", at(7200), 200, 1.0)]
+    second = [(2, "a", "x", at(10), 200, 2.0), (3, "a", "x", at(7000), 200, 3.0), (3, "a", "x", at(7000), 200, 3.0)]
+    third = [(4, "a", "x", at(90000), 200, 4.0)]
+    stream, rows = dealt(spark, tmp_path, schema, "10 minutes", first, second, third, required=("job_id",))
+    assert [r.job_id for r in rows["late"]] == [2]
+    results = drain(spark, sj.job_results_stream(stream, late="10 minutes"), tmp_path, "results")
+    assert sorted(r.job_id for r in results) == [1, 3, 4]
+    metrics = drain(spark, sj.job_metrics_stream(stream, every="1 hour"), tmp_path, "metrics")
+    assert sum(r.attempts for r in metrics) == 3  # the last window is open
+
+
+def test_late_replies_are_in_the_ledger(spark, tmp_path):
+    jobs = [[(1, "q", at(0)), (2, "q", at(3600))]]
+    replies = [[(1, "one", at(60)), (2, "two", at(3700))], [(1, "again", at(50))]]
+    left, _ = dealt(spark, tmp_path / "a", "message_id long, reply_to string, ts timestamp", "10 minutes", *jobs)
+    right, rows = dealt(spark, tmp_path / "b", "correlation_id long, content string, replied_ts timestamp", "10 minutes", *replies, ts="replied_ts", required=("correlation_id",))
+    assert [r.content for r in rows["late"]] == ["again"]
+    met = drain(spark, sj.match_replies_stream(left, right), tmp_path, "out")
+    assert sorted(r.content for r in met) == ["one", "two"]
