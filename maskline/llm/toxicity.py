@@ -153,7 +153,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic").where("toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = id_and_text(docs).join(known, "doc_id")
+    texts = id_and_text(docs).join(F.broadcast(known), "doc_id")  # `sample` ids at most
     # One row of an id, wherever copies of it lie: a hash decides before texts move.
     firsts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("one"))
     chosen = texts.join(firsts, "doc_id").where((F.xxhash64("text") == F.col("one.h")) & (F.octet_length("text") == F.col("one.n")))
