@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
-from maskline.functions.text import matches_by_sql, neutral
 from maskline.functions.text import words as words_of
 from maskline.operators.detect import boosted, context_word_in, near_words, sql_array
+from maskline.operators.search import places_in
 
 
 def apply_check_digits(spans: DataFrame) -> DataFrame:
@@ -109,30 +112,42 @@ def _union_value(parts: Column, start: Column) -> Column:
     return F.aggregate(parts, F.struct(F.lit("").alias("text"), start.alias("end")), extend, lambda acc: acc["text"])
 
 
-PATTERNS = {"exact": "concat('(?s)(?=', _literal, ')')", "folded": "concat('(?isu)(?=', _literal, ')')"}
-
-
-def quoted(value: Column) -> Column:
-    """value as a literal pattern."""
-    return F.regexp_replace(value, r"([^\p{L}\p{N}\s])", r"\\$1")
+#: Values of a text that are looked for at once; rows of an output batch.
+VALUES, ROWS = 10_000, 1 << 15
 
 
 def locate_values(docs: DataFrame, values: DataFrame) -> DataFrame:
     """(doc_id, entity_type, value) -> spans at every position of the value, exact, else ignoring case.
 
-    A value that is not in its text gives one row at (-1, -1): a prediction that masks nothing.
+    A value that is not in its text, an empty or a null one gives one row at (-1, -1): a prediction that masks nothing. All
+    values of a text, VALUES at a time, are found in one pass over it.
     """
-    joined = values.join(docs.select("doc_id", "text"), "doc_id")
-    # Zero-length look-aheads match at every occurrence, overlapping ones too; ignoring case, still in the text itself.
-    clean = joined.select("doc_id", "entity_type", "value", neutral(F.col("text")).alias("text"), quoted(F.col("value")).alias("_literal"))
-    found = {flags: F.expr(f"transform({matches_by_sql('text', pattern)}, m -> m.start)") for flags, pattern in PATTERNS.items()}
-    starts = F.when(F.length("value") == 0, F.array().cast("array<int>")).otherwise(
-        F.when(F.contains(F.col("text"), F.col("value")), found["exact"]).otherwise(found["folded"])
-    )
-    joined = clean
-    placed = joined.select("doc_id", "entity_type", "value", F.explode_outer(starts).alias("start"))
-    return placed.select(
-        "doc_id", "entity_type", "value",
-        F.coalesce("start", F.lit(-1)).alias("start"),
-        F.when(F.col("start").isNull(), -1).otherwise(F.col("start") + F.length("value")).alias("end"),
+    each = W.partitionBy("doc_id").orderBy("entity_type", "value")
+    part = F.floor((F.row_number().over(each) - 1) / VALUES).alias("_part")
+    grouped = values.select("doc_id", "entity_type", "value", part).groupBy("doc_id", "_part").agg(
+        F.collect_list(F.struct("entity_type", "value")).alias("_values")
     )
+    kind = values.schema["doc_id"].dataType.simpleString()
+    joined = grouped.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", "_values")
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+            at, *columns = (list(c) for c in zip(*rows, strict=True))
+            types = [pa.string(), pa.string(), pa.int32(), pa.int32()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            return pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at)), *arrays], names=["doc_id", "entity_type", "value", "start", "end"])
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for k in range(len(batch)):
+                wanted = batch["_values"][k].as_py()
+                for v, found in zip(wanted, places_in(batch["text"][k].as_py(), [v["value"] for v in wanted]), strict=True):
+                    own = k, v["entity_type"], v["value"]
+                    for start in found or [-1]:
+                        rows.append((*own, start, start + len(v["value"]) if found else -1))
+                        if len(rows) == ROWS:
+                            yield told(batch, rows)
+                            rows = []
+            if rows:
+                yield told(batch, rows)
+
+    return joined.mapInArrow(locate, f"doc_id {kind}, entity_type string, value string, start int, end int")
