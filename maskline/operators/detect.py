@@ -6,7 +6,7 @@ Person names need a dictionary: runs of capitalized words are exploded and joine
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from maskline import fixed_values as fixed
 from maskline.functions import checks, patterns
 from maskline.functions.text import last_words, matches_around_sql, matches_near_sql, matches_sql, neutral, quote, words
+from maskline.operators.plugins import Detector, plugin_spans
 
 SPAN_COLUMNS = [
     "doc_id", "start", "end", "entity_type", "score", "recognizer", "original_score", "context_word", "checksum",
@@ -385,13 +386,18 @@ def detect_all(
     first_names: DataFrame | None = None,
     entities: list[str] | None = None,
     recognizers: list[Recognizer] | None = None,
+    plugins: Sequence[Detector] = (),
 ) -> DataFrame:
-    """Every recognizer valid for the language of each text. Unused recognizers are not even planned."""
+    """Every recognizer valid for the language of each text, and the user's detectors. Unused ones are not even planned."""
     chosen = [r for r in (recognizers or PATTERN_RECOGNIZERS) if entities is None or r.entity_type in entities]
     found = detect(docs, chosen) if chosen else None
     if first_names is not None and (entities is None or "PERSON" in entities):
         people = detect_person(docs, first_names).drop("rule")
         found = people if found is None else found.unionByName(people)
+    chosen = [d for d in plugins if entities is None or set(entities) & set(d.entity_types)]
+    if chosen:
+        own = plugin_spans(docs, chosen, entities)
+        found = own if found is None else found.unionByName(own)
     return found
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
 from maskline.operators.detect import detect_all
 from maskline.operators.mask import apply_markers, assign_markers
+from maskline.operators.plugins import Detector
 from maskline.operators.spans import drop_contained, filter_spans, merge_overlaps
 from maskline.session import materialize
 
@@ -22,9 +25,11 @@ def message_spans(
     threshold: float = fixed.SCORE_THRESHOLD,
     language: str = "fr",
     policy: DataFrame | None = None,
+    plugins: Sequence[Detector] = (),
 ) -> DataFrame:
     """Merged spans of every message with the text they cover, one narrow pass over the texts plus one on span rows.
 
+    plugins are the user's detectors; their types have to be among the entities.
     policy (entity_type, action, threshold), a table of a row per type, takes the place of entities and threshold. Weak
     spans go first: a span never drops one that scores higher. What is left is shuffled once, by message.
     """
@@ -32,7 +37,7 @@ def message_spans(
         policy = policy.where("action = 'MASK'")
         entities = [r["entity_type"] for r in policy.select("entity_type").distinct().collect()]
     docs = messages.select(F.struct(*KEYS).alias("doc_id"), F.lit(language).alias("lang"), "text")
-    found = detect_all(docs, first_names, entities)
+    found = detect_all(docs, first_names, entities, plugins=plugins)
     if model_spans is not None:
         found = found.unionByName(model_spans, allowMissingColumns=True)
     if policy is None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
 from maskline.operators import detect as d
+from maskline.operators import plugins as p
 from suite.registry import query, tagged
 
 OUT = ["doc_id", "start", "end", "entity_type", "score", "context_word", "checksum", "value"]
@@ -205,6 +206,36 @@ def detect_all(t):
     return out(d.detect_all(t("fx_letters"), t("fx_first_names")))
 
 
+def case_numbers(texts: list[str]) -> list[list[tuple]]:
+    """A user's detector that is not always right: it breaks on some texts and places some spans outside."""
+    found = []
+    for text in texts:
+        number = text.split()[1]
+        if int(number) % 7 == 0:
+            raise ValueError(number)
+        spans = [(8, 8 + len(number), "CASE_NUMBER", 0.7)]
+        found.append(spans + [(0, len(text) + 1, "CASE_NUMBER", 0.7)] * (int(number) % 11 == 0))
+    return found
+
+
+CASES = p.Detector("Cases", ("CASE_NUMBER",), case_numbers, languages=("fr",))
+_SPAN = "doc_id, entity_type, start, \"end\", value, problem"
+
+
+@query("plugin_rows", f"""select {_SPAN} from (select k as doc_id, 'CASE_NUMBER' as entity_type, cast(8 as int) as start, cast(8 + length(cast(k as string)) as int) as "end", cast(k as string) as value, cast(null as string) as problem from fx_parts where k % 7 <> 0
+union all select k, null, null, null, null, 'failed: ValueError: ' || cast(k as string) from fx_parts where k % 7 = 0
+union all select k, null, null, null, null, 'bad span: outside of the text' from fx_parts where k % 11 = 0 and k % 7 <> 0) x""")
+def plugin_rows(t):
+    return p.plugin_rows(t("fx_letters"), [CASES]).select("doc_id", "entity_type", "start", "end", "value", "problem")
+
+
+@query("detect_all_plugins", f"""select recognizer, count(*) as spans from ({_ALL}) a group by recognizer union all select 'Cases', count(*) from fx_parts where k % 7 <> 0""")
+def detect_all_plugins(t):
+    """The recognizers and a user's detector together."""
+    found = d.detect_all(t("fx_letters"), t("fx_first_names"), plugins=[CASES])
+    return found.groupBy("recognizer").agg(F.count("*").alias("spans"))
+
+
 @query("explain_spans", f"""select doc_id, entity_type as type, start, "end", value as text, score, recognizer, original_score, context_word, checksum from ({_ALL}) a""", score="DOUBLE", original_score="DOUBLE")
 def explain_spans(t):
     return d.explain_spans(d.detect_all(t("fx_letters"), t("fx_first_names")))
