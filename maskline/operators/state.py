@@ -90,7 +90,29 @@ def declared_checks(declared: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return declared.withColumn("reasons", F.array_join(broken, ",")).where("reasons <> ''")
 
 
-def second_run_is_noop(declared: DataFrame, actual: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """Actions of a second run, on the state the first one left: nothing may be created or changed."""
-    state = new_state(declared, actual, keys)
+def apply_actions(declared: DataFrame, actual: DataFrame, actions: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """The state that actions (keys, action) leave: actual with the declared fields of the rows that are updated (or
+    replaced), and the declared rows that are created.
+
+    An action does what it says and no more: an update of a row that isn't there does nothing, a row created that is there
+    already is written over, and rows without an action, or with another one, stay. Columns of actual besides keys and
+    fields stay as they are, and are null in created rows that don't declare them. Keys are unique on each side.
+    """
+    written = declared.join(actions.select(*keys, "action"), keys).where("action IN ('created', 'updated', 'replaced')")
+    fresh = written.select(*keys, *[F.col(f).alias(f"_new_{f}") for f in fields], F.lit(True).alias("_written"))
+    kept = actual.join(fresh, keys, "left").select(
+        *[F.when(F.col("_written"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in actual.columns]
+    )
+    created = written.where("action = 'created'").drop("action").join(actual.select(*keys), keys, "left_anti")
+    shared = [c for c in created.columns if c in actual.columns]
+    return kept.unionByName(created.select(*shared), allowMissingColumns=True)
+
+
+def second_run_is_noop(
+    declared: DataFrame, actual: DataFrame, keys: list[str], fields: list[str], actions: DataFrame | None = None
+) -> DataFrame:
+    """Actions of a second run, on the state that the first one's actions (those of `conditional_upsert`, if none are given)
+    leave when they are applied: nothing may be created or changed, unless an action was not right."""
+    actions = conditional_upsert(declared, actual, keys, fields) if actions is None else actions
+    state = apply_actions(declared, actual, actions, keys, fields)
     return conditional_upsert(declared, state, keys, fields).where("action <> 'unchanged'")

@@ -70,6 +70,25 @@ def second_run_is_noop(t):
     return s.second_run_is_noop(t("fx_declared"), t("fx_actual"), ["id"], FIELDS)
 
 
+_LOST = f"select d.id, 'updated' as action from {_PAIRS} where a.id is not null and d.nation > 12 and ({_DIFFERS})"
+
+
+@query("second_run_tells", f"select id, 'created' as action from fx_declared where id not in (select id from fx_actual) and id % 2 = 0 union all {_LOST}")
+def second_run_tells(t):
+    """A first run that lost some updates, and creates every second row as an update: the second run shows them all."""
+    actions = s.conditional_upsert(t("fx_declared"), t("fx_actual"), ["id"], FIELDS).join(t("fx_declared").select("id", "nation"), "id")
+    lost = (F.col("action") == "updated") & (F.col("nation") > 12)
+    wrong = F.when((F.col("action") == "created") & (F.col("id") % 2 == 0), "updated").otherwise(F.col("action"))
+    broken = actions.where(~lost).withColumn("action", wrong).drop("nation")
+    return s.second_run_is_noop(t("fx_declared"), t("fx_actual"), ["id"], FIELDS, broken)
+
+
+@query("apply_actions", "select id, name, nation, balance from fx_declared union all select a.id, a.name, a.nation, a.balance from fx_actual a left join fx_declared d on d.id = a.id where d.id is null")
+def apply_actions(t):
+    actions = s.conditional_upsert(t("fx_declared"), t("fx_actual"), ["id"], FIELDS)
+    return s.apply_actions(t("fx_declared"), t("fx_actual"), actions, ["id"], FIELDS).select("id", *FIELDS)
+
+
 @query("new_state", "select id, name, nation, balance from fx_declared union all select a.id, a.name, a.nation, a.balance from fx_actual a left join fx_declared d on d.id = a.id where d.id is null")
 def new_state(t):
     return s.new_state(t("fx_declared"), t("fx_actual"), ["id"])
@@ -208,6 +227,14 @@ def truncate_pairs(t):
     return r.truncate_pairs(t.sql(_QUESTION), 512)
 
 
+@query("truncate_pairs_to_tokens")
+def truncate_pairs_to_tokens(t):
+    """A reader of 512 tokens; tests compare it with the tokenizers library."""
+    import public_tokenizers
+
+    return r.truncate_pairs_to_tokens(t.sql(_QUESTION), public_tokenizers.path("byte_bpe_50k.json"), 512)
+
+
 @query("recall_at_k", f"""select count(*) as queries, count(*) filter (where hit) as hits, count(*) filter (where hit) / count(*) as recall from (
 select c.query_id, bool_or(r.rank <= 5) as hit from ({_CANDIDATES}) c join ({_RANKED}) r on r.query_id = c.query_id and r.passage_id = c.passage_id where c.right_one group by c.query_id) q""")
 def recall_at_k(t):
