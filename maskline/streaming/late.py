@@ -1,9 +1,9 @@
 """A ledger of event time before a stateful step: what comes too late, or can't be placed, goes to tables of its own.
 
-Spark drops rows behind the watermark before a stateful operator sees them. Here a stream is dealt out first, by the rule
-that Spark's watermark follows: rows that would be behind it go to a side table, rows without event time or key to another,
-and all others become the source of the stateful query. That query sees whole batches of the ledger only, so its watermark
-is never ahead of the ledger's, and it drops nothing: rows in = rows decided + rows late + rows bad.
+Spark drops rows behind the watermark before a stateful operator sees them. Here a stream is dealt out first, by the latest
+event time of all batches before: rows further back than the watermark's delay go to a side table, rows without event time or
+key to another, and all others become the source of the stateful query. That query sees whole batches of the ledger only, so
+its watermark is never ahead of the ledger's, and it drops nothing: rows in = rows decided + rows late + rows bad.
 """
 
 from __future__ import annotations

@@ -218,8 +218,8 @@ def dealt(spark, tmp_path, schema, late, *parts, ts="ts", required=()):
     return sd.on_time(spark, out, schema), rows
 
 
-def test_ledger_follows_the_watermark(spark, tmp_path):
-    """What the ledger calls late is what Spark drops."""
+def test_ledger_is_never_behind_the_watermark(spark, tmp_path):
+    """Rows are late by the latest time of all batches before; Spark, whose watermark follows some time after, drops no other."""
     rng = random.Random(4)
     schema = "id long, ts timestamp, k string"
     parts = [[(100 * b + i, None if rng.random() < 0.1 else at(rng.uniform(-200, 100) + 60 * b), "k") for i in range(100)] for b in range(5)]
@@ -228,7 +228,12 @@ def test_ledger_follows_the_watermark(spark, tmp_path):
     # The same files straight into Spark: one file a batch, rows behind the watermark dropped by a stateful operator.
     plain = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "raw"))
     kept = drain(spark, plain.where("ts IS NOT NULL").withWatermark("ts", "1 minute").dropDuplicatesWithinWatermark(["id"]), tmp_path, "plain")
-    assert sorted(r.id for r in kept) == sorted(r.id for r in rows["on_time"])
+    newest, late = None, set()
+    for part in parts:
+        late |= {r[0] for r in part if r[1] and newest and r[1] <= newest - timedelta(minutes=1)}
+        newest = max([r[1] for r in part if r[1]] + [newest or T0])
+    assert {r.id for r in rows["late"]} == late
+    assert {r.id for r in kept} >= {r.id for r in rows["on_time"]}
     again = drain(spark, stream.withWatermark("ts", "1 minute").dropDuplicatesWithinWatermark(["id"]), tmp_path, "again")
     assert sorted(r.id for r in again) == sorted(r.id for r in rows["on_time"])
 
@@ -286,3 +291,53 @@ def test_late_replies_are_in_the_ledger(spark, tmp_path):
     assert [r.content for r in rows["late"]] == ["again"]
     met = drain(spark, sj.match_replies_stream(left, right), tmp_path, "out")
     assert sorted(r.content for r in met) == ["one", "two"]
+
+
+# Sinks and metrics
+
+
+def test_a_message_that_comes_again_is_written_once(spark, tmp_path):
+    body = '{"team": "a", "alias": "x", "messages": [{"role": "user", "content": "Hi"}]}'
+    row = lambda i, n, b=body: (i, b, "q", n, at(0), None)
+    first = [row(1, 0), row(1, 0), row(2, 0, "no"), row(None, 0), row(None, 0)]
+    second = [row(1, 0), row(1, 1), row(2, 0, "no"), row(2, 1, "no"), row(3, None), row(None, 0)]
+    third = [row(3, 0), row(2, 1, "no"), row(4, 2)]
+    out = str(tmp_path / "out")
+    stream = batches(spark, tmp_path / "in", schemas.JOB_MESSAGE, first, second, third)
+    sj.job_sinks(stream, out, str(tmp_path / "check"), availableNow=True).awaitTermination()
+    rows = lambda name: sorted((r.message_id or 0, r.attempt) for r in spark.read.parquet(f"{out}/{name}").collect())
+    assert rows("jobs") == [(0, 1)] * 3 + [(1, 1), (1, 2), (3, 1), (4, 3)]
+    assert rows("dead") == [(2, 1), (2, 2)]
+
+
+def test_live_percentiles_are_near(spark, tmp_path):
+    rng = random.Random(5)
+    row = lambda i, hours, value: (i % 4000, "a" if i % 3 else None, "x", at(3600 * hours + i % 3500), 200 if i % 5 else 429, value)
+    schema = "job_id long, team string, alias string, ts timestamp, status int, seconds double"
+    parts = [[row(i, h, rng.expovariate(1) if i % 50 else None) for i in range(9000)] for h in range(3)]
+    stream = batches(spark, tmp_path / "in", schema, *parts, [(0, "z", "x", at(90000), None, None)], [(0, "z", "x", at(190000), 200, None)])
+    rows = drain(spark, sj.job_metrics_stream(stream, every="1 hour"), tmp_path, "out")
+    assert len(rows) == 7
+    merged = sj.merged_metrics(spark.read.parquet(str(tmp_path / "out"))).collect()
+
+    def check(found, own):
+        values = sorted(r[5] for r in own if r[5] is not None)
+        for share, value in ((0.5, found.p50), (0.95, found.p95)):
+            below, upto = (sum(v < value for v in values) / len(values), sum(v <= value for v in values) / len(values))
+            assert below - 2 * sj.RANK_ERROR <= share <= upto + 2 * sj.RANK_ERROR
+        exact = len({r[0] for r in own})
+        assert abs(found.jobs - exact) <= 4 * sj.JOBS_ERROR * exact
+        assert (found.attempts, found.backoff) == (len(own), sum(r[4] == 429 for r in own))
+
+    everything = [r for p in parts for r in p]
+    for found in rows:
+        hour = (found.window.start - T0).total_seconds() / 3600
+        own = [r for r in everything if r[1] == found.team and hour <= (r[3] - T0).total_seconds() / 3600 < hour + 1]
+        if own:
+            check(found, own)
+        else:
+            assert (found.team, found.attempts, found.retry, found.jobs, found.p50, found.p95) == ("z", 1, 1, 1, None, None)
+    for found in merged:
+        if found.team != "z":
+            check(found, [r for r in everything if r[1] == found.team])
+    assert {r.team for r in merged} == {"a", None, "z"}
