@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from maskline.llm.common import id_and_text, slices
+from maskline.llm.common import id_and_text, release, slices
 from maskline.session import materialize
 
 #: Runs of these are words.
@@ -86,11 +86,12 @@ def _sorted_rotations(words: DataFrame) -> DataFrame:
             for word, wid, n in zip(*(part[c].to_pylist() for c in ("word", "wid", "n")), strict=True):
                 for key, whole, first in rotations(word, bases):
                     out.append((key, whole, first, wid, n))
-                    if len(out) == 1 << 16:
+                    if len(out) == 1 << 14:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ROTATIONS, strict=True)], schema=ROTATIONS)
                         out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ROTATIONS, strict=True)], schema=ROTATIONS)
+        release()
 
     return words.mapInArrow(turn, "key string, whole boolean, first boolean, wid bigint, n bigint")
 
