@@ -7,8 +7,10 @@ call, so totals over all calls equal totals over accepted calls up to it, and a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,24 +134,156 @@ def provider_remaining(priced: DataFrame, caps: DataFrame, days: int = 30) -> Da
     return spent.select("call_id", "provider", left.cast("decimal(30,10)").alias("remaining"))
 
 
-def _open_cost(calls: DataFrame, key: str, closed: DataFrame | None) -> DataFrame:
-    """calls with `open_cost`: their cost, or 0 where the stops of the other side refuse them."""
-    if closed is None:
-        return calls.withColumn("open_cost", F.col("cost"))
-    judged = _with_stop(calls, closed, key, f"{key}_period", "_refused")
-    refused = F.col("_refused") & ~F.col("settled")
-    return judged.withColumn("open_cost", F.when(refused, F.lit(0)).otherwise(F.col("cost")).cast("decimal(30,10)"))
+def _key_sums(candidates: DataFrame) -> DataFrame:
+    """(block, team, team_period, provider, provider_period, max_budget, cap, settled, us, id, units): what the calls of a
+    block sum up to, in units of 10^-10; us and id are null. Combined before the shuffle."""
+    keys = [BLOCK, "team", "team_period", "provider", "provider_period", "max_budget", "cap", "settled"]
+    total = F.sum(_units()).cast("decimal(38,0)").alias("units")
+    none = F.lit(None).cast("bigint")
+    return candidates.groupBy(*keys).agg(total).select(*keys, none.alias("us"), none.alias("id"), "units")
+
+
+def _units() -> Column:
+    return (F.coalesce("cost", F.lit(0)).cast("decimal(30,10)") * 10000000000).cast("decimal(38,0)")
+
+
+def _scaled(limit) -> int | None:
+    return None if limit is None else int(limit * 10**10)
+
+
+class _Keys:
+    """Teams and providers with their period, as the fold sees them; what has no limit is no key."""
+
+    def __init__(self) -> None:
+        self.limit: dict[tuple, int] = {}
+
+    def of(self, row: dict) -> list[tuple]:
+        """The limited keys of a row."""
+        found = []
+        for kind, limit in (("team", row["max_budget"]), ("provider", row["cap"])):
+            if limit is not None:
+                key = (kind, row[kind], row[f"{kind}_period"])
+                self.limit.setdefault(key, _scaled(limit))
+                found.append(key)
+        return found
+
+
+def _by_block(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each block; parts are in order of the blocks."""
+    block, rows = None, []
+    for part in parts:
+        for row in part.to_pylist():
+            if row[BLOCK] != block and rows:
+                yield block, rows
+                rows = []
+            block = row[BLOCK]
+            row["units"] = int(row["units"])
+            rows.append(row)
+    if rows:
+        yield block, rows
+
+
+def _windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sums per block: the blocks in which each key may reach its limit.
+
+    A key's spend lies between two bounds. In a block a call counts for the upper one if neither of its keys is surely
+    stopped, and for the lower one if the other key stays open for sure; a key that goes on until its limit has spent that
+    much at least. With no coupling the bounds agree, and one block is left.
+    """
+    keys, low, high, seen = _Keys(), {}, {}, {}
+    for block, rows in _by_block(parts):
+        pairs = [(keys.of(row), row) for row in rows]
+        more: dict[tuple, int] = {}
+        for own, row in pairs:
+            if row["settled"] or not any(low.get(k, 0) >= keys.limit[k] for k in own):
+                for k in own:
+                    more[k] = more.get(k, 0) + row["units"]
+        touched = {k for own, _ in pairs for k in own}
+        through = {k: high.get(k, 0) + more.get(k, 0) < keys.limit[k] for k in touched}
+        sure: dict[tuple, int] = {}
+        for own, row in pairs:
+            for k in own:
+                if row["settled"] or all(through[o] for o in own if o != k):
+                    sure[k] = sure.get(k, 0) + row["units"]
+        for k in touched:
+            if low.get(k, 0) < keys.limit[k] and not through[k]:
+                seen[k] = (seen.get(k, (block,))[0], block)
+            high[k] = high.get(k, 0) + more.get(k, 0)
+            spent = low.get(k, 0) + sure.get(k, 0)
+            low[k] = spent if through[k] else max(low.get(k, 0), min(keys.limit[k], spent))
+    columns = [[*c] for c in zip(*((*k, *w) for k, w in seen.items()), strict=True)] or [[]] * 5
+    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "key", "period", "low", "high"])
+
+
+def _settled_stops(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sums and, where a key may reach its limit, calls in order: the call after which each key is stopped."""
+    keys, spent, after = _Keys(), {}, {}
+    for _, rows in _by_block(parts):
+        for row in rows:
+            own = keys.of(row)
+            for k in own:
+                if keys.limit[k] <= 0:
+                    after.setdefault(k, (-(2**63), -1))
+            if not row["settled"] and any(k in after for k in own):
+                continue
+            for k in own:
+                spent[k] = spent.get(k, 0) + row["units"]
+                if spent[k] >= keys.limit[k]:
+                    after.setdefault(k, (-(2**63) if row["us"] is None else row["us"], -1 if row["id"] is None else row["id"]))
+    columns = [[*c] for c in zip(*((*k, *a) for k, a in after.items()), strict=True)] or [[]] * 5
+    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "key", "period", "us", "id"])
+
+
+def _coupled_stops(candidates: DataFrame) -> DataFrame:
+    """(kind, key, period, us, id): the call after which each team and provider has spent its limit in a period, where calls
+    that one of them refuses don't count for the other.
+
+    Two folds, each of one task over sums per block, team and provider, which are as many as blocks times pairs in use,
+    however many calls there are. The first one bounds the blocks in which a key may reach its limit. The calls of these
+    blocks and keys, and the sums of all others, are then folded in order: no more jobs for many stops than for one.
+    """
+    limited = candidates.where("max_budget IS NOT NULL OR cap IS NOT NULL")
+    sums = materialize(_key_sums(limited))
+    order = [BLOCK, F.desc("settled"), "us", "id"]
+    windows = sums.repartition(1).sortWithinPartitions(BLOCK).mapInArrow(_windows, "kind string, key string, period int, low bigint, high bigint")
+    windows = materialize(windows)
+
+    def detailed(rows: DataFrame) -> DataFrame:
+        for kind in ("team", "provider"):
+            own = windows.where(F.col("kind") == kind).select(
+                F.col("key").alias(kind), F.col("period").alias(f"{kind}_period"), F.col("low").alias(f"_{kind}_low"), F.col("high").alias(f"_{kind}_high")
+            )
+            rows = rows.join(own, [kind, f"{kind}_period"], "left")
+        inside = [F.coalesce(F.col(BLOCK).between(F.col(f"_{k}_low"), F.col(f"_{k}_high")), F.lit(False)) for k in ("team", "provider")]
+        return rows.withColumn("_detailed", inside[0] | inside[1])
+
+    least = F.lit(-(2**62))
+    calls = detailed(limited).where("_detailed").select(
+        *[c for c in sums.columns if c not in ("us", "id", "units")],
+        F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), least).alias("us"), F.coalesce("call_id", F.lit(-1)).alias("id"), _units().alias("units"),
+    )
+    rows = calls.unionByName(detailed(sums).where("NOT _detailed").select(*sums.columns))
+    told = rows.repartition(1).sortWithinPartitions(*order).mapInArrow(_settled_stops, "kind string, key string, period int, us bigint, id bigint")
+    return materialize(told)
+
+
+def _after_stop(calls: DataFrame, stops: DataFrame, kind: str, name: str) -> DataFrame:
+    """calls with a boolean: does this call come after the stop of its key and period? Stops are few, and written, so Spark
+    knows their size and broadcasts them."""
+    own = stops.where(F.col("kind") == kind).select(F.col("key").alias(kind), F.col("period").alias(f"{kind}_period"), F.struct("us", "id").alias("_after"))
+    here = F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("call_id").alias("id"))
+    return calls.join(own, [kind, f"{kind}_period"], "left").withColumn(name, F.coalesce(here > F.col("_after"), F.lit(False))).drop("_after")
 
 
 def admission(calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataFrame, days: int = 30) -> DataFrame:
     """One decision per call, with its reason: access, then rate, then team budget, then provider cap.
 
     A call without a team has no access. Limits, budgets and caps that are null, or have no row, refuse nothing; a call
-    without a provider meets no cap. A refused call spends nothing. Budget and cap are coupled: calls that one refuses do not count for the other. Each
-    is described by its stops (the first call that finds it spent: one row per team or provider and period). Stops are
-    worked out in turn from the stops of the other side until they no longer change. A stop depends on earlier stops
-    only, so each round settles at least the next one in time: the fixed point is the sequential answer, and there are
-    at most as many rounds as stops, of which a team or provider has one per period.
+    without a provider meets no cap. A refused call spends nothing. Budget and cap are coupled: calls that one refuses do
+    not count for the other. Each is described by its stop, the call after which it is spent, one row per team or provider
+    and period; the number of jobs does not depend on how many stops there are. Costs are not negative.
     """
     return admitted(calls, teams, access, caps, days).select("call_id", "decision", "reason")
 
@@ -204,32 +338,11 @@ def admitted(
     candidates = candidates.join(budgets, "team", "left").join(caps.select("provider", "cap"), "provider", "left")
     candidates = materialize(candidates)
 
-    budgeted, capped = candidates.where("max_budget IS NOT NULL"), candidates.where("cap IS NOT NULL")
-    team_stops = provider_stops = None
-    while True:
-        teams_next = materialize(
-            _stops(_open_cost(budgeted, "provider", provider_stops), "team", "team_period", "max_budget", F.col("open_cost"))
-        )
-        if team_stops is not None and _same(teams_next, team_stops):
-            break  # the provider stops at hand come from these very team stops
-        team_stops = teams_next
-        providers_next = materialize(
-            _stops(_open_cost(capped, "team", team_stops), "provider", "provider_period", "cap", F.col("open_cost"))
-        )
-        if provider_stops is not None and _same(providers_next, provider_stops):
-            break
-        provider_stops = providers_next
-
-    judged = _with_stop(candidates, team_stops, "team", "team_period", "over_budget")
-    judged = _with_stop(judged, provider_stops, "provider", "provider_period", "over_cap")
+    stops = _coupled_stops(candidates)
+    judged = _after_stop(candidates, stops, "team", "over_budget")
+    judged = _after_stop(judged, stops, "provider", "over_cap")
     decision = F.when(F.col("over_budget"), 422).when(F.col("over_cap"), 429).otherwise(200)
     reason = F.when(F.col("over_budget"), "budget").when(F.col("over_cap"), "provider cap").otherwise("accepted")
     final = judged.where("NOT settled").select(*told, decision.alias("decision"), reason.alias("reason"), "team_period", "provider_period")
     return final.unionByName(refused.unionByName(limited), allowMissingColumns=True)
 
-
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Are these the same stops, one row per key and period? Compared where they are, not on the driver."""
-    other = b.select("key", "period", F.col("at").alias("_at"))
-    changed = a.join(other, ["key", "period"], "full_outer").where(~F.col("at").eqNullSafe(F.col("_at")))
-    return changed.isEmpty()

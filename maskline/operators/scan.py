@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 from maskline.session import materialize
 
 BLOCK = "_block"
+#: Rows of a block at most.
+ROWS = 200_000
 
 
-def ordered_blocks(df: DataFrame, order: list[str], blocks: int | None = None) -> DataFrame:
-    """df with a block number that grows with `order`, which must be a total order (end it with a unique id)."""
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(df.repartitionByRange(n, *order).withColumn(BLOCK, F.spark_partition_id()))
+def ordered_blocks(df: DataFrame, order: list[str], blocks: int | None = None, rows: int | None = None) -> DataFrame:
+    """df with a block number that grows with `order`, which must be a total order (end it with a unique id).
+
+    The order is cut into ranges (`blocks`, or as many as Spark sees fit), and a task numbers its rows in order and cuts
+    them into blocks of at most `rows` rows (ROWS), so blocks don't grow with the data.
+    """
+    ranges = df.repartitionByRange(*order) if blocks is None else df.repartitionByRange(blocks, *order)
+    placed = ranges.sortWithinPartitions(*order).withColumn(BLOCK, F.monotonically_increasing_id())
+    # The number of a row: its partition in the upper bits, its place there in the lower 33.
+    inside = F.floor(F.col(BLOCK).bitwiseAND((1 << 33) - 1) / (rows or ROWS))
+    return materialize(placed.withColumn(BLOCK, F.shiftright(BLOCK, 33) * (1 << 31) + inside.cast("bigint")))
 
 
 def running_before(blocked: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:

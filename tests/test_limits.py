@@ -140,3 +140,67 @@ def test_exclusive_percentiles(spark, n):
     if n > 1:
         # Beyond the last pair the method extends the line, as statistics.quantiles does.
         assert row.p95 == pytest.approx(statistics.quantiles(values, n=20)[18])
+
+
+def alternating(n):
+    """Calls in which budgets and caps run out in turn: each stop leaves what the next one needs, with periods of a day."""
+    rows, start = [], datetime(2024, 1, 1)
+    for k in range(n):
+        team, provider = f"t{k}", f"p{k}"
+        for i in range(6):
+            # The team spends on its provider, which the next team shares; that one's budget lasts until this provider stops.
+            rows.append((team, provider, 2))
+            rows.append((f"t{k + 1}", provider, 1 if i < 3 else 2))
+    return [(i, start + timedelta(seconds=7 * i), t, "x", p, 1, 1, Decimal(c)) for i, (t, p, c) in enumerate(rows)]
+
+
+def admitted_with_jobs(spark, n):
+    rows = alternating(n)
+    schema = "call_id long, ts timestamp, team string, alias string, provider string, tokens_in long, tokens_out long, cost decimal(30,10)"
+    names = sorted({r[2] for r in rows})
+    teams = spark.createDataFrame([(t, Decimal(9), None, None) for t in names], "team_id string, max_budget decimal(18,6), rpm_limit int, tpm_limit int")
+    access = spark.createDataFrame([(t, "x") for t in names], "team_id string, alias string")
+    caps = spark.createDataFrame([(p, Decimal(11)) for p in sorted({r[4] for r in rows})], "provider string, cap decimal(18,6)")
+    group = f"admission-{n}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        found = {r.call_id: (r.decision, r.reason) for r in limits.admission(spark.createDataFrame(rows, schema).repartition(3), teams, access, caps, 1).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    assert found == sequential(rows, teams, access, caps)
+    return jobs, len({(r[2], found[r[0]][1]) for r in rows if found[r[0]][0] != 200})
+
+
+def test_jobs_do_not_grow_with_stops(spark, monkeypatch):
+    monkeypatch.setattr(limits, "ordered_blocks", lambda df, order: scan.ordered_blocks(df, order, rows=40))
+    monkeypatch.setitem(sequential.__globals__, "DAYS", 1)
+    few, stops = admitted_with_jobs(spark, 3)
+    many, more = admitted_with_jobs(spark, 100)
+    assert stops >= 4 and more >= 100
+    assert many <= few + 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_coupled_stops_equal_the_fold(spark, monkeypatch, seed):
+    """Many small blocks, short periods, tight limits, equal times, free and null costs."""
+    monkeypatch.setattr(limits, "ordered_blocks", lambda df, order: scan.ordered_blocks(df, order, rows=25))
+    rng = random.Random(seed)
+    start, rows = datetime(2024, 1, 1), []
+    for i in range(2500):
+        start += timedelta(seconds=rng.choice([0, 0, 60, 600, 3600]))
+        rows.append((i, start, rng.choice("aaaabcde"), "x", rng.choice(["p", "p", "q", "r", None]), 1, 1, Decimal(rng.choice([0, 1, 1, 2, 5, 9]))))
+    schema = "call_id long, ts timestamp, team string, alias string, provider string, tokens_in long, tokens_out long, cost decimal(30,10)"
+    teams = spark.createDataFrame([(t, None if b is None else Decimal(b), None, None) for t, b in zip("abcde", (150, 30, 45, 0, None), strict=True)], "team_id string, max_budget decimal(18,6), rpm_limit int, tpm_limit int")
+    access = spark.createDataFrame([(t, "x") for t in "abcde"], "team_id string, alias string")
+    caps = spark.createDataFrame([("p", Decimal(120)), ("q", Decimal(rng.choice([0, 60])))], "provider string, cap decimal(18,6)")
+    found = {r.call_id: (r.decision, r.reason) for r in limits.admission(spark.createDataFrame(rows, schema).repartition(3), teams, access, caps, DAYS).collect()}
+    assert found == sequential(rows, teams, access, caps)
+    assert {why for _, why in found.values()} == {"budget", "provider cap", "accepted"}
+
+
+def test_blocks_are_bounded(spark):
+    blocked = scan.ordered_blocks(spark.range(5000).repartition(5), ["id"], rows=300)
+    sizes = blocked.groupBy(scan.BLOCK).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy(scan.BLOCK).collect()
+    assert max(r.n for r in sizes) <= 300 and sum(r.n for r in sizes) == 5000
+    assert all(a.high < b.low for a, b in zip(sizes, sizes[1:], strict=False))
