@@ -38,22 +38,50 @@ def test_exact_groups_with_repeated_and_null_ids(documents):
     ]
 
 
-def test_directory_splits_only_overfull_buckets(spark):
-    hashes = spark.range(4000).select(F.expr("shiftright(xxhash64(id), if(id % 4 = 0, 0, 3))").alias("h")).distinct()
+@pytest.mark.parametrize("crowd", ["none", "half", "one slot", "all"])
+def test_directory_splits_only_overfull_buckets(spark, crowd):
+    """Even hashes, half of them in an eighth of the range, many behind one long beginning, and all behind one."""
+    bits = {"none": "0", "half": "IF(id % 2 = 0, 3, 0)", "one slot": "IF(id % 3 = 0, 40, 0)", "all": "52"}[crowd]
+    hashes = spark.range(4000).select(F.expr(f"shiftrightunsigned(xxhash64(id), {bits})").alias("h")).distinct()
     slots, depth = exact.directory(hashes, 100)
-    told = slots.collect()
+    told = {r["slot"]: r["local_depth"] for r in slots.collect()}
     assert len(told) <= 2**depth
-    of = {r["slot"]: (r["bucket"], r["local_depth"]) for r in told}
-    sizes = {}
-    for r in hashes.collect():
-        bucket, local = of[(r["h"] % 2**64) >> (64 - depth)]
-        assert bucket == 2**local + ((r["h"] % 2**64) >> (64 - local) if local else 0)
-        sizes[bucket, local] = sizes.get((bucket, local), 0) + 1
-    assert all(n <= 100 or local == depth for (_, local), n in sizes.items())
-    parents = {}
-    for (bucket, _), n in sizes.items():
-        parents[bucket >> 1] = parents.get(bucket >> 1, 0) + n
-    assert len(sizes) > 1
+    own = [r["h"] % 2**64 for r in hashes.collect()]
+    local = {h: told[h >> (64 - depth)] for h in own}
+    sizes, parents = {}, {}
+    for h in own:
+        sizes.setdefault((local[h], h >> (64 - local[h])), []).append(h)
+    assert all(len(x) <= 100 for x in sizes.values()) and len(sizes) > 1
+    for (d, _), members in sizes.items():
+        if d <= depth:  # what it was split from did not fit
+            parent = members[0] >> (65 - d)
+            assert sum(h >> (65 - d) == parent for h in own) > 100
+        else:  # with a bit less, something in its slot did not
+            slot = members[0] >> (64 - depth)
+            for h in own:
+                if h >> (64 - depth) == slot:
+                    parents.setdefault(h >> (65 - d), []).append(h)
+            assert max(map(len, parents.values())) > 100
+            parents = {}
+    assert (max(local.values()) > depth) == (crowd in ("one slot", "all"))
+    looked = {(r["h"] % 2**64): (r["local_depth"], r["bucket"]) for r in exact.in_bucket(hashes, slots, depth).collect()}
+    assert looked == {h: (local[h], h >> (64 - local[h])) for h in own}
+
+
+def test_rows_are_looked_up_through_the_directory(documents, monkeypatch):
+    """Rows that are sent to another bucket than their entry find nothing."""
+    docs = documents([(i, f"text {i % 30}") for i in range(90)])
+    assert {r["group_size"] for r in exact.exact_groups(docs, capacity=4).collect()} == {3}
+    right = exact.in_bucket
+    calls = []
+
+    def wrong(rows, slots, depth):
+        calls.append(1)
+        found = right(rows, slots, depth)
+        return found if len(calls) == 1 else found.withColumn("bucket", F.col("bucket") + 1)  # the index is right, the look isn't
+
+    monkeypatch.setattr(exact, "in_bucket", wrong)
+    assert exact.exact_groups(docs, capacity=4).collect() == [] and len(calls) == 2
 
 
 @pytest.mark.parametrize(("words", "num"), [(3, 90), (5, 80), (1, 50)])
