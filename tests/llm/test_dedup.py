@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,36 @@ def test_repeated_bytes(documents, window):
         assert tuple(got[doc_id]) == want
 
 
+@pytest.mark.parametrize("broken", [0, 1])
+def test_windows_are_equal_only_if_both_digits_are(documents, broken):
+    """A table of zeros gives all windows the same digit: nothing else is taken out for it."""
+    rows = corpus(6)
+    tables = [*suffixes.drawn()]
+    tables[broken] = np.zeros(256, np.uint64)
+    plain = {d: (r["n_removed"], r["kept_sha256"]) for d, r in by_id(suffixes.without_repeats(documents(rows), 60)).items()}
+    found = {d: (r["n_removed"], r["kept_sha256"]) for d, r in by_id(suffixes.without_repeats(documents(rows), 60, tables=tuple(tables))).items()}
+    assert found == plain and sum(n for n, _ in plain.values()) > 1000
+
+
+def test_long_stretches_are_hashed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+
+    class Whole:
+        pass
+
+    block = Whole()
+    block.data = data
+    tables = suffixes.drawn()
+    begin, n = np.array([3, 2000, 4000]), np.array([1500, 1, 900])
+    want = suffixes.windows(block, begin, n, 50, tables)
+    monkeypatch.setattr(suffixes, "PIECE", 64)
+    got = suffixes.windows(block, begin, n, 50, tables)
+    assert all((a == b).all() for a, b in zip(want, got, strict=True)) and len(got[0]) == n.sum()
+    some = suffixes.windows(block, begin, n, 50, tables, np.array([3, 1502, 2000, 4899]))
+    assert some[2].tolist() == [3, 1502, 2000, 4899]
+
+
 def test_rows_that_repeat_an_id_are_rows(documents):
     long = "word " * 200
     rows = [(1, long), (1, long), (None, long), (2, "short")]
