@@ -323,7 +323,7 @@ def _names_from(runs: DataFrame) -> DataFrame:
         .otherwise(fixed.NAME_SCORE_FIRST_ALONE).alias("original_score"),
         context_word_in(F.col("near"), F.expr(sql_array(fixed.CONTEXT_PERSON))).alias("context_word"),
     )
-    return scored.select(
+    told = scored.select(
         "doc_id", "start", "end", "value",
         F.lit("PERSON").alias("entity_type"),
         boosted(F.col("original_score"), F.col("context_word")).alias("score"),
@@ -332,6 +332,9 @@ def _names_from(runs: DataFrame) -> DataFrame:
         F.lit(None).cast("boolean").alias("checksum"),
         "rule",
     )
+    # A filter on the score would be pushed below all of this, with its expressions written out, and work everything out
+    # again and again; it does not go below a generator.
+    return told.select(F.inline(F.array(F.struct(*told.columns))))
 
 
 def titled_names(runs: DataFrame) -> DataFrame:
