@@ -11,6 +11,7 @@ less than half the template) can cost matches.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 from collections.abc import Iterator
@@ -50,8 +51,86 @@ TEMPLATES = {
     "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
     "the distribution.",
     "All rights reserved": "All rights reserved.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+    "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+    "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for "
+    "more details.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+    "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+    "option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+    "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General "
+    "Public License for more details.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+    "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+    "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+    "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General "
+    "Public License for more details.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+    "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+    "this work.",
 }
 
+# Whole license texts.
+_WITHOUT_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+    "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+WHOLE = {
+    "MIT whole": f"{TEMPLATES['MIT']} {_WITHOUT_WARRANTY}",
+    "BSD-2-Clause whole": f"{TEMPLATES['BSD-2-Clause']} {_BSD_WARRANTY}",
+    "BSD-3-Clause whole": f"{TEMPLATES['BSD-2-Clause']} Neither the name of the copyright holder nor the names of its "
+    "contributors may be used to endorse or promote products derived from this software without specific prior written "
+    f"permission. {_BSD_WARRANTY}",
+    "ISC whole": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+    'PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES '
+    "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+    "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
+    "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+    "SOFTWARE.",
+    "Zlib whole": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+    "held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software "
+    "for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+    "following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the "
+    "original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+    "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+    "misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0 whole": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+    'software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, '
+    "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom "
+    "the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire "
+    "statement, including the above license grant, this restriction and the following disclaimer, must be included in all "
+    "copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative "
+    "works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS "
+    'PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR "
+    "ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense whole": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+    "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+    "purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or "
+    "authors of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+    "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+    "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under "
+    f"copyright law. {_WITHOUT_WARRANTY}",
+}
+TEMPLATES |= WHOLE
+
 #: Bytes of a word: letters, digits and whatever isn't ASCII.
 WORD = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])
 FIELDS = [
@@ -123,15 +202,19 @@ class Index:
 
 
 def candidates(place: np.ndarray, inside: np.ndarray, length: int, band: int) -> list[tuple[int, int, int]]:
-    """(diagonal, first, last place) for each run of hits of one template in one document, in order of place."""
+    """(diagonal, first, last place) for each run of hits of one template in one document, in order of place. A hit goes to
+    the last run that began of those within reach; runs that are out of reach by place are not looked at again."""
     found: list[list[int]] = []
+    near: list[list[int]] = []
     for p, i in zip(place.tolist(), inside.tolist(), strict=True):
-        for run in reversed(found):
-            if p - run[2] <= length and abs(p - i - run[0]) <= band:
+        near = [run for run in near if p - run[2] <= length]
+        for run in reversed(near):
+            if abs(p - i - run[0]) <= band:
                 run[2] = p
                 break
         else:
             found.append([p - i, p, p])
+            near.append(found[-1])
     return [tuple(run) for run in found]
 
 
@@ -171,7 +254,10 @@ def places(
 ) -> Iterator[tuple[int, int, int]]:
     """(matched words, first and last + 1 place) of the candidates found, best first, none over another. What a place leaves
     of a candidate's band to its left and right, and what another place leaves of it, is aligned again."""
-    least, open_, taken = coverage * len(template), [], []
+    least, open_ = coverage * len(template), []
+    # Places that are taken don't overlap: begins and ends, both in order, and how many were taken before.
+    begins: list[int] = []
+    ends: list[tuple[int, int]] = []
 
     def look(a: int, b: int, diagonal: int) -> None:
         if b - a >= least:
@@ -183,10 +269,15 @@ def places(
         look(max(0, diagonal - band), min(len(text), diagonal + len(template) + band), diagonal)
     while open_:
         matched, begin, end, a, b, diagonal = heapq.heappop(open_)
-        over = next((t for t in taken if begin < t[1] and end > t[0]), None)
-        if over is None:
+        # Of those that it lies over, the first that was taken.
+        low, high = bisect.bisect_right(ends, begin, key=lambda e: e[0]), bisect.bisect_left(begins, end)
+        if low < high:
+            k = min(range(low, high), key=lambda i: ends[i][1])
+            over = begins[k], ends[k][0]
+        else:
             over = begin, end
-            taken.append(over)
+            begins.insert(low, begin)
+            ends.insert(low, (end, len(ends)))
             yield -matched, begin, end
         look(a, min(b, over[0]), diagonal)
         look(max(a, over[1]), b, diagonal)

@@ -137,13 +137,14 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 2048, closing: int
     Sequence numbers are unique, not gapless. `group_pieces` bounds the rows of one packing task, not the result: every
     piece is packed. An empty table gives no rows; other columns are ignored.
     """
-    pieces = materialize(token_pieces(docs, vocabulary, capacity, closing))
+    # Dealt by row, so that equal rows don't meet in one group.
+    pieces = materialize(token_pieces(docs, vocabulary, capacity, closing).withColumn("row", F.monotonically_increasing_id()))
     n_groups = max(1, -(-pieces.count() // group_pieces))
-    grouped = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)))
+    grouped = pieces.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(n_groups)))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         where, offset, _ = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=where * n_groups + key[0], offset=offset).drop(columns="g")
+        return rows.assign(sequence_id=where * n_groups + key[0], offset=offset).drop(columns=["g", "row"])
 
     return grouped.groupBy("g").applyInPandas(pack, PIECES + ", sequence_id bigint, offset bigint")

@@ -335,19 +335,21 @@ def perplexities(docs: DataFrame, trusted: DataFrame, words: int | None = None,
     )
 
 
-def quality(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 3.0, fold: int = 5, **model: int | None) -> DataFrame:
+def quality(
+    docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 3.0, fold: int = 5, held_by: str = "doc_id", **model: int | None
+) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept), one row per row of docs (doc_id, text, lang).
 
     trusted (doc_id) names the documents whose text is trusted; ids that docs lacks do nothing. One of `fold` is held out,
-    by a hash of the id, or of held_by where trusted has that column.
+    by a hash of the id, or of another column `held_by` of trusted. Where learned text is so little that counts of one, two and
+    three are not all there, discounts are fixed ones (`discounts`).
     threshold is `margin` times the `quantile` of the perplexities of held-out documents of the same language and class of
     length, or the widest of the language where a class has none; in a language without any (null is a language of its own)
     nothing is rejected. A document without
     words has the perplexity of an end at once, and is kept. A repeated id is scored row by row; rows without an id are
     scored and never trusted. Other columns are ignored.
     """
-    held_by = F.col("held_by" if "held_by" in trusted.columns else "doc_id").cast("bigint")
-    held = F.pmod(F.xxhash64(held_by, F.lit(17)), F.lit(fold)) == 0
+    held = F.pmod(F.xxhash64(F.col(held_by).cast("bigint"), F.lit(17)), F.lit(fold)) == 0
     trusted = trusted.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(held, HELD_OUT).otherwise(LEARNED).alias("role"))
     trusted = trusted.where("doc_id is not null").distinct()
     scores = perplexities(docs, trusted, **model)
