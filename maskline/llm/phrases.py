@@ -3,11 +3,11 @@
 1. Recurring phrases: the anchors (anchors.py) of all windows of words are phrases of a few words; any window that
    occurs twice has such a phrase, and it recurs. Blocks of documents send each of their phrases once, as a hash; shards
    answer with those that several blocks, or one block several times, hold.
-2. Automata: each block compiles the texts of its recurring phrases, a shard of all there are whose size the block
-   bounds, into an Aho-Corasick automaton, and streams its documents through it. That confirms the phrases as text and
-   gives the place of every occurrence.
-3. Windows around occurrences are compared as hashes, the first one of a block standing for the others, to find which
-   one starts first. All others are taken out.
+2. Automata: the recurring phrases that a block holds are a shard of all there are, whose size the block bounds. Their
+   texts are compiled into an Aho-Corasick automaton, and all documents of the block are streamed through it. Nothing else
+   says where phrases are: it gives the place of every occurrence, and of texts only, whatever the hashes said.
+3. Windows that hold an occurrence are compared, the first one of a block standing for the others, to find which one starts
+   first. All others are taken out. Windows are compared by a 64-bit hash of their words under a key of the run's own.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from maskline.llm.anchors import anchors, hashes
+from maskline.llm.anchors import CHUNK, anchors, hashes, ladder
 from maskline.llm.blocks import (
     SPANS, SPANS_DDL, Block, by_block, by_shard, covered, each_block, pack, span_row, spread, total_bytes, unstep, write_blocks,
 )
@@ -58,6 +58,30 @@ def occurrences(text: bytes, places: np.ndarray, automaton: ahocorasick.Automato
     return np.searchsorted(places, begins)
 
 
+def named_phrases(block: Block, words: Words, grams: np.ndarray, window: int, phrase: int) -> list[str]:
+    """The text of each of the recurring phrases (sorted hashes) that the block holds, with a space around each word."""
+    text = lambda at: block.data[words.start[at] : words.end[at]].tobytes().decode()
+    named: dict[int, str] = {}
+    for a in anchors(words.hash, words.of_doc, window, phrase):
+        known = np.flatnonzero(grams[np.minimum(np.searchsorted(grams, a.gram), len(grams) - 1)] == a.gram)
+        _, first = np.unique(a.gram[known], return_index=True)
+        for k in known[first].tolist():
+            if (gram := int(a.gram[k])) not in named:
+                at = int(words.of_doc[a.doc[k]] + a.place[k])
+                named[gram] = f" {' '.join(text(at + i) for i in range(phrase))} "
+    return list(named.values())
+
+
+def covering(met: np.ndarray, n: int, window: int, phrase: int) -> np.ndarray:
+    """Starts of the windows of a text of n words that hold a phrase met at one of the places (sorted, distinct)."""
+    first, last = np.maximum(met - (window - phrase), 0), np.minimum(met, n - window)
+    change = np.zeros(n + 1, np.int32)
+    some = first <= last
+    np.add.at(change, first[some], 1)
+    np.add.at(change, last[some] + 1, -1)
+    return np.flatnonzero(np.cumsum(change) > 0)
+
+
 def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
     """SPANS rows, in words: the windows whose words also start earlier."""
     own_key = key()
@@ -97,28 +121,19 @@ def later_windows(blocks: DataFrame, shards: int, window: int, phrase: int) -> D
             return
         grams = np.sort(np.concatenate([np.frombuffer(r["grams"], np.uint64) for r in rows]))
         words = Words(block.data, block.starts, key=own_key)
-        found = list(anchors(words.hash, words.of_doc, window, phrase))
-        text = lambda at: block.data[words.start[at] : words.end[at]].tobytes().decode()
-        named: dict[int, str] = {}
-        for a in found:
-            known = np.flatnonzero(grams[np.minimum(np.searchsorted(grams, a.gram), len(grams) - 1)] == a.gram)
-            for k in known.tolist():
-                if (gram := int(a.gram[k])) not in named:
-                    at = int(words.of_doc[a.doc[k]] + a.place[k])
-                    named[gram] = f" {' '.join(text(at + i) for i in range(phrase))} "
-        automaton = phrase_automaton(list(named.values()))
-        met = np.zeros(len(words.start), bool)
+        automaton = phrase_automaton(named_phrases(block, words, grams, window, phrase))
+        parts = []
         for doc in range(len(block.doc_ids)):
             a, b = int(words.of_doc[doc]), int(words.of_doc[doc + 1])
             if b - a >= window:
-                met[a + occurrences(*spaced(block.data, words, np.arange(a, b)), automaton)] = True
-        parts = []
-        for a in found:
-            some = np.flatnonzero(met[words.of_doc[a.doc] + a.place])
-            n = a.last[some] - a.first[some] + 1
-            anchor = np.repeat(some, n)
-            start = np.repeat(a.first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            parts.append((hashes(a.rungs, window, start + a.base[anchor]), a.doc[anchor], start))
+                met = occurrences(*spaced(block.data, words, np.arange(a, b)), automaton)
+                start = covering(met, b - a, window, phrase)
+                # Long texts in pieces, each with what its last windows need of the next one.
+                for at in range(0, b - a, CHUNK):
+                    own = start[np.searchsorted(start, at) : np.searchsorted(start, at + CHUNK)]
+                    if len(own):
+                        rungs = ladder(words.hash[a + at : min(b, a + at + CHUNK + window - 1)], window)
+                        parts.append((hashes(rungs, window, own - at), np.full(len(own), doc), own))
         if not parts:
             return
         hashed, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from maskline.llm import exact, jaccard, phrases, suffixes
 from maskline.llm.graph import components
+from maskline.llm.words import Words
 from texts import corpus, repeated_starts, shingles, smallest, word_list
 
 
@@ -207,3 +208,28 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     whole = [e for e in edges if None not in e and e[0] != e[1]]
     assert got == smallest({x for e in whole for x in e}, whole)
+
+
+def test_windows_come_from_what_the_automaton_meets():
+    text = "a b c d e f g b c d h i j k l m n o p q b c d r".encode()
+    data, starts = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    words = Words(data, starts)
+    n = len(words.hash)
+    automaton = phrases.phrase_automaton([" b c d ", " x y z "])
+    met = phrases.occurrences(*phrases.spaced(data, words, np.arange(n)), automaton)
+    assert met.tolist() == [1, 7, 20]
+    for window in (3, 6, 10, n):
+        want = [s for s in range(n - window + 1) if any(s <= p and p + 3 <= s + window for p in met.tolist())]
+        assert phrases.covering(met, n, window, 3).tolist() == want
+    assert phrases.covering(met[:0], n, 6, 3).tolist() == []
+    none = phrases.phrase_automaton([" x y z "])
+    assert phrases.occurrences(*phrases.spaced(data, words, np.arange(n)), none).tolist() == []
+
+
+def test_phrases_of_long_texts(documents, monkeypatch):
+    """Longer than the pieces that windows are hashed in."""
+    rng = np.random.default_rng(3)
+    long_ = " ".join(f"w{i}" for i in rng.integers(0, 10**6, 600_000))
+    passage = long_[2_000_000:2_001_000].split(" ", 1)[1].rsplit(" ", 1)[0]
+    got = by_id(phrases.without_repeated_phrases(documents([(1, long_), (2, f"start {passage} end")])))
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == len(passage.split())
