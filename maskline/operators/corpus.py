@@ -25,7 +25,8 @@ FIRST_NAMES = ["Alix", "Bruno", "Claire", "Didier", "Édith", "Fabien", "Gaëlle
 LAST_NAMES = ["Aubry", "Besson", "Chevalier", "Delmas", "Fabre", "Gaillard", "Humbert", "Lacroix", "Marchal", "Noël", "Perrin", "Roche"]
 STREETS = ["rue des Peupliers", "avenue du Stade", "place de la Mairie", "chemin des Vignes", "quai du Canal", "impasse du Lavoir"]
 COMPANIES = ["Société Nordique", "Atelier Beaulieu", "Groupe Verdon", "Comptoir Armor"]
-MAILBOXES = ["atelier", "contact.", "famille-", "bureau_", "client", "notes."]
+MAIL_JOINS = [".", "_", "-", ""]
+ACCENTED, PLAIN = "àâäçéèêëîïôöùûüÿ", "aaaceeeeiioouuuy"
 MAIL_DOMAINS = ["example.fr", "example.org", "example.net"]
 
 
@@ -93,17 +94,37 @@ def phone(p: Pick, slot: str) -> Column:
     return laid_out(p, slot, national, ["0# ## ## ## ##", "0#-##-##-##-##", "+33#########", "0033 # ## ## ## ##"])
 
 
-def email(p: Pick, slot: str) -> Column:
-    return F.concat(p.one(f"{slot}.box", MAILBOXES), p.number(f"{slot}.n", 2, 8000).cast("string"), F.lit("@"), p.one(f"{slot}.domain", MAIL_DOMAINS))
+def unaccented(name: Column) -> Column:
+    """A name as it stands in an address: small letters without accents, no spaces or apostrophes."""
+    return F.regexp_replace(F.translate(F.lower(name), ACCENTED, PLAIN), "[ '’]", "")
+
+
+def email(p: Pick, slot: str, first: str = "first", last: str = "last") -> Column:
+    """The address of the person whose names are picked at first and last, in one of several forms, numbered or not."""
+    one, other = unaccented(p.one(first, FIRST_NAMES)), unaccented(p.one(last, LAST_NAMES))
+    forms = [(one, other), (F.left(one, F.lit(1)), other), (other, one)]
+    join, n = p.one(f"{slot}.join", MAIL_JOINS), p.number(f"{slot}.n", 0, 300)
+    local = F.get(F.array(*[F.concat(a, join, b) for a, b in forms]), p.number(f"{slot}.form", 0, len(forms) - 1).cast("int"))
+    return F.concat(local, F.when(n < 100, n.cast("string")).otherwise(""), F.lit("@"), p.one(f"{slot}.domain", MAIL_DOMAINS))
+
+
+def siret(p: Pick, slot: str) -> Column:
+    """A company's number: fourteen digits, the last a check digit, and the first none that a bank card begins with."""
+    body = F.concat(p.digits(f"{slot}.company", 9, 7 * 10**8), p.digits(f"{slot}.seat", 4))
+    digit = lambda b: F.pmod(F.lit(10) - checks.luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10))
+    whole = let(body, lambda b: F.concat(b, digit(b).cast("string")))
+    return laid_out(p, slot, whole, ["### ### ### #####", "##############"])
 
 
 def valid_identifiers(ids: DataFrame, seed: int = 1) -> DataFrame:
-    """ids (id) -> one value of every identifier type per row, check digits right, in several layouts."""
+    """ids (id) -> one value of every identifier type per row, check digits right, in several layouts; the e-mail is that of
+    the person, and the company number is nobody's."""
     p = Pick(seed, F.col("id"))
     makers = {
         "FR_NIR": nir, "FR_FISCAL_NUMBER": fiscal_number, "IBAN_CODE": iban, "CREDIT_CARD": card, "PHONE_NUMBER": phone, "EMAIL_ADDRESS": email,
     }
-    return ids.select("id", *[make(p, kind).alias(kind) for kind, make in makers.items()])
+    name = F.concat_ws(" ", p.one("first", FIRST_NAMES), p.one("last", LAST_NAMES))
+    return ids.select("id", name.alias("PERSON"), siret(p, "SIRET").alias("SIRET"), *[make(p, kind).alias(kind) for kind, make in makers.items()])
 
 
 def _values(p: Pick) -> dict[str, Column]:
@@ -127,6 +148,7 @@ def _values(p: Pick) -> dict[str, Column]:
         "amount": F.concat(F.floor(amount / 100).cast("string"), F.lit(","), F.lpad((amount % 100).cast("string"), 2, "0"), F.lit(" EUR")),
         "ref": F.concat(F.lit("dossier "), p.number("file", 100, 99999).cast("string")),
         "company": p.one("company", COMPANIES),
+        "siret": siret(p, "siret"),
     }
 
 
@@ -142,7 +164,7 @@ TEMPLATES = {
     "tax_notice": "Avis du {day} : {PERSON:name}, numéro fiscal {FR_FISCAL_NUMBER:fiscal}, doit encore {amount}.",
     "login_alert": "Connexion depuis {IP_ADDRESS:ip} au compte {EMAIL_ADDRESS:mail}. La carte {CREDIT_CARD:card} est bloquée, {ref}.",
     "house_call": "Bonjour Dr {PERSON:doctor}, je serai à {LOCATION:city} le {day}. On peut m'appeler au {PHONE_NUMBER:phone}.",
-    "supplier": "{company}\nContact : M. {PERSON:name}\n{FR_ADDRESS:address}\nPaiement sur {IBAN_CODE:iban}, {ref}",
+    "supplier": "{company}\nSIRET {siret}\nContact : M. {PERSON:name}\n{FR_ADDRESS:address}\nPaiement sur {IBAN_CODE:iban}, {ref}",
 }
 KINDS = list(TEMPLATES)
 

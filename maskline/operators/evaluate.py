@@ -176,6 +176,22 @@ def layer_scores(gold: DataFrame, spans: DataFrame, layers: list[str]) -> DataFr
     return scored.join(masked, "layer")
 
 
+def report_sections(gold: DataFrame, spans: DataFrame, durations: DataFrame, layers: list[str]) -> dict[str, DataFrame]:
+    """The tables behind a report, by name: overall scores, scores per type, latencies, items left in clear and layers.
+
+    spans (doc_id, ..., layer) holds each layer's spans; the last layer is the one that is reported as a whole. durations
+    (variant, ms) are those of each variant that was timed.
+    """
+    whole = spans.where(F.col("layer") == layers[-1]).drop("layer")
+    return {
+        "scores": scores_overall(gold, whole),
+        "per_type": scores_per_type(gold, whole),
+        "latency": latency_percentiles(durations),
+        "left_in_clear": left_in_clear(gold, whole),
+        "layers": layer_scores(gold, spans, layers),
+    }
+
+
 def compare_corpora(gold: DataFrame, spans: DataFrame) -> DataFrame:
     """Scores of the tuned and the held-out corpus (column `corpus`) and their difference per type."""
     scored = scores_per_type(gold, spans, ["corpus"])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
 from maskline.operators import evaluate as e
 from maskline.operators import leaks as l
+from maskline.session import shared_folder
+from maskline.sources import files
 from maskline.sources.files import annotate
 from suite.registry import query
 
@@ -124,6 +129,32 @@ def latency_added(t):
     return e.latency_added(t.sql(_DURATIONS), "click", "view")
 
 
+_REPORT = f"""with base as (select * from fx_pred where doc_id % 2 = 0), full_ as (select * from fx_pred), c as ({counts()}), o as (
+  select sum(gold) as gold, sum(found) as found, sum(predicted) as predicted, sum(correct) as correct from c), layers as ({_layer('base', 'base')} union all {_layer('full', 'full_')}), q as ({_QUANTILES})
+select 'scores' as section, 'precision' as key, cast(correct / predicted as double) as value from o union all select 'scores', 'recall', cast(found / gold as double) from o
+union all select 'per_type', entity_type, cast(found / nullif(gold, 0) as double) from c
+union all select 'latency', variant, cast(p95 as double) from q
+union all select 'left_in_clear', entity_type, cast(count(*) as double) from ({clear('fx_pred')}) x group by entity_type
+union all select 'layers', layer, cast(fully_masked as double) from layers"""
+
+
+@query("report_tables", f"select section, key, round(value, 9) as value from ({_REPORT}) r")
+def report_tables(t):
+    """All sections of a report, written as tables and read back, a figure of each row."""
+    pred = t("fx_pred")
+    layered = pred.withColumn("layer", F.lit("full")).unionByName(pred.where("doc_id % 2 = 0").withColumn("layer", F.lit("base")))
+    folder = f"{shared_folder(t.spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    sections = e.report_sections(t("fx_gold"), layered, t.sql(_DURATIONS), ["base", "full"])
+    files.write_metrics(sections, folder)
+    read = {name: t.spark.read.parquet(f"{folder}/{name}") for name in sections}
+    row = lambda name, key, value: read[name].select(F.lit(name).alias("section"), key.alias("key"), F.round(value.cast("double"), 9).alias("value"))
+    in_clear = read["left_in_clear"].groupBy("entity_type").agg(F.count("*").alias("n"))
+    rows = [row("scores", F.lit(c), F.col(c)) for c in ("precision", "recall")]
+    rows += [row("per_type", F.col("entity_type"), F.col("recall")), row("latency", F.col("variant"), F.col("p95")), row("layers", F.col("layer"), F.col("fully_masked"))]
+    rows.append(in_clear.select(F.lit("left_in_clear").alias("section"), F.col("entity_type").alias("key"), F.col("n").cast("double").alias("value")))
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 _ANSWERS = """select doc_id as answer_id, case when doc_id % 7 = 2 then 500 else 200 end as status, case when doc_id % 7 = 3 then 'length' else 'stop' end as done_reason,
 case doc_id % 7 when 0 then '{"entities": [{"type": "PERSON", "te' when 1 then '{"items": []}' when 6 then '{"entities": []}' else
   '{"entities": [{"type": "PERSON", "text": " ' || value || ' "}, {"type": "HOBBY", "text": "chess"}, "noise", {"type": "IP_ADDRESS", "text": "  "}, {"text": "no type"}]}' end as content
