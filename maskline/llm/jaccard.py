@@ -39,8 +39,8 @@ from maskline.session import materialize
 BLOCK, SHARD = 2 << 20, 8 << 20
 #: Documents in the sample for common tokens; a token is common in 1 / COMMON of them or more.
 SAMPLE, COMMON = 5000, 500
-#: Members of a group; queries that are compared with a group at once.
-GROUP, QUERIES = 128, 256
+#: Members of a group; queries and groups that are compared at once.
+GROUP, QUERIES, GROUPS = 128, 512, 32
 #: Ratio of set sizes from one band to the next.
 BAND = 1.1
 
@@ -244,30 +244,34 @@ def token_sets(blocks: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def compared(asks: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) between each asking set (node, of, part) and the members (node, of, part) of the group it asks.
+    """Links (a, b) between each asking set (node, of, part, home) and the members (node, of, part) of the group it asks.
 
-    A task compares some groups of bounded size with bounded numbers of queries; a group that more ask is dealt again.
+    Sets with the same home ask much the same groups. The queries and the groups of a home are dealt to cells of bounded
+    numbers of both, and a cell gets the tokens of each of its sets once, however many groups it asks or is in.
     """
-    asks, group = materialize(asks), ["of", "part"]  # read twice
-    counts = asks.groupBy(*group).agg(F.ceil(F.count("*") / QUERIES).cast("bigint").alias("chunks"))
-    queries = asks.join(counts, group).select(
-        *group, F.expr("pmod(xxhash64(node), chunks)").alias("chunk"), "node", F.lit(True).alias("asks")
-    )
-    every = F.explode(F.expr("sequence(0L, chunks - 1L)"))
-    members = members.join(counts, group).select(*group, every.alias("chunk"), "node", F.lit(False).alias("asks"))
+    asks = materialize(asks)  # read several times
+    # Sizes that cells are cut by, near enough.
+    homes = asks.groupBy("home").agg(F.approx_count_distinct("node").alias("q"), F.approx_count_distinct(F.struct("of", "part")).alias("g"))
+    homes = homes.select("home", F.ceil(F.col("q") / QUERIES).cast("bigint").alias("qs"), F.ceil(F.col("g") / GROUPS).cast("bigint").alias("gs"))
+    cell = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("qs")), F.pmod(F.xxhash64("of", "part"), F.col("gs"))).alias("cell")
+    queries = asks.join(homes, "home").select(cell, "of", "part", "node", F.lit(True).alias("asks"))
+    opened = queries.select("cell", "of", "part").distinct().join(members, ["of", "part"])
+    roles = queries.unionByName(opened.select("cell", "of", "part", "node", F.lit(False).alias("asks")))
+    told = roles.groupBy("cell", "node").agg(F.collect_list(F.struct("of", "part", "asks")).alias("roles"))  # GROUPS groups at most
     tasks = F.lit(max(1, -(-asks.count() // (2 * QUERIES))))
 
     def open_groups(rows: pa.Table) -> pa.Table:
-        node, asking = rows["node"].to_pylist(), rows["asks"].to_pylist()
+        node, cells = rows["node"].to_pylist(), rows["cell"].to_pylist()
         tokens = [np.frombuffer(x, np.uint64) for x in rows["tokens"].to_pylist()]
         groups: dict[tuple, tuple[list[int], list[int]]] = {}
-        for k, key in enumerate(zip(*(rows[c].to_pylist() for c in ("of", "part", "chunk")), strict=True)):
-            groups.setdefault(key, ([], []))[asking[k]].append(k)
+        for k, roles in enumerate(rows["roles"].to_pylist()):
+            for r in roles:
+                groups.setdefault((cells[k], r["of"], r["part"]), ([], []))[r["asks"]].append(k)
         found = []
-        for group, queries in groups.values():
+        for group, asking in groups.values():
             union = union_of([tokens[k] for k in group])
             inside = {node[k] for k in group}
-            for q in queries:
+            for q in asking:
                 # One that asks its own group is compared with the others.
                 others = [m for m in group if node[m] != node[q]] if node[q] in inside else group
                 bound = union if len(others) == len(group) else union_of([tokens[m] for m in others])
@@ -276,8 +280,8 @@ def compared(asks: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -
         release()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    rows = queries.unionByName(members).join(sets.hint("merge"), "node")
-    dealt = rows.withColumn("task", F.pmod(F.xxhash64("of", "part", "chunk"), tasks))
+    rows = told.join(sets.hint("merge"), "node")
+    dealt = rows.withColumn("task", F.pmod(F.col("cell"), tasks))
     return dealt.groupBy("task").applyInArrow(open_groups, "a bigint, b bigint")
 
 
@@ -302,9 +306,11 @@ def opened_groups(clusters: DataFrame, labels: DataFrame, sizes: DataFrame, sets
     grouped = materialize(grouped)
     groups = materialize(grouped.select("cluster", "of", "part", F.col("band").alias("there"), (F.col("of") == F.col("largest")).alias("both")).distinct())
     apart = int(math.log(rule.den / rule.num) / math.log(BAND)) + 1
-    asking = grouped.where("label <> largest").select("node", "label", "cluster", "band")
+    # Those of a cluster and band ask the same groups.
+    home = F.xxhash64("cluster", "band").alias("home")
+    asking = grouped.where("label <> largest").select("node", "label", "cluster", "band", home)
     near = f"of <> label AND there <= band + {apart} AND there >= IF(both, band - {apart}, band)"
-    asks = asking.join(groups.hint("merge"), "cluster").where(near).select("node", "of", "part")
+    asks = asking.join(groups.hint("merge"), "cluster").where(near).select("node", "of", "part", "home")
     return compared(asks, grouped.select("node", "of", "part"), sets, rule)
 
 
@@ -316,7 +322,7 @@ def central_links(meetings: DataFrame, clusters: DataFrame, sets: DataFrame, rul
     central = weights.join(clusters, "node").groupBy("cluster").agg(F.max(F.struct("weight", "node")).alias("c"))
     one = F.lit(0).cast("bigint").alias("part")
     central = materialize(central.select("cluster", F.col("c.node").alias("of"), one))
-    asks = clusters.join(central.hint("merge"), "cluster").where("node <> of").select("node", "of", "part")
+    asks = clusters.join(central.hint("merge"), "cluster").where("node <> of").select("node", "of", "part", F.col("of").alias("home"))
     return materialize(compared(asks, central.select(F.col("of").alias("node"), "of", "part"), sets, rule))
 
 
@@ -347,7 +353,7 @@ def near_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     firsts = pivots.select(F.col("b").alias("node"), F.col("b").alias("of"), one).distinct()
     sets = token_sets(blocks, met.select("node", "block").distinct(), rule)
     asks = materialize(asks.distinct())
-    links = materialize(compared(asks, firsts, sets, rule))
+    links = materialize(compared(asks.withColumn("home", F.col("of")), firsts, sets, rule))
     clusters = components(asks.select(F.col("node").alias("a"), F.col("of").alias("b")))
     clusters = materialize(clusters.select(F.col("id").alias("node"), F.col("component").alias("cluster")))
     links = links.unionByName(central_links(met, clusters, sets, rule))

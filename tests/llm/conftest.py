@@ -11,6 +11,7 @@ def small_blocks(monkeypatch):
         monkeypatch.setattr(module, "SHARD", 20000)
     monkeypatch.setattr(jaccard, "GROUP", 3)
     monkeypatch.setattr(jaccard, "QUERIES", 4)
+    monkeypatch.setattr(jaccard, "GROUPS", 2)
     monkeypatch.setattr(metric, "CELL", 40)
     monkeypatch.setattr(metric, "HOME_BLOCK", 16)
     monkeypatch.setattr(metric, "GUEST_BLOCK", 24)
