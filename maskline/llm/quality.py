@@ -336,7 +336,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, words: int | None = None,
 
 
 def quality(
-    docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 3.0, fold: int = 5, held_by: str = "doc_id", **model: int | None
+    docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 1.5, fold: int = 5, held_by: str = "doc_id", **model: int | None
 ) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept), one row per row of docs (doc_id, text, lang).
 
