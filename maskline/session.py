@@ -72,16 +72,25 @@ def forget(spark: SparkSession, paths: list[str]) -> None:
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables that materialize() writes inside, in this thread, are deleted at the end: for a batch of a stream, whose
-    results are written by then."""
+def recorded() -> Iterator[list[str]]:
+    """The tables that materialize() writes inside, in this thread, for whoever deletes them later; they are not in WRITTEN."""
     own: list[str] = []
     before = _scope.set(own)
     try:
-        yield
+        yield own
     finally:
         _scope.reset(before)
-        forget(spark, own)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes inside, in this thread, are deleted at the end: for a batch of a stream, whose
+    results are written by then."""
+    with recorded() as own:
+        try:
+            yield
+        finally:
+            forget(spark, own)
 
 
 def exists(spark: SparkSession, name: str) -> bool:
