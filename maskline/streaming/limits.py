@@ -45,13 +45,14 @@ def _state(decided: DataFrame, firsts: DataFrame, earlier: Carried, horizon, day
 
 
 def limits_stream(
-    calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataFrame, folder: str, checkpoint: str, days: int = 30, **trigger
+    calls: DataFrame, teams: DataFrame, access: DataFrame, caps: DataFrame, folder: str, checkpoint: str, days: int = 30, hold: str = "0 seconds", **trigger
 ) -> StreamingQuery:
     """calls (call_id, ts, team, alias, provider, tokens_in, tokens_out, cost) -> one decision per call, or a late row.
 
     Writes folder/decisions (call_id, team, decision, reason) and folder/late (calls not later than the last decided one),
-    per batch, and folder/state. As long as batches follow each other in time, decisions are those of `admission` over
-    all calls, in whatever order and files the calls of a batch come. A batch that runs again reads the state before it
+    per batch, and folder/state. A call is decided when one that is later by `hold` has come; until then it is part of the
+    state, so that calls may come out of order by as much over the batches. Decisions are those of `admission` over all calls
+    that are not late, in whatever order and files they come. A batch that runs again reads the state before it
     and replaces what it wrote; the last two states are kept, and what a batch wrote on its way is deleted at its end.
     """
 
@@ -68,7 +69,12 @@ def limits_stream(
             mark = F.struct("ts", "call_id")
             done = F.lit(False) if horizon is None else mark <= F.struct(F.lit(horizon.ts).alias("ts"), F.lit(horizon.call_id).alias("call_id"))
             put(batch.where(done), "late")
-            new = batch.where(~done)
+            waiting = batch.where(~done).unionByName(read("pending", calls.schema).select(*calls.columns))
+            waiting = materialize(waiting)
+            newest = waiting.agg(F.max(F.col("ts")).alias("ts")).first().ts
+            due = F.lit(True) if newest is None else F.coalesce(F.col("ts") <= F.lit(newest) - F.expr(f"INTERVAL {hold}"), F.lit(True))
+            put(waiting.where(~due), "state/pending")
+            new = waiting.where(due)
             last = new.agg(F.max(mark).alias("last")).first().last
             if last is None:
                 put(spark.createDataFrame([], "call_id bigint, team string, decision int, reason string"), "decisions")
@@ -82,6 +88,6 @@ def limits_stream(
                 put(table, f"state/{name}")
             put(new.where(mark == F.struct(F.lit(last.ts).alias("ts"), F.lit(last.call_id).alias("call_id"))).select("ts", "call_id"), "state/horizon")
             # A batch that runs again needs the state before it; no other is read any more.
-            forget(spark, [at(f"state/{name}", batch_id - 2) for name in (*Carried._fields, "horizon") if batch_id > 1])
+            forget(spark, [at(f"state/{name}", batch_id - 2) for name in (*Carried._fields, "horizon", "pending") if batch_id > 1])
 
     return calls.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -341,3 +341,23 @@ def test_live_percentiles_are_near(spark, tmp_path):
         if found.team != "z":
             check(found, [r for r in everything if r[1] == found.team])
     assert {r.team for r in merged} == {"a", None, "z"}
+
+
+def test_calls_out_of_order_over_batches(spark, tmp_path):
+    """Calls that come up to a minute late are held back and decided in order; the last minute waits for more."""
+    rng = random.Random(21)
+    rows = [(i, at(7 * i), rng.choice("ab"), "x", rng.choice(["p", None]), rng.randrange(90), 5, Decimal(rng.randrange(900)) / 10**6) for i in range(300)]
+    teams = spark.createDataFrame([("a", Decimal("0.03"), 4, 250), ("b", Decimal("0.02"), None, 200)], "team_id string, max_budget decimal(18,6), rpm_limit int, tpm_limit int")
+    access = spark.createDataFrame([("a", "x"), ("b", "x")], "team_id string, alias string")
+    caps = spark.createDataFrame([("p", Decimal("0.02"))], "provider string, cap decimal(18,6)")
+    arrived = sorted(rows, key=lambda r: r[1].timestamp() + rng.uniform(0, 60))
+    parts = [arrived[a : a + 60] for a in range(0, 300, 60)]
+    out = str(tmp_path / "out")
+    stream = batches(spark, tmp_path / "in", schemas.CALL, *parts, [(999, at(90000), "a", "x", None, 1, 1, Decimal(0))])
+    sl.limits_stream(stream, teams, access, caps, out, str(tmp_path / "check"), days=1, hold="1 minute", availableNow=True).awaitTermination()
+    found = {r.call_id: (r.decision, r.reason) for r in spark.read.parquet(f"{out}/decisions").collect()}
+    whole = limits.admission(spark.createDataFrame(rows, schemas.CALL), teams, access, caps, 1).collect()
+    assert found == {r.call_id: (r.decision, r.reason) for r in whole}
+    assert spark.read.parquet(f"{out}/late").count() == 0
+    assert [r.call_id for r in spark.read.parquet(f"{out}/state/pending/batch=5").collect()] == [999]
+    assert sorted(os.listdir(f"{out}/state/spent")) == ["batch=4", "batch=5"]
