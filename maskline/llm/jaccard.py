@@ -40,7 +40,7 @@ BLOCK, SHARD = 2 << 20, 8 << 20
 #: Documents in the sample for common tokens; a token is common in 1 / COMMON of them or more.
 SAMPLE, COMMON = 5000, 500
 #: Members of a group; queries and groups that are compared at once.
-GROUP, QUERIES, GROUPS = 128, 512, 32
+GROUP, QUERIES, GROUPS = 256, 512, 32
 #: Ratio of set sizes from one band to the next.
 BAND = 1.1
 
@@ -254,7 +254,7 @@ def compared(asks: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -
     homes = asks.groupBy("home").agg(F.approx_count_distinct("node").alias("q"), F.approx_count_distinct(F.struct("of", "part")).alias("g"))
     homes = homes.select("home", F.ceil(F.col("q") / QUERIES).cast("bigint").alias("qs"), F.ceil(F.col("g") / GROUPS).cast("bigint").alias("gs"))
     cell = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("qs")), F.pmod(F.xxhash64("of", "part"), F.col("gs"))).alias("cell")
-    queries = asks.join(homes, "home").select(cell, "of", "part", "node", F.lit(True).alias("asks"))
+    queries = materialize(asks.join(homes, "home").select(cell, "of", "part", "node", F.lit(True).alias("asks")))
     opened = queries.select("cell", "of", "part").distinct().join(members, ["of", "part"])
     roles = queries.unionByName(opened.select("cell", "of", "part", "node", F.lit(False).alias("asks")))
     told = roles.groupBy("cell", "node").agg(F.collect_list(F.struct("of", "part", "asks")).alias("roles"))  # GROUPS groups at most
