@@ -68,6 +68,7 @@ def test_bpe_round_trip(documents):
         assert ids[doc_id] == want and back[doc_id] == (text or "").encode()
         digest = hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         assert tuple(got[doc_id]) == (doc_id, len(want), digest, hashlib.sha256((text or "").encode()).hexdigest())
+    assert bpe.round_trip(frame.where("false"), RANKS, public_tokenizers.PATTERN).collect() == []
 
 
 def test_memo_is_bounded():
