@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from maskline import fixed_values as fixed
 from maskline.functions import checks, patterns
-from maskline.functions.text import last_words, matches_around_sql, matches_near_sql, matches_sql, neutral, quote, words
+from maskline.functions.text import last_words, let, matches_around_sql, matches_near_sql, matches_sql, neutral, quote, words
 from maskline.operators.plugins import Detector, plugin_spans
 
 SPAN_COLUMNS = [
@@ -97,8 +97,8 @@ def boosted(score: Column, context_word: Column) -> Column:
 
 
 def context_word_in(near: Column, listed: Column) -> Column:
-    """First listed word that is a substring of one of the words near the match."""
-    return F.get(F.filter(listed, lambda w: F.exists(near, lambda s: F.contains(s, w))), F.lit(0))
+    """First listed word that is a substring of one of the words near the match; those are worked out once, not per word."""
+    return let(near, lambda n: F.get(F.filter(listed, lambda w: F.exists(n, lambda s: F.contains(s, w))), F.lit(0)))
 
 
 def near_words(before: Column, value: Column) -> Column:
