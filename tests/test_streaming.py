@@ -361,3 +361,31 @@ def test_calls_out_of_order_over_batches(spark, tmp_path):
     assert spark.read.parquet(f"{out}/late").count() == 0
     assert [r.call_id for r in spark.read.parquet(f"{out}/state/pending/batch=5").collect()] == [999]
     assert sorted(os.listdir(f"{out}/state/spent")) == ["batch=4", "batch=5"]
+
+
+def test_a_job_that_goes_on_yields_no_frame():
+    import pandas as pd
+
+    from maskline.streaming.jobs import _life
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.get = value
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    ts = pd.Timestamp("2024-01-01 00:00:00")
+    chunk = pd.DataFrame({"attempt_id": [None, 2.0, 1.0], "ts": [ts, ts, ts], "outcome": ["backoff", "backoff", "retry"], "wait": [7.0, 9.0, 5.0]})
+    state = State()
+    assert list(_life(1000)((1,), iter([chunk]), state)) == []
+    # Equal times go by id, the attempt without one last: its wait counts.
+    assert state.get == (3, 1, 2, "open") and state.at == ts.timestamp() * 1000 + 7000
+    done = pd.DataFrame({"attempt_id": [3], "ts": [ts], "outcome": ["done"], "wait": [0.0]})
+    state.exists = True
+    assert [tuple(r)[:5] for frame in _life(1000)((1,), iter([done]), state) for r in frame.itertuples(index=False)] == [(1, "done", 4, 1, 2)]
