@@ -12,7 +12,7 @@ from maskline.operators import corpus as c
 from maskline.session import shared_folder
 from maskline.sources import files
 from suite.fixtures import LETTER_TYPES
-from suite.registry import query
+from suite.registry import parts_of, query
 
 _IDS = "select c_custkey as id from customer"
 # Items of each kind of text, as the templates declare them.
@@ -251,7 +251,9 @@ _LOG = """select call_id as seq, case when call_id % 4 = 0 then 'INFO call ' ||
 def read_request_log(t):
     """The log as files: the sequence is their order, and the call is named in the line before the body."""
     path = scratch(t)
-    t.sql(_LOG).repartition(3).sortWithinPartitions("seq").select(F.concat_ws("\n", F.concat(F.lit("call "), F.col("seq").cast("string")), "value")).write.text(path)
+    # A file is read in order by one task: a longer log has more of them.
+    log = t.sql(_LOG)
+    log.repartition(parts_of(log, least=3)).sortWithinPartitions("seq").select(F.concat_ws("\n", F.concat(F.lit("call "), F.col("seq").cast("string")), "value")).write.text(path)
     lines = files.log_lines(t.spark, path)
     before = W.partitionBy("seq.file").orderBy("seq.line")
     named = lines.withColumn("call", F.regexp_extract(F.lag("value").over(before), "^call ([0-9]+)$", 1))
