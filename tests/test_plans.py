@@ -45,6 +45,12 @@ def test_failures_and_top_k_are_limited_before_the_shuffle(spark, tmp_path):
     assert "WindowGroupLimit" in plan(retrieve.rerank(candidates, 5))
 
 
+def test_candidates_are_cut_to_the_first_before_they_are_sorted(spark, tmp_path):
+    candidates = written(spark, tmp_path, "candidates", [], "query_id long, passage_id long, score double")
+    p = plan(retrieve.rerank(candidates, 5))
+    assert p.rindex("Sort") < p.index("MapInArrow")
+
+
 def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "observations")
     files.write_observations(spark.createDataFrame([], schemas.OBSERVATION), path)

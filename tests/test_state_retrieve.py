@@ -1,7 +1,10 @@
 """Actions applied to a state, and passages cut to tokens."""
 
+import math
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from maskline.operators import retrieve, state
@@ -83,3 +86,38 @@ def test_passages_fit_in_tokens(spark, tokenizer):
                 exact += 1
     assert exact > 100
     assert retrieve.truncate_pairs_to_tokens(table.limit(0), VOCABULARY).collect() == []
+
+
+def odd_candidates(n):
+    rng = random.Random(11)
+    scores = [None, math.nan, math.inf, -math.inf, 0.0, 0.5, 1.0, 2.0]
+    # Queries in turn, one of them without an id, and one that has most rows; a passage that has none.
+    return [(rng.choice([None, 1, 1, 1, 2, 3]), rng.choice(scores), None if i == 7 else i) for i in range(n)] + [(9, 1.0, 1)]
+
+
+def test_first_candidates_in_the_order_of_spark(spark):
+    rows = [(q, p, s) for q, s, p in odd_candidates(3000)]
+    table = spark.createDataFrame(rows, "query_id long, passage_id long, score double").repartition(3).cache()
+    wanted = table.selectExpr("*", "row_number() over (partition by query_id order by score desc, passage_id) as rank").where("rank <= 4")
+    told = lambda df: sorted(map(str, df.collect()))  # noqa: E731 - a score that is no number equals none
+    assert told(retrieve.rerank(table, 4)) == told(wanted)
+    assert retrieve.rerank(table, 0).collect() == []
+    # Columns that Arrow doesn't order as Spark does go another way.
+    listed = table.selectExpr("query_id", "passage_id", "score", "array(1) as more")
+    assert told(retrieve.rerank(listed, 4).drop("more")) == told(wanted)
+    table.unpersist()
+
+
+@pytest.mark.parametrize("held", [1 << 20, 1000])
+def test_a_task_hands_on_only_the_first_candidates(monkeypatch, held):
+    monkeypatch.setattr(retrieve, "PIECE", 64)
+    monkeypatch.setattr(retrieve, "HELD", held)
+    rng = random.Random(3)
+    rows = [(q, p, rng.randint(0, 5)) for p in range(2000) for q in range(4)]
+    parts = [pa.RecordBatch.from_pylist([dict(zip(("query_id", "passage_id", "score"), r, strict=True)) for r in rows[at : at + 50]]) for at in range(0, len(rows), 50)]
+    left = [tuple(r.values()) for part in retrieve._first(iter([*parts, parts[0].slice(0, 0)]), 5) for r in part.to_pylist()]
+    best = {r for q in range(4) for r in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))[:5]}
+    assert best <= set(left) and len(left) == len(set(left)) < len(rows)
+    if held > 1000:
+        assert Counter(r[0] for r in left) == dict.fromkeys(range(4), 5)
+    assert list(retrieve._first(iter([]), 5)) == []
