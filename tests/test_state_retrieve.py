@@ -121,3 +121,26 @@ def test_a_task_hands_on_only_the_first_candidates(monkeypatch, held):
     if held > 1000:
         assert Counter(r[0] for r in left) == dict.fromkeys(range(4), 5)
     assert list(retrieve._first(iter([]), 5)) == []
+
+
+@pytest.mark.parametrize("whole", [4_000_000, 400])
+def test_ranks_of_all_candidates(spark, monkeypatch, whole):
+    monkeypatch.setattr(retrieve, "WHOLE", whole)  # one of the queries has more than 400
+    rows = [(q, p, s) for q, s, p in odd_candidates(1000)]
+    table = spark.createDataFrame(rows, "query_id long, passage_id long, score double").repartition(3).cache()
+    wanted = table.selectExpr("*", "cast(row_number() over (partition by query_id order by -score, passage_id) as bigint) as rank")
+    told = lambda df: sorted(map(str, df.collect()))  # noqa: E731 - a score that is no number equals none
+    assert told(retrieve.rerank(table)) == told(wanted) and retrieve.rerank(table).schema["rank"].dataType == wanted.schema["rank"].dataType
+    table.unpersist()
+
+
+def test_candidates_of_a_query_are_ranked_where_they_are(spark):
+    vectors = spark.range(2000).selectExpr("id as vec_id", "cast(id % 3 as int) as label", "array(cast(id as float), 1.0f) as embedding")
+    from suite import jobs
+
+    pairs = jobs.candidates(lambda name: vectors)
+    assert pairs.count() == 100 * 1999
+    plan = retrieve.rerank(pairs)._jdf.queryExecution().executedPlan().toString()
+    # The queries once, and what all tasks get; no pair is moved.
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "Window" in plan
+    assert plan.index("Exchange hashpartitioning") > plan.index("BroadcastNestedLoopJoin")
