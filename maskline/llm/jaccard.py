@@ -41,6 +41,8 @@ BLOCK, SHARD = 2 << 20, 8 << 20
 SAMPLE, COMMON = 5000, 500
 #: Members of a group; queries and groups that are compared at once.
 GROUP, QUERIES, GROUPS = 256, 512, 32
+#: Tokens of members that are counted at once.
+HELD = 1 << 20
 #: Ratio of set sizes from one band to the next.
 BAND = 1.1
 
@@ -53,13 +55,6 @@ class Rule:
         # Words are hashed under a key of this run's own.
         self.key = key()
 
-    def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
-        """a and b are sorted and distinct."""
-        if not len(a) or not len(b) or min(len(a), len(b)) * self.den < self.num * max(len(a), len(b)):
-            return False
-        shared = shared_tokens(a, b)
-        return self.den * shared >= self.num * (len(a) + len(b) - shared)
-
     def least_overlap(self, size: int) -> int:
         """Tokens that a set of this size shares with any similar one."""
         return -(-size * self.num // self.den)
@@ -85,15 +80,38 @@ class Rule:
         return found
 
 
-def shared_tokens(a: np.ndarray, b: np.ndarray) -> int:
-    """How many tokens of a are in b, both sorted and distinct."""
-    if len(a) > len(b):
-        a, b = b, a
-    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(b) else 0
-
-
-def union_of(sets: list[np.ndarray]) -> np.ndarray:
-    return sets[0] if len(sets) == 1 else np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
+class Group:
+    """Sets that are asked together: their token union, and which of them hold each of its tokens."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(tokens, kind="stable")
+        self.holder = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        tokens = tokens[order]
+        self.first = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
+        self.union, self.times = tokens[self.first], np.diff(self.first, append=len(tokens))
+
+    def similar(self, tokens: np.ndarray, own: int | None, rule: Rule) -> list[int]:
+        """Places of the sets that are similar to this one, which is the set at `own` where that is not None."""
+        if not len(tokens) or not len(self.union):
+            return []
+        at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        at = at[self.union[at] == tokens]
+        first, times = self.first[at], self.times[at]
+        # What the union of the others holds bounds the overlap with any of them.
+        if (times > (own is not None)).sum() < rule.least_overlap(len(tokens)):
+            return []
+        shared = np.zeros(len(self.sizes), np.int64)
+        step = -(-HELD // len(self.sizes))
+        for k in range(0, len(at), step):
+            start, n = first[k : k + step], times[k : k + step]
+            held = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            shared += np.bincount(self.holder[held], minlength=len(self.sizes))
+        similar = (self.sizes > 0) & (rule.den * shared >= rule.num * (len(tokens) + self.sizes - shared))
+        if own is not None:
+            similar[own] = False
+        return np.flatnonzero(similar).tolist()
 
 
 def shingle_sets(data: np.ndarray, starts: np.ndarray, k: int, key: tuple[int, int] = FIXED) -> list[np.ndarray]:
@@ -269,14 +287,11 @@ def compared(asks: DataFrame, members: DataFrame, sets: DataFrame, rule: Rule) -
                 groups.setdefault((cells[k], r["of"], r["part"]), ([], []))[r["asks"]].append(k)
         found = []
         for group, asking in groups.values():
-            union = union_of([tokens[k] for k in group])
-            inside = {node[k] for k in group}
+            opened = Group([tokens[k] for k in group])
+            place = {k: m for m, k in enumerate(group)}
             for q in asking:
                 # One that asks its own group is compared with the others.
-                others = [m for m in group if node[m] != node[q]] if node[q] in inside else group
-                bound = union if len(others) == len(group) else union_of([tokens[m] for m in others])
-                if shared_tokens(tokens[q], bound) >= rule.least_overlap(len(tokens[q])):
-                    found += [(node[q], node[m]) for m in others if rule.similar(tokens[q], tokens[m])]
+                found += [(node[q], node[group[m]]) for m in opened.similar(tokens[q], place.get(q), rule)]
         release()
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 

@@ -351,7 +351,7 @@ def quality(
     """
     held = F.pmod(F.xxhash64(F.col(held_by).cast("bigint"), F.lit(17)), F.lit(fold)) == 0
     trusted = trusted.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(held, HELD_OUT).otherwise(LEARNED).alias("role"))
-    trusted = trusted.where("doc_id is not null").distinct()
+    trusted = materialize(trusted.where("doc_id is not null").distinct())  # read twice
     scores = perplexities(docs, trusted, **model)
     size = F.least(F.lit(LENGTHS[1]), F.greatest(F.lit(LENGTHS[0]), F.floor(F.log2(F.col("n_words") + 1)))).cast("int")
     scores = scores.withColumn("size", size).withColumn("step", F.floor(F.col("log_perplexity") / STEP))

@@ -5,9 +5,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from maskline.llm import exact, jaccard, phrases, suffixes
+from maskline.llm import exact, graph, jaccard, phrases, suffixes
 from maskline.llm.graph import components
 from maskline.llm.words import Words
+from maskline.session import materialize
 from texts import corpus, repeated_starts, shingles, smallest, word_list
 
 
@@ -210,6 +211,36 @@ def test_components(spark):
     assert got == smallest({x for e in whole for x in e}, whole)
 
 
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_a_query_is_counted_against_a_whole_group(monkeypatch, held):
+    monkeypatch.setattr(jaccard, "HELD", held)
+    rng, rule = np.random.default_rng(2), jaccard.Rule(3, 80, 100)
+    base = rng.integers(0, 2**64, 60, np.uint64)
+    edited = [np.unique(np.concatenate([rng.choice(base, 60 - n, replace=False), rng.integers(0, 2**64, n, np.uint64)])) for n in rng.integers(0, 30, 40)]
+    sets = [np.sort(base), np.sort(base), np.zeros(0, np.uint64), rng.integers(0, 2**64, 1, np.uint64), *edited]
+    group = jaccard.Group(sets[:-6])
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 0
+    for q, tokens in enumerate(sets):
+        own = q if q < len(sets) - 6 else None
+        want = [m for m, s in enumerate(sets[:-6]) if m != own and 100 * share({*tokens.tolist()}, {*s.tolist()}) >= 80]
+        assert group.similar(tokens, own, rule) == want
+    assert jaccard.Group([]).similar(sets[0], None, rule) == [] and jaccard.Group([sets[2]]).similar(sets[0], None, rule) == []
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 16])
+def test_components_of_contracted_pieces(spark, monkeypatch, piece):
+    tables = []
+    monkeypatch.setattr(graph, "PIECE", piece)
+    monkeypatch.setattr(graph, "materialize", lambda df: tables.append(1) or materialize(df))
+    rng = np.random.default_rng(7)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (100, 2))] + [(1000 - i, 999 - i) for i in range(60)] + [(-5, 2**60)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)).collect()}
+    whole = [e for e in edges if e[0] != e[1]]
+    assert got == smallest({x for e in whole for x in e}, whole)
+    # Written once as they are and once contracted; pieces that meet need rounds.
+    assert len(tables) == 2 if piece > len(edges) else len(tables) > 2
+
+
 def test_windows_come_from_what_the_automaton_meets():
     text = "a b c d e f g b c d h i j k l m n o p q b c d r".encode()
     data, starts = np.frombuffer(text, np.uint8), np.array([0, len(text)])
