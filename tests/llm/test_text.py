@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from maskline import session
 from maskline.llm import bpe, interleave, licenses, metric, packing, quality
 from maskline.llm.words import LOWER, Words
 from texts import ODD, corpus, smallest, word_list
@@ -316,6 +317,26 @@ def test_open_vocabulary_is_modified_kneser_ney(documents, spark):
         assert math.isclose(got[i]["log_perplexity"], sums / (len(coded[i]) + 1), rel_tol=1e-9)
 
 
+def test_parts_and_shards_change_nothing_and_leave_nothing(documents, spark, monkeypatch):
+    rows = [*((i, (t or "")[:600]) for i, t in corpus(13, 50, words=60)), (20, "again and again"), (20, "again and again"), (None, "a b c")]
+    roles = spark.createDataFrame([(i, quality.LEARNED if i % 3 else quality.HELD_OUT) for i in range(10, 40)], "doc_id bigint, role int")
+    told = []
+    for parts, shard in ((1, 16 << 20), (5, 500)):
+        monkeypatch.setattr(quality, "PARTS", parts)
+        monkeypatch.setattr(quality, "SHARD", shard)
+        with session.recorded() as written:
+            got = quality.perplexities(documents(rows), roles, block_words=300)
+        assert len(written) == 1 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+        told.append(sorted((r["doc_id"] is None, r["doc_id"], r["role"], r["n_words"], round(r["log_perplexity"], 9)) for r in got.collect()))
+        session.forget(spark, written)
+    assert told[0] == told[1] and len(told[0]) == len(rows)
+
+
+@given(st.lists(st.lists(st.integers(0, 2**62) | st.integers(0, 300), min_size=3, max_size=3), min_size=1, max_size=4))
+def test_packed_numbers(rows):
+    assert quality.unpacked(quality.packed(np.array(rows, np.int64))).tolist() == rows
+
+
 # Licenses
 
 
