@@ -496,7 +496,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, words: int | None = None,
     forget(spark, own)
     return scored
 def quality(
-    docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 1.5, fold: int = 5, held_by: str = "doc_id", **model: int | None
+    docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 1.5, fold: int = 5, held_by: str = "doc_id",
+    short: bool = True, **model: int | None
 ) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept), one row per row of docs (doc_id, text, lang).
 
@@ -505,7 +506,8 @@ def quality(
     three are not all there, discounts are fixed ones (`discounts`).
     threshold is `margin` times the `quantile` of the perplexities of held-out documents of the same language and class of
     length, or the widest of the language where a class has none; in a language without any (null is a language of its own)
-    nothing is rejected. A document without
+    nothing is rejected. Perplexities of shorter documents spread wider: with `short` off nothing is rejected either in classes
+    that are shorter than all with held-out documents of the language. A document without
     words has the perplexity of an end at once, and is kept. A repeated id is scored row by row; rows without an id are
     scored and never trusted. Other columns are ignored.
     """
@@ -527,10 +529,10 @@ def quality(
     )
     limits = materialize(limits)
     # One row per language.
-    widest = limits.groupBy(F.col("of_lang").alias("any_lang")).agg(F.max("threshold").alias("widest"))
+    widest = limits.groupBy(F.col("of_lang").alias("any_lang")).agg(F.max("threshold").alias("widest"), F.min("of_size").alias("shortest"))
     met = scores.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("size") == F.col("of_size")), "left")
     met = met.join(widest, F.col("lang").eqNullSafe(F.col("any_lang")), "left")
-    met = met.withColumn("threshold", F.coalesce("threshold", "widest"))
+    met = met.withColumn("threshold", F.coalesce("threshold", F.when(F.lit(short) | (F.col("size") >= F.col("shortest")), F.col("widest"))))
     perplexity = F.exp("log_perplexity")
     return met.select(
         "doc_id", "lang", "n_words", perplexity.alias("perplexity"), "threshold",
