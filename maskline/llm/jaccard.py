@@ -33,7 +33,7 @@ from maskline.llm.blocks import Block, by_block, by_shard, each_block, pack, spr
 from maskline.llm.common import release, slices, utf8
 from maskline.llm.graph import components
 from maskline.llm.words import FIXED, LOWER, Words, key
-from maskline.session import materialize
+from maskline.session import forget, freed_shuffles, materialize, recorded
 
 #: Bytes of text per block, and per shard of the exchange of signatures.
 BLOCK, SHARD = 2 << 20, 8 << 20
@@ -341,32 +341,14 @@ def central_links(meetings: DataFrame, clusters: DataFrame, sets: DataFrame, rul
     return materialize(compared(asks, central.select(F.col("of").alias("node"), "of", "part"), sets, rule))
 
 
-def near_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node), one row per row of docs (doc_id, text).
-
-    A-Z are lower-cased and words are runs of bytes other than blanks. Rows link when their sets of shingles of `words`
-    words have a Jaccard similarity of num / den or more; a text of fewer words is one shingle; one without words, or a
-    null one, has an empty set and links with nothing. component_id is the smallest id that can be reached by links; null
-    ids are not counted, so it is null only if all ids there are. Rows that repeat an id are rows of their own, and link as
-    their texts do. node numbers the rows. Shingles are compared as 64-bit hashes. Other columns are ignored.
-    """
-    rule = Rule(words, num, den)
-    shards = max(1, -(-total_bytes(docs) // SHARD))
-    common = common_tokens(docs, rule)
-    blocks = write_blocks(docs, BLOCK)
-    rows = signed(blocks, shards, common, rule)
-    documents = rows.where("first is not null").select("node", "doc_id", "size", "first")
-    promises = rows.where("least is not null").select("node", "class", "least")
-    met = rows.where("sign is not null").select("node", "class", "sign", "block")
-    often = met.groupBy("node", "class").agg(F.count("*").alias("n")).join(promises, ["node", "class"]).where("n >= least")
-    met = met.join(often.select("node", "class").hint("merge"), ["node", "class"])
-    met = materialize(met)
+def _linked(met: DataFrame, sizes: DataFrame, sets: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """((node, label), links (a, b)) of the sets (node, tokens) that meet (node, sign): those that links with first and central
+    ones join have a label in common, and links of opened groups join these."""
     pivots = met.groupBy("sign").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("sign", "b")
     # The first one is a group of its own.
     one = F.lit(0).cast("bigint").alias("part")
     asks = met.select("sign", "node").join(pivots.hint("merge"), "sign").where("node <> b").select("node", F.col("b").alias("of"), one)
     firsts = pivots.select(F.col("b").alias("node"), F.col("b").alias("of"), one).distinct()
-    sets = token_sets(blocks, met.select("node", "block").distinct(), rule)
     asks = materialize(asks.distinct())
     links = materialize(compared(asks.withColumn("home", F.col("of")), firsts, sets, rule))
     clusters = components(asks.select(F.col("node").alias("a"), F.col("of").alias("b")))
@@ -375,17 +357,51 @@ def near_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 10
     labels = components(links).select(F.col("id").alias("node"), F.col("component").alias("label"))
     labels = met.select("node").distinct().join(labels, "node", "left")
     labels = materialize(labels.select("node", F.coalesce("label", "node").alias("label")))
-    more = opened_groups(clusters, labels, documents.select("node", "size"), sets, rule)
-    edges = (
-        documents.select(F.col("node").alias("a"), F.col("first").alias("b"))
-        .unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        .unionByName(more)
-    )
-    linked = components(edges)
-    told = documents.join(linked.withColumnRenamed("id", "node"), "node", "left")
-    told = materialize(told.select("node", "doc_id", "size", F.coalesce("component", "node").alias("component")))
-    # Written, so that Spark can split the join of a large component.
-    smallest = materialize(told.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    return labels, materialize(opened_groups(clusters, labels, sizes, sets, rule))
+
+
+def near_documents(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node), one row per row of docs (doc_id, text).
+
+    A-Z are lower-cased and words are runs of bytes other than blanks. Rows link when their sets of shingles of `words`
+    words have a Jaccard similarity of num / den or more; a text of fewer words is one shingle; one without words, or a
+    null one, has an empty set and links with nothing. component_id is the smallest id that can be reached by links; null
+    ids are not counted, so it is null only if all ids there are. Rows that repeat an id are rows of their own, and link as
+    their texts do. node numbers the rows. Shingles are compared as 64-bit hashes. Other columns are ignored.
+    """
+    rule = Rule(words, num, den)
+    spark = docs.sparkSession
+    # What a step has written, shuffles and tables, goes as soon as no later step reads it.
+    with freed_shuffles(spark):
+        shards = max(1, -(-total_bytes(docs) // SHARD))
+        common = common_tokens(docs, rule)
+        with recorded() as cut:
+            blocks = write_blocks(docs, BLOCK)
+        with recorded() as marked:
+            rows = signed(blocks, shards, common, rule)
+        with recorded() as passing:
+            documents = materialize(rows.where("first is not null").select("node", "doc_id", "size", "first"))
+            promises = rows.where("least is not null").select("node", "class", "least")
+            met = rows.where("sign is not null").select("node", "class", "sign", "block")
+            often = met.groupBy("node", "class").agg(F.count("*").alias("n")).join(promises, ["node", "class"]).where("n >= least")
+            met = materialize(met.join(often.select("node", "class").hint("merge"), ["node", "class"]))
+            forget(spark, marked)
+            with recorded() as opened:
+                sets = token_sets(blocks, met.select("node", "block").distinct(), rule)
+            forget(spark, cut)
+            labels, more = _linked(met, documents.select("node", "size"), sets, rule)
+            forget(spark, opened)
+            edges = (
+                documents.select(F.col("node").alias("a"), F.col("first").alias("b"))
+                .unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+                .unionByName(more)
+            )
+            told = documents.join(components(edges).withColumnRenamed("id", "node"), "node", "left")
+            told = told.select("node", "doc_id", "size", F.coalesce("component", "node").alias("component"))
+        told = materialize(told)
+        forget(spark, passing)
+        # Written, so that Spark can split the join of a large component.
+        smallest = materialize(told.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     return told.join(smallest.hint("merge"), "component").select(
         "doc_id", F.col("size").alias("n_shingles"), "component_id", "node"
     )

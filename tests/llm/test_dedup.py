@@ -1,10 +1,12 @@
 import hashlib
+import os
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from maskline import session
 from maskline.llm import exact, graph, jaccard, phrases, suffixes
 from maskline.llm.graph import components
 from maskline.llm.words import Words
@@ -264,3 +266,14 @@ def test_phrases_of_long_texts(documents, monkeypatch):
     passage = long_[2_000_000:2_001_000].split(" ", 1)[1].rsplit(" ", 1)[0]
     got = by_id(phrases.without_repeated_phrases(documents([(1, long_), (2, f"start {passage} end")])))
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == len(passage.split())
+
+
+def test_near_documents_leaves_what_its_result_reads(spark, documents):
+    """Tables of steps that are over are gone before the rows are asked for."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{base} {'end ' * (i % 3)}" if i % 2 else " ".join(f"v{i}x{j}" for j in range(40))) for i in range(60)]
+    folder = session.shared_folder(spark)
+    before = set(os.listdir(folder.removeprefix("file:")))
+    near = jaccard.near_documents(documents(rows))
+    assert len(set(os.listdir(folder.removeprefix("file:"))) - before) == 2
+    assert len({r.component_id for r in near.collect()}) == 31
