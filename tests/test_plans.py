@@ -6,6 +6,7 @@ from maskline import schemas
 from maskline.operators import detect, evaluate, jobs, mask, retrieve, spans, usage
 from maskline.plans import masking
 from maskline.sources import files
+from suite import jobs as cross
 
 SPANS = "doc_id long, entity_type string, start int, end int, score double, value string"
 
@@ -84,3 +85,17 @@ def test_message_spans_are_shuffled_once(spark, tmp_path):
         spark.createDataFrame([(1, 1, "jo@site.ai, 10.1.2.3, Jean")], "conv_id long, turn long, text string"), names, policy=policy
     )
     assert [r.masked_text for r in masked.collect()] == ["<EMAIL_ADDRESS_1>, 10.1.2.3, Jean"] and markers.count() == 1
+
+
+def test_pairs_of_many_vectors_are_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    """Vectors too many to send: parts of the queries by parts of the others, not every query's share by every part."""
+    monkeypatch.setattr(cross, "SENT", 0)
+    monkeypatch.setattr(cross, "PAIRS_A_TASK", 100)
+    vectors = spark.range(200).select(F.col("id").alias("vec_id"), F.lit(1).alias("label")).repartition(8, "vec_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = cross.paired(*cross.sides(vectors, "vec_id", "label"), 4, 32)
+        assert pairs.rdd.getNumPartitions() <= 24
+        assert sorted((r.q_vec_id, r.p_vec_id) for r in pairs.collect()) == [(q, p) for q in range(0, 200, 20) for p in range(200) if p != q]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
